@@ -51,8 +51,8 @@ def histogram_long(long: DataFrame, group, x: str = "value", bins: int = 100) ->
         .agg(F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     grid = rng.select(*[_q(g) for g in group], "n_total", "_lo", "_hi",
-                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
-    grid = grid.select(*[_q(g) for g in group], "bin", "n_total",
+                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = grid.select(*[_q(g) for g in group], F.col("bin").cast("bigint").alias("bin"), "n_total",
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin"), bins).alias("bin_lo"),
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin") + 1, bins).alias("bin_hi"))
     out = grid.join(counts, [*group, "bin"], "left")

@@ -69,14 +69,14 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     scan = ordered_scan(per_x, g, ["x"], cumsum={"cn": "n", "cs": "s", "cq": "q"}, index="rn", **kw)
 
     tot = per_x.groupBy(*[_q(c) for c in g]).agg(
-        F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.count(F.lit(1)).alias("n_x"))
+        F.sum("n").alias("nt"), F.sum("s").alias("st"), F.sum("q").alias("qt"), F.count(F.lit(1)).alias("n_x"))
     if isinstance(depth, DataFrame):
         tot = tot.join(depth.select(*[_q(c) for c in g], F.col("depth").cast("int").alias("depth")), g, "left")
         tot = tot.withColumn("depth", F.coalesce("depth", F.lit(2)))
     else:
         tot = tot.withColumn("depth", F.lit(int(depth)))
-    tot = tot.withColumn("min_split", F.greatest(F.ceil(F.col("N") * F.lit(min_samples_split)), F.lit(2)))
-    tot = tot.withColumn("var_tol", F.lit(REL_EPS) * F.greatest(F.col("Q") / F.col("N"), F.lit(1e-300)))
+    tot = tot.withColumn("min_split", F.greatest(F.ceil(F.col("nt") * F.lit(min_samples_split)), F.lit(2)))
+    tot = tot.withColumn("var_tol", F.lit(REL_EPS) * F.greatest(F.col("qt") / F.col("nt"), F.lit(1e-300)))
     s = join_per_key(scan, tot, g)
 
     def splittable(nn, sn, qn):
@@ -89,8 +89,8 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
                      F.struct((-F.col(gain_col)).alias("ng"), F.col("x"))).alias("b"))
         return keyed.select(*[_q(c) for c in g], *extra_group, "b.*")
 
-    root_c = s.where((F.col("cn") < F.col("N")) & splittable(F.col("N"), F.col("S"), F.col("Q")))
-    root_c = root_c.withColumn("_g", _gain(F.col("cn"), F.col("cs"), F.col("N"), F.col("S")))
+    root_c = s.where((F.col("cn") < F.col("nt")) & splittable(F.col("nt"), F.col("st"), F.col("qt")))
+    root_c = root_c.withColumn("_g", _gain(F.col("cn"), F.col("cs"), F.col("nt"), F.col("st")))
     root = best(root_c, "_g", [])
     root = root.select(*[_q(c) for c in g], F.lit("root").alias("node"), "x", "rn", "gain",
                        F.col("cn").alias("n_left"), "cn", "cs", "cq")
@@ -101,8 +101,8 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     s2 = s.where(F.col("depth") >= 2).join(r2, g)
     left = s2.where((F.col("rn") < F.col("_rrn")) & splittable(F.col("_rn_"), F.col("_rs"), F.col("_rq")))
     left = left.withColumn("_g", _gain(F.col("cn"), F.col("cs"), F.col("_rn_"), F.col("_rs")))
-    rn_node, rs_node, rq_node = F.col("N") - F.col("_rn_"), F.col("S") - F.col("_rs"), F.col("Q") - F.col("_rq")
-    right = s2.where((F.col("rn") > F.col("_rrn")) & (F.col("cn") < F.col("N"))
+    rn_node, rs_node, rq_node = F.col("nt") - F.col("_rn_"), F.col("st") - F.col("_rs"), F.col("qt") - F.col("_rq")
+    right = s2.where((F.col("rn") > F.col("_rrn")) & (F.col("cn") < F.col("nt"))
                      & splittable(rn_node, rs_node, rq_node))
     right = right.withColumn("_g", _gain(F.col("cn") - F.col("_rn_"), F.col("cs") - F.col("_rs"),
                                          rn_node, rs_node)) \
@@ -118,13 +118,11 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     out = nodes.join(nxt, [*g, "rn"])
     thr = F.col("x") / 2.0 + F.col("_x_next") / 2.0
     thr = F.when((thr == F.col("_x_next")), F.col("x")).otherwise(thr)
-    node_n = tot.select(*[_q(c) for c in g], "N")
-    out = out.join(node_n, g).select(
-        *[_q(c) for c in g], "node", thr.alias("threshold"), F.col("gain").alias("gain"),
-        F.col("n_left").cast("bigint").alias("n_left"), F.col("N").alias("_N"))
+    out = out.select(*[_q(c) for c in g], "node", thr.alias("threshold"), F.col("gain").alias("gain"),
+                     F.col("n_left").cast("bigint").alias("n_left"))
     if nonneg_only:
         out = out.where(F.col("threshold") >= 0)
-    return out.drop("_N")
+    return out
 
 
 def split_arrays(splits: DataFrame, keys) -> DataFrame:
@@ -189,18 +187,29 @@ def _with_share(j: DataFrame, keys, outlier_share):
 
 
 def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFrame,
-                    outlier_share: float = 0.1) -> DataFrame:
+                    outlier_share: float = 0.1, exact_scale: int | None = None) -> DataFrame:
     """B3 (+A5, J1): mean target per segment in split order; empty segments kept
-    with n = 0 and a NULL mean.  (keys, variable, segment, label, n, share, mean_target)."""
+    with n = 0 and a NULL mean.  (keys, variable, segment, label, n, share, mean_target).
+
+    ``exact_scale`` computes the mean as an exact fixed-point average rounded
+    to that many decimals (reproducible under any partitioning)."""
     keys = list(keys)
     g = [*keys, "variable"]
     rows = segment_rows(df, keys, variables, target, splits, outlier_share)
+    if exact_scale is None:
+        mean = F.avg("y")
+    else:
+        units = F.sum(F.round(F.col("y") * F.lit(10.0 ** exact_scale)).cast("bigint"))
+        cnt = F.count("y")
+        q = F.when(cnt > 0, F.floor((F.lit(2) * units + cnt).cast("decimal(38,0)") / (F.lit(2) * cnt)))
+        mean = q.cast("double") / F.lit(10.0 ** exact_scale)
     agg = rows.groupBy(*[_q(c) for c in g], "segment").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_target"), F.max("label").alias("_label"),
+        F.count(F.lit(1)).alias("n"), mean.alias("mean_target"), F.max("label").alias("_label"),
         F.max("share").alias("share"))
     arr = split_arrays(splits, keys)
     cats = arr.select(*[_q(c) for c in g], "splits",
-                      F.explode(F.sequence(F.lit(0), F.size("splits"))).cast("bigint").alias("segment"))
+                      F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("segment"))
+    cats = cats.withColumn("segment", F.col("segment").cast("bigint"))
     m = F.size("splits")
     cats = cats.withColumns({
         "seg_lo": F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int"))),

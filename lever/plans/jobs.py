@@ -69,7 +69,7 @@ def rank_drivers(prepared: DataFrame, schema: SeriesSchema, target: str, variabl
     return M.top_features(imp, keys, top_n)
 
 
-def drill_down(prepared: DataFrame, keys, target: str, variables, **kw) -> DataFrame:
+def drill_down(prepared: DataFrame, keys, target: str, variables, exact_scale=None, **kw) -> DataFrame:
     """Per variable, mixture component count -> tree depth -> splits ->
     segment summary.  A variable without splits (constant) gets one row with
     status 'unavailable'."""
@@ -77,21 +77,23 @@ def drill_down(prepared: DataFrame, keys, target: str, variables, **kw) -> DataF
     comps = G.gmm_components(prepared, variables, keys)
     depth = B.depth_from_count(comps, keys, "n_components")
     splits = B.tree_splits(prepared, keys, variables, target, depth, **kw)
-    return _summary_or_unavailable(prepared, keys, variables, target, splits)
+    return _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale)
 
 
-def drill_down_peaks(prepared: DataFrame, keys, target: str, variables, **kw) -> DataFrame:
+def drill_down_peaks(prepared: DataFrame, keys, target: str, variables, exact_scale=None,
+                     **kw) -> DataFrame:
     """Like E3 with the depth chosen by histogram peaks (one peak -> 1)."""
     keys = list(keys)
     peaks = H.histogram_peaks(prepared, variables, keys)
     counts = peaks.groupBy(*keys, "variable").agg(F.count(F.lit(1)).alias("n_peaks"))
     depth = B.depth_from_count(counts, keys, "n_peaks")
     splits = B.tree_splits(prepared, keys, variables, target, depth, **kw)
-    return _summary_or_unavailable(prepared, keys, variables, target, splits)
+    return _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale)
 
 
-def _summary_or_unavailable(prepared, keys, variables, target, splits):
-    summary = B.segment_summary(prepared, keys, variables, target, splits).withColumn("status", F.lit("ok"))
+def _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale=None):
+    summary = B.segment_summary(prepared, keys, variables, target, splits, exact_scale=exact_scale) \
+        .withColumn("status", F.lit("ok"))
     present = B.xy_long(prepared, keys, variables, target).select(*keys, "variable").distinct()
     missing = present.join(splits.select(*keys, "variable").distinct(), [*keys, "variable"], "left_anti")
     unavailable = missing.select(*keys, "variable", F.lit(None).cast("bigint").alias("segment"),

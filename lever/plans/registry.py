@@ -130,9 +130,9 @@ def q_trailing_months(spark, sf):
 
 def _sparse_sql():
     parts = " UNION ALL ".join(
-        f"SELECT machine, '{c}' AS column, count({c}) AS non_null, count(*) AS n_rows FROM f2 GROUP BY machine"
+        f"SELECT machine, '{c}' AS \"column\", count({c}) AS non_null, count(*) AS n_rows FROM f2 GROUP BY machine"
         for c in F2_NONKEY)
-    return W(F2C) + f"""SELECT machine, column, non_null, n_rows,
+    return W(F2C) + f"""SELECT machine, "column", non_null, n_rows,
   non_null > n_rows * CAST(0.3 AS DOUBLE) AS kept FROM ({parts})"""
 
 
@@ -276,11 +276,11 @@ def q_forward_fill(spark, sf):
 @query("rolling_mean_48", W(S.F1, """ff AS (SELECT time_bucket_local, last_value(purchase IGNORE NULLS) OVER
   (ORDER BY time_bucket_local ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS purchase FROM f1)""") +
        """SELECT time_bucket_local, purchase, round(CASE WHEN count(purchase) OVER w = 48
-  THEN avg(purchase) OVER w END, 6) AS purchase_moving_avg FROM ff
+  THEN avg(purchase) OVER w END, 9) AS purchase_moving_avg FROM ff
   WINDOW w AS (ORDER BY time_bucket_local ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""")
 def q_rolling_mean(spark, sf):
     d = P.forward_fill(f1(spark, sf).select("time_bucket_local", "purchase"), F1_SCHEMA)
-    return rnd(H.rolling_mean_48(d, [], ["time_bucket_local"], "purchase"), {"purchase_moving_avg": 6})
+    return rnd(H.rolling_mean_48(d, [], ["time_bucket_local"], "purchase"), {"purchase_moving_avg": 9})
 
 
 @query("tick_sample", W(F2C, f"""r AS (SELECT machine, {ORD}, row_number() OVER (PARTITION BY machine ORDER BY {ORD}) - 1 AS rn,
@@ -365,7 +365,7 @@ def q_rolling_keyed(spark, sf):
     d = P.forward_fill(f1k(spark, sf), F1_KEYED_SCHEMA)
     return rnd(H.rolling_mean_48(d.select("site", "machine", "time_bucket_local", "purchase"),
                                  ["site", "machine"], ["time_bucket_local"], "purchase"),
-               {"purchase_moving_avg": 6})
+               {"purchase_moving_avg": 9})
 
 
 # ============================================================== B: splits and segments
@@ -433,7 +433,7 @@ _SV = ["l_discount", "l_tax"]
 
 def _seg_ctes():
     return [S.long_xy("lxy", "f2", K, _SV, y="net"), *S.tree_ctes("t_", "lxy", K, "2"),
-            *S.segment_ctes("s_", "lxy", K, "t_nodes")]
+            *S.segment_ctes("s_", "lxy", K, "t_nodes", exact_scale=6)]
 
 
 def _seg_splits(d):
@@ -448,32 +448,32 @@ def q_segment_rows(spark, sf):
 
 
 _SUMSQL = """SELECT machine, variable, segment, round(seg_lo, 9) AS seg_lo, round(seg_hi, 9) AS seg_hi, label, n,
-  round(share, 9) AS share, round(mean_target, 4) AS mean_target FROM s_summary"""
+  round(share, 9) AS share, round(mean_target, 6) AS mean_target FROM s_summary"""
 
 
 def _summary_round(df):
-    return rnd(df, {"seg_lo": 9, "seg_hi": 9, "share": 9, "mean_target": 4})
+    return rnd(df, {"seg_lo": 9, "seg_hi": 9, "share": 9, "mean_target": 6})
 
 
 @query("segment_summary", W(F2C, *_seg_ctes()) + _SUMSQL)
 def q_segment_summary(spark, sf):
     d = f2(spark, sf)
-    return _summary_round(B.segment_summary(d, K, _SV, "net", _seg_splits(d)))
+    return _summary_round(B.segment_summary(d, K, _SV, "net", _seg_splits(d), exact_scale=6))
 
 
 @query("segment_boxstats", W(F2C, *_seg_ctes(), """bx AS (SELECT machine, variable, segment, max(label) AS label,
   count(*) AS n, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3
-  FROM s_rows GROUP BY ALL)""") + """SELECT machine, variable, segment, bx.label, bx.n, round(q1, 4) AS q1,
-  round(median, 4) AS median, round(q3, 4) AS q3,
-  round(min(CASE WHEN y >= q1 - 1.5 * (q3 - q1) THEN y END), 4) AS whisker_lo,
-  round(max(CASE WHEN y <= q3 + 1.5 * (q3 - q1) THEN y END), 4) AS whisker_hi,
+  FROM s_rows GROUP BY ALL)""") + """SELECT machine, variable, segment, bx.label, bx.n, round(q1, 8) AS q1,
+  round(median, 8) AS median, round(q3, 8) AS q3,
+  min(CASE WHEN y >= q1 - 1.5 * (q3 - q1) THEN y END) AS whisker_lo,
+  max(CASE WHEN y <= q3 + 1.5 * (q3 - q1) THEN y END) AS whisker_hi,
   count(CASE WHEN y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
 FROM s_rows JOIN bx USING (machine, variable, segment)
 GROUP BY machine, variable, segment, bx.label, bx.n, q1, median, q3""")
 def q_segment_boxstats(spark, sf):
     d = f2(spark, sf)
     return rnd(B.segment_boxstats(d, K, _SV, "net", _seg_splits(d)),
-               {"q1": 4, "median": 4, "q3": 4, "whisker_lo": 4, "whisker_hi": 4})
+               {"q1": 8, "median": 8, "q3": 8})
 
 
 # ============================================================== M: models
@@ -720,10 +720,11 @@ def q_drill_down(spark, sf):
     return _summary_round(E.drill_down(_e1(spark, sf), [], "purchase", ["click", "view"]))
 
 
-@query("drill_down_peaks", W(F2C, *_peak_depth_ctes(), *S.segment_ctes("s_", "lxy", K, "t_nodes")) + _SUMSQL)
+@query("drill_down_peaks", W(F2C, *_peak_depth_ctes(), *S.segment_ctes("s_", "lxy", K, "t_nodes", exact_scale=6))
+       + _SUMSQL)
 def q_drill_down_peaks(spark, sf):
     d = f2(spark, sf)
-    out = E.drill_down_peaks(d, K, "net", _PKV)
+    out = E.drill_down_peaks(d, K, "net", _PKV, exact_scale=6)
     return _summary_round(out.drop("status"))
 
 

@@ -166,10 +166,15 @@ def label_sql(x):
             f" || '.' || lpad(CAST({r} % 100 AS VARCHAR), 2, '0'))")
 
 
-def segment_ctes(p, long, keys, splits, share=0.1):
+def segment_ctes(p, long, keys, splits, share=0.1, exact_scale=None):
     """{p}rows: (keys, variable, x, y, segment, seg_lo, seg_hi, label, share, is_outlier)
     from ``splits`` (keys, variable, threshold)."""
     g = gcols(keys)
+    if exact_scale is None:
+        mean = "avg(y)"
+    else:
+        u = f"sum(CAST(round(y * 1e{exact_scale}) AS BIGINT))"
+        mean = f"CAST((2 * {u} + count(y)) // (2 * count(y)) AS DOUBLE) / 1e{exact_scale}"
     lab_lo = label_sql("seg_lo")
     lab_hi = label_sql("seg_hi")
 
@@ -197,7 +202,7 @@ def segment_ctes(p, long, keys, splits, share=0.1):
         f"""{p}summary AS (SELECT {g}, segment, seg_lo, seg_hi,
               coalesce(a.label, {label('m >= 2')}) AS label,
               CAST(coalesce(a.n, 0) AS BIGINT) AS n, coalesce(a.share, 0.0) AS share, a.mean_target
-              FROM {p}cats2 LEFT JOIN (SELECT {g}, segment, count(*) AS n, avg(y) AS mean_target,
+              FROM {p}cats2 LEFT JOIN (SELECT {g}, segment, count(*) AS n, {mean} AS mean_target,
                                                 max(label) AS label, max(share) AS share
                                          FROM {p}rows GROUP BY ALL) a USING ({g}, segment))""",
     ]

@@ -1,8 +1,12 @@
-"""Joining per-key summaries back to the data, with a checked broadcast.
+"""Joining per-key summaries back to the data.
 
-Per-key tables (one row per machine) are small but their row count grows with
-the number of keys, so they are broadcast only after counting them; past the
-bound the join is a plain shuffle join (AQE's skew-join split covers hot keys).
+Per-key tables (one row per machine) are small, but their row count grows with
+the number of keys, so no broadcast is forced on them.  The size check happens
+at run time: adaptive execution measures the materialised summary and turns the
+join into a broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
+above it the join stays a shuffle join whose skewed partitions (a hot key on
+the data side) AQE splits.  ``max_broadcast_rows`` adds an explicit count-based
+check for callers that want the decision before execution.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 
 def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner",
-                 max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 max_broadcast_rows: int | None = None) -> DataFrame:
     """``big`` joined to ``small`` on ``keys`` (NULL-safe); small's key columns dropped.
 
     With no keys ``small`` must hold one row (a global aggregate), which is a
@@ -26,9 +30,10 @@ def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner",
         return big.crossJoin(F.broadcast(small))
     ren = small.select(*[F.col(f"`{k}`").alias(f"_jk_{i}") for i, k in enumerate(keys)],
                        *[F.col(f"`{c}`") for c in small.columns if c not in keys])
-    ren = ren.persist(StorageLevel.MEMORY_AND_DISK)
-    if ren.count() <= max_broadcast_rows:
-        ren = F.broadcast(ren)
+    if max_broadcast_rows is not None:
+        ren = ren.persist(StorageLevel.MEMORY_AND_DISK)
+        if ren.count() <= max_broadcast_rows:
+            ren = F.broadcast(ren)
     cond = None
     for i, k in enumerate(keys):
         e = big[f"`{k}`"].eqNullSafe(ren[f"_jk_{i}"])

@@ -40,3 +40,22 @@ def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner",
         cond = e if cond is None else cond & e
     out = big.join(ren, cond, how)
     return out.drop(*[f"_jk_{i}" for i in range(len(keys))])
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small but expensive result once and cut its lineage.
+
+    Reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
+    shared folder on a cluster), so later steps that read the result several
+    times neither recompute it nor carry its plan, and a lost executor does
+    not trigger a recomputation.  When no checkpoint folder is configured on a
+    cluster, the result is persisted instead.
+    """
+    from lever.session import ensure_checkpoint_dir
+    try:
+        ensure_checkpoint_dir(df.sparkSession)
+    except RuntimeError:
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out.count()
+        return out
+    return df.checkpoint(eager=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions.em1d import bic, fit_gmm_1d
-from lever.functions.sizing import join_per_key
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.quantiles import unpivot
 
 REG_COVAR = 1e-6
@@ -95,7 +95,7 @@ def gmm_fit(df: DataFrame, cols, keys=(), k_max: int = 3, max_bins: int = 4096,
         return pd.DataFrame(rows, columns=[*g, "n_components", "component", "weight", "mean",
                                            "variance", "bic"])
 
-    return comp.groupBy(*[_q(c) for c in g]).applyInPandas(fit, out_schema)
+    return materialize(comp.groupBy(*[_q(c) for c in g]).applyInPandas(fit, out_schema))
 
 
 def gmm_components(df: DataFrame, cols, keys=(), **kw) -> DataFrame:

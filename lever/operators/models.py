@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions import linalg
-from lever.functions.sizing import join_per_key
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import contiguous_folds
 from lever.operators.prep import drop_null_rows, minmax_normalize
 
@@ -132,7 +132,8 @@ def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
             rows.append(out)
         return pd.DataFrame(rows, columns=out_cols)
 
-    return gram.groupBy(*[_q(c) for c in keys]).applyInPandas(solve, schema)
+    # one row per (key, fold): small, and read by scoring and importance alike
+    return materialize(gram.groupBy(*[_q(c) for c in keys]).applyInPandas(solve, schema))
 
 
 def coefficients_long(coefs: DataFrame, keys, fold_col: str, xcols, models) -> DataFrame:

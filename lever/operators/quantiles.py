@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lever.operators.ordered import ordered_scan
+from lever.operators.ordered import DEFAULT_MAX_GROUP_ROWS, choose_strategy, ordered_scan
 
 
 def _q(c):
@@ -25,12 +25,21 @@ def quantiles_long(long: DataFrame, group, value: str, probs, method: str = "exa
                    accuracy: int = 100_000, **kw) -> DataFrame:
     """Per ``group``: rows ``(group..., prob, quantile)`` of non-null ``value``.
 
-    method='exact' sorts (skew-safe ordered scan); 'approx' uses the bounded
-    ``percentile_approx`` sketch for very large groups.
+    method='exact': when the largest group fits one task, Spark's exact
+    ``percentile`` aggregate (one pass); otherwise a sort-based rank on the
+    range-partitioned ordered scan, so a huge group is never held by one task.
+    'approx' uses the bounded ``percentile_approx`` sketch.
     """
     group = list(group)
     probs = [float(p) for p in probs]
     data = long.where(_q(value).isNotNull())
+    strategy = kw.pop("strategy", "auto")
+    if method == "exact" and choose_strategy(data, group, strategy,
+                                             kw.get("max_group_rows", DEFAULT_MAX_GROUP_ROWS)) == "window":
+        agg = data.groupBy(*[_q(g) for g in group]).agg(F.percentile(_q(value), probs).alias("_qs"))
+        return agg.select(*[_q(g) for g in group], F.posexplode("_qs").alias("_i", "quantile")) \
+            .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
+            .drop("_i")
     if method == "approx":
         agg = data.groupBy(*[_q(g) for g in group]).agg(
             F.percentile_approx(_q(value), probs, accuracy).alias("_qs"))
@@ -38,7 +47,7 @@ def quantiles_long(long: DataFrame, group, value: str, probs, method: str = "exa
             .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
             .drop("_i")
     ranked = ordered_scan(data.select(*[_q(g) for g in group], _q(value)), group, [value],
-                          index="_qrn", count="_qn", **kw)
+                          index="_qrn", count="_qn", strategy="range", **kw)
     hits = []
     for i, p in enumerate(probs):
         h = (F.col("_qn") - 1) * F.lit(p)

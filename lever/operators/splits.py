@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lever.functions.sizing import join_per_key
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import quantiles_long
 
@@ -64,8 +65,11 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     # group mean for centring, joined per group (checked broadcast)
     gm = long.groupBy(*[_q(c) for c in g]).agg(F.avg("y").alias("_ybar"))
     long = join_per_key(long, gm, g).withColumn("_yc", F.col("y") - F.col("_ybar"))
+    # distinct-x summaries feed the running sums, the totals and the strategy
+    # check: persisted once (bounded by distinct values, not rows)
     per_x = long.groupBy(*[_q(c) for c in g], "x").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_yc").alias("s"), F.sum(F.col("_yc") * F.col("_yc")).alias("q"))
+        F.count(F.lit(1)).alias("n"), F.sum("_yc").alias("s"), F.sum(F.col("_yc") * F.col("_yc")).alias("q")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     scan = ordered_scan(per_x, g, ["x"], cumsum={"cn": "n", "cs": "s", "cq": "q"}, index="rn", **kw)
 
     tot = per_x.groupBy(*[_q(c) for c in g]).agg(
@@ -122,7 +126,8 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
                      F.col("n_left").cast("bigint").alias("n_left"))
     if nonneg_only:
         out = out.where(F.col("threshold") >= 0)
-    return out
+    # a few rows per group, read by every later step (segments, histograms, boxes)
+    return materialize(out)
 
 
 def split_arrays(splits: DataFrame, keys) -> DataFrame:
@@ -228,7 +233,8 @@ def segment_boxstats(df: DataFrame, keys, variables, target: str, splits: DataFr
     whiskers = most extreme values within ``whis`` * IQR of the box, outlier count."""
     keys = list(keys)
     gs = [*keys, "variable", "segment"]
-    rows = segment_rows(df, keys, variables, target, splits).select(*[_q(c) for c in gs], "label", "y")
+    rows = segment_rows(df, keys, variables, target, splits).select(*[_q(c) for c in gs], "label", "y") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     qs = quantiles_long(rows, gs, "y", [0.25, 0.5, 0.75], **kw)
     box = qs.groupBy(*[_q(c) for c in gs]).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),

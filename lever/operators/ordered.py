@@ -11,15 +11,18 @@ spread over many contiguous blocks -- runs the window inside each
 * forward fill = local last non-null, else last non-null of earlier blocks
 
 The carry comes from a per-(block, key) summary (at most blocks + keys rows)
-joined back; no row goes through the driver.  Range bounds come from Spark's
-seeded sample of the input, so recomputing a lost partition yields the same
-blocks.  The ``window`` strategy is the plain single-window plan, used when the
-largest key is known to fit one task; ``auto`` checks that with one
-column-pruned count.
+joined back; no row goes through the driver.  The blocked frame is built once
+and persisted: the window branch and the summary branch must see the same
+block ids, and two separate range exchanges may sample different bounds.  A
+lost cached partition is recomputed through the same shuffle dependency, whose
+bounds are fixed, so it gets the same blocks.  The ``window`` strategy is the
+plain single-window plan, used when the largest key is known to fit one task;
+``auto`` checks that with one column-pruned count.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +83,7 @@ def ordered_scan(df: DataFrame, keys, order, *, fill=(), cumsum=None, index: str
 
     n = _num_blocks(df, num_blocks)
     ranged = df.repartitionByRange(n, *[_q(k) for k in keys], *ordcols) \
-        .withColumn(BLK, F.spark_partition_id())
+        .withColumn(BLK, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     local_part = Window.partitionBy(_q(BLK), *[_q(k) for k in keys]).orderBy(*ordcols)
     wr = local_part.rowsBetween(Window.unboundedPreceding, 0)
     local_cols = {f"_lf_{i}": F.last(_q(c), ignorenulls=True).over(wr) for i, c in enumerate(fill)}

@@ -1,0 +1,3 @@
+from lever.streaming.buckets import bucket_stream, run_to_table
+
+__all__ = ["bucket_stream", "run_to_table"]

@@ -61,3 +61,46 @@ def fit(model, n, sx, sy, sxx, sxy, alpha):
     else:
         raise ValueError(model)
     return my - mx @ w, w
+
+
+def fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, max_iter=10000, tol=1e-12):
+    """Vectorised ``fit`` over R stacked problems.
+
+    N (R,), SX (R,p), SY (R,), SXX (R,p,p), SXY (R,p), active (R,p) bool.
+    Inactive features get coefficient NaN.  Returns (b0 (R,), W (R,p)).
+    """
+    R, p = SX.shape
+    Nn = np.where(N > 0, N, 1.0)
+    mx = SX / Nn[:, None]
+    my = SY / Nn
+    G = SXX - Nn[:, None, None] * mx[:, :, None] * mx[:, None, :]
+    c = SXY - Nn[:, None] * mx * my[:, None]
+    act = active.astype(float)
+    G = G * act[:, :, None] * act[:, None, :]
+    c = c * act
+    if kind == "ols":
+        W = np.einsum("rij,rj->ri", np.linalg.pinv(G), c)
+    elif kind == "ridge":
+        eye = np.eye(p)[None, :, :]
+        W = np.linalg.solve(G + alpha * eye + (1.0 - act)[:, :, None] * eye, c[:, :, None])[:, :, 0]
+    elif kind == "lasso":
+        W = np.zeros((R, p))
+        diag = np.einsum("rii->ri", G)
+        thr = Nn * alpha
+        for _ in range(max_iter):
+            delta = np.zeros(R)
+            for j in range(p):
+                rho = c[:, j] - np.einsum("rk,rk->r", G[:, j, :], W) + diag[:, j] * W[:, j]
+                safe = np.where(diag[:, j] > 0, diag[:, j], 1.0)
+                new = np.where(diag[:, j] > 0, np.sign(rho) * np.maximum(np.abs(rho) - thr, 0.0) / safe, 0.0)
+                delta = np.maximum(delta, np.abs(new - W[:, j]))
+                W[:, j] = new
+            if np.all(delta <= tol * np.maximum(1.0, np.abs(W).max(axis=1))):
+                break
+    else:
+        raise ValueError(kind)
+    b0 = my - np.einsum("rj,rj->r", mx, W)
+    W = np.where(active, W, np.nan)
+    b0 = np.where(N > 0, b0, np.nan)
+    W[N <= 0] = np.nan
+    return b0, W

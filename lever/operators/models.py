@@ -97,7 +97,9 @@ def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
     (name -> (solver, alpha)); wide columns ``b0__<name>``, ``w__<name>__<j>``.
 
     leave_out=True fits on every fold except the row's fold.  A feature with no
-    values for a key (dropped for it) gets a NULL coefficient.
+    values for a key (dropped for it) gets a NULL coefficient.  Each key's fold
+    statistics are packed into one row (at most one entry per fold, so bounded)
+    and many keys are solved per Arrow batch.
     """
     keys = list(keys)
     p = len(xcols)
@@ -108,32 +110,47 @@ def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
     schema = ", ".join([f"`{c}` {types[c]}" for c in [*keys, fold_col]] +
                        [f"`{c}` double" for c in out_cols[len(keys) + 1:]])
     stat_cols = [c for c in gram.columns if c not in keys and c != fold_col]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.fillna({c: 0.0 for c in stat_cols})
-        total = pdf[stat_cols].sum()
-        rows = []
-        for _, r in pdf.iterrows():
-            st = (total - r[stat_cols]) if leave_out else r[stat_cols]
-            n, sx, sy, sxx, sxy, cnt = _stats(st, p)
-            active = np.where(cnt > 0)[0]
-            out = {c: r[c] for c in [*keys, fold_col]}
+    packed = gram.groupBy(*[_q(c) for c in keys]).agg(
+        F.collect_list(F.struct(_q(fold_col), *[F.coalesce(_q(c), F.lit(0.0)).alias(c) for c in stat_cols]))
+        .alias("_folds"))
+
+    pos = {c: i for i, c in enumerate(stat_cols)}
+    ix_sx = [pos[f"sx_{j}"] for j in range(p)]
+    ix_sxy = [pos[f"sxy_{j}"] for j in range(p)]
+    ix_cnt = [pos[f"cnt_{j}"] for j in range(p)]
+
+    def solve_batch(it):
+        for pdf in it:
+            lists = list(pdf["_folds"])
+            recs = [f for folds in lists for f in folds]
+            if not recs:
+                continue
+            cols = [fold_col, *stat_cols]
+            flat = pd.DataFrame(recs)[cols] if isinstance(recs[0], dict) else pd.DataFrame(recs, columns=cols)
+            owner = np.repeat(np.arange(len(pdf)), [len(f) for f in lists])
+            stats = flat[stat_cols].to_numpy(float)
+            tot = np.zeros((len(pdf), len(stat_cols)))
+            np.add.at(tot, owner, stats)
+            st = tot[owner] - stats if leave_out else stats
+            N, SY = st[:, pos["n"]], st[:, pos["sy"]]
+            SX, SXY, CNT = st[:, ix_sx], st[:, ix_sxy], st[:, ix_cnt]
+            SXX = np.zeros((len(st), p, p))
+            for a in range(p):
+                for b in range(a, p):
+                    SXX[:, a, b] = SXX[:, b, a] = st[:, pos[f"sxx_{a}_{b}"]]
+            active = (tot[owner][:, ix_cnt] > 0) & (CNT >= 0)
+            out = pdf[keys].iloc[owner].reset_index(drop=True)
+            out[fold_col] = flat[fold_col].to_numpy().astype("int64")
             for m in names:
                 kind, alpha = models[m]
-                w_full = np.full(p, np.nan)
-                b0 = np.nan
-                if n > 0:
-                    idx = np.ix_(active, active)
-                    b0, w = linalg.fit(kind, n, sx[active], sy, sxx[idx], sxy[active], alpha)
-                    w_full[active] = w
-                out[f"b0__{m}"] = float(b0)
+                b0, W = linalg.fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha)
+                out[f"b0__{m}"] = b0
                 for j in range(p):
-                    out[f"w__{m}__{j}"] = float(w_full[j])
-            rows.append(out)
-        return pd.DataFrame(rows, columns=out_cols)
+                    out[f"w__{m}__{j}"] = W[:, j]
+            yield out[out_cols]
 
     # one row per (key, fold): small, and read by scoring and importance alike
-    return materialize(gram.groupBy(*[_q(c) for c in keys]).applyInPandas(solve, schema))
+    return materialize(packed.mapInPandas(solve_batch, schema))
 
 
 def coefficients_long(coefs: DataFrame, keys, fold_col: str, xcols, models) -> DataFrame:

@@ -64,3 +64,62 @@ def fit_gmm_1d(n, s, ss, k, reg_covar=1e-6, max_iter=100, tol=1e-3):
 
 def bic(ll_total, k, n):
     return -2.0 * ll_total + (3 * k - 1) * np.log(n)
+
+
+def fit_gmm_1d_batch(n, s, ss, k, reg_covar=1e-6, max_iter=100, tol=1e-3, init_iters=20):
+    """``fit_gmm_1d`` for G groups at once; bins padded with n = 0.
+
+    n, s, ss: (G, B).  Returns weights, means, variances (G, k) and total log
+    likelihood (G,).  Each group stops updating once its mean log likelihood
+    changes by less than ``tol``.
+    """
+    n = np.asarray(n, float)
+    s = np.asarray(s, float)
+    ss = np.asarray(ss, float)
+    Gn, B = n.shape
+    N = n.sum(1)
+    valid = n > 0
+    m = np.where(valid, s / np.where(valid, n, 1.0), 0.0)
+    # quantile start, then a few weighted Lloyd steps (deterministic)
+    order = np.argsort(np.where(valid, m, np.inf), axis=1)
+    ms = np.take_along_axis(m, order, 1)
+    cw = np.cumsum(np.take_along_axis(n, order, 1), 1) / N[:, None]
+    centers = np.stack([ms[np.arange(Gn), np.minimum((cw < (i + 0.5) / k).sum(1), B - 1)]
+                        for i in range(k)], 1)
+    for _ in range(init_iters):
+        lab = np.argmin(np.abs(m[:, :, None] - centers[:, None, :]), 2)
+        oh = (lab[:, :, None] == np.arange(k)[None, None, :]) * n[:, :, None]
+        wsum = oh.sum(1)
+        centers = np.where(wsum > 0, (oh * m[:, :, None]).sum(1) / np.where(wsum > 0, wsum, 1.0), centers)
+    lab = np.argmin(np.abs(m[:, :, None] - centers[:, None, :]), 2)
+    resp = (lab[:, :, None] == np.arange(k)[None, None, :]).astype(float)
+    prev = np.full(Gn, -np.inf)
+    done = np.zeros(Gn, bool)
+    wt = mu = var = None
+    ll = np.zeros(Gn)
+    eps10 = 10 * np.finfo(float).eps
+    for _ in range(max_iter + 1):
+        nk = (resp * n[:, :, None]).sum(1) + eps10
+        mu_new = (resp * s[:, :, None]).sum(1) / nk
+        dev = ss[:, :, None] - 2 * mu_new[:, None, :] * s[:, :, None] + n[:, :, None] * mu_new[:, None, :] ** 2
+        var_new = np.maximum((resp * dev).sum(1) / nk + reg_covar, reg_covar)
+        wt_new = nk / N[:, None]
+        if wt is None:
+            wt, mu, var = wt_new, mu_new, var_new
+        else:
+            keep = done[:, None]
+            wt, mu, var = np.where(keep, wt, wt_new), np.where(keep, mu, mu_new), np.where(keep, var, var_new)
+        dev = ss[:, :, None] - 2 * mu[:, None, :] * s[:, :, None] + n[:, :, None] * mu[:, None, :] ** 2
+        logp = (-0.5 * (LOG_2PI + np.log(var))[:, None, :]
+                - 0.5 * dev / (var[:, None, :] * np.where(valid, n, 1.0)[:, :, None]) + np.log(wt)[:, None, :])
+        mx = logp.max(2, keepdims=True)
+        lse = mx[:, :, 0] + np.log(np.exp(logp - mx).sum(2))
+        resp_new = np.exp(logp - lse[:, :, None])
+        ll_new = (np.where(valid, n * lse, 0.0)).sum(1)
+        resp = np.where(done[:, None, None], resp, resp_new)
+        ll = np.where(done, ll, ll_new)
+        done = done | (np.abs(ll / N - prev / N) < tol)
+        prev = ll
+        if done.all():
+            break
+    return wt, mu, var, ll

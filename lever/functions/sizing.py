@@ -59,3 +59,10 @@ def materialize(df: DataFrame) -> DataFrame:
         out.count()
         return out
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Persist an operator's input that is read by several branches or jobs
+    (aggregate + join back, strategy check + scan, fit + score), so its upstream
+    plan runs once.  Memory and disk: spills instead of failing."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

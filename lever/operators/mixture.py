@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lever.functions.em1d import bic, fit_gmm_1d
-from lever.functions.sizing import join_per_key, materialize
+from lever.functions.em1d import bic, fit_gmm_1d_batch
+from lever.functions.sizing import join_per_key, materialize, reuse
 from lever.operators.quantiles import unpivot
 
 REG_COVAR = 1e-6
@@ -45,7 +45,7 @@ def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096) -> DataFrame:
     """(keys, variable, bin, n, s, ss, lo, hi) with at most ``max_bins`` bins per group."""
     keys = list(keys)
     g = [*keys, "variable"]
-    long = unpivot(df, keys, cols, "variable", "x").where(F.col("x").isNotNull())
+    long = reuse(unpivot(df, keys, cols, "variable", "x").where(F.col("x").isNotNull()))
     rng = long.groupBy(*[_q(c) for c in g]).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     j = join_per_key(long, rng, g)
     b = F.when(F.col("hi") > F.col("lo"),
@@ -71,31 +71,50 @@ def gmm_fit(df: DataFrame, cols, keys=(), k_max: int = 3, max_bins: int = 4096,
         "n_components int", "component int", "weight double", "mean double", "variance double",
         "bic double"])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {c: pdf[c].iloc[0] for c in g}
-        n, s, ss = pdf["n"].to_numpy(), pdf["s"].to_numpy(), pdf["ss"].to_numpy()
-        N = n.sum()
-        if pdf["lo"].iloc[0] == pdf["hi"].iloc[0] or len(pdf) == 1:
-            mu = s.sum() / N
-            best = (1, np.array([1.0]), np.array([mu]), np.array([reg_covar]), np.nan)
-        else:
-            best = None
+    packed = comp.groupBy(*[_q(c) for c in g]).agg(
+        F.collect_list(F.struct("n", "s", "ss")).alias("_bins"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def fit_batch(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            bins = [list(b) for b in pdf["_bins"]]
+            G, B = len(bins), max(len(b) for b in bins)
+            n = np.zeros((G, B))
+            s = np.zeros((G, B))
+            ss = np.zeros((G, B))
+            for r, b in enumerate(bins):
+                arr = np.array([[e["n"], e["s"], e["ss"]] if isinstance(e, dict) else list(e) for e in b], float)
+                n[r, :len(b)], s[r, :len(b)], ss[r, :len(b)] = arr[:, 0], arr[:, 1], arr[:, 2]
+            N = n.sum(1)
+            single = (pdf["lo"].to_numpy() == pdf["hi"].to_numpy()) | (np.array([len(b) for b in bins]) == 1)
+            nbins = np.array([len(b) for b in bins])
+            best_k = np.ones(G, int)
+            best_bic = np.full(G, np.inf)
+            fits = {}
             for k in range(1, k_max + 1):
-                if k > len(pdf):
-                    break
-                wt, mu, var, ll = fit_gmm_1d(n, s, ss, k, reg_covar)
+                wt, mu, var, ll = fit_gmm_1d_batch(n, s, ss, k, reg_covar)
+                fits[k] = (wt, mu, var)
                 b = bic(ll, k, N)
-                if best is None or b < best[4]:
-                    best = (k, wt, mu, var, b)
-        k, wt, mu, var, b = best
-        order = np.argsort(mu)
-        rows = [{**head, "n_components": int(k), "component": int(i), "weight": float(wt[j]),
-                 "mean": float(mu[j]), "variance": float(var[j]), "bic": float(b)}
-                for i, j in enumerate(order)]
-        return pd.DataFrame(rows, columns=[*g, "n_components", "component", "weight", "mean",
-                                           "variance", "bic"])
-
-    return materialize(comp.groupBy(*[_q(c) for c in g]).applyInPandas(fit, out_schema))
+                better = (b < best_bic) & (k <= nbins) & ~single
+                best_bic = np.where(better | ((k == 1) & ~single), np.where(better, b, best_bic), best_bic)
+                best_k = np.where(better, k, best_k)
+            rows = []
+            heads = pdf[g].to_dict("records")
+            for r in range(G):
+                k = int(best_k[r])
+                if single[r]:
+                    wt_r, mu_r, var_r, b_r = np.array([1.0]), np.array([s[r].sum() / N[r]]), np.array([reg_covar]), np.nan
+                else:
+                    wt_r, mu_r, var_r = (fits[k][0][r], fits[k][1][r], fits[k][2][r])
+                    b_r = float(best_bic[r])
+                order = np.argsort(mu_r)
+                for i, j in enumerate(order):
+                    rows.append({**heads[r], "n_components": k, "component": i, "weight": float(wt_r[j]),
+                                 "mean": float(mu_r[j]), "variance": float(var_r[j]), "bic": b_r})
+            yield pd.DataFrame(rows, columns=[*g, "n_components", "component", "weight", "mean", "variance", "bic"])
+
+    return materialize(packed.mapInPandas(fit_batch, out_schema))
 
 
 def gmm_components(df: DataFrame, cols, keys=(), **kw) -> DataFrame:

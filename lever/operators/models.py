@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions import linalg
-from lever.functions.sizing import join_per_key, materialize
+from lever.functions.sizing import join_per_key, materialize, reuse
 from lever.operators.ordered import contiguous_folds
 from lever.operators.prep import drop_null_rows, minmax_normalize
 
@@ -168,7 +168,7 @@ def _prepare(df, keys, order, variables, target):
     keys = list(keys)
     cols = [*keys, *order, *variables, target]
     data = df.select(*[_q(c) for c in dict.fromkeys(cols)])
-    return drop_null_rows(data, [*variables, target], keys)
+    return reuse(drop_null_rows(data, [*variables, target], keys))
 
 
 def linear_fold_coefficients(df: DataFrame, keys, order, variables, target: str, models=None,
@@ -181,7 +181,7 @@ def linear_fold_coefficients(df: DataFrame, keys, order, variables, target: str,
     data = _prepare(df, keys, order, variables, target)
     if normalize:
         data = minmax_normalize(data, keys, [*variables, target])
-    data = data.where(_q(target).isNotNull())
+    data = reuse(data.where(_q(target).isNotNull()))
     folded = contiguous_folds(data, keys, order, k, name="fold", **kw)
     gram = fold_gram(folded, keys, "fold", variables, target)
     coefs = solve_folds(gram, keys, "fold", variables, models, leave_out=True)
@@ -308,7 +308,7 @@ def cv_scores(df: DataFrame, keys, variables, target: str, models=None, k: int =
     data = df.select(*[_q(c) for c in dict.fromkeys([*keys, *variables, target, *( [hash_col] if hash_col else []), *(hash_cols or [])])])
     data = drop_null_rows(data, [*variables, target], keys)
     data = holdout_split(data, hash_col, hash_cols, share).where("in_train").drop("in_train")
-    data = shuffled_folds(data, k, hash_col, hash_cols, name="fold")
+    data = reuse(shuffled_folds(data, k, hash_col, hash_cols, name="fold"))
     out = None
     if linear:
         gram = fold_gram(data, keys, "fold", variables, target)

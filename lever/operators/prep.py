@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
-from lever.functions.sizing import join_per_key
+from lever.functions.sizing import join_per_key, reuse
 from lever.operators.ordered import forward_fill as _ffill
 from lever.operators.quantiles import quantiles_long, unpivot
 from lever.schema import SeriesSchema
@@ -232,7 +232,7 @@ def quantile_trim(df: DataFrame, keys=(), cols=(), lower: float = 0.05, upper: f
     """Drop rows with a NULL, then keep a row only if every column lies in
     its own [q_lower, q_upper]; all bounds come from the same (null-free) data."""
     keys, cols = list(keys), list(cols)
-    clean = df.dropna(how="any", subset=cols)
+    clean = reuse(df.dropna(how="any", subset=cols))
     qs = quantiles_long(unpivot(clean, keys, cols), [*keys, "column"], "value", [lower, upper],
                         method=method, **kw)
     wide = qs.groupBy(*[_q(k) for k in keys]).agg(

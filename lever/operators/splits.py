@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lever.functions.sizing import join_per_key, materialize
+from lever.functions.sizing import join_per_key, materialize, reuse
 from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import quantiles_long
 
@@ -61,7 +61,7 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     """
     keys = list(keys)
     g = [*keys, "variable"]
-    long = xy_long(df, keys, variables, target)
+    long = reuse(xy_long(df, keys, variables, target))
     # group mean for centring, joined per group (checked broadcast)
     gm = long.groupBy(*[_q(c) for c in g]).agg(F.avg("y").alias("_ybar"))
     long = join_per_key(long, gm, g).withColumn("_yc", F.col("y") - F.col("_ybar"))
@@ -166,7 +166,7 @@ def segment_rows(df: DataFrame, keys, variables, target: str, splits: DataFrame,
     j = j.withColumn("segment", seg)
     lo = F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int")))
     hi = F.when(F.col("segment") < m, F.element_at("splits", (F.col("segment") + 1).cast("int")))
-    j = j.withColumns({"seg_lo": lo, "seg_hi": hi})
+    j = reuse(j.withColumns({"seg_lo": lo, "seg_hi": hi}))
     return _with_share(j, keys, outlier_share)
 
 

@@ -19,6 +19,7 @@ from lever.operators import mixture as G
 from lever.operators.ordered import contiguous_folds, with_row_index
 from lever.plans import jobs as E
 from lever.plans import sqlgen as S
+from lever.session import tune_session
 from lever.sources import catalog as C
 from lever.sources.fixtures import (F1_KEYED_SCHEMA, F1_SCHEMA, F2_FEATURES, F2_SCHEMA, events_series,
                                     lineitem_series)
@@ -33,7 +34,12 @@ F2_NONKEY = [c for c in S.F2_COLS if c != "machine"]
 
 def query(name, sql=None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark, sf_dir, _fn=fn):
+            tune_session(spark)
+            return _fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

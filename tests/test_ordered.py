@@ -63,3 +63,22 @@ def test_contiguous_folds_match_unshuffled_kfold(spark, n):
     out = contiguous_folds(df, [], ["t"], 10, strategy="range", num_blocks=3).orderBy("t").toPandas()
     expect = np.concatenate([np.full(len(c), i) for i, c in enumerate(np.array_split(np.arange(n), 10))])
     assert (out.fold.to_numpy() == expect).all()
+
+
+def test_auto_switches_to_range_for_a_large_group(spark):
+    from lever.operators.ordered import choose_strategy
+    from lever.operators.quantiles import quantiles_long
+    from lever.operators.splits import tree_splits
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"k": ["hot"] * 900 + ["cold"] * 100, "x": np.round(rng.uniform(0, 10, 1000), 2)})
+    pdf["y"] = np.where(pdf.x < 4, 1.0, 3.0) + rng.normal(0, 0.1, 1000)
+    df = spark.createDataFrame(pdf)
+    assert choose_strategy(df, ["k"], "auto", max_group_rows=500) == "range"
+    assert choose_strategy(df, ["k"], "auto", max_group_rows=5000) == "window"
+    small = sorted((r.k, r.threshold) for r in tree_splits(df, ["k"], ["x"], "y", 2, max_group_rows=50).collect())
+    big = sorted((r.k, r.threshold) for r in tree_splits(df, ["k"], ["x"], "y", 2, strategy="window").collect())
+    assert small == big
+    q_range = quantiles_long(df, ["k"], "x", [0.05, 0.5, 0.99], max_group_rows=50).toPandas()
+    for k, part in pdf.groupby("k"):
+        got = q_range[q_range.k == k].sort_values("prob")["quantile"].to_numpy()
+        assert np.allclose(got, part.x.quantile([0.05, 0.5, 0.99]).to_numpy())

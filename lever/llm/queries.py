@@ -9,6 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lever.llm import op07_packing as op07
+from lever.llm import op08_decontaminate as op08
 from lever.llm import op10_repetition as op10
 from lever.llm.common import table, tuned
 
@@ -63,3 +65,35 @@ def op10_repetition(spark, sf_dir):
     found = op10.judged(op10.repetition_measures(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "covered_words", "base_failed", "kept")
+
+
+@query("op7_packing")
+def op7_packing(spark, sf_dir):
+    return op07.pack(table(spark, sf_dir, "documents"))
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS8 = r"""regexp_extract_all(translate(coalesce(text, ''), """ + _AZ + r"""),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP8_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS8} AS ws FROM documents),
+  b AS (SELECT item_id, {_WORDS8} AS ws FROM benchmark),
+  win AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM
+    (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+     FROM b WHERE len(ws) > 0)),
+  ks AS (SELECT DISTINCT k FROM win),
+  grams AS (SELECT r, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM
+    (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+  hits AS (SELECT DISTINCT r, k, i, item_id FROM grams JOIN win USING (k, g)),
+  n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+  it AS (SELECT r, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS l FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
+
+
+@query("op8_decontaminate", OP8_SQL)
+def op8_decontaminate(spark, sf_dir):
+    found = op08.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return op08.digests(found).drop("longest_match")

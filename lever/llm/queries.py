@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lever.llm import op01_order_minhash as op01
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
 from lever.llm import op10_repetition as op10
@@ -97,3 +98,8 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
 def op8_decontaminate(spark, sf_dir):
     found = op08.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return op08.digests(found).drop("longest_match")
+
+
+@query("op1_order_minhash")
+def op1_order_minhash(spark, sf_dir):
+    return op01.near_duplicates(table(spark, sf_dir, "documents"))

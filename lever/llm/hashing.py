@@ -88,3 +88,26 @@ def occurrences(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def odd_factors(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(seed)) | np.uint64(1)
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the word sequences hashes[starts[i]:ends[i]]."""
+    base = int(odd_factors(1, seed)[0])
+    n = len(hashes)
+    powers, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    powers[1:], back[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+    np.cumprod(powers, out=powers)
+    np.cumprod(back, out=back)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mixed(hashes ^ np.uint64(seed)) * powers[:-1], out=total[1:])
+    return mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def valleys(values: np.ndarray, reach: int) -> np.ndarray:
+    """Places whose value is the least of all within ``reach``, the leftmost of equal ones; none near the ends."""
+    n = len(values)
+    if n < 2 * reach + 1:
+        return np.zeros(0, np.int64)
+    left = np.lib.stride_tricks.sliding_window_view(values, reach).min(axis=1)  # left[i]: values[i:i + reach]
+    at = np.arange(reach, n - reach)
+    return at[(values[at] < left[at - reach]) & (values[at] <= left[at + 1])]

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lever.llm import op01_order_minhash as op01
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
+from lever.llm import op09_passages as op09
 from lever.llm import op10_repetition as op10
 from lever.llm.common import table, tuned
 
@@ -103,3 +104,8 @@ def op8_decontaminate(spark, sf_dir):
 @query("op1_order_minhash")
 def op1_order_minhash(spark, sf_dir):
     return op01.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_passages")
+def op9_passages(spark, sf_dir):
+    return op09.repeated_passages(table(spark, sf_dir, "documents"))

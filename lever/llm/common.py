@@ -36,7 +36,6 @@ def lower_ascii(text: bytes) -> bytes:
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Bound what one Arrow batch holds: rows may be whole documents of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lever.llm import op01_order_minhash as op01
+from lever.llm import op03_brown as op03
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
 from lever.llm import op09_passages as op09
@@ -109,3 +111,10 @@ def op1_order_minhash(spark, sf_dir):
 @query("op9_passages")
 def op9_passages(spark, sf_dir):
     return op09.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_brown_lm")
+def op3_brown_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", op03.held_out(F.col("doc_id")))
+    model = op03.train(docs.filter("NOT held_out").select(F.col("doc_id").alias("id"), "text"))
+    return op03.score(docs, model, extra=("held_out",))

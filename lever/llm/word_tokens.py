@@ -16,7 +16,7 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
         super().__init__()
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
@@ -29,20 +29,22 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(word) > self._longest:
             return self._encoded(word)
+        # a stop after a letter is a piece of its own: not kept, as its parts are
+        if len(word) > 1 and word[-1] in _ENDS and word[-2] in _LETTERS:
+            return self[word[:-1]] + self[word[-1:]]
         if len(self) >= self._most:
             self.clear()
-        # a stop after a letter is a piece of its own, and letters are lower-cased: fewer words to encode
-        if len(word) > 1 and word[-1] in _ENDS and word[-2] in _LETTERS:
-            ids = self[word[:-1]] + self[word[-1:]]
-        elif word.isalpha() and not word.islower():
-            ids = self[word.lower()]
-        else:
-            ids = self._encoded(word)
-        self[word] = ids
+        ids = self[word] = self._encoded(word)
         return ids
 
     def text(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        if not text:
+            return b""
+        # the tokenizer lower-cases anyhow; special tokens are matched before that, and letters compose with
+        # combining marks (U+0300 to U+036F) before that
+        if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split()))
 
     def count(self, text: bytes | None) -> int:
         return len(self.text(text)) >> 2

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from lever.llm import op01_order_minhash as op01
 from lever.llm import op03_brown as op03
+from lever.llm import op06_warc as op06
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
 from lever.llm import op09_passages as op09
 from lever.llm import op10_repetition as op10
-from lever.llm.common import table, tuned
+from lever.llm.common import scratch, table, tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -118,3 +119,20 @@ def op3_brown_lm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", op03.held_out(F.col("doc_id")))
     model = op03.train(docs.filter("NOT held_out").select(F.col("doc_id").alias("id"), "text"))
     return op03.score(docs, model, extra=("held_out",))
+
+
+OP6_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+  d AS (SELECT page_id, strlen(t) AS n, unhex(sha1(t)) AS h, sha1(t) AS x FROM p),
+  m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1), '' ORDER BY i)
+    FROM range(32) r(i)) AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM m"""
+
+
+@query("op6_warc", OP6_SQL)
+def op6_warc(spark, sf_dir):
+    path = scratch(spark, "archives")
+    op06.write_archives(table(spark, sf_dir, "pages"), path)
+    return op06.page_records(op06.read_archives(spark, path, with_payload=False))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lever.llm import op01_order_minhash as op01
 from lever.llm import op03_brown as op03
+from lever.llm import op05_chat as op05
 from lever.llm import op06_warc as op06
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
@@ -136,3 +137,28 @@ def op6_warc(spark, sf_dir):
     path = scratch(spark, "archives")
     op06.write_archives(table(spark, sf_dir, "pages"), path)
     return op06.page_records(op06.read_archives(spark, path, with_payload=False))
+
+
+def _escaped5(value: str) -> str:
+    for opener, rest in (("<", r"\|im_start\|>|\|im_sep\|>|\|im_end\|>|s>|/s>"), (r"\[", r"INST\]|/INST\]")):
+        value = rf"regexp_replace({value}, '({opener})(\\*)({rest})', '\1\\\2\3', 'g')"
+    return value
+
+
+OP5_SQL = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  e AS (SELECT *, length({_escaped5("role")}) + length({_escaped5("text")}) + 33 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum(n) + 7 AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+@query("op5_chat_format", OP5_SQL)
+def op5_chat_format(spark, sf_dir):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                  "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return op05.read_back(op05.format_conversations(turns))

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lever.llm import op01_order_minhash as op01
+from lever.llm import op02_token_rollup as op02
 from lever.llm import op03_brown as op03
+from lever.llm import op04_url_rules as op04
 from lever.llm import op05_chat as op05
 from lever.llm import op06_warc as op06
 from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
 from lever.llm import op09_passages as op09
 from lever.llm import op10_repetition as op10
-from lever.llm.common import scratch, table, tuned
+from lever.llm.common import scratch, table, tuned, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -162,3 +164,27 @@ def op5_chat_format(spark, sf_dir):
                                   "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return op05.read_back(op05.format_conversations(turns))
+
+
+@query("op4_url_rules")
+def op4_url_rules(spark, sf_dir):
+    return op04.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_token_rollup")
+def op2_token_rollup(spark, sf_dir):
+    """Three batches over all documents: their counts; copies of a text deleted but for the least id; word counts
+    revised to those of distinct lines where they differ.  The second is sent twice."""
+    counts = written(op02.token_counts(table(spark, sf_dir, "documents")), "counts")
+    store = op02.TokenRollup(spark, scratch(spark, "rollup"))
+    names = ["words-1", "word_bpe_49k"]
+    place = {"words-1": 0, "word_bpe_49k": 2}
+    store.commit(1, op02.events(counts, names, "insert", place=place))
+    first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = counts.join(first, "digest").filter("doc_id > first")
+    for _ in range(2):
+        store.commit(2, op02.events(copies, names, "delete", place=place))
+    revised = counts.join(first.select("digest", "first"), "digest", "left") \
+        .filter("(first IS NULL OR doc_id = first) AND counts[0] <> counts[1]")
+    store.commit(3, op02.events(revised, names, "revise", place={"words-1": 1}))
+    return store.totals()

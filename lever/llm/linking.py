@@ -1,11 +1,14 @@
 """From bucket keys to verified links to classes, for near-duplicate operators.
 
 Items that share a bucket key are candidates.  A bucket's pairs are never all
-emitted.  First every member is checked against the bucket's least member; the
-links found are closed to classes.  Then only what is left apart is checked:
-members outside a bucket's largest class against the members of other classes.
-So a group of thousands of copies costs one check a member, and no pair of a
-bucket that is still in two classes goes unchecked, however large the bucket.
+emitted; the pairs made grow with its members, not with their square.  First
+every member meets the bucket's leaders, the first members by four orders of the
+ids that hold for all buckets, so a group of thousands of near copies meets the
+same few leaders everywhere, and a bucket of two or three is checked in full.
+The links found are closed to classes.  Then, where a bucket still holds several
+classes, one member of each meets one of the next, by two other orders.  Two
+similar items share many buckets, all the smaller the less like the rest they
+are, so a pair that no bucket brings together has to be linked through others.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.llm.common import written
@@ -23,29 +26,35 @@ FILTER_BITS = 1 << 26
 _BUCKET_BITS = 32768  # of one bitmap of bitmap_construct_agg
 
 
+def _sized(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df``, known to have about ``rows`` rows, written in as few files as that takes."""
+    return written(df.coalesce(1 + rows // 500_000), name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id of ``edges`` (u, v longs): the least id of its component.
 
-    Alternates large-star and small-star steps until the edges stay the same;
+    Alternates large-star and small-star steps until every edge leads to a root;
     each step groups by node with map-side sums and writes its edges.
     """
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                     .distinct(), "edges")
-    mark = None
-    while True:
+    rows = edges.count()
+    while rows:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u <> v").distinct(), "large-star")
+        large = _sized(large.filter("u <> v").distinct(), rows, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = written(small.filter("u <> v").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        edges = _sized(small.filter("u <> v").distinct(), 2 * rows, "small-star")
+        # done when every node has one parent at most, and no parent has one
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")) \
+            .union(edges.select("v", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
-        mark = now
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
 
@@ -85,37 +94,58 @@ def checked(pairs: DataFrame, contents: DataFrame, similar: Callable[[bytes, byt
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def classes(keys: DataFrame, contents: Callable[[DataFrame], DataFrame],
-            similar: Callable[[bytes, bytes], bool], agree: int = 2) -> DataFrame:
-    """(id, root) for the ids of ``keys`` (id, key) that have a similar partner.
+#: Orders of ids: by the id with these bits turned, turned back afterwards; -1 is the falling order.
+_LEADERS, _CHAINS = (0, -1, 0x5555555555555555, 0x3333333333333333), (0x2AAAAAAAAAAAAAAA, 0x0F0F0F0F0F0F0F0F)
+
+
+def _turned(order: int):
+    return F.col("id").bitwiseXOR(F.lit(order))
+
+
+def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
+            similar: Callable[[bytes, bytes], bool], agree: int = 1) -> DataFrame:
+    """(id, root) for the ids of ``keyed`` (id, keys: distinct longs) that have a similar partner.
 
-    ``contents`` gives (id, content) for a frame of ids.  In the second round a
-    pair has to share ``agree`` keys, as similar pairs all but surely do.
+    ``contents`` gives (id, content) for a frame of ids.  Contents are compared
+    of pairs that share at least ``agree`` keys.
     """
-    keys = written(keys.distinct(), "keys")
-    buckets = keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    members = written(keys.join(buckets, "key"), "buckets")
-    star = written(members.filter("id <> least").groupBy("least", "id").count()
-                   .select(F.col("id").alias("u"), F.col("least").alias("v")), "star")
-    ids = star.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    first = written(checked(star, written(contents(ids), "contents"), similar), "links")
-    root = written(components(first), "classes")
-
-    # buckets that still hold several classes
-    large = members.filter("n > 2").select("key", "id").join(root, "id", "left") \
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-    counts = large.groupBy("key", "root").agg(F.count("*").alias("n"))
-    apart = counts.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count("*").alias("k")).filter("k > 1")
-    large = written(large.join(apart.drop("k"), "key"), "apart")
-    minor = large.filter("root <> major").select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    other = large.select("key", F.col("id").alias("b"), F.col("root").alias("rb"),
-                         (F.col("root") == F.col("major")).alias("major"))
-    pairs = minor.join(other, "key").filter("ra <> rb AND (major OR a > b)") \
-        .groupBy(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).count() \
-        .filter(F.col("count") >= agree).drop("count")
-    pairs = written(pairs.join(star, ["u", "v"], "left_anti"), "pairs")
-    if pairs.isEmpty():
-        return root
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    second = written(checked(pairs, written(contents(ids), "contents"), similar), "links")
-    return written(components(first.union(second)), "classes")
+    rows = keyed.select("id", F.explode("keys").alias("key"))
+    firsts = [F.min(_turned(o)).alias(f"l{i}") for i, o in enumerate(_LEADERS)]
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), *firsts).filter("n > 1")
+    members = written(rows.join(buckets, "key"), "buckets")
+    tested = None
+    links: list[DataFrame] = []
+    root = None
+    for step in range(2):
+        if step == 0:
+            met = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_LEADERS)])))
+            pairs = members.select("id", met.alias("other")).filter("id <> other")
+        else:
+            held = members.filter("n > 3").select("key", "id").join(root, "id", "left") \
+                .select("key", "id", F.coalesce("root", "id").alias("root"))
+            parts = held.groupBy("key", "root").agg(*[F.min(_turned(o)).alias(f"c{i}") for i, o in enumerate(_CHAINS)])
+            several = parts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+            parts = written(parts.join(several, "key"), "apart")
+            pairs = None
+            for i, order in enumerate(_CHAINS):
+                after = F.lead(f"c{i}").over(Window.partitionBy("key").orderBy(f"c{i}"))
+                found = parts.select(F.col(f"c{i}").bitwiseXOR(F.lit(order)).alias("id"),
+                                     after.bitwiseXOR(F.lit(order)).alias("other")).filter("other IS NOT NULL")
+                pairs = found if pairs is None else pairs.union(found)
+        pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["u", "v"], "left_anti")
+        pairs = tested = written(pairs, "pairs")
+        if agree > 1:
+            left, right = (keyed.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "uv")
+            both = pairs.join(left, "u").join(right, "v")
+            pairs = written(both.filter(F.size(F.array_intersect("u_keys", "v_keys")) >= agree).select("u", "v"), "likely")
+        if not pairs.isEmpty():
+            ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+            links.append(written(checked(pairs, written(contents(ids), "contents"), similar), "links"))
+        found = links[0] if links else pairs
+        for more in links[1:]:
+            found = found.union(more)
+        if step == 0 or len(links) > 1:
+            root = written(components(found), "classes")
+    return root

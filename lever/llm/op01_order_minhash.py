@@ -22,10 +22,13 @@ Rows without an id get the class of their text, if others have it.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lever.llm.common import col, normal_words, text_blocks, written
 from lever.llm.hashing import WordHashes, mixed, occurrences, odd_factors, shingles
@@ -34,7 +37,9 @@ from lever.llm.linking import classes, maybe_in
 WIDTH, THRESHOLD = 5, 0.8
 #: (fewest k-mers, most k-mers, sketches, k-mers in each); ranges overlap by the threshold, so that any two similar
 #: texts have a family in common.  At similarity 0.8 a pair agrees nowhere with probability below 1e-4.
-FAMILIES = ((1, 40, 24, 3), (32, None, 40, 6))
+FAMILIES = ((1, 40, 32, 3), (32, None, 48, 6))
+#: sketches that a pair has to agree in; at similarity 0.8 fewer than one pair in a thousand agrees in fewer
+AGREE = 4
 
 
 def sketch_keys(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -68,6 +73,17 @@ def _sketches(own: np.ndarray, count: int, ell: int, family: int) -> np.ndarray:
     return mixed((np.concatenate(picked) * order).sum(axis=1, dtype=np.uint64) + factors)
 
 
+@lru_cache(maxsize=256)
+def _kept(text: bytes) -> tuple[list, frozenset]:
+    found = kmers(normal_words(text))
+    return found, frozenset(found)
+
+
+def _kmers_of(text: bytes) -> tuple[list, frozenset]:
+    """k-mers of a text and their set; kept for a while if the text is short, as leaders come again and again."""
+    return _kept(text) if len(text) < 1 << 16 else _kept.__wrapped__(text)
+
+
 def aligned(a: list, b: list, band: int) -> int:
     """Longest common subsequence of a and b over places at most ``band`` apart, by one bit a place."""
     low, high = 0, min(len(a), len(b))
@@ -105,13 +121,16 @@ def kmers(words: list[bytes], width: int = WIDTH) -> list[bytes]:
 
 def similar(a: bytes, b: bytes, threshold: float = THRESHOLD) -> bool:
     """Are the texts similar by banded alignment of their k-mers?"""
-    x, y = kmers(normal_words(a)), kmers(normal_words(b))
+    (x, xs), (y, ys) = _kmers_of(a), _kmers_of(b)
     if not x or not y:
         return a == b
     n, m = len(x), len(y)
-    if min(n, m) < threshold * max(n, m):
-        return False
     need = threshold * (n + m) / (1 + threshold)
+    if min(n, m) < need - 1e-9:
+        return False
+    shared = len(xs & ys)  # k-mers of one text only cannot be aligned
+    if min(n - len(xs) + shared, m - len(ys) + shared) < need - 1e-9:
+        return False
     common = aligned(x, y, int(n + m - 2 * need) + 1)
     return common >= threshold * (n + m - common) - 1e-9
 
@@ -122,20 +141,25 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     texts = texts.withColumn("digest", F.unhex(F.md5("text")))
 
+    id_type = to_arrow_schema(texts.schema).field("id").type
+
     def sketch(batches):
-        for digests, block in text_blocks(batches, "digest", "text"):
-            keys = sketch_keys(block)
-            ends = np.cumsum([0] + [len(k) for k in keys], dtype=np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                names=["digest", "keys"])
-
-    groups = written(texts.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"))
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            for ids, block in text_blocks([batch], "id", "text"):
+                keys = sketch_keys(block)
+                ends = np.cumsum([0] + [len(k) for k in keys], dtype=np.int32)
+                flat = np.concatenate(keys)
+                own, digests = digests[:len(ids)], digests[len(ids):]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, id_type), pa.array(own, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "digest", "keys"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    sketched = texts.mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>")
+    groups = written(sketched.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"),
+                                                    F.first("keys").alias("keys"))
                      .withColumn("node", F.monotonically_increasing_id()), "texts")
-    sketched = written(texts.select("digest", "text").mapInArrow(sketch, "digest binary, keys array<bigint>"), "sketches")
-    keys = sketched.join(groups.select("digest", "node"), "digest") \
-        .select(F.col("node").alias("id"), F.explode("keys").alias("key"))
 
     def contents(ids: DataFrame) -> DataFrame:
         wanted = written(groups.join(ids, groups["node"] == ids["id"]).select("digest", "node"), "wanted")
@@ -143,7 +167,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return rows.join(wanted, "digest").groupBy("node").agg(F.first("text").alias("content")) \
             .select(F.col("node").alias("id"), "content")
 
-    root = classes(keys, contents, similar)
+    root = classes(groups.select(F.col("node").alias("id"), "keys"), contents, similar, AGREE)
     groups = groups.join(root, groups["node"] == root["id"], "left") \
         .select("digest", "first_id", "n_rows", F.coalesce("root", "node").alias("root"))
     first = groups.groupBy("root").agg(F.min_by(F.struct(F.col("first_id").alias("keep_id"),

@@ -171,10 +171,8 @@ def _members(source: DataFrame, how: Passages) -> DataFrame:
 
     # similar paragraphs
     banded = found.filter("size(keys) > 0")
-    nodes = written(banded.groupBy("h1", "h2").agg(F.count("*").alias("rows"))
+    nodes = written(banded.groupBy("h1", "h2").agg(F.first("keys").alias("keys"))
                     .withColumn("node", F.monotonically_increasing_id()), "paragraphs")
-    keys = banded.select("h1", "h2", F.explode("keys").alias("key")).join(nodes.drop("rows"), ["h1", "h2"]) \
-        .select(F.col("node").alias("id"), "key")
 
     def contents(ids: DataFrame) -> DataFrame:
         wanted = written(nodes.join(ids, nodes["node"] == ids["id"]).select("h1", "h2", "node"), "wanted")
@@ -185,7 +183,7 @@ def _members(source: DataFrame, how: Passages) -> DataFrame:
         return rows.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("content").alias("content")) \
             .select(F.col("node").alias("id"), "content")
 
-    root = classes(keys, contents, similar)
+    root = classes(nodes.select(F.col("node").alias("id"), "keys"), contents, similar)
     linked = written(nodes.join(root, nodes["node"] == root["id"]).select("h1", "h2", "root"), "linked")
     maybe, _ = maybe_in(banded.drop("keys"), "h1", linked.select("h1"))
     alike = maybe.join(linked, ["h1", "h2"]) \

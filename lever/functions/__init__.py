@@ -1,4 +1,4 @@
-from lever.functions.columns import (nan_to_null, safe_div, fmt2, fold_of_index,
-                                     null_safe_join_cond)
+"""Column expressions, join helpers and small solvers used by the operators."""
+from lever.functions.columns import fold_of_index, join_on, nan_to_null
 
-__all__ = ["nan_to_null", "safe_div", "fmt2", "fold_of_index", "null_safe_join_cond"]
+__all__ = ["fold_of_index", "join_on", "nan_to_null"]

@@ -24,16 +24,6 @@ def nan_to_null(df: DataFrame, cols=None) -> DataFrame:
     return df.select(*out)
 
 
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den, NULL when den is 0 or NULL (ANSI-safe)."""
-    return F.when(den != 0, num / den)
-
-
-def fmt2(x: Column) -> Column:
-    """Two-decimal display text of a threshold (labels only; values stay doubles)."""
-    return F.format_string("%.2f", x)
-
-
 def fold_of_index(rn: Column, n: Column, k: int) -> Column:
     """0-based contiguous fold of 0-based row ``rn`` among ``n`` rows, ``k`` folds.
 
@@ -47,9 +37,13 @@ def fold_of_index(rn: Column, n: Column, k: int) -> Column:
             .otherwise(r + F.floor((rn - big) / F.greatest(q, F.lit(1))))).cast("bigint")
 
 
-def null_safe_join_cond(left: DataFrame, right: DataFrame, cols) -> Column | None:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
+def join_on(left: DataFrame, right: DataFrame, cols, how: str = "inner") -> DataFrame:
+    """Join on equal ``cols``, NULL equal to NULL: a row without a key is a group
+    like any other.  The left side's columns are kept."""
+    cols = list(cols)
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_on_{i}") for i, c in enumerate(cols)],
+                           *[F.col(f"`{c}`") for c in right.columns if c not in cols])
+    cond = F.lit(True)
+    for i, c in enumerate(cols):
+        cond = cond & left[f"`{c}`"].eqNullSafe(renamed[f"_on_{i}"])
+    return left.join(renamed, cond, how).drop(*[f"_on_{i}" for i in range(len(cols))])

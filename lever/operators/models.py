@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions import linalg
+from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize, reuse
 from lever.operators.ordered import contiguous_folds
 from lever.operators.prep import drop_null_rows, minmax_normalize
@@ -52,8 +53,8 @@ def holdout_split(df: DataFrame, hash_col: str | None = None, cols=None, share:
     ``hash_col`` names a precomputed hash; otherwise ``xxhash64(cols, seed)``.
     Unlike ``randomSplit`` the flag does not depend on partitioning.
     """
-    h = _q(hash_col) if hash_col else F.pmod(F.xxhash64(F.lit(seed), *[_q(c) for c in cols]), F.lit(1000))
-    return df.withColumn(name, (h % 1000) < F.lit(int(round(share * 1000))))
+    h = _q(hash_col) if hash_col else F.xxhash64(F.lit(seed), *[_q(c) for c in cols])
+    return df.withColumn(name, F.pmod(h, F.lit(1000)) < F.lit(int(round(share * 1000))))
 
 
 def shuffled_folds(df: DataFrame, k: int = 5, hash_col: str | None = None, cols=None, seed: int = 7,
@@ -78,19 +79,6 @@ def fold_gram(df: DataFrame, keys, fold_col: str, xcols, y: str) -> DataFrame:
     return df.where(yy.isNotNull()).groupBy(*[_q(c) for c in keys], _q(fold_col)).agg(*aggs)
 
 
-def _stats(row_or_sum, p):
-    n = float(row_or_sum["n"])
-    sx = np.array([row_or_sum[f"sx_{j}"] for j in range(p)], float)
-    sy = float(row_or_sum["sy"])
-    sxy = np.array([row_or_sum[f"sxy_{j}"] for j in range(p)], float)
-    sxx = np.zeros((p, p))
-    for j in range(p):
-        for k in range(j, p):
-            sxx[j, k] = sxx[k, j] = row_or_sum[f"sxx_{j}_{k}"]
-    cnt = np.array([row_or_sum[f"cnt_{j}"] for j in range(p)], float)
-    return n, sx, sy, sxx, sxy, cnt
-
-
 def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
                 leave_out: bool = True) -> DataFrame:
     """Coefficients per (keys, fold) for every model in ``models``
@@ -379,12 +367,12 @@ def dispatch_importance(df: DataFrame, keys, order, variables, target: str, sele
     """M9: per key, the importance table of that key's selected model."""
     keys = list(keys)
     lin = linear_importance_all(df, keys, order, variables, target, IMPORTANCE_MODELS, k, **kw)
-    out = lin.join(selected.select(*[_q(c) for c in keys], "model"), [*keys, "model"]) if keys else \
-        lin.join(selected.select("model"), ["model"])
+    selected = materialize(selected.select(*[_q(c) for c in keys], "model"))  # read three times below
+    out = join_on(lin, selected, [*keys, "model"])
     needs_forest = selected.where(F.col("model") == "RandomForestRegressor")
     if needs_forest.limit(1).count():
         fkeys = needs_forest.select(*[_q(c) for c in keys])
-        sub = df.join(fkeys, keys, "left_semi") if keys else df
+        sub = join_on(df, fkeys, keys, "left_semi") if keys else df
         fr = forest_importance(sub, keys, order, variables, target, k, **(forest_kw or {}))
         out = out.unionByName(fr.withColumn("model", F.lit("RandomForestRegressor")))
     return out

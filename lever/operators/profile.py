@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, reuse
 from lever.operators.ordered import ordered_scan, rolling_mean
 from lever.operators.quantiles import unpivot
@@ -55,7 +56,7 @@ def histogram_long(long: DataFrame, group, x: str = "value", bins: int = 100) ->
     grid = grid.select(*[_q(g) for g in group], F.col("bin").cast("bigint").alias("bin"), "n_total",
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin"), bins).alias("bin_lo"),
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin") + 1, bins).alias("bin_hi"))
-    out = grid.join(counts, [*group, "bin"], "left")
+    out = join_on(grid, counts, [*group, "bin"], "left")
     return out.select(*[_q(g) for g in group], "bin", "bin_lo", "bin_hi",
                       F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n"),
                       F.col("n_total").cast("bigint").alias("n_total"))
@@ -77,7 +78,7 @@ def histogram_with_splits(df: DataFrame, cols, splits: DataFrame, keys=(), bins:
     h = histogram(df, cols, keys, bins)
     arr = splits.groupBy(*[_q(k) for k in keys], "variable").agg(
         F.collect_list("threshold").alias("_splits"))
-    j = h.join(arr, [*keys, "variable"], "left")
+    j = join_on(h, arr, [*keys, "variable"], "left")
     last = F.col("bin") == bins - 1
     mark = F.exists(F.coalesce(F.col("_splits"), F.array().cast("array<double>")),
                     lambda s: (s >= F.col("bin_lo")) & ((s < F.col("bin_hi")) | (last & (s <= F.col("bin_hi")))))
@@ -106,10 +107,10 @@ def histogram_peaks(df: DataFrame, cols, keys=(), bins: int = 10, min_share: flo
     peaks = runs.where((F.col("_s") >= 1) & (F.col("_e") <= bins - 2)
                        & (F.col("_prev") < F.col("_h")) & (F.col("_next") < F.col("_h")))
     peaks = peaks.withColumn("bin", F.floor((F.col("_s") + F.col("_e")) / 2).cast("bigint"))
-    peaks = peaks.join(n_tot, group)
+    peaks = join_on(peaks, n_tot, group)
     peaks = peaks.where((F.col("_h") >= F.col("_N") * F.lit(min_share)) & (F.col("_h") <= F.col("_N")))
     edges = h.select(*[_q(g) for g in group], "bin", F.col("bin_hi").alias("peak"))
-    return peaks.select(*[_q(g) for g in group], "bin").join(edges, [*group, "bin"])
+    return join_on(peaks.select(*[_q(g) for g in group], "bin"), edges, [*group, "bin"])
 
 
 def rolling_mean_48(df: DataFrame, keys, order, col: str, size: int = 48, **kw) -> DataFrame:

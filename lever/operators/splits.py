@@ -20,12 +20,11 @@ A node is split only when it has at least ``ceil(min_samples_split * N)`` and
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize, reuse
 from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import quantiles_long
@@ -75,7 +74,7 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     tot = per_x.groupBy(*[_q(c) for c in g]).agg(
         F.sum("n").alias("nt"), F.sum("s").alias("st"), F.sum("q").alias("qt"), F.count(F.lit(1)).alias("n_x"))
     if isinstance(depth, DataFrame):
-        tot = tot.join(depth.select(*[_q(c) for c in g], F.col("depth").cast("int").alias("depth")), g, "left")
+        tot = join_on(tot, depth.select(*[_q(c) for c in g], F.col("depth").cast("int").alias("depth")), g, "left")
         tot = tot.withColumn("depth", F.coalesce("depth", F.lit(2)))
     else:
         tot = tot.withColumn("depth", F.lit(int(depth)))
@@ -102,7 +101,7 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     # depth 2: children of the root, from the same running sums
     r2 = root.select(*[_q(c) for c in g], F.col("rn").alias("_rrn"), F.col("cn").alias("_rn_"),
                      F.col("cs").alias("_rs"), F.col("cq").alias("_rq"))
-    s2 = s.where(F.col("depth") >= 2).join(r2, g)
+    s2 = join_on(s.where(F.col("depth") >= 2), r2, g)
     left = s2.where((F.col("rn") < F.col("_rrn")) & splittable(F.col("_rn_"), F.col("_rs"), F.col("_rq")))
     left = left.withColumn("_g", _gain(F.col("cn"), F.col("cs"), F.col("_rn_"), F.col("_rs")))
     rn_node, rs_node, rq_node = F.col("nt") - F.col("_rn_"), F.col("st") - F.col("_rs"), F.col("qt") - F.col("_rq")
@@ -119,7 +118,7 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     nodes = root.unionByName(bl).unionByName(br)
     # threshold = midpoint to the next distinct x (row rn + 1)
     nxt = scan.select(*[_q(c) for c in g], (F.col("rn") - 1).alias("rn"), F.col("x").alias("_x_next"))
-    out = nodes.join(nxt, [*g, "rn"])
+    out = join_on(nodes, nxt, [*g, "rn"])
     thr = F.col("x") / 2.0 + F.col("_x_next") / 2.0
     thr = F.when((thr == F.col("_x_next")), F.col("x")).otherwise(thr)
     out = out.select(*[_q(c) for c in g], "node", thr.alias("threshold"), F.col("gain").alias("gain"),
@@ -182,9 +181,9 @@ def _with_share(j: DataFrame, keys, outlier_share):
     g = [*keys, "variable"]
     counts = j.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("_sn"))
     totals = counts.groupBy(*[_q(c) for c in g]).agg(F.sum("_sn").alias("_tn"))
-    shares = counts.join(totals, g).select(*[_q(c) for c in g], "segment",
+    shares = join_on(counts, totals, g).select(*[_q(c) for c in g], "segment",
                                            (F.col("_sn") / F.col("_tn")).alias("share"))
-    j = j.join(shares, [*g, "segment"])
+    j = join_on(j, shares, [*g, "segment"])
     out = j.withColumn("is_outlier", (F.size("splits") >= 2) & (F.col("share") < F.lit(outlier_share)))
     out = out.withColumn("label", _label(F.col("seg_lo"), F.col("seg_hi"), F.size("splits"), F.col("is_outlier")))
     return out.select(*[_q(k) for k in keys], "variable", "x", "y", "segment", "seg_lo", "seg_hi", "label",
@@ -204,9 +203,13 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
     if exact_scale is None:
         mean = F.avg("y")
     else:
-        units = F.sum(F.round(F.col("y") * F.lit(10.0 ** exact_scale)).cast("bigint"))
-        cnt = F.count("y")
-        q = F.when(cnt > 0, F.floor((F.lit(2) * units + cnt).cast("decimal(38,0)") / (F.lit(2) * cnt)))
+        # units of 10^-scale as decimals: a bigint sum would overflow from about 1e13 units a row on.  The
+        # quotient and rest of whole numbers round half up without dividing decimals
+        units = F.sum(F.round(F.col("y") * F.lit(10.0 ** exact_scale)).cast("decimal(28,0)"))
+        cnt = F.count("y").cast("decimal(20,0)")
+        rest = F.pmod(units, cnt)
+        low = ((units - rest) / cnt).cast("decimal(38,0)")
+        q = F.when(cnt > 0, low + F.when(2 * rest >= cnt, 1).otherwise(0))
         mean = q.cast("double") / F.lit(10.0 ** exact_scale)
     agg = rows.groupBy(*[_q(c) for c in g], "segment").agg(
         F.count(F.lit(1)).alias("n"), mean.alias("mean_target"), F.max("label").alias("_label"),
@@ -219,7 +222,7 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
     cats = cats.withColumns({
         "seg_lo": F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int"))),
         "seg_hi": F.when(F.col("segment") < m, F.element_at("splits", (F.col("segment") + 1).cast("int")))})
-    out = cats.join(agg, [*g, "segment"], "left")
+    out = join_on(cats, agg, [*g, "segment"], "left")
     empty_label = _label(F.col("seg_lo"), F.col("seg_hi"), m, (m >= 2))
     return out.select(*[_q(c) for c in g], "segment", "seg_lo", "seg_hi",
                       F.coalesce(F.col("_label"), empty_label).alias("label"),
@@ -258,7 +261,3 @@ def depth_from_count(counts: DataFrame, keys, count_col: str, one_means_depth1:
     keys = list(keys)
     return counts.select(*[_q(k) for k in keys], "variable",
                          F.when(F.col(count_col) == 1, 1).otherwise(2).alias("depth"))
-
-
-def min_split_rows(n: int, frac: float = 0.2) -> int:
-    return max(int(math.ceil(frac * n)), 2)

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lever.functions.columns import join_on
 from lever.operators import mixture as G
 from lever.operators import models as M
 from lever.operators import prep as P
@@ -95,7 +96,7 @@ def _summary_or_unavailable(prepared, keys, variables, target, splits, exact_sca
     summary = B.segment_summary(prepared, keys, variables, target, splits, exact_scale=exact_scale) \
         .withColumn("status", F.lit("ok"))
     present = B.xy_long(prepared, keys, variables, target).select(*keys, "variable").distinct()
-    missing = present.join(splits.select(*keys, "variable").distinct(), [*keys, "variable"], "left_anti")
+    missing = join_on(present, splits.select(*keys, "variable").distinct(), [*keys, "variable"], "left_anti")
     unavailable = missing.select(*keys, "variable", F.lit(None).cast("bigint").alias("segment"),
                                  F.lit(None).cast("double").alias("seg_lo"),
                                  F.lit(None).cast("double").alias("seg_hi"),

@@ -173,7 +173,7 @@ def segment_ctes(p, long, keys, splits, share=0.1, exact_scale=None):
     if exact_scale is None:
         mean = "avg(y)"
     else:
-        u = f"sum(CAST(round(y * 1e{exact_scale}) AS BIGINT))"
+        u = f"sum(CAST(round(y * 1e{exact_scale}) AS HUGEINT))"
         mean = f"CAST((2 * {u} + count(y)) // (2 * count(y)) AS DOUBLE) / 1e{exact_scale}"
     lab_lo = label_sql("seg_lo")
     lab_hi = label_sql("seg_hi")

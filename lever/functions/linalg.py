@@ -10,64 +10,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def centred(n, sx, sy, sxx, sxy):
-    mx = sx / n
-    my = sy / n
-    G = sxx - n * np.outer(mx, mx)
-    c = sxy - n * mx * my
-    return G, c, mx, my
-
-
-def ols(G, c):
-    """Minimum-norm least squares (handles collinear columns)."""
-    w, *_ = np.linalg.lstsq(G, c, rcond=None)
-    return w
-
-
-def ridge(G, c, alpha):
-    """argmin ||y - Xw - b||^2 + alpha ||w||^2 (alpha not scaled by n)."""
-    return np.linalg.solve(G + alpha * np.eye(len(c)), c) if len(c) else np.zeros(0)
-
-
-def lasso(G, c, n, alpha, max_iter=10000, tol=1e-12):
-    """argmin (1/2n)||y - Xw - b||^2 + alpha ||w||_1 by coordinate descent on the Gram."""
-    p = len(c)
-    w = np.zeros(p)
-    diag = np.diag(G).copy()
-    thr = n * alpha
-    for _ in range(max_iter):
-        delta = 0.0
-        for j in range(p):
-            if diag[j] <= 0:
-                continue
-            rho = c[j] - G[j] @ w + diag[j] * w[j]
-            new = np.sign(rho) * max(abs(rho) - thr, 0.0) / diag[j]
-            delta = max(delta, abs(new - w[j]))
-            w[j] = new
-        if delta <= tol * max(1.0, np.max(np.abs(w)) if p else 1.0):
-            break
-    return w
-
-
-def fit(model, n, sx, sy, sxx, sxy, alpha):
-    """Return (intercept, coefficients) of ``model`` in {'ols', 'ridge', 'lasso'}."""
-    G, c, mx, my = centred(n, sx, sy, sxx, sxy)
-    if model == "ols":
-        w = ols(G, c)
-    elif model == "ridge":
-        w = ridge(G, c, alpha)
-    elif model == "lasso":
-        w = lasso(G, c, n, alpha)
-    else:
-        raise ValueError(model)
-    return my - mx @ w, w
-
-
-def fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, max_iter=10000, tol=1e-12):
-    """Vectorised ``fit`` over R stacked problems.
+def fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, scale=None, max_iter=10000, tol=1e-12):
+    """Least squares (``ols``: minimum norm; ``ridge``: plus alpha ||w||^2; ``lasso``: (1/2n) of
+    the squares plus alpha ||w||_1, by coordinate descent) over R stacked problems.
 
     N (R,), SX (R,p), SY (R,), SXX (R,p,p), SXY (R,p), active (R,p) bool.
-    Inactive features get coefficient NaN.  Returns (b0 (R,), W (R,p)).
+    ``scale`` (R,p): the features are in units of it, while the penalties hold for the
+    original units.  Inactive features get coefficient NaN.  Returns (b0 (R,), W (R,p)).
     """
     R, p = SX.shape
     Nn = np.where(N > 0, N, 1.0)
@@ -76,23 +25,24 @@ def fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, max_iter=10000, tol=1e-1
     G = SXX - Nn[:, None, None] * mx[:, :, None] * mx[:, None, :]
     c = SXY - Nn[:, None] * mx * my[:, None]
     act = active.astype(float)
+    scale = np.ones((R, p)) if scale is None else scale
     G = G * act[:, :, None] * act[:, None, :]
     c = c * act
     if kind == "ols":
         W = np.einsum("rij,rj->ri", np.linalg.pinv(G), c)
     elif kind == "ridge":
         eye = np.eye(p)[None, :, :]
-        W = np.linalg.solve(G + alpha * eye + (1.0 - act)[:, :, None] * eye, c[:, :, None])[:, :, 0]
+        W = np.linalg.solve(G + (alpha / scale ** 2 + 1.0 - act)[:, :, None] * eye, c[:, :, None])[:, :, 0]
     elif kind == "lasso":
         W = np.zeros((R, p))
         diag = np.einsum("rii->ri", G)
-        thr = Nn * alpha
+        thr = Nn[:, None] * alpha / scale
         for _ in range(max_iter):
             delta = np.zeros(R)
             for j in range(p):
                 rho = c[:, j] - np.einsum("rk,rk->r", G[:, j, :], W) + diag[:, j] * W[:, j]
                 safe = np.where(diag[:, j] > 0, diag[:, j], 1.0)
-                new = np.where(diag[:, j] > 0, np.sign(rho) * np.maximum(np.abs(rho) - thr, 0.0) / safe, 0.0)
+                new = np.where(diag[:, j] > 0, np.sign(rho) * np.maximum(np.abs(rho) - thr[:, j], 0.0) / safe, 0.0)
                 delta = np.maximum(delta, np.abs(new - W[:, j]))
                 W[:, j] = new
             if np.all(delta <= tol * np.maximum(1.0, np.abs(W).max(axis=1))):

@@ -1,68 +1,40 @@
-"""Joining per-key summaries back to the data.
+"""Joining per-key summaries back to the data, and cutting lineage.
 
 Per-key tables (one row per machine) are small, but their row count grows with
 the number of keys, so no broadcast is forced on them.  The size check happens
 at run time: adaptive execution measures the materialised summary and turns the
 join into a broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
 above it the join stays a shuffle join whose skewed partitions (a hot key on
-the data side) AQE splits.  ``max_broadcast_rows`` adds an explicit count-based
-check for callers that want the decision before execution.
+the data side) AQE splits.  Nothing is persisted: what several steps read is
+either small and checkpointed, or read again.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 1_000_000
+from lever.functions.columns import join_on
 
 
-def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner",
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
     """``big`` joined to ``small`` on ``keys`` (NULL-safe); small's key columns dropped.
 
     With no keys ``small`` must hold one row (a global aggregate), which is a
     proven bound, so it is broadcast directly.
     """
     keys = list(keys)
-    if not keys:
-        return big.crossJoin(F.broadcast(small))
-    ren = small.select(*[F.col(f"`{k}`").alias(f"_jk_{i}") for i, k in enumerate(keys)],
-                       *[F.col(f"`{c}`") for c in small.columns if c not in keys])
-    if max_broadcast_rows is not None:
-        ren = ren.persist(StorageLevel.MEMORY_AND_DISK)
-        if ren.count() <= max_broadcast_rows:
-            ren = F.broadcast(ren)
-    cond = None
-    for i, k in enumerate(keys):
-        e = big[f"`{k}`"].eqNullSafe(ren[f"_jk_{i}"])
-        cond = e if cond is None else cond & e
-    out = big.join(ren, cond, how)
-    return out.drop(*[f"_jk_{i}" for i in range(len(keys))])
+    return join_on(big, small, keys, how) if keys else big.crossJoin(F.broadcast(small))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute a small but expensive result once and cut its lineage.
+    """Compute a result that several later steps read once, and cut its lineage.
 
     Reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
-    shared folder on a cluster), so later steps that read the result several
-    times neither recompute it nor carry its plan, and a lost executor does
-    not trigger a recomputation.  When no checkpoint folder is configured on a
-    cluster, the result is persisted instead.
+    shared folder on a cluster), so later steps neither recompute it nor carry
+    its plan, and a lost executor does not trigger a recomputation.  Fails on a
+    cluster that names no such folder.
     """
     from lever.session import ensure_checkpoint_dir
-    try:
-        ensure_checkpoint_dir(df.sparkSession)
-    except RuntimeError:
-        out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        out.count()
-        return out
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def reuse(df: DataFrame) -> DataFrame:
-    """Persist an operator's input that is read by several branches or jobs
-    (aggregate + join back, strategy check + scan, fit + score), so its upstream
-    plan runs once.  Memory and disk: spills instead of failing."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lever.functions import linalg
 from lever.functions.columns import join_on
-from lever.functions.sizing import join_per_key, materialize, reuse
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import contiguous_folds
 from lever.operators.prep import drop_null_rows, minmax_normalize
 
@@ -65,18 +65,33 @@ def shuffled_folds(df: DataFrame, k: int = 5, hash_col: str | None = None, cols=
 
 
 # --------------------------------------------------------------- fold-Gram
-def fold_gram(df: DataFrame, keys, fold_col: str, xcols, y: str) -> DataFrame:
-    """Per (keys, fold): n, sy, syy, sx_j, sxy_j, sxx_j_k (j <= k), cnt_j."""
+def fold_gram(df: DataFrame, keys, fold_col: str, xcols, y: str, scale: bool = False) -> DataFrame:
+    """Per (keys, fold): n, sy, sx_j, sxy_j, sxx_j_k (j <= k), cnt_j of centred columns, and the
+    centres my, mx_j and scales d_j that are the same for every fold of a key.
+
+    Columns are centred on the key's mean first, so products of large values do
+    not cancel; ``scale`` also divides by the key's standard deviation, so small
+    features stay visible beside large ones.  :func:`solve_folds` maps back.
+    """
     keys = list(keys)
     p = len(xcols)
-    x = [_q(c).cast("double") for c in xcols]
-    yy = _q(y).cast("double")
-    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
+    data = df.where(_q(y).isNotNull())
+    stats = [F.avg(_q(y).cast("double")).alias("_my")]
+    stats += [F.avg(_q(c).cast("double")).alias(f"_mx_{j}") for j, c in enumerate(xcols)]
+    if scale:
+        stats += [F.stddev_pop(_q(c).cast("double")).alias(f"_sd_{j}") for j, c in enumerate(xcols)]
+    grouped = data.groupBy(*[_q(k) for k in keys]) if keys else data.groupBy()
+    data = join_per_key(data, grouped.agg(*stats), keys)
+    d = [F.when(F.col(f"_sd_{j}") > 0, F.col(f"_sd_{j}")).otherwise(F.lit(1.0)) if scale else F.lit(1.0) for j in range(p)]
+    x = [(_q(c).cast("double") - F.col(f"_mx_{j}")) / d[j] for j, c in enumerate(xcols)]
+    yy = _q(y).cast("double") - F.col("_my")
+    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(yy).alias("sy"), F.max("_my").alias("my")]
+    aggs += [F.max(f"_mx_{j}").alias(f"mx_{j}") for j in range(p)] + [F.max(d[j]).alias(f"d_{j}") for j in range(p)]
     aggs += [F.sum(x[j]).alias(f"sx_{j}") for j in range(p)]
     aggs += [F.sum(x[j] * yy).alias(f"sxy_{j}") for j in range(p)]
     aggs += [F.sum(x[j] * x[k]).alias(f"sxx_{j}_{k}") for j in range(p) for k in range(j, p)]
     aggs += [F.count(x[j]).cast("double").alias(f"cnt_{j}") for j in range(p)]
-    return df.where(yy.isNotNull()).groupBy(*[_q(c) for c in keys], _q(fold_col)).agg(*aggs)
+    return data.groupBy(*[_q(c) for c in keys], _q(fold_col)).agg(*aggs)
 
 
 def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
@@ -106,6 +121,7 @@ def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
     ix_sx = [pos[f"sx_{j}"] for j in range(p)]
     ix_sxy = [pos[f"sxy_{j}"] for j in range(p)]
     ix_cnt = [pos[f"cnt_{j}"] for j in range(p)]
+    ix_mx, ix_d = [pos[f"mx_{j}"] for j in range(p)], [pos[f"d_{j}"] for j in range(p)]
 
     def solve_batch(it):
         for pdf in it:
@@ -131,8 +147,9 @@ def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
             out[fold_col] = flat[fold_col].to_numpy().astype("int64")
             for m in names:
                 kind, alpha = models[m]
-                b0, W = linalg.fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha)
-                out[f"b0__{m}"] = b0
+                b0, W = linalg.fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, stats[:, ix_d])
+                W = W / stats[:, ix_d]
+                out[f"b0__{m}"] = b0 + stats[:, pos["my"]] - np.nansum(W * stats[:, ix_mx], axis=1)
                 for j in range(p):
                     out[f"w__{m}__{j}"] = W[:, j]
             yield out[out_cols]
@@ -156,7 +173,7 @@ def _prepare(df, keys, order, variables, target):
     keys = list(keys)
     cols = [*keys, *order, *variables, target]
     data = df.select(*[_q(c) for c in dict.fromkeys(cols)])
-    return reuse(drop_null_rows(data, [*variables, target], keys))
+    return drop_null_rows(data, [*variables, target], keys)
 
 
 def linear_fold_coefficients(df: DataFrame, keys, order, variables, target: str, models=None,
@@ -169,7 +186,7 @@ def linear_fold_coefficients(df: DataFrame, keys, order, variables, target: str,
     data = _prepare(df, keys, order, variables, target)
     if normalize:
         data = minmax_normalize(data, keys, [*variables, target])
-    data = reuse(data.where(_q(target).isNotNull()))
+    data = data.where(_q(target).isNotNull())
     folded = contiguous_folds(data, keys, order, k, name="fold", **kw)
     gram = fold_gram(folded, keys, "fold", variables, target)
     coefs = solve_folds(gram, keys, "fold", variables, models, leave_out=True)
@@ -296,10 +313,10 @@ def cv_scores(df: DataFrame, keys, variables, target: str, models=None, k: int =
     data = df.select(*[_q(c) for c in dict.fromkeys([*keys, *variables, target, *( [hash_col] if hash_col else []), *(hash_cols or [])])])
     data = drop_null_rows(data, [*variables, target], keys)
     data = holdout_split(data, hash_col, hash_cols, share).where("in_train").drop("in_train")
-    data = reuse(shuffled_folds(data, k, hash_col, hash_cols, name="fold"))
+    data = shuffled_folds(data, k, hash_col, hash_cols, name="fold")
     out = None
     if linear:
-        gram = fold_gram(data, keys, "fold", variables, target)
+        gram = fold_gram(data, keys, "fold", variables, target, scale=True)
         coefs = solve_folds(gram, keys, "fold", variables, linear, leave_out=True)
         scored = join_per_key(data, coefs, [*keys, "fold"])
         y = _q(target)

@@ -1,60 +1,70 @@
 """Order-dependent running operators that stay parallel when one key is huge.
 
 A window ``partitionBy(keys).orderBy(t)`` sends every row of a key to one task,
-so a machine holding a third of the table would run in one task.  The
-``range`` strategy instead range-partitions on ``(keys, order)`` -- a hot key is
-spread over many contiguous blocks -- runs the window inside each
-``(block, key)`` and adds a carry from the earlier blocks of the same key:
+so a machine holding a third of the table would run in one task.  Here rows are
+cut into blocks along the first order column, the same cuts for every key; the
+window runs inside each ``(keys, block)`` and a carry from the earlier blocks of
+the same key is added:
 
 * row index  = local row number + rows in earlier blocks
 * running sum = local running sum + sum of earlier blocks
 * forward fill = local last non-null, else last non-null of earlier blocks
 
-The carry comes from a per-(block, key) summary (at most blocks + keys rows)
-joined back; no row goes through the driver.  The blocked frame is built once
-and persisted: the window branch and the summary branch must see the same
-block ids, and two separate range exchanges may sample different bounds.  A
-lost cached partition is recomputed through the same shuffle dependency, whose
-bounds are fixed, so it gets the same blocks.  The ``window`` strategy is the
-plain single-window plan, used when the largest key is known to fit one task;
-``auto`` checks that with one column-pruned count.
+The cuts are approximate quantiles of the first order column, found by one
+column-pruned aggregate when the plan is built (as a range partitioning samples
+its bounds), so a block holds about an equal share of the rows.  They are
+constants of the plan: a row's block follows from its own value, every branch and
+every retry sees the same blocks, and nothing has to be cached.  The carry comes
+from a per-(keys, block) summary (at most blocks x keys rows).  There is one plan
+for all sizes.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from lever.functions.columns import fold_of_index
+from lever.functions.columns import fold_of_index, join_on
 
 BLK = "_lever_blk"
-DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _num_blocks(df: DataFrame, num_blocks: int | None) -> int:
-    if num_blocks:
-        return int(num_blocks)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A double that rises with the column's order (texts: by their first bytes)."""
+    kind, c = df.schema[name].dataType, _q(name)
+    if isinstance(kind, NumericType):
+        return c.cast("double")
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("double")
+    return F.conv(F.rpad(F.substring(F.hex(c.cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
 
 
-def choose_strategy(df: DataFrame, keys, strategy: str = "auto",
-                    max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> str:
-    """'window' when the largest key fits one task, else 'range'."""
-    if strategy != "auto":
-        return strategy
-    sizes = df.groupBy(*[_q(k) for k in keys]).count() if keys else df.groupBy().count()
-    biggest = sizes.agg(F.max("count")).first()[0] or 0
-    return "window" if biggest <= max_group_rows else "range"
+def _block(df: DataFrame, name: str, num_blocks: int | None) -> Column:
+    """The block of a row: how many cuts lie at or below its first order value; 0 for NULL."""
+    n = int(num_blocks or df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    x = _as_number(df, name)
+    probs = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(x, probs, 20 * n)).first()[0] if probs else None
+    cuts = sorted(set(cuts or ()))
+
+    def leaf(lo, hi):  # the block is in lo..hi: a balanced tree of comparisons
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(cuts[mid]), leaf(lo, mid)).otherwise(leaf(mid + 1, hi))
+
+    return F.when(x.isNull(), F.lit(0)).otherwise(leaf(0, len(cuts)))
 
 
 def ordered_scan(df: DataFrame, keys, order, *, fill=(), cumsum=None, index: str | None = None,
-                 count: str | None = None, strategy: str = "auto", num_blocks: int | None = None,
-                 max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                 count: str | None = None, num_blocks: int | None = None) -> DataFrame:
     """Running operators along ``order`` within ``keys``.
 
     fill   -- columns replaced by their last non-null value at or before the row
@@ -65,56 +75,33 @@ def ordered_scan(df: DataFrame, keys, order, *, fill=(), cumsum=None, index: str
     """
     keys, order, fill = list(keys), list(order), list(fill)
     cumsum = dict(cumsum or {})
-    strategy = choose_strategy(df, keys, strategy, max_group_rows)
-    ordcols = [_q(o).asc_nulls_first() for o in order]
-    if strategy == "window":
-        part = Window.partitionBy(*[_q(k) for k in keys])
-        w = part.orderBy(*ordcols)
-        wr = w.rowsBetween(Window.unboundedPreceding, 0)
-        cols = {c: F.last(_q(c), ignorenulls=True).over(wr) for c in fill}
-        cols.update({o: F.coalesce(F.sum(_q(c)).over(wr), F.lit(0)) for o, c in cumsum.items()})
-        if index:
-            cols[index] = (F.row_number().over(w) - 1).cast("bigint")
-        if count:
-            cols[count] = F.count(F.lit(1)).over(part).cast("bigint")
-        return df.withColumns(cols)
-    if strategy != "range":
-        raise ValueError(f"unknown strategy {strategy!r}")
-
-    n = _num_blocks(df, num_blocks)
-    ranged = df.repartitionByRange(n, *[_q(k) for k in keys], *ordcols) \
-        .withColumn(BLK, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    local_part = Window.partitionBy(_q(BLK), *[_q(k) for k in keys]).orderBy(*ordcols)
+    blocked = df.withColumn(BLK, _block(df, order[0], num_blocks))
+    group = [*keys, BLK]
+    local_part = Window.partitionBy(*[_q(k) for k in group]).orderBy(*[_q(o).asc_nulls_first() for o in order])
     wr = local_part.rowsBetween(Window.unboundedPreceding, 0)
     local_cols = {f"_lf_{i}": F.last(_q(c), ignorenulls=True).over(wr) for i, c in enumerate(fill)}
     local_cols.update({f"_ls_{i}": F.coalesce(F.sum(_q(c)).over(wr), F.lit(0))
                        for i, c in enumerate(cumsum.values())})
     if index:
         local_cols["_li"] = F.row_number().over(local_part) - 1
-    local = ranged.withColumns(local_cols)
+    local = blocked.withColumns(local_cols)
 
     ordstruct = F.struct(*[_q(o) for o in order])
     aggs = [F.count(F.lit(1)).alias("_cn")]
     aggs += [F.max_by(_q(c), F.when(_q(c).isNotNull(), ordstruct)).alias(f"_cf_{i}")
              for i, c in enumerate(fill)]
     aggs += [F.coalesce(F.sum(_q(c)), F.lit(0)).alias(f"_cs_{i}") for i, c in enumerate(cumsum.values())]
-    summary = ranged.groupBy(_q(BLK), *[_q(k) for k in keys]).agg(*aggs)
-    prev = Window.partitionBy(*[_q(k) for k in keys]).orderBy(_q(BLK)) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = [_q(BLK).alias("_c_blk")] + [_q(k).alias(f"_ck_{i}") for i, k in enumerate(keys)]
-    carry_cols.append(F.coalesce(F.sum("_cn").over(prev), F.lit(0)).alias("_c_off"))
+    summary = blocked.groupBy(*[_q(k) for k in group]).agg(*aggs)
+    whole = Window.partitionBy(*[_q(k) for k in keys])
+    prev = whole.orderBy(_q(BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    carry_cols = [*[_q(k) for k in group], F.coalesce(F.sum("_cn").over(prev), F.lit(0)).alias("_c_off")]
     if count:
-        carry_cols.append(F.sum("_cn").over(Window.partitionBy(*[_q(k) for k in keys])).alias("_c_tot"))
+        carry_cols.append(F.sum("_cn").over(whole).alias("_c_tot"))
     carry_cols += [F.last(f"_cf_{i}", ignorenulls=True).over(prev).alias(f"_c_f_{i}")
                    for i in range(len(fill))]
     carry_cols += [F.coalesce(F.sum(f"_cs_{i}").over(prev), F.lit(0)).alias(f"_c_s_{i}")
                    for i in range(len(cumsum))]
-    carry = summary.select(*carry_cols)
-
-    cond = local[BLK] == carry["_c_blk"]
-    for i, k in enumerate(keys):
-        cond = cond & local[k].eqNullSafe(carry[f"_ck_{i}"])
-    joined = local.join(carry, cond, "inner")
+    joined = join_on(local, summary.select(*carry_cols), group)
     out = {c: F.coalesce(F.col(f"_lf_{i}"), F.col(f"_c_f_{i}")) for i, c in enumerate(fill)}
     out.update({o: F.col(f"_ls_{i}") + F.col(f"_c_s_{i}") for i, o in enumerate(cumsum)})
     if index:
@@ -155,16 +142,18 @@ def rolling_mean(df: DataFrame, keys, order, col: str, size: int = 48,
     """Mean of the last ``size`` rows; NULL until ``size`` rows exist and
     whenever the frame holds a NULL (pandas ``rolling(size).mean()``).
 
-    Rows are cut into blocks of ``size`` by row index; each block gets a copy of
-    the previous block's values as a halo, so every frame lies inside one
-    ``(key, block)`` group of at most ``2*size`` rows -- no key lands in one task.
+    Rows are cut into blocks of thousands by row index; each block gets a copy of
+    the ``size - 1`` rows before it, so every frame lies inside one ``(key, block)``
+    group -- no key lands in one task, and few rows are copied.
     """
     name = name or f"{col}_rolling_{size}"
+    block = max(4096, 8 * size)
     d = ordered_scan(df, keys, order, index="_rm_rn", **kw).withColumn(
-        "_rm_b", F.floor(F.col("_rm_rn") / size))
+        "_rm_b", F.floor(F.col("_rm_rn") / block))
     own = d.withColumn("_rm_own", F.lit(True))
-    halo = d.select(*[_q(k) for k in keys], F.col("_rm_rn"), _q(col),
-                    (F.col("_rm_b") + 1).alias("_rm_b"), F.lit(False).alias("_rm_own"))
+    halo = d.where(F.col("_rm_rn") % block > block - size) \
+        .select(*[_q(k) for k in keys], F.col("_rm_rn"), _q(col),
+                (F.col("_rm_b") + 1).alias("_rm_b"), F.lit(False).alias("_rm_own"))
     both = own.unionByName(halo, allowMissingColumns=True)
     w = Window.partitionBy(*[_q(k) for k in keys], F.col("_rm_b")).orderBy("_rm_rn") \
         .rowsBetween(-(size - 1), 0)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions.columns import join_on
-from lever.functions.sizing import join_per_key, reuse
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan, rolling_mean
 from lever.operators.quantiles import unpivot
 
@@ -40,7 +40,7 @@ def histogram_long(long: DataFrame, group, x: str = "value", bins: int = 100) ->
     """Per ``group``: every bin ``(group..., bin, bin_lo, bin_hi, n, n_total)``,
     empty bins included with ``n = 0``.  NULL ``x`` is ignored."""
     group = list(group)
-    data = reuse(long.where(_q(x).isNotNull()).select(*[_q(g) for g in group], _q(x)))
+    data = long.where(_q(x).isNotNull()).select(*[_q(g) for g in group], _q(x))
     rng = data.groupBy(*[_q(g) for g in group]).agg(
         F.min(_q(x)).alias("_mn"), F.max(_q(x)).alias("_mx"), F.count(F.lit(1)).alias("n_total"))
     rng = rng.select(*[_q(g) for g in group], "n_total",
@@ -94,7 +94,7 @@ def histogram_peaks(df: DataFrame, cols, keys=(), bins: int = 10, min_share: flo
     """
     keys = list(keys)
     group = [*keys, "variable"]
-    h = reuse(histogram(df, cols, keys, bins))  # bins rows per group, read three times
+    h = materialize(histogram(df, cols, keys, bins))  # bins rows per group, read three times
     n_tot = h.groupBy(*[_q(g) for g in group]).agg(F.sum("n").alias("_N"))
     w = Window.partitionBy(*[_q(g) for g in group]).orderBy("bin")
     h = h.withColumn("_chg", F.when(F.lag("n").over(w) == F.col("n"), 0).otherwise(1))

@@ -1,14 +1,16 @@
 """Exact quantiles (linear interpolation, as pandas/NumPy default) without
-collecting a group: values are ranked with the range-partitioned ordered scan,
-and only the rows at positions floor(h) and floor(h)+1 survive to the final
-aggregate, h = (n-1)*p."""
+collecting a group: a group's distinct values are counted, running counts over
+them come from the ordered scan, and only the values at positions floor(h) and
+floor(h)+1 survive to the final aggregate, h = (n-1)*p.  Equal values are one
+row before any ordering, so a sensor stuck at one value makes no hot block."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lever.operators.ordered import DEFAULT_MAX_GROUP_ROWS, choose_strategy, ordered_scan
+from lever.functions.columns import join_on
+from lever.operators.ordered import ordered_scan
 
 
 def _q(c):
@@ -25,44 +27,39 @@ def quantiles_long(long: DataFrame, group, value: str, probs, method: str = "exa
                    accuracy: int = 100_000, **kw) -> DataFrame:
     """Per ``group``: rows ``(group..., prob, quantile)`` of non-null ``value``.
 
-    method='exact': when the largest group fits one task, Spark's exact
-    ``percentile`` aggregate (one pass); otherwise a sort-based rank on the
-    range-partitioned ordered scan, so a huge group is never held by one task.
+    method='exact': running counts over distinct values, one plan for all sizes;
     'approx' uses the bounded ``percentile_approx`` sketch.
     """
     group = list(group)
     probs = [float(p) for p in probs]
     data = long.where(_q(value).isNotNull())
-    strategy = kw.pop("strategy", "auto")
-    if method == "exact" and choose_strategy(data, group, strategy,
-                                             kw.get("max_group_rows", DEFAULT_MAX_GROUP_ROWS)) == "window":
-        agg = data.groupBy(*[_q(g) for g in group]).agg(F.percentile(_q(value), probs).alias("_qs"))
-        return agg.select(*[_q(g) for g in group], F.posexplode("_qs").alias("_i", "quantile")) \
-            .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
-            .drop("_i")
     if method == "approx":
         agg = data.groupBy(*[_q(g) for g in group]).agg(
             F.percentile_approx(_q(value), probs, accuracy).alias("_qs"))
         return agg.select(*[_q(g) for g in group], F.posexplode("_qs").alias("_i", "quantile")) \
             .withColumn("prob", F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1)) \
             .drop("_i")
-    ranked = ordered_scan(data.select(*[_q(g) for g in group], _q(value)), group, [value],
-                          index="_qrn", count="_qn", strategy="range", **kw)
-    hits = []
+    counts = data.groupBy(*[_q(g) for g in group], _q(value)).agg(F.count(F.lit(1)).alias("_qc"))
+    return quantiles_of_counts(counts, group, value, "_qc", probs, **kw)
+
+
+def quantiles_of_counts(counts: DataFrame, group, value: str, n: str, probs, **kw) -> DataFrame:
+    """Exact quantiles from distinct values with their counts ``n``."""
+    group = list(group)
+    totals = counts.groupBy(*[_q(g) for g in group]).agg(F.sum(_q(n)).alias("_qn"))
+    scanned = ordered_scan(counts.select(*[_q(g) for g in group], _q(value), _q(n)), group, [value],
+                           cumsum={"_qcn": n}, **kw)
+    scanned = join_on(scanned, totals, group)
+    aggs = []
+    for i, p in enumerate(probs):
+        lo = F.floor((F.col("_qn") - 1) * F.lit(p))
+        hi = F.least(lo + 1, F.col("_qn") - 1)
+        for name, at in ((f"_lo{i}", lo), (f"_hi{i}", hi)):
+            aggs.append(F.max(F.when((F.col("_qcn") - _q(n) <= at) & (at < F.col("_qcn")), _q(value))).alias(name))
+    rows = scanned.groupBy(*[_q(g) for g in group]).agg(F.max("_qn").alias("_qn"), *aggs)
+    out = []
     for i, p in enumerate(probs):
         h = (F.col("_qn") - 1) * F.lit(p)
-        lo = F.floor(h)
-        hits.append(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"),
-                             (h - lo).alias("frac"),
-                             (F.col("_qrn") == lo).alias("is_lo"),
-                             (F.col("_qrn") == F.least(lo + 1, F.col("_qn") - 1)).alias("is_hi")))
-    r = ranked.select(*[_q(g) for g in group], _q(value),
-                      F.filter(F.array(*hits), lambda s: s["is_lo"] | s["is_hi"]).alias("_h"))
-    r = r.where(F.size("_h") > 0).select(*[_q(g) for g in group], _q(value),
-                                         F.explode("_h").alias("_h"))
-    agg = r.groupBy(*[_q(g) for g in group], F.col("_h.p").alias("prob")).agg(
-        F.max(F.when(F.col("_h.is_lo"), _q(value))).alias("_lo"),
-        F.max(F.when(F.col("_h.is_hi"), _q(value))).alias("_hi"),
-        F.max("_h.frac").alias("_frac"))
-    return agg.select(*[_q(g) for g in group], "prob",
-                      (F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("quantile"))
+        out.append(F.struct(F.lit(p).alias("prob"), (F.col(f"_lo{i}") + (h - F.floor(h)) * (
+            F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias("quantile")))
+    return rows.select(*[_q(g) for g in group], F.inline(F.array(*out)))

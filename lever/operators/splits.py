@@ -3,10 +3,10 @@ A5, A6, J1).
 
 Best split search without fitting a tree on one machine:
 
-1. long form ``(keys, variable, x, y)``; y centred on its group mean,
-2. aggregate to distinct x: n, sum(y), sum(y^2)  (partial aggregation),
-3. running sums over x (range-partitioned ordered scan -- hot groups stay
-   parallel),
+1. long form ``(keys, variable, x, y)``,
+2. aggregate to distinct x: n, mean and variance of y (partial aggregation), and
+   from these the sums about the group's mean,
+3. running sums over x (blocked ordered scan -- hot groups stay parallel),
 4. the squared-error gain of cutting after each distinct x,
    ``sl^2/nl + sr^2/nr - st^2/nt``, is one column expression; the best cut is
    an aggregate (ties -> smallest x), the threshold is the midpoint to the next
@@ -20,14 +20,13 @@ A node is split only when it has at least ``ceil(min_samples_split * N)`` and
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lever.functions.columns import join_on
-from lever.functions.sizing import join_per_key, materialize, reuse
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan
-from lever.operators.quantiles import quantiles_long
+from lever.operators.quantiles import quantiles_of_counts
 
 REL_EPS = 1e-12
 
@@ -60,16 +59,15 @@ def tree_splits(df: DataFrame, keys, variables, target: str, depth=1,
     """
     keys = list(keys)
     g = [*keys, "variable"]
-    long = reuse(xy_long(df, keys, variables, target))
-    # group mean for centring, joined per group (checked broadcast)
-    gm = long.groupBy(*[_q(c) for c in g]).agg(F.avg("y").alias("_ybar"))
-    long = join_per_key(long, gm, g).withColumn("_yc", F.col("y") - F.col("_ybar"))
-    # distinct-x summaries feed the running sums, the totals and the strategy
-    # check: persisted once (bounded by distinct values, not rows)
-    per_x = long.groupBy(*[_q(c) for c in g], "x").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_yc").alias("s"), F.sum(F.col("_yc") * F.col("_yc")).alias("q")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    scan = ordered_scan(per_x, g, ["x"], cumsum={"cn": "n", "cs": "s", "cq": "q"}, index="rn", **kw)
+    # distinct-x summaries (bounded by distinct values, not rows), written once: the totals, the
+    # cuts of the running sums and the running sums all read them
+    per_x = materialize(xy_long(df, keys, variables, target).groupBy(*[_q(c) for c in g], "x").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("_m"), F.var_pop("y").alias("_v")))
+    ybar = per_x.groupBy(*[_q(c) for c in g]).agg((F.sum(F.col("n") * F.col("_m")) / F.sum("n")).alias("_ybar"))
+    off = F.col("_m") - F.col("_ybar")
+    per_x = join_per_key(per_x, ybar, g).withColumns({
+        "s": F.col("n") * off, "q": F.col("n") * (F.col("_v") + off * off)}).drop("_m", "_v", "_ybar")
+    scan = materialize(ordered_scan(per_x, g, ["x"], cumsum={"cn": "n", "cs": "s", "cq": "q"}, index="rn", **kw))
 
     tot = per_x.groupBy(*[_q(c) for c in g]).agg(
         F.sum("n").alias("nt"), F.sum("s").alias("st"), F.sum("q").alias("qt"), F.count(F.lit(1)).alias("n_x"))
@@ -145,28 +143,16 @@ def label_number(x):
                     F.lpad((r % 100).cast("string"), 2, "0"))
 
 
-def segment_rows(df: DataFrame, keys, variables, target: str, splits: DataFrame,
-                 outlier_share: float = 0.1) -> DataFrame:
-    """B2 (+A6): each row's segment of the variable's split list.
+def _with_segment(long: DataFrame, splits: DataFrame, keys) -> DataFrame:
+    """``long`` (keys, variable, x, ...) with its variable's splits and the segment of x."""
+    j = join_per_key(long, split_arrays(splits, keys), [*keys, "variable"])
+    return j.withColumn("segment", F.size(F.filter("splits", lambda s: s <= F.col("x"))).cast("bigint"))
 
-    One split s: ``x < s`` / ``x >= s``.  Splits s0 < ... < sm: ``x < s0``,
-    ``s[i-1] <= x < s[i]``, and ``x >= sm`` for the last (a row equal to the
-    last split belongs to it).  With two or more splits a segment holding
-    under ``outlier_share`` of the rows is labelled ``(Outlier)``.
-    Returns (keys, variable, x, y, segment, seg_lo, seg_hi, label, share, is_outlier).
-    """
-    keys = list(keys)
-    g = [*keys, "variable"]
-    arr = split_arrays(splits, keys)
-    long = xy_long(df, keys, variables, target)
-    j = join_per_key(long, arr, g)
+
+def _bounds():
     m = F.size("splits")
-    seg = F.size(F.filter("splits", lambda s: s <= F.col("x"))).cast("bigint")
-    j = j.withColumn("segment", seg)
-    lo = F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int")))
-    hi = F.when(F.col("segment") < m, F.element_at("splits", (F.col("segment") + 1).cast("int")))
-    j = reuse(j.withColumns({"seg_lo": lo, "seg_hi": hi}))
-    return _with_share(j, keys, outlier_share)
+    return {"seg_lo": F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int"))),
+            "seg_hi": F.when(F.col("segment") < m, F.element_at("splits", (F.col("segment") + 1).cast("int")))}
 
 
 def _label(seg_lo, seg_hi, n_splits, outlier):
@@ -177,17 +163,43 @@ def _label(seg_lo, seg_hi, n_splits, outlier):
     return F.concat(lab, F.when(outlier, F.lit(" (Outlier)")).otherwise(F.lit("")))
 
 
-def _with_share(j: DataFrame, keys, outlier_share):
+def _segments(counts: DataFrame, keys, splits: DataFrame, outlier_share: float) -> DataFrame:
+    """Every segment of every variable, empty ones too: bounds, share, outlier flag, label and the columns of
+    ``counts`` (keys, variable, segment, n, ...), of which there is one row per segment."""
+    g = [*keys, "variable"]
+    cats = split_arrays(splits, keys)
+    cats = cats.select(*[_q(c) for c in g], "splits", F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("segment"))
+    cats = cats.withColumn("segment", F.col("segment").cast("bigint")).withColumns(_bounds())
+    out = join_on(cats, counts, [*g, "segment"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    total = F.sum("n").over(Window.partitionBy(*[_q(c) for c in g]))  # a few segments per variable
+    out = out.withColumn("share", F.when(total > 0, F.col("n") / total).otherwise(0.0))
+    out = out.withColumn("is_outlier", (F.size("splits") >= 2) & (F.col("share") < F.lit(outlier_share)))
+    label = _label(F.col("seg_lo"), F.col("seg_hi"), F.size("splits"), F.col("is_outlier"))
+    return out.withColumn("label", label).drop("splits")
+
+
+def segment_rows(df: DataFrame, keys, variables, target: str, splits: DataFrame,
+                 outlier_share: float = 0.1) -> DataFrame:
+    """B2 (+A6): each row's segment of the variable's split list.
+
+    One split s: ``x < s`` / ``x >= s``.  Splits s0 < ... < sm: ``x < s0``,
+    ``s[i-1] <= x < s[i]``, and ``x >= sm`` for the last (a row equal to the
+    last split belongs to it).  With two or more splits a segment holding
+    under ``outlier_share`` of the rows is labelled ``(Outlier)``.
+    Returns (keys, variable, x, y, segment, seg_lo, seg_hi, label, share, is_outlier).
+    """
+    keys = list(keys)
     g = [*keys, "variable"]
-    counts = j.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("_sn"))
-    totals = counts.groupBy(*[_q(c) for c in g]).agg(F.sum("_sn").alias("_tn"))
-    shares = join_on(counts, totals, g).select(*[_q(c) for c in g], "segment",
-                                           (F.col("_sn") / F.col("_tn")).alias("share"))
-    j = join_on(j, shares, [*g, "segment"])
-    out = j.withColumn("is_outlier", (F.size("splits") >= 2) & (F.col("share") < F.lit(outlier_share)))
-    out = out.withColumn("label", _label(F.col("seg_lo"), F.col("seg_hi"), F.size("splits"), F.col("is_outlier")))
-    return out.select(*[_q(k) for k in keys], "variable", "x", "y", "segment", "seg_lo", "seg_hi", "label",
-                      "share", "is_outlier")
+    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
+    counts = rows.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("n"))
+    info = _segments(counts, keys, splits, outlier_share)
+    # each variable's few segments travel as one array, so rows meet them in one per-key join
+    packed = info.groupBy(*[_q(c) for c in g]).agg(F.array_sort(F.collect_list(
+        F.struct("segment", "seg_lo", "seg_hi", "label", "share", "is_outlier"))).alias("_segs"))
+    rows = join_per_key(rows, packed, g)
+    return rows.withColumn("_s", F.element_at("_segs", (F.col("segment") + 1).cast("int"))).select(
+        *[_q(k) for k in keys], "variable", "x", "y", "segment", "_s.seg_lo", "_s.seg_hi", "_s.label", "_s.share",
+        "_s.is_outlier")
 
 
 def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFrame,
@@ -195,11 +207,11 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
     """B3 (+A5, J1): mean target per segment in split order; empty segments kept
     with n = 0 and a NULL mean.  (keys, variable, segment, label, n, share, mean_target).
 
-    ``exact_scale`` computes the mean as an exact fixed-point average rounded
-    to that many decimals (reproducible under any partitioning)."""
+    Rows are aggregated to segments at once; share and label come from the few
+    segment rows.  ``exact_scale`` computes the mean as an exact fixed-point average
+    rounded to that many decimals (reproducible under any partitioning)."""
     keys = list(keys)
     g = [*keys, "variable"]
-    rows = segment_rows(df, keys, variables, target, splits, outlier_share)
     if exact_scale is None:
         mean = F.avg("y")
     else:
@@ -211,49 +223,38 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
         low = ((units - rest) / cnt).cast("decimal(38,0)")
         q = F.when(cnt > 0, low + F.when(2 * rest >= cnt, 1).otherwise(0))
         mean = q.cast("double") / F.lit(10.0 ** exact_scale)
-    agg = rows.groupBy(*[_q(c) for c in g], "segment").agg(
-        F.count(F.lit(1)).alias("n"), mean.alias("mean_target"), F.max("label").alias("_label"),
-        F.max("share").alias("share"))
-    arr = split_arrays(splits, keys)
-    cats = arr.select(*[_q(c) for c in g], "splits",
-                      F.explode(F.sequence(F.lit(0), F.size("splits"))).alias("segment"))
-    cats = cats.withColumn("segment", F.col("segment").cast("bigint"))
-    m = F.size("splits")
-    cats = cats.withColumns({
-        "seg_lo": F.when(F.col("segment") > 0, F.element_at("splits", F.col("segment").cast("int"))),
-        "seg_hi": F.when(F.col("segment") < m, F.element_at("splits", (F.col("segment") + 1).cast("int")))})
-    out = join_on(cats, agg, [*g, "segment"], "left")
-    empty_label = _label(F.col("seg_lo"), F.col("seg_hi"), m, (m >= 2))
-    return out.select(*[_q(c) for c in g], "segment", "seg_lo", "seg_hi",
-                      F.coalesce(F.col("_label"), empty_label).alias("label"),
-                      F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
-                      F.coalesce(F.col("share"), F.lit(0.0)).alias("share"), "mean_target")
+    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
+    agg = rows.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean_target"))
+    return _segments(agg, keys, splits, outlier_share).select(
+        *[_q(c) for c in g], "segment", "seg_lo", "seg_hi", "label", "n", "share", "mean_target")
 
 
 def segment_boxstats(df: DataFrame, keys, variables, target: str, splits: DataFrame,
                      whis: float = 1.5, **kw) -> DataFrame:
     """Box-plot numbers per segment: q1, median, q3 (linear interpolation),
-    whiskers = most extreme values within ``whis`` * IQR of the box, outlier count."""
+    whiskers = most extreme values within ``whis`` * IQR of the box, outlier count.
+
+    Distinct target values with their counts feed quartiles and whiskers alike."""
     keys = list(keys)
     gs = [*keys, "variable", "segment"]
-    rows = segment_rows(df, keys, variables, target, splits).select(*[_q(c) for c in gs], "label", "y") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    qs = quantiles_long(rows, gs, "y", [0.25, 0.5, 0.75], **kw)
+    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
+    counts = materialize(rows.groupBy(*[_q(c) for c in gs], "y").agg(F.count(F.lit(1)).alias("c")))
+    qs = quantiles_of_counts(counts, gs, "y", "c", [0.25, 0.5, 0.75], **kw)
     box = qs.groupBy(*[_q(c) for c in gs]).agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
         F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
         F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
     box = box.withColumns({"_lim_lo": F.col("q1") - whis * (F.col("q3") - F.col("q1")),
                            "_lim_hi": F.col("q3") + whis * (F.col("q3") - F.col("q1"))})
-    j = join_per_key(rows, box, gs)
+    j = join_per_key(counts, box, gs)
+    out = (F.col("y") < F.col("_lim_lo")) | (F.col("y") > F.col("_lim_hi"))
     agg = j.groupBy(*[_q(c) for c in gs]).agg(
-        F.max("label").alias("label"), F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
-        F.min(F.when(F.col("y") >= F.col("_lim_lo"), F.col("y"))).alias("whisker_lo"),
+        F.sum("c").cast("bigint").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"),
+        F.max("q3").alias("q3"), F.min(F.when(F.col("y") >= F.col("_lim_lo"), F.col("y"))).alias("whisker_lo"),
         F.max(F.when(F.col("y") <= F.col("_lim_hi"), F.col("y"))).alias("whisker_hi"),
-        F.count(F.when((F.col("y") < F.col("_lim_lo")) | (F.col("y") > F.col("_lim_hi")), 1))
-        .cast("bigint").alias("n_outliers"))
-    return agg
+        F.sum(F.when(out, F.col("c")).otherwise(0)).cast("bigint").alias("n_outliers"))
+    return _segments(agg, keys, splits, 0.1).where("n > 0").select(
+        *[_q(c) for c in gs], "label", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
 def depth_from_count(counts: DataFrame, keys, count_col: str, one_means_depth1: bool = True) -> DataFrame:

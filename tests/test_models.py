@@ -82,11 +82,41 @@ def test_top_features_bar(spark):
     assert len(top) == 10 and top.feature.iloc[0] == "f11" and top.bar.iloc[-1] == 0.0
 
 
-def test_lasso_gram_solver_soft_threshold():
-    G = np.array([[4.0]])
-    c = np.array([3.0])
-    assert np.isclose(linalg.lasso(G, c, n=10, alpha=0.1)[0], (3.0 - 1.0) / 4.0)
-    assert linalg.lasso(G, c, n=10, alpha=0.5)[0] == 0.0
+def test_lasso_coordinate_descent():
+    one = dict(N=np.array([10.0]), SX=np.zeros((1, 1)), SY=np.zeros(1), SXX=np.array([[[4.0]]]), SXY=np.array([[3.0]]),
+               active=np.ones((1, 1), bool))
+    assert np.isclose(linalg.fit_batch("lasso", **one, alpha=0.1)[1][0, 0], (3.0 - 1.0) / 4.0)
+    assert linalg.fit_batch("lasso", **one, alpha=0.5)[1][0, 0] == 0.0
+
+
+def _direct_rmse(X, y, fold, alpha=None):
+    out = []
+    for f in sorted(set(fold)):
+        tr, te = fold != f, fold == f
+        mx, my = X[tr].mean(0), y[tr].mean()
+        Xc, yc = X[tr] - mx, y[tr] - my
+        sd = Xc.std(0)
+        w = np.linalg.lstsq(Xc / sd, yc, rcond=None)[0] / sd if alpha is None else \
+            np.linalg.solve(Xc.T @ Xc + alpha * np.eye(X.shape[1]), Xc.T @ yc)
+        out.append(np.sqrt(np.mean((y[te] - (X[te] - mx) @ w - my) ** 2)))
+    return np.mean(out)
+
+
+def test_cv_scores_of_large_and_uneven_columns(spark):
+    rng = np.random.default_rng(0)
+    n = 600
+    x = 1e8 + rng.normal(size=n)
+    a, b = 1e6 * rng.normal(size=n), 1e-3 * rng.normal(size=n)
+    pdf = pd.DataFrame({"h": np.arange(n) * 7919 % 1000, "x": x, "a": a, "b": b, "y": 3 * (x - 1e8) + rng.normal(size=n) * 2,
+                        "z": 2e-6 * a + 5e3 * b})
+    df = spark.createDataFrame(pdf)
+    train = (pdf.h % 1000 < 800).to_numpy()
+    fold = (pdf.h % 5).to_numpy()[train]
+    for cols, target in ((["x"], "y"), (["a", "b"], "z")):
+        got = {r.model: r.abs_rmse for r in M.cv_scores(df, [], cols, target, M.LINEAR_ONLY, hash_col="h").collect()}
+        X, y = pdf[cols].to_numpy()[train], pdf[target].to_numpy()[train]
+        assert np.isclose(got["LinearRegression"], _direct_rmse(X, y, fold), rtol=1e-6, atol=1e-6)
+        assert np.isclose(got["Ridge"], _direct_rmse(X, y, fold, 1.0), rtol=1e-5, atol=1e-6)
 
 
 def test_forest_importance_ranks_the_driver_first(spark):

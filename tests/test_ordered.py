@@ -8,21 +8,30 @@ from lever.operators.ordered import contiguous_folds, forward_fill, ordered_scan
 ORDER = ["time_bucket_local", "l_orderkey", "l_partkey", "l_linenumber"]
 
 
-def test_range_equals_window_on_f2(spark, f2_small):
+def test_blocks_change_nothing_on_f2(spark, f2_small):
     res = {}
-    for s in ["window", "range"]:
+    for n in (1, 5, 40):
         d = ordered_scan(f2_small, ["machine"], ORDER, fill=["sparse20"], cumsum={"cq": "l_quantity"},
-                         index="rn", count="n", strategy=s, num_blocks=5)
-        res[s] = d.select("machine", *ORDER, "sparse20", "cq", "rn", "n").toPandas() \
+                         index="rn", count="n", num_blocks=n)
+        res[n] = d.select("machine", *ORDER, "sparse20", "cq", "rn", "n").toPandas() \
             .sort_values(["machine", *ORDER]).reset_index(drop=True)
-    pd.testing.assert_frame_equal(res["window"], res["range"])
+    pd.testing.assert_frame_equal(res[1], res[5])
+    pd.testing.assert_frame_equal(res[1], res[40])
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz", "string", "double", "decimal(10,2)"])
+def test_order_columns_of_any_kind(spark, kind):
+    t = "cast(date_add(date'2024-01-01', cast(id as int)) as %s)" % kind if "d" not in kind[:2] or kind == "date" else f"cast(id as {kind})"
+    df = spark.range(300).selectExpr("id", f"{t} AS t").unionByName(spark.range(1000, 1001).selectExpr("id", f"cast(null as {kind}) AS t"))
+    out = ordered_scan(df, [], ["t"], index="rn", num_blocks=7).orderBy("rn").toPandas()
+    assert out.id.tolist() == [1000, *range(300)] and out.rn.tolist() == list(range(301))
 
 
 def test_range_splits_a_hot_key(spark):
     # one key holds every row: the range plan must still use many blocks
     df = spark.range(0, 5000).select(F.lit("hot").alias("k"), F.col("id").alias("t"),
                                      F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("x"))
-    out = ordered_scan(df, ["k"], ["t"], fill=["x"], index="rn", strategy="range", num_blocks=8)
+    out = ordered_scan(df, ["k"], ["t"], fill=["x"], index="rn", num_blocks=8)
     blocks = out.select(F.spark_partition_id()).distinct().count()
     pdf = out.toPandas().sort_values("t")
     assert (pdf.rn.to_numpy() == np.arange(5000)).all()
@@ -34,7 +43,7 @@ def test_range_splits_a_hot_key(spark):
 def test_forward_fill_leading_gap(spark):
     df = spark.createDataFrame([(1, None, None), (2, 1.0, None), (3, None, 5.0), (4, None, None)],
                                "t int, a double, b double")
-    out = forward_fill(df, [], ["t"], strategy="range", num_blocks=3).orderBy("t").toPandas()
+    out = forward_fill(df, [], ["t"], num_blocks=3).orderBy("t").toPandas()
     assert out.a.isna().tolist() == [True, False, False, False]
     assert out.b.tolist()[2:] == [5.0, 5.0] and out.b.isna().tolist()[:2] == [True, True]
 
@@ -45,14 +54,14 @@ def test_forward_fill_is_idempotent(spark, f2_small):
     assert once.exceptAll(twice).count() == 0
 
 
-@pytest.mark.parametrize("strategy", ["window", "range"])
-def test_rolling_mean_matches_pandas(spark, strategy):
+@pytest.mark.parametrize("n, blocks", [(130, 1), (130, 4), (9000, 5)])
+def test_rolling_mean_matches_pandas(spark, n, blocks):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=130)
+    x = rng.normal(size=n)
     x[70] = np.nan
-    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(130), "x": x})).withColumn(
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(n), "x": x})).withColumn(
         "x", F.nanvl("x", F.lit(None).cast("double")))
-    out = rolling_mean(df, [], ["t"], "x", 48, name="m", strategy=strategy, num_blocks=4).orderBy("t").toPandas()
+    out = rolling_mean(df, [], ["t"], "x", 48, name="m", num_blocks=blocks).orderBy("t").toPandas()
     expect = pd.Series(x).rolling(48).mean()
     assert np.allclose(out.m.to_numpy(), expect.to_numpy(), equal_nan=True)
 
@@ -60,25 +69,37 @@ def test_rolling_mean_matches_pandas(spark, strategy):
 @pytest.mark.parametrize("n", [10, 23, 101, 1007])
 def test_contiguous_folds_match_unshuffled_kfold(spark, n):
     df = spark.range(n).withColumnRenamed("id", "t")
-    out = contiguous_folds(df, [], ["t"], 10, strategy="range", num_blocks=3).orderBy("t").toPandas()
+    out = contiguous_folds(df, [], ["t"], 10, num_blocks=3).orderBy("t").toPandas()
     expect = np.concatenate([np.full(len(c), i) for i, c in enumerate(np.array_split(np.arange(n), 10))])
     assert (out.fold.to_numpy() == expect).all()
 
 
-def test_auto_switches_to_range_for_a_large_group(spark):
-    from lever.operators.ordered import choose_strategy
+def test_a_hot_key_with_one_common_value(spark):
+    """90 % equal values on one key: blocks stay balanced, as equal values are one row before ordering."""
+    from lever.operators.ordered import BLK, _block
     from lever.operators.quantiles import quantiles_long
     from lever.operators.splits import tree_splits
     rng = np.random.default_rng(7)
-    pdf = pd.DataFrame({"k": ["hot"] * 900 + ["cold"] * 100, "x": np.round(rng.uniform(0, 10, 1000), 2)})
-    pdf["y"] = np.where(pdf.x < 4, 1.0, 3.0) + rng.normal(0, 0.1, 1000)
+    pdf = pd.DataFrame({"k": ["hot"] * 9000 + ["cold"] * 100, "x": np.round(rng.uniform(0, 10, 9100), 2)})
+    pdf.loc[:8100, "x"] = 0.0
+    pdf["y"] = np.where(pdf.x < 4, 1.0, 3.0) + rng.normal(0, 0.1, 9100)
     df = spark.createDataFrame(pdf)
-    assert choose_strategy(df, ["k"], "auto", max_group_rows=500) == "range"
-    assert choose_strategy(df, ["k"], "auto", max_group_rows=5000) == "window"
-    small = sorted((r.k, r.threshold) for r in tree_splits(df, ["k"], ["x"], "y", 2, max_group_rows=50).collect())
-    big = sorted((r.k, r.threshold) for r in tree_splits(df, ["k"], ["x"], "y", 2, strategy="window").collect())
-    assert small == big
-    q_range = quantiles_long(df, ["k"], "x", [0.05, 0.5, 0.99], max_group_rows=50).toPandas()
+    counts = df.groupBy("k", "x").count()
+    sizes = [r["count"] for r in counts.withColumn(BLK, _block(counts, "x", 8)).groupBy(BLK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.5 * sum(sizes) / 8
+    got = quantiles_long(df, ["k"], "x", [0.05, 0.5, 0.99]).toPandas()
     for k, part in pdf.groupby("k"):
-        got = q_range[q_range.k == k].sort_values("prob")["quantile"].to_numpy()
-        assert np.allclose(got, part.x.quantile([0.05, 0.5, 0.99]).to_numpy())
+        assert np.allclose(got[got.k == k].sort_values("prob")["quantile"].to_numpy(),
+                           part.x.quantile([0.05, 0.5, 0.99]).to_numpy())
+    one, many = (sorted((r.k, r.threshold) for r in tree_splits(df, ["k"], ["x"], "y", 2, num_blocks=n).collect())
+                 for n in (1, 9))
+    assert one == many
+
+
+def test_nothing_stays_persisted(spark):
+    import __spark_entry__ as se
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    for name in ("segment_summary", "quantile_trim", "forward_fill"):
+        se.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before

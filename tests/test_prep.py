@@ -60,7 +60,7 @@ def test_quantile_trim_matches_pandas(spark):
     for c in ["a", "b"]:
         lo, hi = clean[c].quantile(0.05), clean[c].quantile(0.99)
         mask &= (clean[c] >= lo).to_numpy() & (clean[c] <= hi).to_numpy()
-    for method_kw in [{}, {"strategy": "range"}]:
+    for method_kw in [{}, {"num_blocks": 3}]:
         out = P.quantile_trim(df, [], ["a", "b"], **method_kw).toPandas()
         assert len(out) == mask.sum()
 

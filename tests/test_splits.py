@@ -51,10 +51,10 @@ def test_tree_splits_match_brute_force(spark, seed, depth):
     x = np.round(rng.uniform(-5, 5, n), 1)  # ties and negative values
     y = np.where(x < -1, 10.0, np.where(x < 2.5, 20.0, 5.0)) + rng.normal(0, 1, n)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
-    for strategy in ["window", "range"]:
-        out = B.tree_splits(df, [], ["x"], "y", depth, strategy=strategy, num_blocks=4)
+    for blocks in (1, 4):
+        out = B.tree_splits(df, [], ["x"], "y", depth, num_blocks=blocks)
         got = sorted(r.threshold for r in out.collect())
-        assert np.allclose(got, brute_tree(x, y, depth)), strategy
+        assert np.allclose(got, brute_tree(x, y, depth)), blocks
 
 
 def test_constant_variable_has_no_split(spark):

@@ -113,9 +113,7 @@ def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
     firsts = [F.min(_turned(o)).alias(f"l{i}") for i, o in enumerate(_LEADERS)]
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), *firsts).filter("n > 1")
     members = written(rows.join(buckets, "key"), "buckets")
-    tested = None
-    links: list[DataFrame] = []
-    root = None
+    tested = root = None
     for step in range(2):
         if step == 0:
             met = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_LEADERS)])))
@@ -132,7 +130,10 @@ def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
                 found = parts.select(F.col(f"c{i}").bitwiseXOR(F.lit(order)).alias("id"),
                                      after.bitwiseXOR(F.lit(order)).alias("other")).filter("other IS NOT NULL")
                 pairs = found if pairs is None else pairs.union(found)
-        pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+        pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")) \
+            .groupBy("u", "v").count()
+        # similar items share many buckets; what shares one with a leader meets others in the rest
+        pairs = pairs.filter(F.col("count") >= (min(agree, 2) if step == 0 else 1)).drop("count")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = tested = written(pairs, "pairs")
@@ -140,12 +141,13 @@ def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
             left, right = (keyed.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "uv")
             both = pairs.join(left, "u").join(right, "v")
             pairs = written(both.filter(F.size(F.array_intersect("u_keys", "v_keys")) >= agree).select("u", "v"), "likely")
-        if not pairs.isEmpty():
-            ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-            links.append(written(checked(pairs, written(contents(ids), "contents"), similar), "links"))
-        found = links[0] if links else pairs
-        for more in links[1:]:
-            found = found.union(more)
-        if step == 0 or len(links) > 1:
-            root = written(components(found), "classes")
+        if pairs.isEmpty():
+            if root is None:
+                root = pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            continue
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        links = checked(pairs, written(contents(ids), "contents"), similar)
+        if root is not None:  # the classes so far stand for the links they came from
+            links = links.union(root)
+        root = written(components(links), "classes")
     return root

@@ -1,8 +1,8 @@
-"""Small NumPy helpers run inside grouped tasks on bounded, pre-aggregated input.
+"""EM for one-dimensional Gaussian mixtures on bounded bin summaries.
 
-``fit_gmm_1d`` fits a 1-D Gaussian mixture by EM to weighted bin summaries
-(count, sum, sum of squares per bin), as produced by one Spark aggregation.
-Each call sees at most ``max_bins`` rows, never raw data.
+A bin holds a count, a mean and a mean squared deviation about that mean, so no
+step subtracts large squares.  Groups are padded to one array and fitted at once;
+callers keep the number of cells bounded.
 """
 
 from __future__ import annotations
@@ -12,114 +12,61 @@ import numpy as np
 LOG_2PI = np.log(2.0 * np.pi)
 
 
-def _kmeans_init(m, w, k, iters=20):
-    order = np.argsort(m)
-    cw = np.cumsum(w[order]) / w.sum()
-    centers = np.array([m[order][min(np.searchsorted(cw, (i + 0.5) / k), len(m) - 1)] for i in range(k)])
-    for _ in range(iters):
-        lab = np.argmin(np.abs(m[:, None] - centers[None, :]), axis=1)
-        new = centers.copy()
-        for j in range(k):
-            sel = lab == j
-            if w[sel].sum() > 0:
-                new[j] = np.sum(w[sel] * m[sel]) / w[sel].sum()
-        if np.allclose(new, centers):
-            break
-        centers = new
-    return centers, lab
-
-
-def fit_gmm_1d(n, s, ss, k, reg_covar=1e-6, max_iter=100, tol=1e-3):
-    """EM on bins; returns (weights, means, variances, log_likelihood_total)."""
-    n = np.asarray(n, float)
-    s = np.asarray(s, float)
-    ss = np.asarray(ss, float)
-    N = n.sum()
-    m = s / n
-    centers, lab = _kmeans_init(m, n, k)
-    resp = np.zeros((len(n), k))
-    resp[np.arange(len(n)), lab] = 1.0
-    prev = -np.inf
-    ll = -np.inf
-    for it in range(max_iter + 1):
-        nk = (resp * n[:, None]).sum(0) + 10 * np.finfo(float).eps
-        mu = (resp * s[:, None]).sum(0) / nk
-        var = ((resp * (ss[:, None] - 2 * mu[None, :] * s[:, None] + n[:, None] * mu[None, :] ** 2)).sum(0)
-               / nk) + reg_covar
-        var = np.maximum(var, reg_covar)
-        wt = nk / N
-        # expected log density of each bin's points under each component
-        logp = (-0.5 * (LOG_2PI + np.log(var))[None, :]
-                - 0.5 * (ss[:, None] - 2 * mu[None, :] * s[:, None] + n[:, None] * mu[None, :] ** 2)
-                / (var[None, :] * n[:, None]) + np.log(wt)[None, :])
-        mx = logp.max(1, keepdims=True)
-        lse = mx[:, 0] + np.log(np.exp(logp - mx).sum(1))
-        resp = np.exp(logp - lse[:, None])
-        ll = float((n * lse).sum())
-        if abs(ll / N - prev / N) < tol:
-            break
-        prev = ll
-    return wt, mu, var, ll
-
-
 def bic(ll_total, k, n):
     return -2.0 * ll_total + (3 * k - 1) * np.log(n)
 
 
-def fit_gmm_1d_batch(n, s, ss, k, reg_covar=1e-6, max_iter=100, tol=1e-3, init_iters=20):
-    """``fit_gmm_1d`` for G groups at once; bins padded with n = 0.
+def fit_gmm_1d_batch(n, m, v, k, reg_covar, max_iter=1000, tol=1e-3, init_iters=20):
+    """Mixtures of ``k`` components for G groups of B bins; bins padded with n = 0.
 
-    n, s, ss: (G, B).  Returns weights, means, variances (G, k) and total log
-    likelihood (G,).  Each group stops updating once its mean log likelihood
-    changes by less than ``tol``.
+    n, m, v: (G, B) counts, means and within-bin variances; reg_covar: (G,) or a
+    number.  Returns weights, means, variances (G, k), total log likelihood (G,)
+    and whether each group converged: its mean log likelihood changed by less than
+    ``tol``, after which it is not updated any more.
     """
-    n = np.asarray(n, float)
-    s = np.asarray(s, float)
-    ss = np.asarray(ss, float)
-    Gn, B = n.shape
+    n, m, v = (np.asarray(a, float) for a in (n, m, v))
+    G, B = n.shape
     N = n.sum(1)
+    reg = np.broadcast_to(np.asarray(reg_covar, float), (G,))[:, None]
     valid = n > 0
-    m = np.where(valid, s / np.where(valid, n, 1.0), 0.0)
+    m, v = np.where(valid, m, 0.0), np.where(valid, v, 0.0)
     # quantile start, then a few weighted Lloyd steps (deterministic)
     order = np.argsort(np.where(valid, m, np.inf), axis=1)
     ms = np.take_along_axis(m, order, 1)
     cw = np.cumsum(np.take_along_axis(n, order, 1), 1) / N[:, None]
-    centers = np.stack([ms[np.arange(Gn), np.minimum((cw < (i + 0.5) / k).sum(1), B - 1)]
-                        for i in range(k)], 1)
-    for _ in range(init_iters):
+    centers = np.stack([ms[np.arange(G), np.minimum((cw < (i + 0.5) / k).sum(1), B - 1)] for i in range(k)], 1)
+
+    def nearest():
         lab = np.argmin(np.abs(m[:, :, None] - centers[:, None, :]), 2)
-        oh = (lab[:, :, None] == np.arange(k)[None, None, :]) * n[:, :, None]
+        return (lab[:, :, None] == np.arange(k)).astype(float)
+
+    for _ in range(init_iters):
+        oh = nearest() * n[:, :, None]
         wsum = oh.sum(1)
-        centers = np.where(wsum > 0, (oh * m[:, :, None]).sum(1) / np.where(wsum > 0, wsum, 1.0), centers)
-    lab = np.argmin(np.abs(m[:, :, None] - centers[:, None, :]), 2)
-    resp = (lab[:, :, None] == np.arange(k)[None, None, :]).astype(float)
-    prev = np.full(Gn, -np.inf)
-    done = np.zeros(Gn, bool)
-    wt = mu = var = None
-    ll = np.zeros(Gn)
+        new = np.where(wsum > 0, (oh * m[:, :, None]).sum(1) / np.where(wsum > 0, wsum, 1.0), centers)
+        if np.array_equal(new, centers):
+            break
+        centers = new
+    resp = nearest()
+    wt, mu, var = np.zeros((G, k)), np.zeros((G, k)), np.ones((G, k))
+    ll, prev, done = np.full(G, -np.inf), np.full(G, -np.inf), np.zeros(G, bool)
     eps10 = 10 * np.finfo(float).eps
     for _ in range(max_iter + 1):
-        nk = (resp * n[:, :, None]).sum(1) + eps10
-        mu_new = (resp * s[:, :, None]).sum(1) / nk
-        dev = ss[:, :, None] - 2 * mu_new[:, None, :] * s[:, :, None] + n[:, :, None] * mu_new[:, None, :] ** 2
-        var_new = np.maximum((resp * dev).sum(1) / nk + reg_covar, reg_covar)
-        wt_new = nk / N[:, None]
-        if wt is None:
-            wt, mu, var = wt_new, mu_new, var_new
-        else:
-            keep = done[:, None]
-            wt, mu, var = np.where(keep, wt, wt_new), np.where(keep, mu, mu_new), np.where(keep, var, var_new)
-        dev = ss[:, :, None] - 2 * mu[:, None, :] * s[:, :, None] + n[:, :, None] * mu[:, None, :] ** 2
-        logp = (-0.5 * (LOG_2PI + np.log(var))[:, None, :]
-                - 0.5 * dev / (var[:, None, :] * np.where(valid, n, 1.0)[:, :, None]) + np.log(wt)[:, None, :])
-        mx = logp.max(2, keepdims=True)
-        lse = mx[:, :, 0] + np.log(np.exp(logp - mx).sum(2))
-        resp_new = np.exp(logp - lse[:, :, None])
-        ll_new = (np.where(valid, n * lse, 0.0)).sum(1)
-        resp = np.where(done[:, None, None], resp, resp_new)
-        ll = np.where(done, ll, ll_new)
-        done = done | (np.abs(ll / N - prev / N) < tol)
-        prev = ll
-        if done.all():
+        at = np.flatnonzero(~done)
+        if not len(at):
             break
-    return wt, mu, var, ll
+        share = resp[at] * n[at][:, :, None]
+        nk = share.sum(1) + eps10
+        mu_a = (share * m[at][:, :, None]).sum(1) / nk
+        dev = v[at][:, :, None] + (m[at][:, :, None] - mu_a[:, None, :]) ** 2
+        var_a = (share * dev).sum(1) / nk + reg[at]
+        wt_a = nk / N[at][:, None]
+        logp = -0.5 * (LOG_2PI + np.log(var_a)[:, None, :] + dev / var_a[:, None, :]) + np.log(wt_a)[:, None, :]
+        top = logp.max(2, keepdims=True)
+        lse = top[:, :, 0] + np.log(np.exp(logp - top).sum(2))
+        resp[at] = np.exp(logp - lse[:, :, None])
+        wt[at], mu[at], var[at] = wt_a, mu_a, var_a
+        prev[at], ll[at] = ll[at], np.where(valid[at], n[at] * lse, 0.0).sum(1)
+        with np.errstate(invalid="ignore"):
+            done[at] = np.abs(ll[at] - prev[at]) / N[at] < tol
+    return wt, mu, var, ll, done

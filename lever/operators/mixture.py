@@ -1,25 +1,33 @@
 """Gaussian mixtures of one variable (H4, H5).
 
-Spark compresses each (keys, variable) group to at most ``max_bins``
-equal-width bins holding (count, sum, sum of squares) -- one partial
-aggregation, exact for a variable with few distinct values.  EM for k = 1..3
-then runs per group on those bounded summaries (``applyInPandas``), and the
-component count with the smallest BIC wins; a constant variable has one.
+Spark compresses each (keys, variable) group to bins holding a count, a mean and
+a mean squared deviation, in units of the group's standard deviation about its
+median.  A group of at most ``max_bins`` distinct values keeps each value as a bin
+of its own, so its fit is that of the raw values.  Beyond that, bins hold about
+equal numbers of neighbouring values and never span two orders (powers of two) of
+distance from the median, so an outlier neither widens the other bins nor shares
+one with them; within a bin only its mean and spread are kept, which is the
+approximation.  EM for k = 1..3 then runs per group on those bounded summaries,
+and the component count with the smallest BIC wins; a constant variable has one.
 k = 1 needs no EM: its parameters and BIC are closed form (``gmm_single``).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lever.functions.em1d import bic, fit_gmm_1d_batch
 from lever.functions.sizing import join_per_key, materialize
+from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import unpivot
 
 REG_COVAR = 1e-6
+#: Cells (groups x bins) that one NumPy call works on.
+CELLS = 1 << 19
 
 
 def _q(c):
@@ -41,80 +49,98 @@ def gmm_single(df: DataFrame, cols, keys=(), reg_covar: float = REG_COVAR) -> Da
                     var.alias("variance"), (-2 * ll + 2 * F.log(F.col("n"))).alias("bic_1"))
 
 
-def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096) -> DataFrame:
-    """(keys, variable, bin, n, s, ss, lo, hi) with at most ``max_bins`` bins per group."""
+def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, **kw) -> DataFrame:
+    """(keys, variable, bin, n, m, v, centre, scale): ``n`` values whose mean is centre + scale * m and whose mean
+    squared deviation is scale^2 * v."""
     keys = list(keys)
     g = [*keys, "variable"]
+    gc = [_q(c) for c in g]
     long = unpivot(df, keys, cols, "variable", "x").where(F.col("x").isNotNull())
-    rng = long.groupBy(*[_q(c) for c in g]).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    j = join_per_key(long, rng, g)
-    b = F.when(F.col("hi") > F.col("lo"),
-               F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * max_bins),
-                       F.lit(max_bins - 1))).otherwise(F.lit(0)).cast("bigint")
-    return j.groupBy(*[_q(c) for c in g], b.alias("bin")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("s"),
-        F.sum(F.col("x") * F.col("x")).alias("ss"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    values = materialize(long.groupBy(*gc, "x").agg(F.count(F.lit(1)).alias("n")))
+    scan = materialize(ordered_scan(values, g, ["x"], cumsum={"cn": "n"}, index="rn", **kw))
+    total = scan.groupBy(*gc).agg(F.sum("n").alias("nt"), F.count(F.lit(1)).alias("n_x"))
+    scan = join_per_key(scan, total, g)
+    centre = scan.where(F.col("cn") * 2 >= F.col("nt")).groupBy(*gc).agg(F.min("x").alias("centre"))
+    scan = join_per_key(scan, centre, g)
+    off = F.col("x") - F.col("centre")
+    scale = scan.groupBy(*gc).agg(F.sqrt(F.sum(F.col("n") * off * off) / F.max("nt")).alias("scale"))
+    scan = join_per_key(scan, scale, g).withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
+    z = off / F.col("scale")
+    few = F.col("n_x") <= max_bins
+    rank = F.when(few, F.col("rn")).otherwise(F.floor((F.col("cn") - F.col("n")) * max_bins / F.col("nt")))
+    order = F.when(few | (off == 0), F.lit(0)).otherwise(F.signum(off) * (F.floor(F.log2(F.abs(off))) + 2000))
+    scan = scan.withColumns({"z": z, "bin": F.struct(rank.cast("bigint").alias("rank"), order.cast("int").alias("order"))})
+    bins = scan.groupBy(*gc, "bin").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("m"),
+                                        F.min("z").alias("z0"), F.max("z").alias("z1"),
+                                        F.max("centre").alias("centre"), F.max("scale").alias("scale"))
+    # a bin of one value has no spread; else squares about the bin's own mean
+    spread = join_per_key(scan.where(~few), bins.select(*gc, "bin", F.col("m").alias("bm")), [*g, "bin"]) \
+        .groupBy(*gc, "bin").agg((F.sum(F.col("n") * (F.col("z") - F.col("bm")) ** 2) / F.sum("n")).alias("v"))
+    return join_per_key(bins, spread, [*g, "bin"], "left").select(
+        *gc, "bin", F.col("n").cast("double").alias("n"), "m", F.coalesce("v", F.lit(0.0)).alias("v"), "centre", "scale")
 
 
 def gmm_fit(df: DataFrame, cols, keys=(), k_max: int = 3, max_bins: int = 4096,
-            reg_covar: float = REG_COVAR) -> DataFrame:
+            reg_covar: float = REG_COVAR, max_iter: int = 1000, **kw) -> DataFrame:
     """H4: per (keys, variable) the best component count and its components.
 
-    Returns (keys, variable, n_components, component, weight, mean, variance,
-    bic) -- one row per component of the chosen mixture, sorted by mean.
+    Returns (keys, variable, n_components, component, weight, mean, variance, bic,
+    converged) -- one row per component of the chosen mixture, sorted by mean;
+    ``converged`` says whether EM of every count tried stopped by itself within
+    ``max_iter`` steps.
     """
     keys = list(keys)
     g = [*keys, "variable"]
-    comp = compress(df, cols, keys, max_bins)
-    key_types = {f.name: f.dataType.simpleString() for f in comp.schema.fields}
-    out_schema = ", ".join([f"`{c}` {key_types[c]}" for c in g] + [
-        "n_components int", "component int", "weight double", "mean double", "variance double",
-        "bic double"])
-
-    packed = comp.groupBy(*[_q(c) for c in g]).agg(
-        F.collect_list(F.struct("n", "s", "ss")).alias("_bins"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    packed = compress(df, cols, keys, max_bins, **kw).groupBy(*[_q(c) for c in g]).agg(
+        F.collect_list("n").alias("_n"), F.collect_list("m").alias("_m"), F.collect_list("v").alias("_v"),
+        F.max("centre").alias("_centre"), F.max("scale").alias("_scale"))
+    group_schema = packed.select(*[_q(c) for c in g]).schema
+    arrow = list(to_arrow_schema(group_schema))
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in group_schema.fields] + [
+        "n_components int", "component int", "weight double", "mean double", "variance double", "bic double",
+        "converged boolean"])
 
     def fit_batch(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            bins = [list(b) for b in pdf["_bins"]]
-            G, B = len(bins), max(len(b) for b in bins)
-            n = np.zeros((G, B))
-            s = np.zeros((G, B))
-            ss = np.zeros((G, B))
-            for r, b in enumerate(bins):
-                arr = np.array([[e["n"], e["s"], e["ss"]] if isinstance(e, dict) else list(e) for e in b], float)
-                n[r, :len(b)], s[r, :len(b)], ss[r, :len(b)] = arr[:, 0], arr[:, 1], arr[:, 2]
-            N = n.sum(1)
-            single = (pdf["lo"].to_numpy() == pdf["hi"].to_numpy()) | (np.array([len(b) for b in bins]) == 1)
-            nbins = np.array([len(b) for b in bins])
-            best_k = np.ones(G, int)
-            best_bic = np.full(G, np.inf)
-            fits = {}
-            for k in range(1, k_max + 1):
-                wt, mu, var, ll = fit_gmm_1d_batch(n, s, ss, k, reg_covar)
-                fits[k] = (wt, mu, var)
-                b = bic(ll, k, N)
-                better = (b < best_bic) & (k <= nbins) & ~single
-                best_bic = np.where(better | ((k == 1) & ~single), np.where(better, b, best_bic), best_bic)
-                best_k = np.where(better, k, best_k)
-            rows = []
-            heads = pdf[g].to_dict("records")
-            for r in range(G):
-                k = int(best_k[r])
-                if single[r]:
-                    wt_r, mu_r, var_r, b_r = np.array([1.0]), np.array([s[r].sum() / N[r]]), np.array([reg_covar]), np.nan
-                else:
-                    wt_r, mu_r, var_r = (fits[k][0][r], fits[k][1][r], fits[k][2][r])
-                    b_r = float(best_bic[r])
-                order = np.argsort(mu_r)
-                for i, j in enumerate(order):
-                    rows.append({**heads[r], "n_components": k, "component": i, "weight": float(wt_r[j]),
-                                 "mean": float(mu_r[j]), "variance": float(var_r[j]), "bic": b_r})
-            yield pd.DataFrame(rows, columns=[*g, "n_components", "component", "weight", "mean", "variance", "bic"])
-
-    return materialize(packed.mapInPandas(fit_batch, out_schema))
+        for batch in it:
+            lists = {c: batch.column(c) for c in ("_n", "_m", "_v")}
+            sizes = np.diff(lists["_n"].offsets.to_numpy())
+            widest = int(sizes.max(initial=1))
+            step = max(1, CELLS // max(widest, 1))
+            for at in range(0, batch.num_rows, step):
+                yield fit_rows(batch.slice(at, step), {c: x.slice(at, step) for c, x in lists.items()}, sizes[at:at + step])
+
+    def fit_rows(batch, lists, sizes):
+        G, B = len(sizes), int(sizes.max())
+        filled = np.arange(B)[None, :] < sizes[:, None]
+        n, m, v = (np.zeros((G, B)) for _ in range(3))
+        for a, c in ((n, "_n"), (m, "_m"), (v, "_v")):
+            a[filled] = lists[c].flatten().to_numpy(zero_copy_only=False)
+        centre, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_centre", "_scale"))
+        N, single = n.sum(1), sizes == 1
+        best_k, best_bic, conv = np.ones(G, int), np.full(G, np.inf), np.ones(G, bool)
+        W, M, V = np.zeros((G, k_max)), np.full((G, k_max), np.inf), np.zeros((G, k_max))
+        for k in range(1, k_max + 1):
+            wt, mu, var, ll, done = fit_gmm_1d_batch(n, m, v, k, reg_covar / scale ** 2, max_iter)
+            b = bic(ll - N * np.log(scale), k, N)
+            tried = (k <= sizes) & ~(single & (k > 1))
+            conv &= done | ~tried
+            better = tried & ((b < best_bic) | (k == 1))
+            best_bic, best_k = np.where(better, b, best_bic), np.where(better, k, best_k)
+            W[better], M[better], V[better] = 0.0, np.inf, 0.0
+            W[better, :k], M[better, :k], V[better, :k] = wt[better], mu[better], var[better]
+        by = np.argsort(M, axis=1, kind="stable")
+        W, M, V = (np.take_along_axis(a, by, 1) for a in (W, M, V))
+        row, comp = np.nonzero(np.arange(k_max)[None, :] < best_k[:, None])
+        take = pa.array(row)
+        bics = np.where(single, np.nan, best_bic)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(f.name).take(take) for f in arrow]
+            + [pa.array(best_k[row].astype(np.int32)), pa.array(comp.astype(np.int32)), pa.array(W[row, comp]),
+               pa.array(centre[row] + scale[row] * M[row, comp]), pa.array(scale[row] ** 2 * V[row, comp]),
+               pa.array(bics[row]), pa.array(conv[row])],
+            names=[*[f.name for f in arrow], "n_components", "component", "weight", "mean", "variance", "bic", "converged"])
+
+    return materialize(packed.mapInArrow(fit_batch, out_schema))
 
 
 def gmm_components(df: DataFrame, cols, keys=(), **kw) -> DataFrame:

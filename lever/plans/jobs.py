@@ -5,11 +5,11 @@ each); everything else stays one DataFrame plan.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lever.functions.columns import join_on
+from lever.functions.sizing import join_per_key, materialize
 from lever.operators import mixture as G
 from lever.operators import models as M
 from lever.operators import prep as P
@@ -18,35 +18,76 @@ from lever.operators import splits as B
 from lever.schema import SeriesSchema
 
 
+def _q(c):
+    return F.col(f"`{c}`")
+
+
 def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *, start=None, end=None,
                      min_target=None, max_target=None, exclude=(), sparse_threshold: float = 0.3,
                      **kw) -> DataFrame:
-    """Fill -> product filter -> sparse columns -> dates -> features only
-    -> zero variance -> target range -> complete rows -> exclusions.
-
-    Keeps keys and order columns (the folds need time order) plus features.
+    """Fill -> product filter -> sparse columns (P6) -> dates -> features only
+    -> zero variance (P8) -> target range with guards (P10, P11) -> complete rows
+    (P12) -> exclusions.  Keeps keys and order columns plus features.
+
+    The filled rows are written once.  One conditional aggregate per key then
+    yields every decision, and one join and one filter apply them.  With keys, a
+    column pruned for a key is NULL there, and a key whose target is pruned has no
+    rows; without keys pruned columns are dropped and a pruned target is an error.
     """
     keys = list(schema.keys)
+    feats = schema.features(df)
+    if target not in feats:
+        raise ValueError(f"target {target!r} is not a feature")
+    names = [*keys, *schema.order, *feats]
     d = P.forward_fill(df, schema, **kw)
     if codes:
         d = P.product_filter(d, codes, schema.product_col)
-    d = P.drop_sparse_columns(d, keys, [c for c in d.columns if c not in keys], sparse_threshold)
+    dated = F.lit(True)
     if start is not None:
-        d = P.start_date(d, start, schema.time_col)
+        dated = dated & (F.col(schema.time_col) >= P._time_lit(d, schema.time_col, start))
     if end is not None:
-        d = P.end_date(d, end, schema.time_col)
-    d = P.drop_metadata(d, schema.with_features([c for c in schema.features(df) if c in d.columns]))
-    feats = [c for c in schema.features(df) if c in d.columns]
-    d = P.drop_zero_variance(d, keys, feats)
-    feats = [c for c in feats if c in d.columns]
-    if target not in feats:
-        raise ValueError(f"target {target!r} was pruned (sparse or constant)")
-    if min_target is not None:
-        d = P.min_target(d, keys, target, min_target)
-    if max_target is not None:
-        d = P.max_target(d, keys, target, max_target, inclusive=True)
-    d = P.drop_null_rows(d, feats, keys)
-    return P.drop_variables(d, [c for c in exclude if c != target])
+        dated = dated & (F.col(schema.time_col) <= P._time_lit(d, schema.time_col, end))
+    d = materialize(d.select(*[_q(c) for c in dict.fromkeys(names)], F.coalesce(dated, F.lit(False)).alias("_in")))
+
+    y = _q(target)
+    over = F.lit(True) if min_target is None else y >= F.lit(float(min_target))
+    under = F.lit(True) if max_target is None else y <= F.lit(float(max_target))
+    inside = {(a, b): F.col("_in") & (over if a else F.lit(True)) & (under if b else F.lit(True))
+              for a in (0, 1) for b in (0, 1)}
+    aggs = [F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_in"), y)).alias("_tmax"),
+            F.min(F.when(F.col("_in"), y)).alias("_tmin0"), F.min(F.when(F.col("_in") & over, y)).alias("_tmin1")]
+    for i, c in enumerate(feats):
+        aggs += [F.count(_q(c)).alias(f"_nn{i}"),
+                 (F.max(F.when(F.col("_in"), _q(c))) > F.min(F.when(F.col("_in"), _q(c)))).alias(f"_var{i}")]
+        aggs += [F.count(F.when(cond, _q(c))).alias(f"_c{i}_{a}{b}") for (a, b), cond in inside.items()]
+    found = (d.groupBy(*[_q(k) for k in keys]) if keys else d.groupBy()).agg(*aggs)
+    keep = [F.coalesce((F.col(f"_nn{i}") > F.col("_n") * F.lit(float(sparse_threshold))) & F.col(f"_var{i}"), F.lit(False))
+            for i in range(len(feats))]
+    min_ok = F.lit(False) if min_target is None else F.coalesce(F.lit(float(min_target)) <= F.col("_tmax"), F.lit(True))
+    found = found.select(*[_q(k) for k in keys], "_n", "_tmin0", "_tmin1", min_ok.alias("_a"),
+                         *[k.alias(f"_keep{i}") for i, k in enumerate(keep)],
+                         *[f"_c{i}_{a}{b}" for i in range(len(feats)) for a, b in inside])
+    low = F.when(F.col("_a"), F.col("_tmin1")).otherwise(F.col("_tmin0"))
+    max_ok = F.lit(False) if max_target is None else F.coalesce(F.lit(float(max_target)) > low, F.lit(True))
+    found = found.withColumn("_b", max_ok)
+    held = [F.when(F.col("_a") & F.col("_b"), F.col(f"_c{i}_11")).when(F.col("_a"), F.col(f"_c{i}_10"))
+            .when(F.col("_b"), F.col(f"_c{i}_01")).otherwise(F.col(f"_c{i}_00")) for i in range(len(feats))]
+    decided = found.select(*[_q(k) for k in keys], "_a", "_b", *[f"_keep{i}" for i in range(len(feats))],
+                           *[(F.col(f"_keep{i}") & (h > 0)).alias(f"_has{i}") for i, h in enumerate(held)])
+    kept = feats
+    if not keys:
+        row = decided.first()  # one row: which columns there are
+        kept = [c for i, c in enumerate(feats) if row[f"_keep{i}"]]
+        if target not in kept:
+            raise ValueError(f"target {target!r} was pruned (sparse or constant)")
+    rows = join_per_key(d.where("_in"), decided, keys)
+    cond = F.col(f"_keep{feats.index(target)}") & (~F.col("_a") | over) & (~F.col("_b") | under)
+    for i, c in enumerate(feats):
+        cond = cond & (~F.col(f"_has{i}") | _q(c).isNotNull())
+    rows = rows.where(cond)
+    gone = {c for c in exclude if c != target}
+    return rows.select(*[_q(c) for c in dict.fromkeys([*keys, *schema.order])],
+                       *[F.when(F.col(f"_keep{feats.index(c)}"), _q(c)).alias(c) for c in kept if c not in gone])
 
 
 def _variables(df, schema, target, variables):
@@ -62,7 +103,7 @@ def rank_drivers(prepared: DataFrame, schema: SeriesSchema, target: str, variabl
     keys = list(schema.keys)
     variables = _variables(prepared, schema, target, variables)
     models = models or M.RANKING_MODELS
-    data = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    data = materialize(prepared)  # read by the scoring and the importance passes
     scores = M.cv_scores(data, keys, variables, target, models, hash_cols=hash_cols or [*keys, *schema.order],
                          forest_kw=forest_kw)
     selected = M.select_model(scores, keys, list(models))

@@ -366,7 +366,12 @@ def q_gmm_splits(spark, sf):
     return rnd(G.gmm_splits(f2(spark, sf), _GV, K), {"threshold": 9})
 
 
-@query("rolling_mean_48_keyed")
+@query("rolling_mean_48_keyed", W(S.F1K, """ff AS (SELECT site, machine, time_bucket_local,
+  last_value(purchase IGNORE NULLS) OVER (PARTITION BY site, machine ORDER BY time_bucket_local
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS purchase FROM f1k)""") +
+       """SELECT site, machine, time_bucket_local, purchase, round(CASE WHEN count(purchase) OVER w = 48
+  THEN avg(purchase) OVER w END, 9) AS purchase_moving_avg FROM ff
+  WINDOW w AS (PARTITION BY site, machine ORDER BY time_bucket_local ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""")
 def q_rolling_keyed(spark, sf):
     d = P.forward_fill(f1k(spark, sf), F1_KEYED_SCHEMA)
     return rnd(H.rolling_mean_48(d.select("site", "machine", "time_bucket_local", "purchase"),
@@ -714,6 +719,40 @@ def q_prepare_training(spark, sf):
     return _e1(spark, sf)
 
 
+_E1K = dict(codes=["A", "R"], start="1993-06-01", end="1998-03-31", min_target=2000.0, max_target=90000.0,
+            sparse_threshold=0.998)
+_E1F = list(F2_FEATURES)
+
+
+def _e1_keyed_sql():
+    """Step by step, one rule after the other (the job decides all at once)."""
+    carried = [c for c in ["prod_code", *_E1F]]
+    order = "machine, time_bucket_local, l_orderkey, l_partkey, l_linenumber"
+    return W(F2C,
+             f"""ff AS (SELECT {order}, {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in carried)} FROM f2
+  WINDOW w AS (PARTITION BY machine ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+             "pf AS (SELECT * FROM ff WHERE prod_code IN ('A', 'R'))",
+             f"p6 AS (SELECT machine, {', '.join(f'count({c}) > count(*) * 0.998 AS k_{c}' for c in _E1F)} FROM pf GROUP BY machine)",
+             f"""a6 AS (SELECT {order}, {", ".join(f"CASE WHEN k_{c} THEN {c} END AS {c}" for c in _E1F)}
+  FROM pf JOIN p6 USING (machine)
+  WHERE time_bucket_local >= TIMESTAMP '1993-06-01' AND time_bucket_local <= TIMESTAMP '1998-03-31')""",
+             f"p8 AS (SELECT machine, {', '.join(f'coalesce(var_pop({c}) > 0, false) AS v_{c}' for c in _E1F)} FROM a6 GROUP BY machine)",
+             f"""a8 AS (SELECT {order}, {", ".join(f"CASE WHEN v_{c} THEN {c} END AS {c}" for c in _E1F)}
+  FROM a6 JOIN p8 USING (machine) WHERE v_net)""",
+             "g10 AS (SELECT machine, max(net) AS hi FROM a8 GROUP BY machine)",
+             f"a10 AS (SELECT a8.* FROM a8 JOIN g10 USING (machine) WHERE hi < 2000 OR net >= 2000)",
+             "g11 AS (SELECT machine, min(net) AS lo FROM a10 GROUP BY machine)",
+             f"a11 AS (SELECT a10.* FROM a10 JOIN g11 USING (machine) WHERE lo >= 90000 OR net <= 90000)",
+             f"p12 AS (SELECT machine, {', '.join(f'count({c}) > 0 AS h_{c}' for c in _E1F)} FROM a11 GROUP BY machine)") + \
+        f"""SELECT {order}, {", ".join(_E1F)} FROM a11 JOIN p12 USING (machine)
+  WHERE {" AND ".join(f"(NOT h_{c} OR {c} IS NOT NULL)" for c in _E1F)}"""
+
+
+@query("prepare_training_keyed", _e1_keyed_sql())
+def q_prepare_training_keyed(spark, sf):
+    return E.prepare_training(f2(spark, sf), F2_SCHEMA, target="net", **_E1K)
+
+
 @query("rank_drivers")
 def q_rank_drivers(spark, sf):
     top = E.rank_drivers(_e1(spark, sf), F1_SCHEMA, "purchase",

@@ -30,3 +30,43 @@ def test_constant_variable_is_one_component(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": [4.0] * 30}))
     assert G.gmm_components(df, ["x"]).first().n_components == 1
     assert G.gmm_splits(df, ["x"]).first().threshold == 4.0
+
+
+def _bic_of(x, comps):
+    """BIC of the raw values under the fitted components."""
+    w, m, v = (comps[c].to_numpy()[None, :] for c in ("weight", "mean", "variance"))
+    dens = (w * np.exp(-0.5 * (x[:, None] - m) ** 2 / v) / np.sqrt(2 * np.pi * v)).sum(1)
+    return -2 * np.log(dens).sum() + (3 * len(comps) - 1) * np.log(len(x))
+
+
+def test_outliers_do_not_hide_bumps(spark):
+    rng = np.random.default_rng(2)
+    bumps = np.concatenate([rng.normal(0, 1, 1000), rng.normal(10, 1, 1000)])
+    for far, bins in ((1e5, 4096), (1e7, 4096), (1e7, 256)):
+        x = np.append(bumps, far)
+        comps = G.gmm_fit(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], max_bins=bins).orderBy("component").toPandas()
+        assert len(comps) == 3 and comps.converged.all()
+        assert np.allclose(comps["mean"][:2], [0, 10], atol=0.2) and np.isclose(comps["mean"][2], far)
+
+
+def test_large_offset_changes_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, 800), rng.normal(10, 1, 800)])
+    near = G.gmm_fit(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"]).orderBy("component").toPandas()
+    far = G.gmm_fit(spark.createDataFrame(pd.DataFrame({"x": x + 1e9})), ["x"]).orderBy("component").toPandas()
+    assert np.allclose(near["mean"], far["mean"] - 1e9, atol=1e-4) and np.allclose(near.bic, far.bic, atol=0.5)
+    assert np.isclose(near.bic[0], _bic_of(x, near), rtol=1e-6)
+
+
+def test_few_distinct_values_are_kept(spark):
+    x = np.repeat([1.0, 2.0, 3.0, 50.0, 51.0], [30, 40, 30, 20, 20])
+    bins = G.compress(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"]).toPandas()
+    assert len(bins) == 5 and sorted(bins.n) == [20, 20, 30, 30, 40] and (bins.v == 0).all()
+
+
+def test_groups_and_null_keys(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": ["a", None] * 400, "x": np.repeat(rng.normal(0, 1, 400), 2)})
+    comps = G.gmm_fit(spark.createDataFrame(pdf), ["x"], ["k"]).toPandas()
+    a, b = comps[comps.k == "a"], comps[comps.k.isna()]
+    assert len(a) == len(b) > 0 and np.allclose(a["mean"].sort_values(), b["mean"].sort_values())

@@ -111,25 +111,41 @@ def rank_drivers(prepared: DataFrame, schema: SeriesSchema, target: str, variabl
     return M.top_features(imp, keys, top_n)
 
 
+def drill_down_outputs(prepared: DataFrame, keys, target: str, variables, choose: str = "mixture", exact_scale=None,
+                       **kw) -> dict[str, DataFrame]:
+    """E3 (``choose="mixture"``) and E4 (``"peaks"``), every output: per variable the component or peak count
+    decides the tree's depth; then ``splits`` (of the tree), ``mixture_splits`` (E3 only), ``histogram`` (100 bins,
+    marked where a split falls), ``boxes`` and ``summary`` per segment."""
+    keys = list(keys)
+    if choose == "mixture":
+        fit = G.gmm_fit(prepared, variables, keys)
+        counts = fit.groupBy(*[_q(k) for k in keys], "variable").agg(F.max("n_components").alias("n_found"))
+        out = {"mixture_splits": G.gmm_splits_from_params(fit, keys)}
+    else:
+        peaks = H.histogram_peaks(prepared, variables, keys)
+        counts = peaks.groupBy(*[_q(k) for k in keys], "variable").agg(F.count(F.lit(1)).alias("n_found"))
+        out = {}
+    splits = B.tree_splits(prepared, keys, variables, target, B.depth_from_count(counts, keys, "n_found"), **kw)
+    return out | {"splits": splits, "histogram": H.histogram_with_splits(prepared, variables, splits, keys),
+                  "boxes": B.segment_boxstats(prepared, keys, variables, target, splits),
+                  "summary": _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale)}
+
+
 def drill_down(prepared: DataFrame, keys, target: str, variables, exact_scale=None, **kw) -> DataFrame:
-    """Per variable, mixture component count -> tree depth -> splits ->
-    segment summary.  A variable without splits (constant) gets one row with
-    status 'unavailable'."""
+    """E3's segment summary.  A variable without splits (constant) gets one row with status 'unavailable'."""
     keys = list(keys)
     comps = G.gmm_components(prepared, variables, keys)
-    depth = B.depth_from_count(comps, keys, "n_components")
-    splits = B.tree_splits(prepared, keys, variables, target, depth, **kw)
+    splits = B.tree_splits(prepared, keys, variables, target, B.depth_from_count(comps, keys, "n_components"), **kw)
     return _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale)
 
 
 def drill_down_peaks(prepared: DataFrame, keys, target: str, variables, exact_scale=None,
                      **kw) -> DataFrame:
-    """Like E3 with the depth chosen by histogram peaks (one peak -> 1)."""
+    """E4's segment summary: like E3 with the depth chosen by histogram peaks (one peak -> 1)."""
     keys = list(keys)
     peaks = H.histogram_peaks(prepared, variables, keys)
-    counts = peaks.groupBy(*keys, "variable").agg(F.count(F.lit(1)).alias("n_peaks"))
-    depth = B.depth_from_count(counts, keys, "n_peaks")
-    splits = B.tree_splits(prepared, keys, variables, target, depth, **kw)
+    counts = peaks.groupBy(*[_q(k) for k in keys], "variable").agg(F.count(F.lit(1)).alias("n_peaks"))
+    splits = B.tree_splits(prepared, keys, variables, target, B.depth_from_count(counts, keys, "n_peaks"), **kw)
     return _summary_or_unavailable(prepared, keys, variables, target, splits, exact_scale)
 
 

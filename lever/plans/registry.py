@@ -472,15 +472,19 @@ def q_segment_summary(spark, sf):
     return _summary_round(B.segment_summary(d, K, _SV, "net", _seg_splits(d), exact_scale=6))
 
 
-@query("segment_boxstats", W(F2C, *_seg_ctes(), """bx AS (SELECT machine, variable, segment, max(label) AS label,
+_BOX_CTE = """bx AS (SELECT machine, variable, segment, max(label) AS label,
   count(*) AS n, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.75) AS q3
-  FROM s_rows GROUP BY ALL)""") + """SELECT machine, variable, segment, bx.label, bx.n, round(q1, 8) AS q1,
+  FROM s_rows GROUP BY ALL)"""
+_BOX_SQL = """SELECT machine, variable, segment, bx.label, bx.n, round(q1, 8) AS q1,
   round(median, 8) AS median, round(q3, 8) AS q3,
   min(CASE WHEN y >= q1 - 1.5 * (q3 - q1) THEN y END) AS whisker_lo,
   max(CASE WHEN y <= q3 + 1.5 * (q3 - q1) THEN y END) AS whisker_hi,
   count(CASE WHEN y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
 FROM s_rows JOIN bx USING (machine, variable, segment)
-GROUP BY machine, variable, segment, bx.label, bx.n, q1, median, q3""")
+GROUP BY machine, variable, segment, bx.label, bx.n, q1, median, q3"""
+
+
+@query("segment_boxstats", W(F2C, *_seg_ctes(), _BOX_CTE) + _BOX_SQL)
 def q_segment_boxstats(spark, sf):
     d = f2(spark, sf)
     return rnd(B.segment_boxstats(d, K, _SV, "net", _seg_splits(d)),
@@ -773,6 +777,29 @@ def q_drill_down_peaks(spark, sf):
     return _summary_round(out.drop("status"))
 
 
+@query("drill_down_peaks_histogram", W(F2C, *_peak_depth_ctes(), *S.hist_ctes("g_", "lx", K, 100)) + """
+SELECT machine, variable, bin, round(bin_lo, 9) AS bin_lo, round(bin_hi, 9) AS bin_hi, n,
+  coalesce(bool_or(t.threshold >= bin_lo AND (t.threshold < bin_hi OR (bin = 99 AND t.threshold <= bin_hi))),
+           false) AS has_split
+FROM g_h LEFT JOIN t_nodes t USING (machine, variable) GROUP BY ALL""")
+def q_drill_down_peaks_histogram(spark, sf):
+    out = E.drill_down_outputs(f2(spark, sf), K, "net", _PKV, "peaks")["histogram"]
+    return rnd(out, {"bin_lo": 9, "bin_hi": 9})
+
+
+@query("drill_down_peaks_boxes", W(F2C, *_peak_depth_ctes(), *S.segment_ctes("s_", "lxy", K, "t_nodes", exact_scale=6),
+                                   _BOX_CTE) + _BOX_SQL)
+def q_drill_down_peaks_boxes(spark, sf):
+    out = E.drill_down_outputs(f2(spark, sf), K, "net", _PKV, "peaks")["boxes"]
+    return rnd(out, {"q1": 8, "median": 8, "q3": 8})
+
+
+@query("drill_down_mixture_splits")
+def q_drill_down_mixture_splits(spark, sf):
+    out = E.drill_down_outputs(f2(spark, sf), K, "net", _PKV, "mixture")["mixture_splits"]
+    return rnd(out, {"threshold": 6})
+
+
 def _e5_sql():
     ff = """ff AS (SELECT time_bucket_local, last_value(purchase IGNORE NULLS) OVER (ORDER BY time_bucket_local
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS purchase FROM f1)"""

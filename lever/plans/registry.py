@@ -681,6 +681,99 @@ def q_dispatch(spark, sf):
     return _imp(M.dispatch_importance(d, K, F2O, ["l_extendedprice"], "net", selected))
 
 
+def _elimination(name, src, p, models):
+    """CTEs up to ``{name}(machine, fold, model, w0, ..., b0)``: least squares with a ridge per model (name -> alpha)
+    from the sums in ``src`` (n, sy, s_i, s_iy, s_i_j), by Gauss elimination written out step by step."""
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    out = [f"{name}g AS (SELECT machine, fold, n, sy, " + ", ".join(
+        [f"s_{i} AS s{i}" for i in range(p)] + [f"s_{i}y - s_{i} * sy / n AS c{i}" for i in range(p)]
+        + [f"s_{i}_{j} - s_{i} * s_{j} / n AS g{i}_{j}" for i, j in pairs]) + f" FROM {src})"]
+    keep = "machine, fold, model, n, sy, " + ", ".join(f"s{i}" for i in range(p))
+    out.append(f"{name}e0 AS (" + " UNION ALL ".join(
+        f"SELECT machine, fold, '{m}' AS model, n, sy, " + ", ".join(
+            [f"s{i}" for i in range(p)] + [f"c{i}" for i in range(p)]
+            + [f"g{i}_{j}{f' + {alpha}' if i == j else ''} AS g{i}_{j}" for i, j in pairs]) + f" FROM {name}g"
+        for m, alpha in models.items()) + ")")
+    for k in range(p - 1):
+        cols = [f"c{i}" if i <= k else f"c{i} - g{k}_{i} / g{k}_{k} * c{k} AS c{i}" for i in range(p)]
+        cols += [f"g{i}_{j}" if i <= k else f"g{i}_{j} - g{k}_{i} / g{k}_{k} * g{k}_{j} AS g{i}_{j}" for i, j in pairs]
+        out.append(f"{name}e{k + 1} AS (SELECT {keep}, {', '.join(cols)} FROM {name}e{k})")
+    last = f"{name}e{p - 1}"
+    for i in reversed(range(p)):
+        done = "".join(f" - g{i}_{j} * w{j}" for j in range(i + 1, p))
+        out.append(f"{name}b{i} AS (SELECT *, (c{i}{done}) / g{i}_{i} AS w{i} FROM {last})")
+        last = f"{name}b{i}"
+    out.append(f"{name} AS (SELECT *, (sy{''.join(f' - w{i} * s{i}' for i in range(p))}) / n AS b0 FROM {last})")
+    return out
+
+
+def _sums(p, y):
+    cols = {"n": "count(*)", "sy": f"sum({y})"}
+    cols |= {f"s_{i}": f"sum(x{i})" for i in range(p)} | {f"s_{i}y": f"sum(x{i} * {y})" for i in range(p)}
+    return cols | {f"s_{i}_{j}": f"sum(x{i} * x{j})" for i in range(p) for j in range(i, p)}
+
+
+def _fold_sums(name, src, p, y):
+    """``{name}(machine, fold, ...)``: the sums of ``src`` over all other folds."""
+    cols = _sums(p, y)
+    return [f"{name}f AS (SELECT machine, fold, {', '.join(f'{e} AS {c}' for c, e in cols.items())} FROM {src} GROUP BY ALL)",
+            f"""{name} AS (SELECT machine, fold, {', '.join(f'sum({c}) OVER w - {c} AS {c}' for c in cols)} FROM {name}f
+  WINDOW w AS (PARTITION BY machine))"""]
+
+
+_P6 = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice"]
+_LS = {m: M.IMPORTANCE_MODELS[m] for m in ("LinearRegression", "Ridge")}
+
+
+def _imp6_ctes():
+    allc = [*_P6, "net"]
+    return [
+        f"""mm AS (SELECT machine, {', '.join(f'min({c}) AS lo_{c}, max({c}) AS hi_{c}' for c in allc)} FROM f2 GROUP BY machine)""",
+        f"""fo AS (SELECT machine, {', '.join(f'({c} - lo_{c}) / (hi_{c} - lo_{c}) AS x{i}' for i, c in enumerate(_P6))},
+  (net - lo_net) / (hi_net - lo_net) AS y, ntile(10) OVER (PARTITION BY machine ORDER BY {ORD}) - 1 AS fold
+  FROM f2 JOIN mm USING (machine))""",
+        *_fold_sums("tr", "fo", 6, "y"), *_elimination("sv", "tr", 6, {m: a for m, (_, a) in _LS.items()}),
+        "imp AS (" + " UNION ALL ".join(
+            f"SELECT machine, model, '{c}' AS feature, avg(abs(w{i})) AS feature_importance FROM sv GROUP BY ALL"
+            for i, c in enumerate(_P6)) + ")"]
+
+
+@query("least_squares_importance_all_features", W(F2C, *_imp6_ctes()) + """SELECT machine, model, feature,
+  round(feature_importance, 6) AS feature_importance, round(-feature_importance, 6) AS index FROM imp""")
+def q_least_squares_all(spark, sf):
+    return _imp(M.linear_importance_all(f2(spark, sf), K, F2O, _P6, "net", _LS))
+
+
+_LS_CV = {m: M.RANKING_MODELS[m] for m in _LS}
+
+
+def _rank_linear_sql():
+    pred = "b0 + " + " + ".join(f"w{i} * x{i}" for i in range(6))
+    return W(F2C, *_imp6_ctes(),
+             f"""cd AS (SELECT machine, {', '.join(f'{c} AS x{i}' for i, c in enumerate(_P6))}, net AS y, _h % 5 AS fold
+  FROM f2 WHERE _h % 1000 < 800)""",
+             "cm AS (SELECT machine, " + ", ".join(f"avg(x{i}) AS m{i}" for i in range(6)) + ", avg(y) AS my FROM cd GROUP BY machine)",
+             "cz AS (SELECT machine, fold, " + ", ".join(f"x{i} - m{i} AS x{i}" for i in range(6))
+             + ", y - my AS z, y FROM cd JOIN cm USING (machine))",
+             *_fold_sums("ct", "cz", 6, "z"), *_elimination("cv", "ct", 6, {m: a for m, (_, a) in _LS_CV.items()}),
+             f"""pf AS (SELECT machine, model, fold, avg(abs(z - ({pred})) / greatest(abs(y), {EPS_SQL})) AS mape
+  FROM cz JOIN cv USING (machine, fold) GROUP BY ALL)""",
+             "sc AS (SELECT machine, model, avg(mape) * 100 AS abs_mape_pct FROM pf GROUP BY ALL)", _sel_sql(),
+             """rk AS (SELECT machine, model, feature, feature_importance, -feature_importance AS index,
+  row_number() OVER (PARTITION BY machine ORDER BY -feature_importance, feature) AS rank FROM imp JOIN sel USING (machine, model))""") + \
+        """SELECT machine, model, feature, round(feature_importance, 6) AS feature_importance, round(index, 6) AS index, rank,
+  round(max(index) OVER (PARTITION BY machine) - index, 6) AS bar FROM rk WHERE rank <= 10"""
+
+
+@query("rank_drivers_linear", _rank_linear_sql())
+def q_rank_drivers_linear(spark, sf):
+    d = f2(spark, sf)
+    scores = M.cv_scores(d, K, _P6, "net", _LS_CV, hash_col="_h")
+    selected = M.select_model(scores, K, list(_LS_CV))
+    imp = M.dispatch_importance(d, K, F2O, _P6, "net", selected)
+    return rnd(M.top_features(imp, K, 10), {"feature_importance": 6, "index": 6, "bar": 6})
+
+
 @query("forest_importance")
 def q_forest(spark, sf):
     d = f1(spark, sf)

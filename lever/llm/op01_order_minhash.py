@@ -146,7 +146,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def sketch(batches):
         for batch in batches:
             digests = batch.column("digest").to_pylist()
-            for ids, block in text_blocks([batch], "id", "text"):
+            for ids, block in text_blocks([batch], "id", "text", 1 << 19):
                 keys = sketch_keys(block)
                 ends = np.cumsum([0] + [len(k) for k in keys], dtype=np.int32)
                 flat = np.concatenate(keys)

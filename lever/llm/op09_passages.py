@@ -123,7 +123,7 @@ def _units(source: DataFrame, how: Passages) -> DataFrame:
             tkeys = batch.column("tkey").to_pylist()
             ids = batch.column("id").to_pylist()
             numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column("text")], ["id", "text"])
-            for rows, texts in text_blocks([numbered], "id", "text"):
+            for rows, texts in text_blocks([numbered], "id", "text", 1 << 19):
                 found = units(texts, how)
                 if found is None:
                     continue
@@ -144,7 +144,7 @@ def _units(source: DataFrame, how: Passages) -> DataFrame:
 def _paragraphs(source: DataFrame, how: Passages) -> DataFrame:
     """(h1, h2, content) of the banded paragraphs."""
     def run(batches):
-        for _, texts in text_blocks(batches, "id", "text"):
+        for _, texts in text_blocks(batches, "id", "text", 1 << 19):
             lines = [x for t in texts for x in (t or b"").split(b"\n")]
             words = WordHashes(lines)
             starts, ends = words.bounds[:-1], words.bounds[1:]

@@ -7,23 +7,36 @@ space-separated words, one after the other.
 
 from __future__ import annotations
 
+from unicodedata import is_normalized
+
 import numpy as np
 
 _ENDS = frozenset(b".,")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
+#: How byte-level tokenizers write bytes: printable ones as themselves, the others from U+0100 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
         super().__init__()
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
         self._most, self._longest = most, longest
 
     def _encoded(self, word: bytes) -> bytes:
-        ids = self._tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        text = word.decode("utf-8", "replace")
+        low = text.lower()
+        # Latin letters only: one piece, and nothing to normalise but the case, so the merges do alone
+        if low.isalpha() and max(low) < "\u0250" and len(low) == len(text) and is_normalized("NFC", text):
+            ids = [t.id for t in self._model.tokenize(low.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        else:
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:

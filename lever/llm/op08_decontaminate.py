@@ -201,11 +201,22 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int)
 _FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>, longest_match bigint"
 
 
+def _found(batch: pa.RecordBatch, text: str, automaton: ItemAutomaton) -> list[tuple]:
+    """(words, spans, items, longest match) of each row, with what earlier blocks found, if the batch has it."""
+    texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(text)], ["id", "text"])
+    found = [x for _, block in text_blocks([texts], "id", "text") for x in find_hits(automaton, block)]
+    if "spans" not in batch.schema.names:
+        return found
+    old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(),
+              batch.column("longest_match").to_pylist())
+    return [(n, _merged(spans + [(s["start"], s["end"]) for s in o[0]]), items | set(o[1]), max(longest, o[2]))
+            for (n, spans, items, longest), o in zip(found, old)]
+
+
 def _scan(docs: DataFrame, block: list, text: str, window: int) -> DataFrame:
     """``docs`` with what it has found merged with what this block finds (columns of _FOUND)."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items", "longest_match")]
-    had = len(names) < len(docs.columns)
     schema = docs.select(*[col(c) for c in names])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields] + [_FOUND])
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -213,14 +224,7 @@ def _scan(docs: DataFrame, block: list, text: str, window: int) -> DataFrame:
     def run(batches):
         automaton = ItemAutomaton(shared.value, window)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(text)], ["id", "text"])
-            found = [x for _, block_texts in text_blocks([texts], "id", "text")
-                     for x in find_hits(automaton, block_texts)]
-            if had:
-                old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(),
-                          batch.column("longest_match").to_pylist())
-                found = [(n, _merged(spans + [(s["start"], s["end"]) for s in o[0]]), items | set(o[1]),
-                          max(longest, o[2])) for (n, spans, items, longest), o in zip(found, old)]
+            found = _found(batch, text, automaton)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
                 + [pa.array([f[0] for f in found], pa.int64()),
@@ -276,17 +280,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", cha
     place = names.index(text_col)
     spare = [f"c{i}" for i in range(len(names))]
     out = docs.toDF(*spare)
-    for block in list(item_blocks(items, item_id, item_text, block_words)) or [[]]:
+    *blocks, last = list(item_blocks(items, item_id, item_text, block_words)) or [[]]
+    for block in blocks:
         out = _scan(out, block, spare[place], window)
+    shared = docs.sparkSession.sparkContext.broadcast(last)
     chars = names.index(chars_col) if chars_col in names else None
 
-    def run(batches):
+    def run(batches):  # the last block's scan also cuts
+        automaton = ItemAutomaton(shared.value, window)
         for batch in batches:
-            texts = byte_values(batch, spare[place])
-            spans = batch.column("spans").to_pylist()
             keep, cut = [], []
-            for text, n, hits in zip(texts, batch.column("n_words").to_pylist(), spans):
-                hits = [(s["start"], s["end"]) for s in hits]
+            for text, (n, hits, _, _) in zip(byte_values(batch, spare[place]), _found(batch, spare[place], automaton)):
                 keep.append(100 * sum(b - a for a, b in hits) <= max_hit_percent * n)
                 hits = [(a, b) for a, b in hits if b - a >= least_span]
                 cut.append(without(text, hits).decode("utf-8", "replace") if hits else None)

@@ -73,3 +73,12 @@ def test_empty_tables(spark):
 
 def test_text_positions():
     assert op08.without("é b, c d".encode(), [(1, 3)]) == "é  d".encode()
+
+
+def test_cutting_in_blocks(spark):
+    r = rng(9)
+    items = [(i, " ".join(words(r, 20, 300))) for i in range(12)]
+    docs = frame(spark, [" ".join(words(r, 60)) + " " + items[i % 12][1] + " " + " ".join(words(r, 60)) for i in range(24)])
+    bench = spark.createDataFrame(items, ITEM)
+    one, many = (op08.decontaminate(docs, bench, block_words=n).orderBy("doc_id").collect() for n in (10**5, 50))
+    assert one == many and all(items[x.doc_id % 12][1] not in x.text for x in one) and len(one) == 24

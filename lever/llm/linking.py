@@ -1,14 +1,14 @@
 """From bucket keys to verified links to classes, for near-duplicate operators.
 
-Items that share a bucket key are candidates.  A bucket's pairs are never all
-emitted; the pairs made grow with its members, not with their square.  First
-every member meets the bucket's leaders, the first members by four orders of the
-ids that hold for all buckets, so a group of thousands of near copies meets the
-same few leaders everywhere, and a bucket of two or three is checked in full.
-The links found are closed to classes.  Then, where a bucket still holds several
-classes, one member of each meets one of the next, by two other orders.  Two
-similar items share many buckets, all the smaller the less like the rest they
-are, so a pair that no bucket brings together has to be linked through others.
+Items that share a bucket key are candidates.  First every member of a bucket
+meets the bucket's leaders: the first members by four orders of the ids that hold
+for all buckets, and the member that shares its buckets with most others, as an
+original does among its copies.  The links found are closed to classes.  As long
+as that leaves many pairs in different classes, and each round fewer, new leaders
+are elected among the members outside a bucket's largest class.  At the end all
+pairs of a bucket that are still in different classes are made and checked, so
+no candidate is left out; the rounds before only keep large groups of copies, a
+class each by then, from being compared pair by pair.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lever.llm.common import written
@@ -95,11 +95,47 @@ def checked(pairs: DataFrame, contents: DataFrame, similar: Callable[[bytes, byt
 
 
 #: Orders of ids: by the id with these bits turned, turned back afterwards; -1 is the falling order.
-_LEADERS, _CHAINS = (0, -1, 0x5555555555555555, 0x3333333333333333), (0x2AAAAAAAAAAAAAAA, 0x0F0F0F0F0F0F0F0F)
+_LEADERS = (0, -1, 0x5555555555555555, 0x3333333333333333)
+#: Pairs for each row of a bucket that are made without a further round of leaders.
+_FEW = 2
+_SALTED = 512  # members of a bucket that one task pairs with others
 
 
-def _turned(order: int):
-    return F.col("id").bitwiseXOR(F.lit(order))
+def _leader_pairs(members: DataFrame) -> DataFrame:
+    """(id, other): every member with its bucket's leaders."""
+    firsts = [F.min(F.col("id").bitwiseXOR(F.lit(o))).alias(f"l{i}") for i, o in enumerate(_LEADERS)]
+    leaders = members.groupBy("key").agg(*firsts, F.max_by("id", "shared").alias("most"))
+    met = F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_LEADERS)], F.col("most"))
+    return members.join(leaders, "key").select("id", F.explode(F.array_distinct(met)).alias("other")).filter("id <> other")
+
+
+def _open_buckets(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, id, shared, root, main, n, apart) of buckets that hold several classes: the largest one and the pairs apart."""
+    held = members.join(root, "id", "left").select("key", "id", "shared", F.coalesce("root", "id").alias("root"))
+    parts = held.groupBy("key", "root").agg(F.count("*").alias("c"))
+    several = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"),
+                                       F.max_by("root", "c").alias("main")).filter("k > 1") \
+        .select("key", "n", "main", ((F.col("n") * F.col("n") - F.col("q")) / 2).cast("long").alias("apart"))
+    return written(held.join(several, "key"), "open")
+
+
+def _next_pairs(held: DataFrame, step: int) -> DataFrame:
+    """(id, other): members with new leaders from outside the largest class, of other classes than theirs."""
+    outside = F.col("root") != F.col("main")
+    draw = F.when(outside, F.xxhash64("id", F.lit(step)))
+    leaders = held.groupBy("key").agg(F.max_by("id", F.when(outside, F.col("shared"))).alias("a"), F.max_by("id", draw).alias("b"),
+                                      F.min_by("id", draw).alias("c"), F.max_by("id", F.xxhash64("id", F.lit(-step))).alias("d"))
+    leaders = leaders.select("key", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("other"))
+    return held.join(leaders, "key").select("id", "other").filter("id <> other")
+
+
+def _all_pairs(held: DataFrame) -> DataFrame:
+    """(id, other): all pairs of a bucket in different classes, once in each bucket."""
+    salts = F.ceil(F.col("n") / _SALTED).cast("int")
+    some = held.filter("root <> main").select("key", "id", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    others = held.select("key", F.col("id").alias("other"), F.col("root").alias("other_root"),
+                         F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), (F.col("root") == F.col("main")).alias("is_main"))
+    return some.join(others, ["key", "salt"]).filter("root <> other_root AND (is_main OR id < other)").select("id", "other")
 
 
 def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
@@ -107,47 +143,47 @@ def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
     """(id, root) for the ids of ``keyed`` (id, keys: distinct longs) that have a similar partner.
 
     ``contents`` gives (id, content) for a frame of ids.  Contents are compared
-    of pairs that share at least ``agree`` keys.
+    of pairs that share at least ``agree`` keys; all those, but where links found
+    before have joined the two.
     """
     rows = keyed.select("id", F.explode("keys").alias("key"))
-    firsts = [F.min(_turned(o)).alias(f"l{i}") for i, o in enumerate(_LEADERS)]
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), *firsts).filter("n > 1")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = written(rows.join(buckets, "key"), "buckets")
-    tested = root = None
-    for step in range(2):
+    shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
+    members = written(members.select("key", "id").join(shared, "id"), "members")
+    rows = members.count()
+    root = members.limit(0).select("id", F.col("id").alias("root"))
+    tested, apart, step, last = None, None, 0, False
+    while True:
         if step == 0:
-            met = F.explode(F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_LEADERS)])))
-            pairs = members.select("id", met.alias("other")).filter("id <> other")
+            pairs = _leader_pairs(members)
         else:
-            held = members.filter("n > 3").select("key", "id").join(root, "id", "left") \
-                .select("key", "id", F.coalesce("root", "id").alias("root"))
-            parts = held.groupBy("key", "root").agg(*[F.min(_turned(o)).alias(f"c{i}") for i, o in enumerate(_CHAINS)])
-            several = parts.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-            parts = written(parts.join(several, "key"), "apart")
-            pairs = None
-            for i, order in enumerate(_CHAINS):
-                after = F.lead(f"c{i}").over(Window.partitionBy("key").orderBy(f"c{i}"))
-                found = parts.select(F.col(f"c{i}").bitwiseXOR(F.lit(order)).alias("id"),
-                                     after.bitwiseXOR(F.lit(order)).alias("other")).filter("other IS NOT NULL")
-                pairs = found if pairs is None else pairs.union(found)
+            held = _open_buckets(members, root)
+            before = apart
+            apart = held.select("key", "apart").distinct().agg(F.sum("apart")).first()[0] or 0
+            if not apart:
+                return root
+            # another round only while each leaves much less than the one before
+            last = apart <= _FEW * rows or (before is not None and apart > 0.7 * before)
+            pairs = _all_pairs(held) if last else _next_pairs(held, step)
         pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")) \
             .groupBy("u", "v").count()
-        # similar items share many buckets; what shares one with a leader meets others in the rest
-        pairs = pairs.filter(F.col("count") >= (min(agree, 2) if step == 0 else 1)).drop("count")
+        # similar items share many buckets; what shares one with a leader meets others in the rest.  The last step
+        # makes a pair in every bucket that it shares
+        pairs = pairs.filter(F.col("count") >= (agree if last else min(agree, 2))).drop("count")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = tested = written(pairs, "pairs")
-        if agree > 1:
+        pairs = written(pairs, "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        if agree > 1 and not last:
             left, right = (keyed.select(F.col("id").alias(c), F.col("keys").alias(f"{c}_keys")) for c in "uv")
             both = pairs.join(left, "u").join(right, "v")
             pairs = written(both.filter(F.size(F.array_intersect("u_keys", "v_keys")) >= agree).select("u", "v"), "likely")
-        if pairs.isEmpty():
-            if root is None:
-                root = pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            continue
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        links = checked(pairs, written(contents(ids), "contents"), similar)
-        if root is not None:  # the classes so far stand for the links they came from
-            links = links.union(root)
-        root = written(components(links), "classes")
-    return root
+        if not pairs.isEmpty():
+            ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+            # the classes so far stand for the links they came from
+            links = checked(pairs, written(contents(ids), "contents"), similar).union(root)
+            root = written(components(links), "classes")
+        if last:
+            return root
+        step += 1

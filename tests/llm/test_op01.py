@@ -4,7 +4,7 @@ from hypothesis import given, settings, strategies as st
 
 from lever.llm import op01_order_minhash as op01
 from lever.llm.common import normal_words
-from lever.llm.linking import components
+from lever.llm.linking import classes, components
 from tests.llm.helpers import DOC, edited, frame, rng, words
 
 
@@ -67,6 +67,38 @@ def test_classes_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_original_with_copies_unlike_each_other(spark):
+    r = rng()
+    base = " ".join(words(r, 120, 10**6))
+    texts = [edited(r, base, 2) for _ in range(1000)]
+    texts.insert(500, base)  # neither the least nor the greatest id
+    alike = [i for i, t in enumerate(texts) if op01.similar(base.encode(), t.encode())]
+    assert len(alike) > 900  # edits that lie close together take fewer k-mers, those far apart just what the threshold allows
+    got = {x.doc_id: x.class_id for x in op01.near_duplicates(frame(spark, texts)).collect()}
+    # a pair at the threshold agrees in fewer than AGREE sketches once in a thousand times
+    assert sum(got[i] != got[500] for i in alike) <= 3
+
+
+def test_every_candidate_pair_is_checked(spark):
+    # one bucket, six stars: leaves are like their centre only, which no order of the ids puts first
+    r, ids = rng(), [i * 7919 for i in range(1, 601)]
+    r.shuffle(ids)
+    star = {i: n % 6 for n, i in enumerate(ids)}
+    centre = {s: next(i for i in ids[300:] if star[i] == s) for s in range(6)}
+    keyed = spark.createDataFrame([(i, [5]) for i in ids], "id bigint, keys array<bigint>")
+
+    def contents(wanted):
+        return wanted.selectExpr("id", "cast(cast(id as string) as binary) AS content")
+
+    def similar(a, b):
+        a, b = int(a), int(b)
+        return star[a] == star[b] and centre[star[a]] in (a, b)
+
+    got = {x.id: x.root for x in classes(keyed, contents, similar).collect()}
+    least = {s: min(i for i in ids if star[i] == s) for s in range(6)}
+    assert got == {i: least[star[i]] for i in ids}
+
+
 def test_order_counts(spark):
     r = rng()
     blocks = [" ".join(words(r, 50)) for _ in range(4)]

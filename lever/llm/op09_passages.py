@@ -5,17 +5,18 @@ signature over its five-word shingles, cut in bands tuned for high recall;
 paragraphs that collide in a band are joined and verified by exact Jaccard
 similarity of at least 0.8; classes are the components of verified links.
 
-Lines of more than ``long_line`` words are also cut into short segments where
-the word hash is least among its neighbours, so equal passages are cut alike
-wherever they stand in a line.  Segments and shorter lines with equal words
-form classes by a 128-bit digest.
-
-In a document, neighbouring members of classes that span several documents form
-a run.  A run whose members hold ``least_words`` words is a repeated passage:
-any exact repeat of fifty words holds that many with all but certainty.  Of each
-class the document with the least id keeps its members; the members elsewhere
+Of each class the document with the least id keeps its paragraphs; those elsewhere
 are cut out.
 
+In what is left, a passage of at least ``least_words`` words that stands in several
+documents is found wherever it stands, in one line or over many: every
+``least_words`` words in a row are a window, a window that several documents have
+is kept in the one with the least id, and words in windows kept elsewhere are cut.
+A word is only cut where an earlier document keeps it, as windows do not reach
+into paragraphs that are cut.  To find such windows without shuffling all, each
+gives the least hash of its runs of ``print_words`` words; only windows whose print
+several documents have are compared.  Equal windows have equal prints, so none is missed.
+
 Null and empty texts have no paragraphs.  Rows with the same id and text are one
 document: their passages do not repeat by that alone.  Rows without an id keep
 nothing that a row with one has.  Words are normalised (letters, digits, A-Z lower-cased).
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lever.llm.common import byte_values, col, normal_words, text_blocks, written
-from lever.llm.hashing import WordHashes, mixed, odd_factors, shingles, span_hashes, valleys
+from lever.llm.hashing import WordHashes, mixed, odd_factors, shingles, span_hashes
 from lever.llm.linking import classes, maybe_in
 from lever.llm.op08_decontaminate import without
 
@@ -42,12 +43,11 @@ WIDTH, THRESHOLD = 5, 0.8
 
 @dataclass(frozen=True)
 class Passages:
-    long_line: int = 64
-    reach: int = 4  # segments have at least so many words
     banded_words: int = 20
     band_rows: int = 3
     missed: float = 5e-4  # how many pairs just at the threshold the bands may miss
-    least_words: int = 20
+    least_words: int = 50
+    print_words: int = 26
     gap_words: int = 3
 
     @property
@@ -55,36 +55,44 @@ class Passages:
         return math.ceil(math.log(self.missed) / math.log(1 - THRESHOLD ** self.band_rows))
 
 
-def units(texts: list[bytes | None], how: Passages):
-    """Of a block of texts: (owner, start, n, h1, h2, keys, banded) of each unit, keys (units, bands) for the banded
-    ones.  Units are lines and the segments of long lines; starts count words in the text."""
+def paragraphs(texts: list[bytes | None], how: Passages):
+    """Of a block of texts: (owner, start, n, h1, h2, keys) of each line of at least ``banded_words`` words; starts
+    count words in the text."""
     words = WordHashes(texts)
     hashes, n = words.hashes, len(words.hashes)
     if not n:
         return None
     newline = np.flatnonzero(np.frombuffer(words.data, np.uint8) == 10)
-    line = np.searchsorted(newline, words.starts)
-    first = np.flatnonzero(np.diff(line, prepend=-1))
-    lines = np.column_stack([first, np.append(first[1:], n)])
-    sizes = lines[:, 1] - lines[:, 0]
-    long = sizes > how.long_line
-    order = mixed(hashes + np.roll(hashes, 1) * np.uint64(3))
-    cut = valleys(order, how.reach)
-    owner = np.searchsorted(first, cut, "right") - 1
-    ok = long[owner] & (cut - how.reach > lines[owner, 0]) & (cut + how.reach < lines[owner, 1])
-    cut = cut[ok]
-    edges = np.unique(np.concatenate([first[long], lines[long, 1], cut]))
-    starts, ends = edges[:-1], edges[1:]
-    inside = long[np.searchsorted(first, starts, "right") - 1] if len(starts) else np.zeros(0, bool)
-    starts = np.concatenate([starts[inside], lines[:, 0]])
-    ends = np.concatenate([ends[inside], lines[:, 1]])
-    banded = np.zeros(len(starts), bool)
-    banded[len(starts) - len(lines):] = sizes >= how.banded_words
-    keep = ends - starts >= how.reach
-    starts, ends, banded = starts[keep], ends[keep], banded[keep]
+    first = np.flatnonzero(np.diff(np.searchsorted(newline, words.starts), prepend=-1))
+    starts, ends = first, np.append(first[1:], n)
+    keep = ends - starts >= how.banded_words
+    starts, ends = starts[keep], ends[keep]
     doc = np.searchsorted(words.bounds, starts, "right") - 1
     return (doc, starts - words.bounds[doc], ends - starts, span_hashes(hashes, starts, ends, 11),
-            span_hashes(hashes, starts, ends, 23), _band_keys(hashes, starts[banded], ends[banded], how), banded)
+            span_hashes(hashes, starts, ends, 23), _band_keys(hashes, starts, ends, how))
+
+
+def windows(texts: list[bytes | None], cuts: list, how: Passages):
+    """Of a block of texts: (owner, start, print, at, hashes) of each run of ``least_words`` words outside the text's
+    ``cuts``; ``at`` counts words in the block, as ``hashes`` has them."""
+    words = WordHashes(texts)
+    n, bounds = len(words.hashes), words.bounds
+    if n < how.least_words:
+        return None
+    stop = np.repeat(bounds[1:], np.diff(bounds))  # where the stretch ends that a word is in; 0 if it is cut
+    for i, spans in enumerate(cuts):
+        for x in spans or ():
+            start, end = bounds[i] + x["start"], bounds[i] + x["end"]
+            stop[bounds[i]:start] = np.minimum(stop[bounds[i]:start], start)
+            stop[start:end] = 0
+    at = np.flatnonzero(stop - np.arange(n) >= how.least_words)
+    if not len(at):
+        return None
+    starts = np.arange(n - how.print_words + 1)
+    prints = span_hashes(words.hashes, starts, starts + how.print_words, 31)
+    least = np.lib.stride_tricks.sliding_window_view(prints, how.least_words - how.print_words + 1).min(axis=1)
+    owner = np.searchsorted(bounds, at, "right") - 1
+    return owner, at - bounds[owner], least[at], at, words.hashes
 
 
 def _band_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: Passages) -> np.ndarray:
@@ -114,33 +122,84 @@ def similar(a: bytes, b: bytes) -> bool:
     return common >= THRESHOLD * (len(x) + len(y) - common) - 1e-9
 
 
+def _numbered(batches, *columns: str):
+    """Blocks of texts: (place of each row in the batch, texts, values of ``columns`` in the whole batch)."""
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in columns]
+        numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column("text")], ["id", "text"])
+        for rows, texts in text_blocks([numbered], "id", "text", 1 << 19):
+            yield rows, texts, values
+
+
 def _units(source: DataFrame, how: Passages) -> DataFrame:
-    """(id, tkey, start, n, h1, h2, keys) of the units of ``source`` (id, tkey, text)."""
+    """(id, tkey, start, n, h1, h2, keys) of the paragraphs of ``source`` (id, tkey, text)."""
     id_type = to_arrow_schema(source.schema).field("id").type
 
     def run(batches):
-        for batch in batches:
-            tkeys = batch.column("tkey").to_pylist()
-            ids = batch.column("id").to_pylist()
-            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column("text")], ["id", "text"])
-            for rows, texts in text_blocks([numbered], "id", "text", 1 << 19):
-                found = units(texts, how)
-                if found is None:
-                    continue
-                doc, start, n, h1, h2, keys, banded = found
-                doc = doc + rows[0]
-                ends = np.concatenate([[0], np.cumsum(np.where(banded, how.bands, 0))]).astype(np.int32)
-                key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[d] for d in doc.tolist()], id_type), pa.array([tkeys[d] for d in doc.tolist()]),
-                     pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)),
-                     pa.array(h2.view(np.int64)), key_lists],
-                    names=["id", "tkey", "start", "n", "h1", "h2", "keys"])
+        for rows, texts, (ids, tkeys) in _numbered(batches, "id", "tkey"):
+            found = paragraphs(texts, how)
+            if found is None:
+                continue
+            doc, start, n, h1, h2, keys = found
+            doc = doc + rows[0]
+            ends = (np.arange(len(doc) + 1) * how.bands).astype(np.int32)
+            key_lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[d] for d in doc.tolist()], id_type), pa.array([tkeys[d] for d in doc.tolist()], pa.int64()),
+                 pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)),
+                 pa.array(h2.view(np.int64)), key_lists],
+                names=["id", "tkey", "start", "n", "h1", "h2", "keys"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
                                   "h1 bigint, h2 bigint, keys array<bigint>")
 
 
+def _prints(source: DataFrame, how: Passages) -> DataFrame:
+    """(id, tkey, print) of the windows of ``source`` (id, tkey, text, cuts), each print once a text."""
+    id_type = to_arrow_schema(source.schema).field("id").type
+
+    def run(batches):
+        for rows, texts, (ids, tkeys, cuts) in _numbered(batches, "id", "tkey", "cuts"):
+            found = windows(texts, cuts[rows[0]:rows[-1] + 1], how)
+            if found is None:
+                continue
+            owner, _, prints, _, _ = found
+            order = np.lexsort((prints, owner))
+            owner, prints = owner[order], prints[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (prints[1:] != prints[:-1]))
+            doc = (owner[new] + rows[0]).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[d] for d in doc], id_type), pa.array([tkeys[d] for d in doc], pa.int64()),
+                 pa.array(prints[new].view(np.int64))], names=["id", "tkey", "print"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, print bigint")
+
+
+def _windows(source: DataFrame, how: Passages) -> DataFrame:
+    """(id, tkey, start, n, h1, h2) of the windows of ``source`` (id, tkey, text, cuts, prints) with one of the prints."""
+    id_type = to_arrow_schema(source.schema).field("id").type
+
+    def run(batches):
+        for rows, texts, (ids, tkeys, cuts, prints) in _numbered(batches, "id", "tkey", "cuts", "prints"):
+            found = windows(texts, cuts[rows[0]:rows[-1] + 1], how)
+            if found is None:
+                continue
+            owner, start, own, at, hashes = found
+            edges = np.searchsorted(owner, np.arange(len(rows) + 1))
+            keep = np.concatenate([np.isin(own[a:b].view(np.int64), np.array(prints[r], np.int64))
+                                   for r, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist())])
+            doc, start, at = (owner[keep] + rows[0]).tolist(), start[keep], at[keep]
+            h1, h2 = (span_hashes(hashes, at, at + how.least_words, seed) for seed in (11, 23))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[d] for d in doc], id_type), pa.array([tkeys[d] for d in doc], pa.int64()),
+                 pa.array(start.astype(np.int32)), pa.array(np.full(len(doc), how.least_words, np.int32)),
+                 pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                names=["id", "tkey", "start", "n", "h1", "h2"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
+                                  "h1 bigint, h2 bigint")
+
+
 def _paragraphs(source: DataFrame, how: Passages) -> DataFrame:
     """(h1, h2, content) of the banded paragraphs."""
     def run(batches):
@@ -159,19 +218,27 @@ def _paragraphs(source: DataFrame, how: Passages) -> DataFrame:
     return source.mapInArrow(run, "h1 bigint, h2 bigint, content binary")
 
 
-def _members(source: DataFrame, how: Passages) -> DataFrame:
-    """(id, tkey, start, n, class, keep_id, keep_tkey): the units in classes that span documents."""
-    found = written(_units(source, how), "units")
-    where = ["id", "tkey", "start", "n"]
+def _spanning(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, keep_id) of the groups of ``rows`` (id, tkey and ``by``) that several documents have."""
+    # a struct's min is not map-side cheap for many rows, two plain ones are: least id, then least text of that id
+    return rows.groupBy(*by).agg(F.min("id").alias("keep_id"), F.min("tkey").alias("t0"), F.max("tkey").alias("t1"),
+                                 F.max("id").alias("i1")) \
+        .filter("t0 <> t1 OR keep_id <> i1").select(*by, "keep_id")
 
-    # equal units
-    several = written(found.groupBy("h1", "h2").count().filter("count > 1").drop("count"), "repeated-units")
-    maybe, _ = maybe_in(found.drop("keys"), "h1", several.select("h1"))
-    equal = maybe.join(several, ["h1", "h2"]).select(*where, F.struct("h1", "h2").alias("class"))
 
-    # similar paragraphs
-    banded = found.filter("size(keys) > 0")
-    nodes = written(banded.groupBy("h1", "h2").agg(F.first("keys").alias("keys"))
+def _kept(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(id, tkey, start, end, own, keep_id): the members of classes that several documents have; are they kept here?"""
+    kept = rows.join(_spanning(rows, by), by)
+    first = kept.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*by).agg(F.min("tkey").alias("keep_tkey"))
+    own = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tkey") == F.col("keep_tkey"))
+    return kept.join(first, by).select("id", "tkey", "start", (F.col("start") + F.col("n")).alias("end"),
+                                       own.alias("own"), "keep_id")
+
+
+def _repeated_paragraphs(source: DataFrame, how: Passages) -> DataFrame:
+    """The paragraphs that are equal or similar to those of other documents, as ``_kept`` gives them."""
+    banded = written(_units(source, how), "units")
+    nodes = written(banded.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"))
                     .withColumn("node", F.monotonically_increasing_id()), "paragraphs")
 
     def contents(ids: DataFrame) -> DataFrame:
@@ -184,34 +251,51 @@ def _members(source: DataFrame, how: Passages) -> DataFrame:
             .select(F.col("node").alias("id"), "content")
 
     root = classes(nodes.select(F.col("node").alias("id"), "keys"), contents, similar)
-    linked = written(nodes.join(root, nodes["node"] == root["id"]).select("h1", "h2", "root"), "linked")
+    linked = nodes.join(root, nodes["node"] == root["id"], "left").filter("copies > 1 OR root IS NOT NULL")
+    linked = written(linked.select("h1", "h2", F.coalesce("root", "node").alias("class")), "linked")
     maybe, _ = maybe_in(banded.drop("keys"), "h1", linked.select("h1"))
-    alike = maybe.join(linked, ["h1", "h2"]) \
-        .select(*where, F.struct(F.col("root").alias("h1"), F.lit(None).cast("bigint").alias("h2")).alias("class"))
+    members = written(maybe.join(linked, ["h1", "h2"]).select("id", "tkey", "start", "n", "class"), "members")
+    return written(_kept(members, ["class"]), "repeated-paragraphs")
 
-    both = written(equal.union(alike), "members")
-    # a struct's min is not map-side cheap for many rows, two plain ones are: least id, then least text of that id
-    spans = both.groupBy("class").agg(F.min("id").alias("keep_id"), F.min("tkey").alias("t0"), F.max("tkey").alias("t1"),
-                                      F.max("id").alias("i1")) \
-        .filter("t0 <> t1 OR keep_id <> i1").select("class", "keep_id")
-    kept = both.join(spans, "class")
-    first = kept.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("class").agg(F.min("tkey").alias("keep_tkey"))
-    return kept.join(first, "class")
+
+def _with(source: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """``source`` joined with ``found`` (id, tkey and others), of which there is one row a document."""
+    found = found.withColumnRenamed("id", "_id").withColumnRenamed("tkey", "_tkey")
+    on = (F.col("tkey") == F.col("_tkey")) & F.col("id").eqNullSafe(F.col("_id"))
+    return source.join(found, on, how).drop("_id", "_tkey")
+
+
+def _repeated_windows(source: DataFrame, lines: DataFrame, how: Passages) -> DataFrame:
+    """The windows that several documents have outside the paragraphs that are cut there, as ``_kept`` gives them."""
+    cuts = written(lines.filter("NOT own").groupBy("id", "tkey")
+                   .agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")), "line-cuts")
+    maybe, surely = maybe_in(source, "tkey", cuts.select("tkey"))
+    none = F.lit(None).cast(cuts.schema["cuts"].dataType)
+    left = _with(maybe, cuts, "left").unionByName(surely.withColumn("cuts", none))
+    prints = written(_prints(left, how), "prints")
+    several = written(_spanning(prints, ["print"]).select("print"), "repeated-prints")
+    maybe, _ = maybe_in(prints, "print", several)
+    marks = written(maybe.join(several, "print").groupBy("id", "tkey").agg(F.collect_set("print").alias("prints")), "marks")
+    wanted, _ = maybe_in(left, "tkey", marks.select("tkey"))
+    return _kept(written(_windows(_with(wanted, marks, "inner"), how), "windows"), ["h1", "h2"])
 
 
 def _runs(source: DataFrame, how: Passages) -> DataFrame:
-    """The members that lie in repeated passages, with their ``run`` and ``own`` (their class is kept here)."""
-    rows = _members(source, how).withColumn("end", F.col("start") + F.col("n")) \
-        .withColumn("own", F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tkey") == F.col("keep_tkey")))
-    # one document's own units, in order; members of several classes at one place count once
+    """The paragraphs and windows that lie in repeated passages, with their ``run`` and ``own`` (kept here)."""
+    lines = _repeated_paragraphs(source, how)
+    rows = lines.unionByName(_repeated_windows(source, lines, how))
     rows = rows.groupBy("id", "tkey", "start", "end").agg(F.min("own").alias("own"), F.min("keep_id").alias("keep_id"))
     w = Window.partitionBy("id", "tkey").orderBy("start", "end")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("before", F.coalesce(before, F.lit(-1 - how.gap_words)))
-    rows = rows.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before"))) \
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def fresh(before):
+        return F.greatest(F.lit(0), F.col("end") - F.greatest("start", before))
+
+    rows = rows.withColumn("before", F.coalesce(F.max("end").over(earlier), F.lit(-1 - how.gap_words))) \
+        .withColumn("cut_before", F.coalesce(F.max(F.when(~F.col("own"), F.col("end"))).over(earlier), F.lit(0)))
+    return rows.withColumn("fresh", fresh("before")) \
+        .withColumn("cut", F.when(F.col("own"), 0).otherwise(fresh("cut_before"))) \
         .withColumn("run", F.sum((F.col("start") - F.col("before") > how.gap_words).cast("int")).over(w))
-    held = F.sum("fresh").over(Window.partitionBy("id", "tkey", "run"))
-    return rows.withColumn("held", held).filter(F.col("held") >= how.least_words)
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -225,10 +309,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per repeated passage of a document: id, start and end word, words in members of classes, words to cut,
     and the least id that keeps one of its classes."""
     runs = _runs(_source(docs, id_col, text_col), how)
-    cut = F.sum(F.when(~F.col("own"), F.col("fresh")).otherwise(0))
     return runs.groupBy("id", "tkey", "run").agg(
         F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"),
-        F.sum("fresh").alias("n_words"), cut.alias("cut_words"), F.min("keep_id").alias("keep_id")) \
+        F.sum("fresh").alias("n_words"), F.sum("cut").alias("cut_words"), F.min("keep_id").alias("keep_id")) \
         .select(F.col("id").alias(id_col), "start_word", "end_word", "n_words", "cut_words", "keep_id")
 
 

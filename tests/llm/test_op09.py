@@ -43,6 +43,15 @@ def test_similar_paragraphs_and_verification(spark):
     assert {(0, 0), (1, 0)} <= got
 
 
+def test_passage_that_is_a_line_here_and_inside_a_line_there(spark):
+    r = rng()
+    p = " ".join(words(r, 51, 10**6))
+    far = [" ".join(words(r, n, 10**6)) for n in (70, 80, 30, 15, 8, 7)]
+    texts = ["\n".join([far[2], p]), f"{far[0]} {p} {far[1]}", f"{far[3]} {p}", f"{p} {far[4]} {far[5]}"]
+    out = {x.doc_id: x.text.split() for x in op09.without_passages(frame(spark, texts)).collect()}
+    assert out == {0: texts[0].split(), 1: (far[0] + " " + far[1]).split(), 2: far[3].split(), 3: (far[4] + " " + far[5]).split()}
+
+
 def test_odd_rows(spark):
     r = rng()
     line = " ".join(words(r, 60))

@@ -52,6 +52,18 @@ def test_passage_that_is_a_line_here_and_inside_a_line_there(spark):
     assert out == {0: texts[0].split(), 1: (far[0] + " " + far[1]).split(), 2: far[3].split(), 3: (far[4] + " " + far[5]).split()}
 
 
+def test_passage_wrapped_at_other_places(spark):
+    r = rng()
+    p = words(r, 90, 10**6)
+
+    def wrapped(n):
+        return "\n".join(" ".join(p[i:i + n]) for i in range(0, len(p), n))
+
+    texts = [" ".join(words(r, 30)) + "\n" + wrapped(n) + "\n" + " ".join(words(r, 30)) for n in (12, 2, 11, 90)]
+    out = {x.doc_id: x.text.split() for x in op09.without_passages(frame(spark, texts)).collect()}
+    assert out == {i: t.split() if i == 0 else t.split()[:30] + t.split()[-30:] for i, t in enumerate(texts)}
+
+
 def test_odd_rows(spark):
     r = rng()
     line = " ".join(words(r, 60))

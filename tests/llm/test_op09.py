@@ -64,6 +64,14 @@ def test_passage_wrapped_at_other_places(spark):
     assert out == {i: t.split() if i == 0 else t.split()[:30] + t.split()[-30:] for i, t in enumerate(texts)}
 
 
+def test_common_short_lines_are_no_passage(spark):
+    r = rng()
+    common = [" ".join(words(r, n, 10**6)) for n in [4] * 20 + [9] * 12]
+    texts = ["\n".join([" ".join(words(r, 30)), x]) for x in common]
+    texts.append("\n".join([" ".join(words(r, 30))] + common))
+    assert op09.repeated_passages(frame(spark, texts)).count() == 0
+
+
 def test_odd_rows(spark):
     r = rng()
     line = " ".join(words(r, 60))

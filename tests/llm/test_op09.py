@@ -72,6 +72,13 @@ def test_common_short_lines_are_no_passage(spark):
     assert op09.repeated_passages(frame(spark, texts)).count() == 0
 
 
+def test_no_passage_vanishes_from_all_documents(spark):
+    r = rng()
+    p, s, a, b = (" ".join(words(r, n, 10**6)) for n in (400, 50, 60, 70))
+    out = {x.doc_id: x.text for x in op09.without_passages(frame(spark, [p, f"{p} {s}", f"{a} {s} {b}"], 1)).collect()}
+    assert out[1] == p and out[3] == f"{a} {s} {b}" and 2 not in out
+
+
 def test_odd_rows(spark):
     r = rng()
     line = " ".join(words(r, 60))

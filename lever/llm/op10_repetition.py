@@ -9,8 +9,9 @@ Documents are handled in blocks inside tasks, whole texts, no shuffle.  A block
 holds about 2 MB of text, or one longer text.
 
 Nulls and empty texts have no words, zero counts, and fail the base rule.
-Repeated rows are judged alike, each on its own.  Other columns pass through
-untouched unless named like an output, which the output replaces.
+Repeated rows are judged alike, each on its own; an empty table gives an empty
+one.  The measures carry the id only; the filter keeps every column as it was,
+whatever its name (dots, or the names of measures).
 """
 
 from __future__ import annotations
@@ -114,9 +115,10 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows are judged where they lie: the verdict comes from the text alone, so
     one pass suffices and no id has to be unique.
     """
-    names = docs.columns
-    place = names.index(text_col)
+    place = docs.columns.index(text_col)
     schema = docs.schema
+    arrow = to_arrow_schema(schema)
+    spare = [f"c{i}" for i in range(len(docs.columns))]  # names may hold dots or clash
 
     def run(batches):
         for batch in batches:
@@ -126,9 +128,9 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place)], ["id", "text"])
             for _, block in text_blocks([texts], "id", "text"):
                 keep += kept_rows(measure(block, limits), limits).tolist()
-            yield batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*spare).mapInArrow(run, schema)
 
 
 def kept_rows(found: dict[str, np.ndarray], limits: Limits = Limits()) -> np.ndarray:

@@ -20,6 +20,8 @@ from lever.llm import op07_packing as op07
 from lever.llm import op08_decontaminate as op08
 from lever.llm import op09_passages as op09
 from lever.llm import op10_repetition as op10
+from lever.llm import op11_vector_codes as op11
+from lever.llm import op13_ranked_search as op13
 from lever.llm.common import scratch, table, tuned, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +190,53 @@ def op2_token_rollup(spark, sf_dir):
         .filter("(first IS NULL OR doc_id = first) AND counts[0] <> counts[1]")
     store.commit(3, op02.events(revised, names, "revise", place={"words-1": 1}))
     return store.totals()
+
+
+def _op11_sql(parts=8, width=8, entries=16, rounds=6) -> str:
+    """Every round spelled out; the tables' vectors have parts * width components."""
+    floor = "(s - ((s % n) + n) % n) // n"  # rounds down whatever the sign
+    dist = "list_sum(list_transform(range(1, {w} + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))".format(w=width)
+    ctes = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            f"""p AS MATERIALIZED (SELECT r, k, list_slice(x, k * {width} + 1, k * {width} + {width}) AS x
+      FROM v, (SELECT unnest(range({parts})) AS k))""",
+            f"c0 AS MATERIALIZED (SELECT k, r - 1 AS e, x FROM p WHERE r <= {entries})"]
+    for t in range(rounds + 1):
+        ctes.append(f"""a{t} AS MATERIALIZED (SELECT r, k, min(struct_pack(d := d, e := e)) AS b FROM
+      (SELECT p.r, p.k, c.e, {dist} AS d FROM p JOIN c{t} c USING (k)) GROUP BY r, k)""")
+        if t < rounds:
+            ctes.append(f"""c{t + 1} AS MATERIALIZED (SELECT c.k, c.e, coalesce(m.x, c.x) AS x FROM c{t} c LEFT JOIN
+      (SELECT k, e, list(CAST({floor} AS BIGINT) ORDER BY i) AS x FROM
+        (SELECT a.k, a.b.e AS e, u.i, CAST(sum(p.x[u.i]) AS BIGINT) AS s, count(*) AS n FROM a{t} a JOIN p USING (r, k),
+          (SELECT unnest(range(1, {width} + 1)) AS i) u GROUP BY a.k, a.b.e, u.i) GROUP BY k, e) m USING (k, e))""")
+    return "WITH " + ", ".join(ctes) + f""", h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, e)) AS h FROM c{rounds}),
+  s AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY k) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v JOIN s USING (r), h"""
+
+
+@query("op11_vector_codes", _op11_sql())
+def op11_vector_codes(spark, sf_dir):
+    coded = op11.digested(op11.label_errors(op11.vector_codes(table(spark, sf_dir, "embeddings"))))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+OP13_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS8} AS ws FROM documents),
+  q AS (SELECT row_number() OVER () AS q, item_id, {_WORDS8} AS ws FROM benchmark),
+  qt AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(ws) AS term FROM q) GROUP BY ALL),
+  a AS (SELECT count(*) AS n_all, CAST(sum(len(ws)) AS BIGINT) AS l_all FROM d WHERE len(ws) > 0),
+  tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d)
+    WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY term, n_all),
+  f AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all))) AS f
+    FROM tf JOIN w USING (term), a),
+  s AS (SELECT q, item_id, r, doc_id, CAST(sum(c * f) AS BIGINT) AS score FROM qt JOIN f USING (term) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13_ranked_search(spark, sf_dir):
+    return op13.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -7,6 +7,9 @@ import numpy as np
 _WORDS = np.frombuffer(bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0
     for c in range(256)), np.uint8)
+#: Words between ASCII white space, A-Z lower-cased; codes from 1, as byte 0 may stand in a word.
+SPACED = np.array([0 if c == 0x20 or 0x09 <= c <= 0x0D else 1 + (c + 32 if 0x41 <= c <= 0x5A else c) for c in range(256)],
+                  np.uint16)
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -19,18 +22,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of the normalised words of a block of texts.
+    """64-bit hashes of the normalised words of a block of texts, or of those of another ``table`` (0: no part of a word).
 
     ``hashes[bounds[i]:bounds[i + 1]]`` are those of text i; ``starts`` and
     ``ends`` give each word's bytes within the block, ``offsets`` each text's.
     A word's hash is its polynomial hash, from prefix sums over the block.
     """
 
-    def __init__(self, texts: list[bytes | None]):
+    def __init__(self, texts: list[bytes | None], table: np.ndarray = _WORDS):
         joined = b"\n".join(t or b"" for t in texts) + b"\n"
         self.data = joined
         raw = np.frombuffer(joined, np.uint8)
-        code = _WORDS[raw]
+        code = table[raw]
         inside = code != 0
         edge = np.diff(inside.astype(np.int8), prepend=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

@@ -21,6 +21,7 @@ from lever.llm import op08_decontaminate as op08
 from lever.llm import op09_passages as op09
 from lever.llm import op10_repetition as op10
 from lever.llm import op11_vector_codes as op11
+from lever.llm import op12_set_join as op12
 from lever.llm import op13_ranked_search as op13
 from lever.llm.common import scratch, table, tuned, written
 
@@ -240,3 +241,23 @@ WHERE rank <= 20"""
 @query("op13_ranked_search", OP13_SQL)
 def op13_ranked_search(spark, sf_dir):
     return op13.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), """ + _AZ + r"""), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+    FROM documents),
+  s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(
+    range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 3), ' '))) END AS gs FROM w),
+  t AS MATERIALIZED (SELECT gs, min(r) AS t, min(doc_id) AS least FROM (SELECT r, doc_id, list_sort(gs) AS gs FROM s) GROUP BY gs),
+  g AS MATERIALIZED (SELECT t, len(gs) AS n, unnest(gs) AS g FROM t),
+  l AS MATERIALIZED (SELECT a.t AS u, b.t AS v FROM g a JOIN g b ON a.g = b.g AND a.t <> b.t GROUP BY a.t, b.t, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  c AS (SELECT t AS u, t AS v FROM t UNION SELECT c.u, l.v FROM c JOIN l ON c.v = l.u),
+  m AS (SELECT c.u AS t, min(t.least) AS least FROM c JOIN t ON t.t = c.v GROUP BY c.u)
+SELECT doc_id, CAST(len(s.gs) AS BIGINT) AS n_shingles, CASE WHEN len(s.gs) = 0 THEN doc_id ELSE m.least END AS component_id
+FROM s JOIN t ON t.gs = list_sort(s.gs) JOIN m USING (t)"""
+
+
+@query("op12_set_join", OP12_SQL)
+def op12_set_join(spark, sf_dir):
+    return op12.linked_documents(table(spark, sf_dir, "documents"))

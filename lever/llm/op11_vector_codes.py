@@ -136,25 +136,26 @@ def _kept(vectors: DataFrame, parts: int, scale: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            where, sizes, out = [], [], []
-            for i, v in enumerate(batch.column("vector")):
-                if not v.is_valid or v.values.null_count:
-                    continue
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
-                    continue
-                x = np.floor(x * scale)
+            vector = batch.column("vector")
+            values = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+            starts, ends = vector.offsets.to_numpy()[:-1], vector.offsets.to_numpy()[1:]
+            sizes = np.where(vector.is_valid().to_numpy(zero_copy_only=False), ends - starts, -1)
+            for size in np.unique(sizes[sizes >= 0]).tolist():
+                own = np.flatnonzero(sizes == size)
+                x = values[starts[own][:, None] + np.arange(size)]
+                whole = np.isfinite(x).all(axis=1)
+                own, x = own[whole], np.floor(x[whole] * scale)
                 if (np.abs(x) >= _TOO_LARGE).any():
                     raise ValueError("a component is too large for exact distances in 64 bits")
-                width = -(-len(x) // parts)
-                own = np.zeros(parts * width, np.int64)
-                own[:len(x)] = x.astype(np.int64)
-                where.append(i)
-                sizes.append(len(x))
-                out.append(transformed(own.reshape(parts, width)).reshape(-1) if width else np.zeros(parts, np.int64))
-            rows = batch.take(pa.array(where, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("label"), pa.array(sizes, pa.int32()),
-                                              pa.array(out, pa.list_(pa.int64()))], names=["id", "label", "size", "transform"])
+                width = -(-size // parts)
+                cut = np.zeros((len(own), parts * width), np.int64)
+                cut[:, :size] = x
+                flat = (transformed(cut.reshape(len(own), parts, width)) if width else np.zeros((len(own), parts), np.int64)).reshape(-1)
+                ends_out = np.arange(len(own) + 1, dtype=np.int32) * (len(flat) // max(1, len(own)))
+                rows = batch.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), rows.column("label"), pa.array(np.full(len(own), size, np.int32)),
+                     pa.ListArray.from_arrays(pa.array(ends_out), pa.array(flat))], names=["id", "label", "size", "transform"])
 
     return vectors.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, size int, transform array<bigint>")
 

@@ -3,9 +3,11 @@
 A document's set holds the hashes of its distinct four-word shingles.  Two sets link
 when 100 |x and y| >= 85 |x or y|.  Classes are the components of the links.
 
-1. *Prefixes.*  Linked sets share at least ``SHARED`` of their least hashes: x has
-   them among its first |x| - need(x) + SHARED, need(x) = ceil(0.85 |x|), a seventh
-   of its shingles.  Only sets with that many hashes that some other prefix has go on.
+1. *Prefixes.*  x's prefix is its first |x| - need(x) + asked(x) hashes, where need(x) =
+   ceil(0.85 |x|) and asked(x) = 12 + |x| div 16; that is over a fifth of its shingles.  Of
+   the hashes that x and y share, the first k = min(asked(x), asked(y)) lie in both
+   prefixes if the two link, and as y then has need(x) shingles or more, k is at least
+   asked(need(x)).  Only sets with so many hashes that other prefixes have go on.
 2. *Index.*  Among those, shingles are ordered by how many sets hold them, rare ones
    first.  x puts the shingles of its first |x| - need(x) + 1 places into the index,
    with its size and the place; those that no other set has need no entry, they only
@@ -49,8 +51,8 @@ from lever.llm.linking import components, maybe_in
 WIDTH = 4
 #: Percent of the union that linked sets share, and that a set shares with the leader it is derived from.
 LINKED, RELATED = 85, 90
-#: Prefix shingles that linked sets must share to go on; all that are needed, if those are fewer.
-SHARED = 12
+#: Prefix shingles that linked sets must share to go on: so many, and one for each ``EACH`` shingles.
+SHARED, EACH = 12, 16
 #: Members of an index block, about, and members whose answers are derived together.
 BLOCK, GROUP = 256, 64
 #: Rounds of leaders.
@@ -70,6 +72,10 @@ def need(n):
     return -(-LINKED * n // 100)
 
 
+def asked(n):
+    return SHARED + n // EACH
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
@@ -86,7 +92,7 @@ def _prefixes(texts: DataFrame) -> DataFrame:
             for ids, block in text_blocks([batch], "id", "text", 1 << 19):
                 sets = shingle_sets(block)
                 own, digests = digests[:len(ids)], digests[len(ids):]
-                heads = [s[:len(s) - need(len(s)) + SHARED] for s in sets]
+                heads = [s[:len(s) - need(len(s)) + asked(len(s))] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, id_type), pa.array(own, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                      _lists(heads)], names=["id", "digest", "n", "prefix"])
@@ -115,7 +121,8 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     several = written(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
     maybe, _ = maybe_in(rows, "token", several)
     shared = maybe.join(several, "token").groupBy("node").agg(F.count("*").alias("c"))
-    return nodes.drop("prefix").join(shared, "node").filter(F.col("c") >= F.least(F.lit(SHARED), _needed(F.col("n"))))
+    least = _needed(F.col("n"))
+    return nodes.drop("prefix").join(shared, "node").filter(F.col("c") >= F.least(least, SHARED + F.floor(least / EACH)))
 
 
 # ------------------------------------------------------------------ index

@@ -6,7 +6,7 @@ at run time: adaptive execution measures the materialised summary and turns the
 join into a broadcast join only below ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
 above it the join stays a shuffle join whose skewed partitions (a hot key on
 the data side) AQE splits.  Nothing is persisted: what several steps read is
-either small and checkpointed, or read again.
+written once, as Parquet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lever.functions.columns import join_on
+from lever.functions.store import written
 
 
 def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner") -> DataFrame:
@@ -27,14 +28,10 @@ def join_per_key(big: DataFrame, small: DataFrame, keys, how: str = "inner") ->
     return join_on(big, small, keys, how) if keys else big.crossJoin(F.broadcast(small))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a result that several later steps read once, and cut its lineage.
-
-    Reliable ``checkpoint()`` into the session's ``spark.checkpoint.dir`` (a
-    shared folder on a cluster), so later steps neither recompute it nor carry
-    its plan, and a lost executor does not trigger a recomputation.  Fails on a
-    cluster that names no such folder.
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Compute a result that several later steps read once, and cut its lineage:
+    Parquet in the shared folder (:mod:`lever.functions.store`), so a step reads only
+    the columns it needs and a lost executor does not trigger a recomputation.  Fails
+    on a cluster that names no such folder.
     """
-    from lever.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, name)

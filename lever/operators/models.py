@@ -6,9 +6,10 @@ products and x.y.  "Train on every fold but f" is total - fold f, so all
 refits of all keys are small p x p solves on bounded per-key groups
 (``applyInPandas``; a group holds one row per fold).  Scoring the held-out
 folds (MAPE needs every prediction) is one more pass joined to the
-coefficients on (key, fold), broadcast only after its size is checked.
+coefficients on (key, fold).
 
-The random forest uses ``pyspark.ml`` (distributed training per fit).
+The random forest is that of :mod:`lever.operators.forest`: all keys, folds and
+trees in jobs whose number depends on the depth only.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lever.functions import linalg
 from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize
+from lever.operators import forest
+from lever.operators.forest import Forest
 from lever.operators.ordered import contiguous_folds
 from lever.operators.prep import drop_null_rows, minmax_normalize
 
@@ -242,60 +245,23 @@ def rank_features(per_fold: DataFrame, keys, fold_col: str = "fold",
 
 
 # --------------------------------------------------------------- forest
-def _forest_fit_importances(train: DataFrame, variables, target, num_trees, max_depth, seed):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    va = VectorAssembler(inputCols=list(variables), outputCol="_features")
-    rf = RandomForestRegressor(featuresCol="_features", labelCol=target, numTrees=num_trees,
-                               maxDepth=max_depth, featureSubsetStrategy="all", seed=seed,
-                               maxBins=64)
-    model = rf.fit(va.transform(train))
-    return model, va
-
-
-def _key_values(df, keys, max_keys):
+def forest_trees(df: DataFrame, keys, order, variables, target: str, k: int = 10, how: Forest | None = None,
+                 **options) -> tuple[DataFrame, DataFrame]:
+    """The packed rows and the trees of M8: for every key and each of ``k`` contiguous folds, grown on the others."""
+    keys, how = list(keys), forest.with_options(how, **options)
+    folded = contiguous_folds(_prepare(df, keys, order, variables, target), keys, order, k, name="fold")
+    blocks = forest.forest_blocks(folded, keys, variables, target, [*keys, *order], "fold", how)
+    return blocks, forest.grow_forests(blocks, keys, k, how)
+
+
+def forest_importance(df: DataFrame, keys, order, variables, target: str, k: int = 10, how: Forest | None = None,
+                      **options) -> DataFrame:
+    """M8: random-forest impurity importance on ``k`` contiguous folds (un-normalised, only ``variables``);
+    per fold rank by importance, then the mean importance and mean rank per feature.
+    (keys, feature, feature_importance, index); options as in :func:`forest.with_options`."""
     keys = list(keys)
-    if not keys:
-        return [()]
-    vals = df.select(*[_q(k) for k in keys]).distinct().limit(max_keys + 1).collect()
-    if len(vals) > max_keys:
-        raise ValueError(f"forest fits one pyspark.ml model per key and fold; more than {max_keys} keys")
-    return [tuple(r) for r in vals]
-
-
-def _key_filter(keys, vals):
-    cond = F.lit(True)
-    for k, v in zip(keys, vals):
-        cond = cond & _q(k).eqNullSafe(F.lit(v))
-    return cond
-
-
-def forest_importance(df: DataFrame, keys, order, variables, target: str, k: int = 10,
-                      num_trees: int = 50, max_depth: int = 8, seed: int = 7,
-                      max_keys: int = 64, **kw) -> DataFrame:
-    """M8: random-forest impurity importance on ``k`` contiguous folds
-    (un-normalised, only ``variables``); per fold rank by importance, then the
-    mean importance and mean rank per feature, ordered by mean rank.
-    (keys, feature, feature_importance, index)."""
-    keys = list(keys)
-    spark = df.sparkSession
-    data = _prepare(df, keys, order, variables, target)
-    folded = contiguous_folds(data, keys, order, k, name="fold", **kw).persist()
-    rows = []
-    for vals in _key_values(folded, keys, max_keys):
-        part = folded.where(_key_filter(keys, vals))
-        for f in range(k):
-            train = part.where(F.col("fold") != f)
-            model, _ = _forest_fit_importances(train, variables, target, num_trees, max_depth, seed)
-            imps = model.featureImportances.toArray()
-            for j, name in enumerate(variables):
-                rows.append((*vals, f, name, float(imps[j])))
-    folded.unpersist()
-    key_types = [folded.schema[c].dataType.simpleString() for c in keys]
-    schema = ", ".join([f"`{c}` {t}" for c, t in zip(keys, key_types)] +
-                       ["fold bigint", "feature string", "feature_importance double"])
-    per_fold = spark.createDataFrame(rows, schema)
-    ranked = rank_features(per_fold, keys)
+    _, trees = forest_trees(df, keys, order, variables, target, k, how, **options)
+    ranked = rank_features(forest.fold_importances(trees, keys, variables), keys)
     return ranked.groupBy(*[_q(c) for c in keys], "feature").agg(
         F.avg("feature_importance").alias("feature_importance"), F.avg("index").alias("index"))
 
@@ -337,32 +303,16 @@ def cv_scores(df: DataFrame, keys, variables, target: str, models=None, k: int =
             F.struct(F.lit(m).alias("model"), (F.col(f"mape__{m}") * 100).alias("abs_mape_pct"),
                      F.col(f"rmse__{m}").alias("abs_rmse")) for m in linear])))
     for m, (kind, _) in models.items():
-        if kind != "forest":
-            continue
-        fr = _forest_cv(data, keys, variables, target, k, m, **(forest_kw or {}))
-        out = fr if out is None else out.unionByName(fr)
+        if kind == "forest":
+            scored = _forest_cv(data, keys, variables, target, k, m, [hash_col] if hash_col else list(hash_cols), forest_kw)
+            out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def _forest_cv(data, keys, variables, target, k, name, num_trees=100, max_depth=8, seed=7, max_keys=64):
-    spark = data.sparkSession
-    rows = []
-    data = data.persist()
-    for vals in _key_values(data, keys, max_keys):
-        part = data.where(_key_filter(keys, vals))
-        for f in range(k):
-            model, va = _forest_fit_importances(part.where(F.col("fold") != f), variables, target,
-                                                num_trees, max_depth, seed)
-            pred = model.transform(va.transform(part.where(F.col("fold") == f)))
-            err = F.col(target) - F.col("prediction")
-            r = pred.agg(F.avg(F.abs(err) / F.greatest(F.abs(F.col(target)), F.lit(EPS))).alias("mape"),
-                         F.sqrt(F.avg(err * err)).alias("rmse")).first()
-            if r["mape"] is not None:
-                rows.append((*vals, float(r["mape"]), float(r["rmse"])))
-    data.unpersist()
-    key_types = [data.schema[c].dataType.simpleString() for c in keys]
-    schema = ", ".join([f"`{c}` {t}" for c, t in zip(keys, key_types)] + ["mape double", "rmse double"])
-    per_fold = spark.createDataFrame(rows, schema)
+def _forest_cv(data, keys, variables, target, k, name, draw_cols, options):
+    how = forest.with_options(Forest(trees=100), **(options or {}))
+    blocks = forest.forest_blocks(data, keys, variables, target, [*keys, *draw_cols], "fold", how)
+    per_fold = forest.fold_errors(blocks, forest.grow_forests(blocks, keys, k, how), keys, how)
     return per_fold.groupBy(*[_q(c) for c in keys]).agg(
         (F.avg("mape") * 100).alias("abs_mape_pct"), F.avg("rmse").alias("abs_rmse")) \
         .select(*[_q(c) for c in keys], F.lit(name).alias("model"), "abs_mape_pct", "abs_rmse")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lever.operators import forest as R
 from lever.operators import models as M
 from lever.operators import prep as P
 from lever.operators import profile as H
@@ -776,19 +777,32 @@ def q_rank_drivers_linear(spark, sf):
 
 @query("forest_importance")
 def q_forest(spark, sf):
-    d = f1(spark, sf)
-    prepared = E.prepare_training(d, F1_SCHEMA, None, "purchase")
-    imp = M.forest_importance(prepared, [], ["time_bucket_local"], ["click", "error", "signup", "view"],
-                              "purchase", num_trees=50, max_depth=6)
-    return rnd(imp, {"feature_importance": 6, "index": 6})
+    return rnd(M.forest_importance(f2(spark, sf), K, F2O, _P6, "net"), {"feature_importance": 9, "index": 6})
+
+
+_STUMP = ["l_discount", "l_tax"]  # few values each, so every value is a cut
+
+
+@query("forest_stumps", W(F2C, "o AS (" + " UNION ALL ".join(
+    f"""SELECT machine, '{v}' AS feature, {i} AS place, {v} AS x, net AS y,
+  ntile(10) OVER (PARTITION BY machine ORDER BY {ORD}) - 1 AS fold FROM f2""" for i, v in enumerate(_STUMP)) + ")",
+    "g AS (SELECT unnest(range(10)) AS f)",
+    """s AS (SELECT machine, f AS fold, feature, place, x, count(*) AS n, sum(y) AS sy FROM o, g WHERE fold <> f GROUP BY ALL)""",
+    """r AS (SELECT *, sum(n) OVER a AS nl, sum(sy) OVER a AS sl, sum(n) OVER t AS nt, sum(sy) OVER t AS st FROM s
+  WINDOW a AS (PARTITION BY machine, fold, feature ORDER BY x ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY machine, fold, feature))""",
+    """b AS (SELECT *, row_number() OVER (PARTITION BY machine, fold
+    ORDER BY nl * (nt - nl) / nt * (sl / nl - (st - sl) / (nt - nl)) * (sl / nl - (st - sl) / (nt - nl)) DESC, place, x) AS rn
+  FROM r WHERE nl < nt)""") + "SELECT machine, CAST(fold AS BIGINT) AS fold, feature, x AS threshold FROM b WHERE rn = 1")
+def q_forest_stumps(spark, sf):
+    """The forest's first split, for every machine and fold: one tree of one level over all rows."""
+    how = R.Forest(trees=1, max_depth=1, bootstrap=False)
+    blocks, trees = M.forest_trees(f2(spark, sf), K, F2O, _STUMP, "net", how=how)
+    return R.forest_nodes(trees, blocks, K, _STUMP, how).where("feature IS NOT NULL").select(*K, "fold", "feature", "threshold")
 
 
 @query("cv_scores_all_models")
 def q_cv_all(spark, sf):
-    prepared = E.prepare_training(f1(spark, sf), F1_SCHEMA, None, "purchase")
-    return rnd(M.cv_scores(prepared, [], ["click", "error", "signup", "view"], "purchase", M.RANKING_MODELS,
-                           hash_cols=["time_bucket_local"], forest_kw={"num_trees": 30, "max_depth": 6}),
-               {"abs_mape_pct": 6, "abs_rmse": 6})
+    return rnd(M.cv_scores(f2(spark, sf), K, _P6, "net", M.RANKING_MODELS, hash_col="_h"), {"abs_mape_pct": 6, "abs_rmse": 4})
 
 
 @query("linear_importance_all_features")
@@ -852,9 +866,9 @@ def q_prepare_training_keyed(spark, sf):
 
 @query("rank_drivers")
 def q_rank_drivers(spark, sf):
-    top = E.rank_drivers(_e1(spark, sf), F1_SCHEMA, "purchase",
-                         forest_kw={"num_trees": 30, "max_depth": 6})
-    return rnd(top, {"feature_importance": 6, "index": 6, "bar": 6})
+    """All machines, all four models, every feature that the preparation leaves."""
+    prepared = E.prepare_training(f2(spark, sf), F2_SCHEMA, target="net", **_E1K)
+    return rnd(E.rank_drivers(prepared, F2_SCHEMA, "net"), {"feature_importance": 6, "index": 6, "bar": 6})
 
 
 @query("drill_down")

@@ -1,11 +1,8 @@
 """Model ranking and feature importance.
 
-Linear family (ordinary least squares, ridge, lasso) by fold-Gram: one
-partial-aggregated pass gives, per (key, fold), n, sums, the p x p cross
-products and x.y.  "Train on every fold but f" is total - fold f, so all
-refits of all keys are small p x p solves on bounded per-key groups
-(``applyInPandas``; a group holds one row per fold).  Scoring the held-out
-folds (MAPE needs every prediction) is one more pass joined to the
+Linear family (ordinary least squares, ridge, lasso): one pass of moments per
+(key, fold) gives all refits (:mod:`lever.operators.gram`).  Scoring the
+held-out folds (MAPE needs every prediction) is one more pass joined to the
 coefficients on (key, fold).
 
 The random forest is that of :mod:`lever.operators.forest`: all keys, folds and
@@ -15,17 +12,16 @@ trees in jobs whose number depends on the depth only.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lever.functions import linalg
 from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize
 from lever.operators import forest
 from lever.operators.forest import Forest
+from lever.operators.gram import coefficients_long, fold_moments, solve_folds
 from lever.operators.ordered import contiguous_folds
-from lever.operators.prep import drop_null_rows, minmax_normalize
+from lever.operators.prep import drop_null_rows
 
 # The ranking registry (name -> solver, penalty) in registry order,
 # and the penalties used for importance on min-max scaled data.
@@ -67,110 +63,6 @@ def shuffled_folds(df: DataFrame, k: int = 5, hash_col: str | None = None, cols=
     return df.withColumn(name, F.pmod(h, F.lit(k)).cast("bigint"))
 
 
-# --------------------------------------------------------------- fold-Gram
-def fold_gram(df: DataFrame, keys, fold_col: str, xcols, y: str, scale: bool = False) -> DataFrame:
-    """Per (keys, fold): n, sy, sx_j, sxy_j, sxx_j_k (j <= k), cnt_j of centred columns, and the
-    centres my, mx_j and scales d_j that are the same for every fold of a key.
-
-    Columns are centred on the key's mean first, so products of large values do
-    not cancel; ``scale`` also divides by the key's standard deviation, so small
-    features stay visible beside large ones.  :func:`solve_folds` maps back.
-    """
-    keys = list(keys)
-    p = len(xcols)
-    data = df.where(_q(y).isNotNull())
-    stats = [F.avg(_q(y).cast("double")).alias("_my")]
-    stats += [F.avg(_q(c).cast("double")).alias(f"_mx_{j}") for j, c in enumerate(xcols)]
-    if scale:
-        stats += [F.stddev_pop(_q(c).cast("double")).alias(f"_sd_{j}") for j, c in enumerate(xcols)]
-    grouped = data.groupBy(*[_q(k) for k in keys]) if keys else data.groupBy()
-    data = join_per_key(data, grouped.agg(*stats), keys)
-    d = [F.when(F.col(f"_sd_{j}") > 0, F.col(f"_sd_{j}")).otherwise(F.lit(1.0)) if scale else F.lit(1.0) for j in range(p)]
-    x = [(_q(c).cast("double") - F.col(f"_mx_{j}")) / d[j] for j, c in enumerate(xcols)]
-    yy = _q(y).cast("double") - F.col("_my")
-    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(yy).alias("sy"), F.max("_my").alias("my")]
-    aggs += [F.max(f"_mx_{j}").alias(f"mx_{j}") for j in range(p)] + [F.max(d[j]).alias(f"d_{j}") for j in range(p)]
-    aggs += [F.sum(x[j]).alias(f"sx_{j}") for j in range(p)]
-    aggs += [F.sum(x[j] * yy).alias(f"sxy_{j}") for j in range(p)]
-    aggs += [F.sum(x[j] * x[k]).alias(f"sxx_{j}_{k}") for j in range(p) for k in range(j, p)]
-    aggs += [F.count(x[j]).cast("double").alias(f"cnt_{j}") for j in range(p)]
-    return data.groupBy(*[_q(c) for c in keys], _q(fold_col)).agg(*aggs)
-
-
-def solve_folds(gram: DataFrame, keys, fold_col: str, xcols, models: dict,
-                leave_out: bool = True) -> DataFrame:
-    """Coefficients per (keys, fold) for every model in ``models``
-    (name -> (solver, alpha)); wide columns ``b0__<name>``, ``w__<name>__<j>``.
-
-    leave_out=True fits on every fold except the row's fold.  A feature with no
-    values for a key (dropped for it) gets a NULL coefficient.  Each key's fold
-    statistics are packed into one row (at most one entry per fold, so bounded)
-    and many keys are solved per Arrow batch.
-    """
-    keys = list(keys)
-    p = len(xcols)
-    names = list(models)
-    types = {f.name: f.dataType.simpleString() for f in gram.schema.fields}
-    out_cols = [*keys, fold_col] + [f"b0__{m}" for m in names] + \
-        [f"w__{m}__{j}" for m in names for j in range(p)]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in [*keys, fold_col]] +
-                       [f"`{c}` double" for c in out_cols[len(keys) + 1:]])
-    stat_cols = [c for c in gram.columns if c not in keys and c != fold_col]
-    packed = gram.groupBy(*[_q(c) for c in keys]).agg(
-        F.collect_list(F.struct(_q(fold_col), *[F.coalesce(_q(c), F.lit(0.0)).alias(c) for c in stat_cols]))
-        .alias("_folds"))
-
-    pos = {c: i for i, c in enumerate(stat_cols)}
-    ix_sx = [pos[f"sx_{j}"] for j in range(p)]
-    ix_sxy = [pos[f"sxy_{j}"] for j in range(p)]
-    ix_cnt = [pos[f"cnt_{j}"] for j in range(p)]
-    ix_mx, ix_d = [pos[f"mx_{j}"] for j in range(p)], [pos[f"d_{j}"] for j in range(p)]
-
-    def solve_batch(it):
-        for pdf in it:
-            lists = list(pdf["_folds"])
-            recs = [f for folds in lists for f in folds]
-            if not recs:
-                continue
-            cols = [fold_col, *stat_cols]
-            flat = pd.DataFrame(recs)[cols] if isinstance(recs[0], dict) else pd.DataFrame(recs, columns=cols)
-            owner = np.repeat(np.arange(len(pdf)), [len(f) for f in lists])
-            stats = flat[stat_cols].to_numpy(float)
-            tot = np.zeros((len(pdf), len(stat_cols)))
-            np.add.at(tot, owner, stats)
-            st = tot[owner] - stats if leave_out else stats
-            N, SY = st[:, pos["n"]], st[:, pos["sy"]]
-            SX, SXY, CNT = st[:, ix_sx], st[:, ix_sxy], st[:, ix_cnt]
-            SXX = np.zeros((len(st), p, p))
-            for a in range(p):
-                for b in range(a, p):
-                    SXX[:, a, b] = SXX[:, b, a] = st[:, pos[f"sxx_{a}_{b}"]]
-            active = (tot[owner][:, ix_cnt] > 0) & (CNT >= 0)
-            out = pdf[keys].iloc[owner].reset_index(drop=True)
-            out[fold_col] = flat[fold_col].to_numpy().astype("int64")
-            for m in names:
-                kind, alpha = models[m]
-                b0, W = linalg.fit_batch(kind, N, SX, SY, SXX, SXY, active, alpha, stats[:, ix_d])
-                W = W / stats[:, ix_d]
-                out[f"b0__{m}"] = b0 + stats[:, pos["my"]] - np.nansum(W * stats[:, ix_mx], axis=1)
-                for j in range(p):
-                    out[f"w__{m}__{j}"] = W[:, j]
-            yield out[out_cols]
-
-    # one row per (key, fold): small, and read by scoring and importance alike
-    return materialize(packed.mapInPandas(solve_batch, schema))
-
-
-def coefficients_long(coefs: DataFrame, keys, fold_col: str, xcols, models) -> DataFrame:
-    """(keys, fold, model, feature, coefficient) from the wide solver output."""
-    keys = list(keys)
-    entries = [F.struct(F.lit(m).alias("model"), F.lit(c).alias("feature"),
-                        F.col(f"w__{m}__{j}").alias("coefficient"))
-               for m in models for j, c in enumerate(xcols)]
-    long = coefs.select(*[_q(k) for k in keys], _q(fold_col), F.inline(F.array(*entries)))
-    return long.where(F.col("coefficient").isNotNull() & ~F.isnan("coefficient"))
-
-
 # --------------------------------------------------------------- importance
 def _prepare(df, keys, order, variables, target):
     keys = list(keys)
@@ -186,14 +78,10 @@ def linear_fold_coefficients(df: DataFrame, keys, order, variables, target: str,
     fit on the other folds.  (keys, fold, model, feature, coefficient)."""
     keys = list(keys)
     models = models or IMPORTANCE_MODELS
-    data = _prepare(df, keys, order, variables, target)
-    if normalize:
-        data = minmax_normalize(data, keys, [*variables, target])
-    data = data.where(_q(target).isNotNull())
+    data = _prepare(df, keys, order, variables, target).where(_q(target).isNotNull())
     folded = contiguous_folds(data, keys, order, k, name="fold", **kw)
-    gram = fold_gram(folded, keys, "fold", variables, target)
-    coefs = solve_folds(gram, keys, "fold", variables, models, leave_out=True)
-    return coefficients_long(coefs, keys, "fold", variables, models)
+    moments = fold_moments(folded, keys, "fold", variables, target)
+    return coefficients_long(solve_folds(moments, keys, "fold", variables, models, normalize), keys, "fold", variables)
 
 
 def fold_mean_importance(per_fold: DataFrame, keys, value: str = "feature_importance",
@@ -282,16 +170,16 @@ def cv_scores(df: DataFrame, keys, variables, target: str, models=None, k: int =
     data = shuffled_folds(data, k, hash_col, hash_cols, name="fold")
     out = None
     if linear:
-        gram = fold_gram(data, keys, "fold", variables, target, scale=True)
-        coefs = solve_folds(gram, keys, "fold", variables, linear, leave_out=True)
-        scored = join_per_key(data, coefs, [*keys, "fold"])
+        solutions = solve_folds(fold_moments(data, keys, "fold", variables, target), keys, "fold", variables, linear)
+        wide = solutions.groupBy(*[_q(c) for c in keys], "fold").agg(*[F.max(F.when(F.col("model") == m, F.struct("intercept", "weights")))
+                                                                     .alias(f"fit__{m}") for m in linear])
+        scored = join_per_key(data, wide, [*keys, "fold"])
         y = _q(target)
         aggs = []
         for m in linear:
-            pred = F.col(f"b0__{m}")
+            pred = F.col(f"fit__{m}.intercept")
             for j, c in enumerate(variables):
-                w = F.col(f"w__{m}__{j}")
-                pred = pred + F.when(w.isNotNull() & ~F.isnan(w), w * _q(c)).otherwise(F.lit(0.0))
+                pred = pred + F.coalesce(F.get(f"fit__{m}.weights", F.lit(j)) * _q(c), F.lit(0.0))
             err = y - pred
             aggs.append(F.avg(F.abs(err) / F.greatest(F.abs(y), F.lit(EPS))).alias(f"mape__{m}"))
             aggs.append(F.sqrt(F.avg(err * err)).alias(f"rmse__{m}"))

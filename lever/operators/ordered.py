@@ -2,7 +2,7 @@
 
 A window ``partitionBy(keys).orderBy(t)`` sends every row of a key to one task,
 so a machine holding a third of the table would run in one task.  Here rows are
-cut into blocks along the first order column, the same cuts for every key; the
+cut into blocks along the order columns, the same cuts for every key; the
 window runs inside each ``(keys, block)`` and a carry from the earlier blocks of
 the same key is added:
 
@@ -10,57 +10,59 @@ the same key is added:
 * running sum = local running sum + sum of earlier blocks
 * forward fill = local last non-null, else last non-null of earlier blocks
 
-The cuts are approximate quantiles of the first order column, found by one
-column-pruned aggregate when the plan is built (as a range partitioning samples
-its bounds), so a block holds about an equal share of the rows.  They are
-constants of the plan: a row's block follows from its own value, every branch and
-every retry sees the same blocks, and nothing has to be cached.  The carry comes
-from a per-(keys, block) summary (at most blocks x keys rows).  There is one plan
-for all sizes.
+The number of blocks follows from the number of rows, ``BLOCK_ROWS`` each; with one
+block nothing is cut.  Otherwise the cuts are evenly spaced tuples of the whole order
+(first column and tie-breakers, any types), from a sample that a hash of the order
+values draws, taken when the plan is built, as a range partitioning samples its
+bounds.  They are one sorted array literal of the plan and a row finds its block by
+binary search in it, so every branch and every retry sees the same blocks and nothing
+has to be cached.  The carry comes from a per-(keys, block) summary.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType
 
 from lever.functions.columns import fold_of_index, join_on
 
 BLK = "_lever_blk"
+#: Rows of a block, about, whatever the session's partitioning; so many blocks at most, then they grow.
+BLOCK_ROWS, _MOST_BLOCKS = 250_000, 16_384
+#: Sampled rows a block that cuts are chosen from.
+_PER_BLOCK = 16
 
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    """A double that rises with the column's order (texts: by their first bytes)."""
-    kind, c = df.schema[name].dataType, _q(name)
-    if isinstance(kind, NumericType):
-        return c.cast("double")
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, DateType):
-        return F.unix_date(c).cast("double")
-    return F.conv(F.rpad(F.substring(F.hex(c.cast("string")), 1, 12), 12, "0"), 16, 10).cast("double")
-
-
-def _block(df: DataFrame, name: str, num_blocks: int | None) -> Column:
-    """The block of a row: how many cuts lie at or below its first order value; 0 for NULL."""
-    n = int(num_blocks or df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    x = _as_number(df, name)
-    probs = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(x, probs, 20 * n)).first()[0] if probs else None
-    cuts = sorted(set(cuts or ()))
-
-    def leaf(lo, hi):  # the block is in lo..hi: a balanced tree of comparisons
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(cuts[mid]), leaf(lo, mid)).otherwise(leaf(mid + 1, hi))
-
-    return F.when(x.isNull(), F.lit(0)).otherwise(leaf(0, len(cuts)))
+def _drawn(df: DataFrame, order, rows: int, blocks: int) -> list[str]:
+    """Order tuples (as JSON) of a sample of some ``_PER_BLOCK`` rows a block, in order."""
+    few = max(1, rows // (blocks * _PER_BLOCK))  # one row in so many
+    who = [_q(o).alias(f"c{i}") for i, o in enumerate(order)]
+    sample = df.select(*who).where(F.pmod(F.xxhash64(*[f"c{i}" for i in range(len(order))]), F.lit(few)) == 0)
+    found = sample.select(F.struct("*").alias("t")).orderBy("t").select(F.to_json("t", {"ignoreNullFields": "false"}).alias("t"))
+    return [r["t"] for r in found.collect()]  # bounded by the number of blocks, which is bounded
+
+
+def _block(df: DataFrame, order, num_blocks: int | None) -> Column:
+    """The block of a row: how many cuts lie at or below its order tuple (NULLs first)."""
+    rows = df.select(*[_q(o) for o in order]).count()
+    n = min(num_blocks or -(-rows // BLOCK_ROWS), _MOST_BLOCKS)
+    drawn = _drawn(df, order, rows, n) if n > 1 else []
+    chosen = [drawn[i * len(drawn) // n] for i in range(1, n)] if len(drawn) > 1 else []
+    if not chosen:
+        return F.lit(0)
+    own = F.struct(*[_q(o).alias(f"c{i}") for i, o in enumerate(order)])
+    kind = df.select(own.alias("t")).schema["t"].dataType
+    # a cut need not be a value of the data, so what JSON rounds off does no harm; sorting makes it a search array
+    cuts = F.array_sort(F.from_json(F.lit("[" + ",".join(chosen) + "]"), ArrayType(kind)))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(chosen).bit_length()))])
+    size = F.lit(len(chosen))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= size) & (F.get(cuts, at + step - 1) <= own), at + step).otherwise(at))
 
 
 def ordered_scan(df: DataFrame, keys, order, *, fill=(), cumsum=None, index: str | None = None,
@@ -75,7 +77,7 @@ def ordered_scan(df: DataFrame, keys, order, *, fill=(), cumsum=None, index: str
     """
     keys, order, fill = list(keys), list(order), list(fill)
     cumsum = dict(cumsum or {})
-    blocked = df.withColumn(BLK, _block(df, order[0], num_blocks))
+    blocked = df.withColumn(BLK, _block(df, order, num_blocks))
     group = [*keys, BLK]
     local_part = Window.partitionBy(*[_q(k) for k in group]).orderBy(*[_q(o).asc_nulls_first() for o in order])
     wr = local_part.rowsBetween(Window.unboundedPreceding, 0)
@@ -150,12 +152,9 @@ def rolling_mean(df: DataFrame, keys, order, col: str, size: int = 48,
     block = max(4096, 8 * size)
     d = ordered_scan(df, keys, order, index="_rm_rn", **kw).withColumn(
         "_rm_b", F.floor(F.col("_rm_rn") / block))
-    own = d.withColumn("_rm_own", F.lit(True))
-    halo = d.where(F.col("_rm_rn") % block > block - size) \
-        .select(*[_q(k) for k in keys], F.col("_rm_rn"), _q(col),
-                (F.col("_rm_b") + 1).alias("_rm_b"), F.lit(False).alias("_rm_own"))
-    both = own.unionByName(halo, allowMissingColumns=True)
-    w = Window.partitionBy(*[_q(k) for k in keys], F.col("_rm_b")).orderBy("_rm_rn") \
+    again = F.col("_rm_rn") % block > block - size
+    both = d.withColumn("_rm_at", F.explode(F.when(again, F.array("_rm_b", F.col("_rm_b") + 1)).otherwise(F.array("_rm_b"))))
+    w = Window.partitionBy(*[_q(k) for k in keys], F.col("_rm_at")).orderBy("_rm_rn") \
         .rowsBetween(-(size - 1), 0)
     res = both.withColumn(name, F.when(F.count(_q(col)).over(w) == size, F.avg(_q(col)).over(w)))
-    return res.where("_rm_own").select(*[_q(c) for c in df.columns], F.col(name))
+    return res.where("_rm_at = _rm_b").select(*[_q(c) for c in df.columns], F.col(name))

@@ -16,7 +16,7 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 
 from lever.functions.sizing import join_per_key
 from lever.operators.ordered import forward_fill as _ffill
-from lever.operators.quantiles import quantiles_long, unpivot
+from lever.operators.quantiles import quantiles_wide
 from lever.schema import SeriesSchema
 
 
@@ -228,23 +228,17 @@ def drop_variables(df: DataFrame, remove) -> DataFrame:
 
 
 def quantile_trim(df: DataFrame, keys=(), cols=(), lower: float = 0.05, upper: float = 0.99,
-                  method: str = "exact", **kw) -> DataFrame:
+                  method: str = "exact") -> DataFrame:
     """Drop rows with a NULL, then keep a row only if every column lies in
     its own [q_lower, q_upper]; all bounds come from the same (null-free) data."""
     keys, cols = list(keys), list(cols)
     clean = df.dropna(how="any", subset=cols)
-    qs = quantiles_long(unpivot(clean, keys, cols), [*keys, "column"], "value", [lower, upper],
-                        method=method, **kw)
-    wide = qs.groupBy(*[_q(k) for k in keys]).agg(
-        *[F.max(F.when((F.col("column") == c) & (F.col("prob") == lower), F.col("quantile"))).alias(f"_lo{i}")
-          for i, c in enumerate(cols)],
-        *[F.max(F.when((F.col("column") == c) & (F.col("prob") == upper), F.col("quantile"))).alias(f"_hi{i}")
-          for i, c in enumerate(cols)])
-    j = join_per_key(clean, wide, keys)
+    bounds = quantiles_wide(clean, keys, cols, [lower, upper], method)
+    j = join_per_key(clean, bounds, keys)
     cond = F.lit(True)
     for i, c in enumerate(cols):
-        cond = cond & (_q(c) >= F.col(f"_lo{i}")) & (_q(c) <= F.col(f"_hi{i}"))
-    return j.where(cond).drop(*[f"_lo{i}" for i in range(len(cols))], *[f"_hi{i}" for i in range(len(cols))])
+        cond = cond & (_q(c) >= F.col(f"q{i}_0")) & (_q(c) <= F.col(f"q{i}_1"))
+    return j.where(cond).drop(*[f"q{i}_{k}" for i in range(len(cols)) for k in (0, 1)])
 
 
 def sample_adequacy(df: DataFrame, keys=(), step: str = "") -> DataFrame:

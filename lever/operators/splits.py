@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan
-from lever.operators.quantiles import quantiles_of_counts
+from lever.operators.quantiles import quantiles_wide
 
 REL_EPS = 1e-12
 
@@ -230,29 +230,22 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
 
 
 def segment_boxstats(df: DataFrame, keys, variables, target: str, splits: DataFrame,
-                     whis: float = 1.5, **kw) -> DataFrame:
+                     whis: float = 1.5) -> DataFrame:
     """Box-plot numbers per segment: q1, median, q3 (linear interpolation),
     whiskers = most extreme values within ``whis`` * IQR of the box, outlier count.
 
-    Distinct target values with their counts feed quartiles and whiskers alike."""
+    Quartiles by selection (no ordering), then one aggregate for the rest."""
     keys = list(keys)
     gs = [*keys, "variable", "segment"]
-    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
-    counts = materialize(rows.groupBy(*[_q(c) for c in gs], "y").agg(F.count(F.lit(1)).alias("c")))
-    qs = quantiles_of_counts(counts, gs, "y", "c", [0.25, 0.5, 0.75], **kw)
-    box = qs.groupBy(*[_q(c) for c in gs]).agg(
-        F.max(F.when(F.col("prob") == 0.25, F.col("quantile"))).alias("q1"),
-        F.max(F.when(F.col("prob") == 0.5, F.col("quantile"))).alias("median"),
-        F.max(F.when(F.col("prob") == 0.75, F.col("quantile"))).alias("q3"))
-    box = box.withColumns({"_lim_lo": F.col("q1") - whis * (F.col("q3") - F.col("q1")),
-                           "_lim_hi": F.col("q3") + whis * (F.col("q3") - F.col("q1"))})
-    j = join_per_key(counts, box, gs)
-    out = (F.col("y") < F.col("_lim_lo")) | (F.col("y") > F.col("_lim_hi"))
+    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys).select(*[_q(c) for c in gs], "y")
+    box = quantiles_wide(rows, gs, ["y"], [0.25, 0.5, 0.75]).toDF(*gs, "q1", "median", "q3")
+    reach = whis * (F.col("q3") - F.col("q1"))
+    j = join_per_key(rows, box.withColumns({"_lim_lo": F.col("q1") - reach, "_lim_hi": F.col("q3") + reach}), gs)
+    low, high = F.col("y") < F.col("_lim_lo"), F.col("y") > F.col("_lim_hi")
     agg = j.groupBy(*[_q(c) for c in gs]).agg(
-        F.sum("c").cast("bigint").alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"),
-        F.max("q3").alias("q3"), F.min(F.when(F.col("y") >= F.col("_lim_lo"), F.col("y"))).alias("whisker_lo"),
-        F.max(F.when(F.col("y") <= F.col("_lim_hi"), F.col("y"))).alias("whisker_hi"),
-        F.sum(F.when(out, F.col("c")).otherwise(0)).cast("bigint").alias("n_outliers"))
+        F.count(F.lit(1)).alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
+        F.min(F.when(~low, F.col("y"))).alias("whisker_lo"), F.max(F.when(~high, F.col("y"))).alias("whisker_hi"),
+        F.count(F.when(low | high, 1)).alias("n_outliers"))
     return _segments(agg, keys, splits, 0.1).where("n > 0").select(
         *[_q(c) for c in gs], "label", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 

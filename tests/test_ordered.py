@@ -85,7 +85,7 @@ def test_a_hot_key_with_one_common_value(spark):
     pdf["y"] = np.where(pdf.x < 4, 1.0, 3.0) + rng.normal(0, 0.1, 9100)
     df = spark.createDataFrame(pdf)
     counts = df.groupBy("k", "x").count()
-    sizes = [r["count"] for r in counts.withColumn(BLK, _block(counts, "x", 8)).groupBy(BLK).count().collect()]
+    sizes = [r["count"] for r in counts.withColumn(BLK, _block(counts, ["x"], 8)).groupBy(BLK).count().collect()]
     assert len(sizes) == 8 and max(sizes) <= 1.5 * sum(sizes) / 8
     got = quantiles_long(df, ["k"], "x", [0.05, 0.5, 0.99]).toPandas()
     for k, part in pdf.groupby("k"):
@@ -103,3 +103,33 @@ def test_nothing_stays_persisted(spark):
     for name in ("segment_summary", "quantile_trim", "forward_fill"):
         se.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "int"])
+def test_two_order_values_and_a_tie_column_give_even_blocks(spark, kind):
+    """The cuts use the whole order tuple: with two times only, the tie-breaker cuts on."""
+    from lever.operators.ordered import BLK, _block
+    t = {"string": "if(id % 2 = 0, '2024-01', '2024-02')", "timestamp": "if(id % 2 = 0, timestamp'2024-01-01', timestamp'2024-01-02')",
+         "int": "cast(id % 2 as int)"}[kind]
+    df = spark.range(20_000).selectExpr("id", f"{t} AS t", "CASE WHEN id % 1000 = 0 THEN 1.5 * id END AS x")
+    sizes = [r["count"] for r in df.withColumn(BLK, _block(df, ["t", "id"], 8)).groupBy(BLK).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 4500 and min(sizes) > 1000
+    for n in (None, 8):
+        out = ordered_scan(df, [], ["t", "id"], fill=["x"], index="rn", num_blocks=n).orderBy("rn").toPandas()
+        assert out.rn.tolist() == list(range(20_000)) and out.id.tolist() == [*range(0, 20_000, 2), *range(1, 20_000, 2)]
+        assert out.x.tolist()[-1] == 1.5 * 19_000
+
+
+def test_blocks_follow_the_rows_not_the_session(spark):
+    from lever.operators import ordered
+    before, conf = ordered.BLOCK_ROWS, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        ordered.BLOCK_ROWS = 500
+        df = spark.range(10_000).withColumnRenamed("id", "t")
+        for partitions in ("2", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            sizes = df.withColumn("b", ordered._block(df, ["t"], None)).groupBy("b").count().toPandas()["count"]
+            assert len(sizes) == 20 and sizes.max() < 1500
+    finally:
+        ordered.BLOCK_ROWS = before
+        spark.conf.set("spark.sql.shuffle.partitions", conf)

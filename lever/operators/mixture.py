@@ -1,14 +1,16 @@
 """Gaussian mixtures of one variable (H4, H5).
 
-Spark compresses each (keys, variable) group to bins holding a count, a mean and
-a mean squared deviation, in units of the group's standard deviation about its
-median.  A group of at most ``max_bins`` distinct values keeps each value as a bin
-of its own, so its fit is that of the raw values.  Beyond that, bins hold about
-equal numbers of neighbouring values and never span two orders (powers of two) of
-distance from the median, so an outlier neither widens the other bins nor shares
-one with them; within a bin only its mean and spread are kept, which is the
-approximation.  EM for k = 1..3 then runs per group on those bounded summaries,
-and the component count with the smallest BIC wins; a constant variable has one.
+Spark counts the distinct values of each (keys, variable) group, in units of the
+group's standard deviation about its median, and EM for k = 1..3 runs on them; the
+component count with the smallest BIC wins, and a constant variable has one.
+
+Groups of up to ``local_values`` distinct values are fitted inside tasks, many groups a
+call.  Larger groups are first summarised to about ``max_bins`` bins (equal numbers of
+neighbouring values, never across two orders of distance from the median, so outliers
+stay apart) and fitted there; that only gives EM its starting point.  It then goes on
+over all values: an iteration is one aggregate that sums the responsibilities of every
+component of every k and group, until the mean log likelihood of each has settled, and
+the BIC is that of all values.
 k = 1 needs no EM: its parameters and BIC are closed form (``gmm_single``).
 """
 
@@ -26,6 +28,8 @@ from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import unpivot
 
 REG_COVAR = 1e-6
+#: Distinct values of a group that one task fits.
+LOCAL_VALUES = 1 << 18
 #: Cells (groups x bins) that one NumPy call works on.
 CELLS = 1 << 19
 
@@ -49,9 +53,11 @@ def gmm_single(df: DataFrame, cols, keys=(), reg_covar: float = REG_COVAR) -> Da
                     var.alias("variance"), (-2 * ll + 2 * F.log(F.col("n"))).alias("bic_1"))
 
 
-def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, **kw) -> DataFrame:
+def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, local_values: int = LOCAL_VALUES,
+             **kw) -> tuple[DataFrame, DataFrame]:
     """(keys, variable, bin, n, m, v, centre, scale): ``n`` values whose mean is centre + scale * m and whose mean
-    squared deviation is scale^2 * v."""
+    squared deviation is scale^2 * v; every distinct value its own bin in groups of up to ``local_values``.  And
+    (keys, variable, z, n, scale), the counted values of the larger groups."""
     keys = list(keys)
     g = [*keys, "variable"]
     gc = [_q(c) for c in g]
@@ -66,7 +72,7 @@ def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, **kw) -> DataFr
     scale = scan.groupBy(*gc).agg(F.sqrt(F.sum(F.col("n") * off * off) / F.max("nt")).alias("scale"))
     scan = join_per_key(scan, scale, g).withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
     z = off / F.col("scale")
-    few = F.col("n_x") <= max_bins
+    few = F.col("n_x") <= local_values
     rank = F.when(few, F.col("rn")).otherwise(F.floor((F.col("cn") - F.col("n")) * max_bins / F.col("nt")))
     order = F.when(few | (off == 0), F.lit(0)).otherwise(F.signum(off) * (F.floor(F.log2(F.abs(off))) + 2000))
     scan = scan.withColumns({"z": z, "bin": F.struct(rank.cast("bigint").alias("rank"), order.cast("int").alias("order"))})
@@ -76,71 +82,111 @@ def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, **kw) -> DataFr
     # a bin of one value has no spread; else squares about the bin's own mean
     spread = join_per_key(scan.where(~few), bins.select(*gc, "bin", F.col("m").alias("bm")), [*g, "bin"]) \
         .groupBy(*gc, "bin").agg((F.sum(F.col("n") * (F.col("z") - F.col("bm")) ** 2) / F.sum("n")).alias("v"))
-    return join_per_key(bins, spread, [*g, "bin"], "left").select(
+    bins = join_per_key(bins, spread, [*g, "bin"], "left").select(
         *gc, "bin", F.col("n").cast("double").alias("n"), "m", F.coalesce("v", F.lit(0.0)).alias("v"), "centre", "scale")
+    return bins, scan.where(~few).select(*gc, "z", F.col("n").cast("double").alias("n"))
 
 
-def gmm_fit(df: DataFrame, cols, keys=(), k_max: int = 3, max_bins: int = 4096,
-            reg_covar: float = REG_COVAR, max_iter: int = 1000, **kw) -> DataFrame:
-    """H4: per (keys, variable) the best component count and its components.
-
-    Returns (keys, variable, n_components, component, weight, mean, variance, bic,
-    converged) -- one row per component of the chosen mixture, sorted by mean;
-    ``converged`` says whether EM of every count tried stopped by itself within
-    ``max_iter`` steps.
-    """
-    keys = list(keys)
-    g = [*keys, "variable"]
-    packed = compress(df, cols, keys, max_bins, **kw).groupBy(*[_q(c) for c in g]).agg(
-        F.collect_list("n").alias("_n"), F.collect_list("m").alias("_m"), F.collect_list("v").alias("_v"),
+def _local_fits(bins: DataFrame, g, k_max: int, reg_covar: float, max_iter: int, tol: float) -> DataFrame:
+    """(g, centre, scale, total, k, weights, means, variances, ll, converged): EM on the bins, for every k that a
+    group has values for; means and variances in the group's units, ``ll`` that of its values in them."""
+    packed = bins.groupBy(*[_q(c) for c in g]).agg(
+        F.collect_list("n").alias("_ln"), F.collect_list("m").alias("_lm"), F.collect_list("v").alias("_lv"),
         F.max("centre").alias("_centre"), F.max("scale").alias("_scale"))
-    group_schema = packed.select(*[_q(c) for c in g]).schema
-    arrow = list(to_arrow_schema(group_schema))
-    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in group_schema.fields] + [
-        "n_components int", "component int", "weight double", "mean double", "variance double", "bic double",
-        "converged boolean"])
+    own = packed.select(*[_q(c) for c in g], "_centre", "_scale").schema
+    arrow = list(to_arrow_schema(own))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.fields] + [
+        "_total double, _k int, _w array<double>, _mu array<double>, _var array<double>, _like double, converged boolean"])
 
-    def fit_batch(it):
+    def run(it):
         for batch in it:
-            lists = {c: batch.column(c) for c in ("_n", "_m", "_v")}
-            sizes = np.diff(lists["_n"].offsets.to_numpy())
-            widest = int(sizes.max(initial=1))
-            step = max(1, CELLS // max(widest, 1))
+            lists = {c: batch.column(c) for c in ("_ln", "_lm", "_lv")}
+            sizes = np.diff(lists["_ln"].offsets.to_numpy())
+            step = max(1, CELLS // max(int(sizes.max(initial=1)), 1))
             for at in range(0, batch.num_rows, step):
-                yield fit_rows(batch.slice(at, step), {c: x.slice(at, step) for c, x in lists.items()}, sizes[at:at + step])
+                yield from fitted(batch.slice(at, step), {c: x.slice(at, step) for c, x in lists.items()}, sizes[at:at + step])
 
-    def fit_rows(batch, lists, sizes):
+    def fitted(batch, lists, sizes):
         G, B = len(sizes), int(sizes.max())
         filled = np.arange(B)[None, :] < sizes[:, None]
         n, m, v = (np.zeros((G, B)) for _ in range(3))
-        for a, c in ((n, "_n"), (m, "_m"), (v, "_v")):
+        for a, c in ((n, "_ln"), (m, "_lm"), (v, "_lv")):
             a[filled] = lists[c].flatten().to_numpy(zero_copy_only=False)
-        centre, scale = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_centre", "_scale"))
-        N, single = n.sum(1), sizes == 1
-        best_k, best_bic, conv = np.ones(G, int), np.full(G, np.inf), np.ones(G, bool)
-        W, M, V = np.zeros((G, k_max)), np.full((G, k_max), np.inf), np.zeros((G, k_max))
+        scale = batch.column("_scale").to_numpy(zero_copy_only=False)
         for k in range(1, k_max + 1):
-            wt, mu, var, ll, done = fit_gmm_1d_batch(n, m, v, k, reg_covar / scale ** 2, max_iter)
-            b = bic(ll - N * np.log(scale), k, N)
-            tried = (k <= sizes) & ~(single & (k > 1))
-            conv &= done | ~tried
-            better = tried & ((b < best_bic) | (k == 1))
-            best_bic, best_k = np.where(better, b, best_bic), np.where(better, k, best_k)
-            W[better], M[better], V[better] = 0.0, np.inf, 0.0
-            W[better, :k], M[better, :k], V[better, :k] = wt[better], mu[better], var[better]
-        by = np.argsort(M, axis=1, kind="stable")
-        W, M, V = (np.take_along_axis(a, by, 1) for a in (W, M, V))
-        row, comp = np.nonzero(np.arange(k_max)[None, :] < best_k[:, None])
-        take = pa.array(row)
-        bics = np.where(single, np.nan, best_bic)
-        return pa.RecordBatch.from_arrays(
-            [batch.column(f.name).take(take) for f in arrow]
-            + [pa.array(best_k[row].astype(np.int32)), pa.array(comp.astype(np.int32)), pa.array(W[row, comp]),
-               pa.array(centre[row] + scale[row] * M[row, comp]), pa.array(scale[row] ** 2 * V[row, comp]),
-               pa.array(bics[row]), pa.array(conv[row])],
-            names=[*[f.name for f in arrow], "n_components", "component", "weight", "mean", "variance", "bic", "converged"])
-
-    return materialize(packed.mapInArrow(fit_batch, out_schema))
+            wt, mu, var, ll, done = fit_gmm_1d_batch(n, m, v, k, reg_covar / scale ** 2, max_iter, tol)
+            row = np.flatnonzero((k <= sizes) & ((sizes > 1) | (k == 1)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name).take(pa.array(row)) for f in arrow]
+                + [pa.array(n.sum(1)[row]), pa.array(np.full(len(row), k, np.int32)), *(pa.array(list(a[row]), pa.list_(pa.float64())) for a in (wt, mu, var)),
+                   pa.array(ll[row]), pa.array(done[row])],
+                names=[*[f.name for f in arrow], "_total", "_k", "_w", "_mu", "_var", "_like", "converged"])
+
+    return materialize(packed.mapInArrow(run, schema), "mixtures")
+
+
+def _settled_fits(values: DataFrame, fits: DataFrame, g, k_max: int, reg_covar: float, max_iter: int, tol: float) -> DataFrame:
+    """``fits`` of the groups in ``values`` (g, z, n), carried on over all values until they settle."""
+    by = [*g, "_k"]
+    state = fits.withColumn("_like", F.lit(None).cast("double")).withColumn("converged", F.lit(False))
+    for _ in range(max_iter):
+        state = materialize(state, "em")
+        going = state.where("NOT converged")
+        if going.isEmpty():
+            break
+        each = join_per_key(values, going.select(*[_q(c) for c in g], "_k", "_w", "_mu", "_var"), g)
+        logs = F.transform(F.arrays_zip("_w", "_mu", "_var"), lambda c: F.log(c["_w"]) - 0.5 * (
+            F.log(2 * F.lit(np.pi) * c["_var"]) + (F.col("z") - c["_mu"]) ** 2 / c["_var"]))
+        each = each.withColumn("_l", logs).withColumn("_top", F.array_max("_l"))
+        each = each.withColumn("_lse", F.col("_top") + F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top")))))
+        sums = [F.sum(F.col("n") * F.col("_lse")).alias("_ll")]
+        for c in range(k_max):
+            share = F.col("n") * F.exp(F.get("_l", F.lit(c)) - F.col("_lse"))
+            off = F.col("z") - F.get("_mu", F.lit(c))
+            sums += [F.sum(share).alias(f"_s{c}"), F.sum(share * off).alias(f"_x{c}"), F.sum(share * off * off).alias(f"_q{c}")]
+        met = join_per_key(going, each.groupBy(*[_q(c) for c in by]).agg(*sums), by)
+        done = F.coalesce(F.abs(F.col("_ll") - F.col("_like")) / F.col("_total") < tol, F.lit(False))
+        parts = [(F.col(f"_s{c}"), F.col(f"_x{c}") / F.col(f"_s{c}"), F.col(f"_q{c}") / F.col(f"_s{c}")) for c in range(k_max)]
+        new = {"_w": [s / F.col("_total") for s, _, _ in parts],
+               "_mu": [F.get("_mu", F.lit(c)) + x for c, (_, x, _) in enumerate(parts)],
+               "_var": [q - x * x + reg_covar / (F.col("_scale") * F.col("_scale")) for _, x, q in parts]}
+        moved = {name: F.when(done, F.col(name)).otherwise(F.slice(F.array(*cells), F.lit(1), F.col("_k"))) for name, cells in new.items()}
+        met = met.select(*[_q(c) for c in fits.columns if c not in (*new, "_like", "converged")],
+                         *[e.alias(name) for name, e in moved.items()], F.col("_ll").alias("_like"), done.alias("converged"))
+        state = state.where("converged").unionByName(met)
+    return state
+
+
+def gmm_fit(df: DataFrame, cols, keys=(), k_max: int = 3, max_bins: int = 4096, reg_covar: float = REG_COVAR,
+            max_iter: int = 1000, tol: float = 1e-3, local_values: int = LOCAL_VALUES, **kw) -> DataFrame:
+    """H4: per (keys, variable) the best component count and its components.
+
+    Returns (keys, variable, n_components, component, weight, mean, variance, bic,
+    converged) -- one row per component of the chosen mixture, sorted by mean;
+    ``converged`` says whether EM of every count tried stopped by itself within
+    ``max_iter`` steps: its mean log likelihood changed by less than ``tol``.
+    """
+    keys = list(keys)
+    g = [*keys, "variable"]
+    bins, values = compress(df, cols, keys, max_bins, local_values, **kw)
+    fits = _local_fits(bins, g, k_max, reg_covar, max_iter, tol)
+    large = values.select(*[_q(c) for c in g]).distinct()
+    if not values.isEmpty():
+        started = join_per_key(fits, large, g, "left_semi")
+        fits = join_per_key(fits, large, g, "left_anti").unionByName(_settled_fits(values, started, g, k_max, reg_covar, max_iter, tol))
+    n = F.col("_total")
+    bic = -2 * (F.col("_like") - n * F.log("_scale")) + (3 * F.col("_k") - 1) * F.log(n)
+    best = fits.withColumn("bic", bic).groupBy(*[_q(c) for c in g]).agg(
+        F.min_by(F.struct("_k", "_w", "_mu", "_var", "bic", "_centre", "_scale"), F.struct("bic", "_k")).alias("b"),
+        F.min("converged").alias("converged"), F.max("_k").alias("tried"))
+    parts = F.array_sort(F.transform(F.arrays_zip("b._w", "b._mu", "b._var"),
+                                     lambda c: F.struct(c["_mu"].alias("m"), c["_w"].alias("w"), c["_var"].alias("v"))))
+    out = best.select(*[_q(c) for c in g], F.col("b._k").alias("n_components"), F.posexplode(parts).alias("component", "c"),
+                      "b.bic", "b._centre", "b._scale", "converged", "tried")
+    return materialize(out.select(
+        *[_q(c) for c in g], "n_components", "component", F.col("c.w").alias("weight"),
+        (F.col("_centre") + F.col("_scale") * F.col("c.m")).alias("mean"), (F.col("_scale") * F.col("_scale") * F.col("c.v")).alias("variance"),
+        F.when(F.col("tried") > 1, F.col("bic")).alias("bic"), "converged"), "mixtures")
 
 
 def gmm_components(df: DataFrame, cols, keys=(), **kw) -> DataFrame:

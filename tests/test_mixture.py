@@ -44,7 +44,7 @@ def test_outliers_do_not_hide_bumps(spark):
     bumps = np.concatenate([rng.normal(0, 1, 1000), rng.normal(10, 1, 1000)])
     for far, bins in ((1e5, 4096), (1e7, 4096), (1e7, 256)):
         x = np.append(bumps, far)
-        comps = G.gmm_fit(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], max_bins=bins).orderBy("component").toPandas()
+        comps = G.gmm_fit(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"], max_bins=bins, local_values=10**6 if bins > 256 else 500).orderBy("component").toPandas()
         assert len(comps) == 3 and comps.converged.all()
         assert np.allclose(comps["mean"][:2], [0, 10], atol=0.2) and np.isclose(comps["mean"][2], far)
 
@@ -60,7 +60,7 @@ def test_large_offset_changes_nothing(spark):
 
 def test_few_distinct_values_are_kept(spark):
     x = np.repeat([1.0, 2.0, 3.0, 50.0, 51.0], [30, 40, 30, 20, 20])
-    bins = G.compress(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"]).toPandas()
+    bins = G.compress(spark.createDataFrame(pd.DataFrame({"x": x})), ["x"])[0].toPandas()
     assert len(bins) == 5 and sorted(bins.n) == [20, 20, 30, 30, 40] and (bins.v == 0).all()
 
 
@@ -70,3 +70,37 @@ def test_groups_and_null_keys(spark):
     comps = G.gmm_fit(spark.createDataFrame(pdf), ["x"], ["k"]).toPandas()
     a, b = comps[comps.k == "a"], comps[comps.k.isna()]
     assert len(a) == len(b) > 0 and np.allclose(a["mean"].sort_values(), b["mean"].sort_values())
+
+
+def _numpy_em(x, k, reg, tol, steps):
+    """EM on the raw values, from the start that the batch fit takes."""
+    from lever.functions.em1d import fit_gmm_1d_batch
+    wt, mu, var, ll, done = fit_gmm_1d_batch(np.ones((1, len(x))), x[None, :], np.zeros((1, len(x))), k, reg, steps, tol)
+    order = np.argsort(mu[0])
+    return wt[0][order], mu[0][order], var[0][order], ll[0]
+
+
+def test_a_hundred_thousand_distinct_values(spark):
+    """Fitted in one task, and by iterations over all values from 64 or 1,000 bins: what EM on the raw values gives."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 60_000), rng.normal(6, 2, 40_000)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    w, m, v, ll = _numpy_em(x, 2, 1e-6, 1e-8, 5000)
+    for options in (dict(), dict(local_values=1000, max_bins=64), dict(local_values=1000, max_bins=1000)):
+        comps = G.gmm_fit(df, ["x"], k_max=2, tol=1e-7, max_iter=300, **options).orderBy("component").toPandas()
+        assert len(comps) == 2 and comps.converged.all()
+        assert np.allclose(comps["mean"], m, atol=2e-3) and np.allclose(comps.weight, w, atol=1e-3)
+        assert np.allclose(comps.variance, v, rtol=5e-3) and np.isclose(comps.bic[0], -2 * ll + 5 * np.log(len(x)), rtol=1e-8)
+
+
+def test_large_and_small_groups_together(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": ["a"] * 3000 + [None] * 3000 + ["c"] * 50,
+                        "x": np.concatenate([rng.normal(0, 1, 1500), rng.normal(9, 1, 1500), rng.normal(5, 1, 3000), np.full(50, 2.0)])})
+    df = spark.createDataFrame(pdf)
+    want = G.gmm_fit(df, ["x"], ["k"], tol=1e-4).toPandas()
+    got = G.gmm_fit(df, ["x"], ["k"], tol=1e-4, local_values=100, max_bins=200).toPandas()
+    for k in ("a", None, "c"):
+        one, two = (d[d.k.isna() if k is None else d.k == k].sort_values("component") for d in (want, got))
+        assert len(one) == len(two) and np.allclose(one["mean"], two["mean"], atol=0.1)
+    assert want[want.k == "a"].n_components.iloc[0] == 2 and want[want.k == "c"].bic.isna().all()

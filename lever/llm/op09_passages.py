@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import byte_values, col, normal_words, text_blocks, written
+from lever.llm.common import byte_values, col, normal_words, text_blocks, tidied, written
 from lever.llm.hashing import WordHashes, mixed, odd_factors, shingles, span_hashes
 from lever.llm.linking import classes, maybe_in
 from lever.llm.op08_decontaminate import without
@@ -122,6 +122,13 @@ def similar(a: bytes, b: bytes) -> bool:
     return common >= THRESHOLD * (len(x) + len(y) - common) - 1e-9
 
 
+def line_tokens(lines: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted hashes of each line's distinct shingles."""
+    words = WordHashes(lines)
+    values, bounds = shingles(words.hashes, words.bounds, WIDTH)
+    return [np.unique(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
 def _numbered(batches, *columns: str):
     """Blocks of texts: (place of each row in the batch, texts, values of ``columns`` in the whole batch)."""
     for batch in batches:
@@ -150,7 +157,7 @@ def _units(source: DataFrame, how: Passages) -> DataFrame:
                  pa.array(h2.view(np.int64)), key_lists],
                 names=["id", "tkey", "start", "n", "h1", "h2", "keys"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
+    return source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
                                   "h1 bigint, h2 bigint, keys array<bigint>")
 
 
@@ -172,7 +179,7 @@ def _prints(source: DataFrame, how: Passages) -> DataFrame:
                 [pa.array([ids[d] for d in doc], id_type), pa.array([tkeys[d] for d in doc], pa.int64()),
                  pa.array(prints[new].view(np.int64))], names=["id", "tkey", "print"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, print bigint")
+    return source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, print bigint")
 
 
 def _windows(source: DataFrame, how: Passages) -> DataFrame:
@@ -196,7 +203,7 @@ def _windows(source: DataFrame, how: Passages) -> DataFrame:
                  pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
                 names=["id", "tkey", "start", "n", "h1", "h2"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
+    return source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, tkey bigint, start int, n int, "
                                   "h1 bigint, h2 bigint")
 
 
@@ -215,7 +222,7 @@ def _paragraphs(source: DataFrame, how: Passages) -> DataFrame:
                  pa.array([x for x, k in zip(lines, keep.tolist()) if k], pa.binary())],
                 names=["h1", "h2", "content"])
 
-    return source.mapInArrow(run, "h1 bigint, h2 bigint, content binary")
+    return source.mapInArrow(tidied(run), "h1 bigint, h2 bigint, content binary")
 
 
 def _spanning(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -250,7 +257,7 @@ def _repeated_paragraphs(source: DataFrame, how: Passages) -> DataFrame:
         return rows.join(wanted, ["h1", "h2"]).groupBy("node").agg(F.first("content").alias("content")) \
             .select(F.col("node").alias("id"), "content")
 
-    root = classes(nodes.select(F.col("node").alias("id"), "keys"), contents, similar)
+    root = classes(nodes.select(F.col("node").alias("id"), "keys"), contents, similar, 1, line_tokens, round(100 * THRESHOLD))
     linked = nodes.join(root, nodes["node"] == root["id"], "left").filter("copies > 1 OR root IS NOT NULL")
     linked = written(linked.select("h1", "h2", F.coalesce("root", "node").alias("class")), "linked")
     maybe, _ = maybe_in(banded.drop("keys"), "h1", linked.select("h1"))
@@ -354,7 +361,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     new, columns[chars].to_pylist(), batch.column("cuts").to_pylist())], arrow[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow).filter(pa.array(keep, pa.bool_()))
 
-    changed = joined.select(*spare, "cuts").mapInArrow(run, schema)
+    changed = joined.select(*spare, "cuts").mapInArrow(tidied(run), schema)
     return changed.unionByName(surely.select(*spare).toDF(*names)) if len(set(names)) == len(names) \
         else changed.union(surely.select(*spare))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import col, text_blocks
+from lever.llm.common import col, text_blocks, tidied
 from lever.llm.suffix import RepeatArray, word_ids
 
 _SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,7 @@ def repetition_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *(pa.array(found[m]) for m in MEASURES)],
                                              names=["id", *MEASURES])
 
-    out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, "
+    out = source.mapInArrow(tidied(run), f"id {source.schema['id'].dataType.simpleString()}, "
                             + ", ".join(f"{m} bigint" for m in MEASURES))
     return out.withColumnRenamed("id", id_col)
 
@@ -130,7 +130,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keep += kept_rows(measure(block, limits), limits).tolist()
             yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(keep))
 
-    return docs.toDF(*spare).mapInArrow(run, schema)
+    return docs.toDF(*spare).mapInArrow(tidied(run), schema)
 
 
 def kept_rows(found: dict[str, np.ndarray], limits: Limits = Limits()) -> np.ndarray:

@@ -40,21 +40,22 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import col, text_blocks, written
+from lever.llm.common import col, text_blocks, tidied, written
 from lever.llm.hashing import SPACED, WordHashes, shingles
 from lever.llm.linking import components, maybe_in
+from lever.llm.set_index import block_pairs, index_lists, leader_pairs, needed, rooted
 
 WIDTH = 4
 #: Percent of the union that linked sets share, and that a set shares with the leader it is derived from.
 LINKED, RELATED = 85, 90
 #: Prefix shingles that linked sets must share to go on: so many, and one for each ``EACH`` shingles.
 SHARED, EACH = 12, 16
-#: Members of an index block, about, and members whose answers are derived together.
-BLOCK, GROUP = 256, 64
+#: Members whose answers are derived together.
+GROUP = 64
 #: Rounds of leaders.
 ROUNDS = 3
 
@@ -97,7 +98,7 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                     [pa.array(ids, id_type), pa.array(own, pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
                      _lists(heads)], names=["id", "digest", "n", "prefix"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, digest binary, n bigint, prefix array<bigint>")
+    return texts.mapInArrow(tidied(run), f"id {texts.schema['id'].dataType.simpleString()}, digest binary, n bigint, prefix array<bigint>")
 
 
 def _whole_sets(texts: DataFrame) -> DataFrame:
@@ -108,11 +109,7 @@ def _whole_sets(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)],
                                              names=["node", "n", "tokens"])
 
-    return texts.mapInArrow(run, "node bigint, n bigint, tokens array<bigint>")
-
-
-def _needed(n: Column) -> Column:
-    return F.ceil(n * LINKED / 100)
+    return texts.mapInArrow(tidied(run), "node bigint, n bigint, tokens array<bigint>")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -121,80 +118,10 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     several = written(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token"), "shared-tokens")
     maybe, _ = maybe_in(rows, "token", several)
     shared = maybe.join(several, "token").groupBy("node").agg(F.count("*").alias("c"))
-    least = _needed(F.col("n"))
+    least = needed(F.col("n"), LINKED)
     return nodes.drop("prefix").join(shared, "node").filter(F.col("c") >= F.least(least, SHARED + F.floor(least / EACH)))
 
 
-# ------------------------------------------------------------------ index
-def index_lists(sets: DataFrame) -> DataFrame:
-    """(token, node, n, place): the shingles in a set's first |x| - need(x) + 1 places that other sets have too."""
-    rows = sets.select("node", F.explode("tokens").alias("token"))
-    held = rows.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
-    own = rows.join(held, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("own"))
-    own = own.join(sets.select("node", "n"), "node")
-    alone = F.col("n") - F.size("own")  # these come first
-    room = F.col("n") - _needed(F.col("n")) + 1 - alone
-    return own.select("node", "n", alone.alias("alone"), F.posexplode(F.slice("own", 1, F.greatest(room, F.lit(0)).cast("int")))) \
-        .select("col.token", "node", "n", (F.col("alone") + F.col("pos")).alias("place"))
-
-
-def _reachable(n, place, other_n, other_place) -> Column:
-    """Can sets whose first common shingle stands at these places link?"""
-    most = F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place))
-    return (100 + LINKED) * most >= LINKED * (F.col(n) + F.col(other_n))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def _leader_pairs(entries: DataFrame) -> DataFrame:
-    """(u, v): members of lists with the list's earliest member, and with the earliest outside its main class."""
-    classes = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
-    main = classes.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("classes")) \
-        .filter("classes > 1")
-    held = entries.join(main, "token")
-    at = F.struct("place", "node")
-    who = F.struct(F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("place").alias("leader_place"),
-                   F.col("root").alias("leader_root"))
-    out = F.col("root") != F.col("main")
-    leaders = held.groupBy("token").agg(F.min_by(who, at).alias("a"), F.min_by(who, F.when(out, at)).alias("b"),
-                                        F.max_by(who, F.when(out, F.xxhash64("node"))).alias("c"))
-    leaders = leaders.select("token", F.inline(F.array_distinct(F.array("a", "b", "c"))))
-    met = held.join(leaders, "token").filter((F.col("root") != F.col("leader_root"))
-                                             & _reachable("n", "place", "leader_n", "leader_place"))
-    return _ordered(met.select(F.col("node").alias("u"), F.col("leader").alias("v")))
-
-
-def _block_pairs(entries: DataFrame) -> DataFrame:
-    """(u, v): all pairs of different classes in block pairs of a list that cannot be skipped."""
-    classes = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
-    lists = classes.groupBy("token").agg(F.sum("c").alias("entries"), F.count("*").alias("classes"),
-                                         F.max_by("root", F.struct("c", "root")).alias("main")).filter("classes > 1")
-    held = entries.join(lists, "token") \
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("entries") / BLOCK)).cast("int")) \
-        .withColumn("is_main", F.col("root") == F.col("main"))
-    blocks = held.groupBy("token", "n", "place", "part", "is_main").agg(F.collect_list(F.struct("node", "root")).alias("members"))
-    name = F.struct("n", "place", "part", "is_main")
-    a = blocks.select("token", "n", "place", "is_main", "members", name.alias("name"))
-    b = blocks.select("token", F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("is_main").alias("main2"),
-                      F.col("members").alias("members2"), name.alias("name2"))
-    both = a.join(b, "token").filter((F.col("name") <= F.col("name2")) & ~(F.col("is_main") & F.col("main2"))
-                                     & _reachable("n", "place", "n2", "place2"))
-    same = F.col("name") == F.col("name2")
-    pairs = F.flatten(F.transform("members", lambda x: F.transform(
-        F.filter("members2", lambda y: (x["root"] != y["root"]) & (~same | (x["node"] < y["node"]))),
-        lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))))
-    return _ordered(both.select(F.inline(pairs)))
-
-
-def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return entries.withColumn("root", F.col("node"))
-    renamed = roots.select(F.col("id").alias("node"), "root")
-    return entries.join(renamed, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
 # ------------------------------------------------------------------ answers
 _DIFF = "minus array<bigint>, plus array<bigint>"
 
@@ -268,7 +195,7 @@ def answers(pairs: DataFrame, sets: DataFrame, related: DataFrame | None = None)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
                                              names=["u", "v", "common", "minus", "plus"])
 
-    return rows.mapInArrow(run, f"u bigint, v bigint, common bigint, {_DIFF}")
+    return rows.mapInArrow(tidied(run), f"u bigint, v bigint, common bigint, {_DIFF}")
 
 
 def _relations(links: DataFrame) -> DataFrame:
@@ -282,11 +209,11 @@ def _relations(links: DataFrame) -> DataFrame:
 
 def set_links(sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Of ``sets`` (node, n, tokens): links (u, v) enough to join every class, and (id, root) of the sets that have one."""
-    entries = written(index_lists(sets), "index")
+    entries = written(index_lists(sets, LINKED), "index")
     links = tested = roots = related = None
     for step in range(ROUNDS + 1):
-        rooted = _rooted(entries, roots)
-        pairs = _leader_pairs(rooted) if step < ROUNDS else _block_pairs(rooted)
+        held = rooted(entries, roots)
+        pairs = leader_pairs(held, LINKED) if step < ROUNDS else block_pairs(held, LINKED)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")

@@ -11,6 +11,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
+from lever.llm.common import emptied_at_end
+
 _ENDS = frozenset(b".,")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -64,6 +66,7 @@ class WordIds(dict):
 
 
 _LOADED: dict[str, WordIds] = {}
+emptied_at_end(_LOADED.clear)  # by tasks of other operators that this worker runs later
 
 
 def loaded(path: str) -> WordIds:

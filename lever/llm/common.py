@@ -108,19 +108,19 @@ def emptied_at_end(clear: Callable[[], None]) -> None:
     _CACHES.append(clear)
 
 
-def tidied(run):
+def tidied(run, keep_caches: bool = False):
     """``run`` of a ``mapInArrow``, after which the worker gives its memory back: workers stay for the next tasks and
     stages, and what each still held would add up."""
     def tidy(batches):
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            _give_back(keep_caches)
     return tidy
 
 
-def _give_back() -> None:
-    for clear in _CACHES:
+def _give_back(keep_caches: bool) -> None:
+    for clear in () if keep_caches else _CACHES:
         clear()
     gc.collect()
     pa.default_memory_pool().release_unused()

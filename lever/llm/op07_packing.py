@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import col, text_blocks
+from lever.llm.common import col, text_blocks, tidied
 from lever.llm.word_tokens import default_path, loaded
 
 
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         words = loaded(path)
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         rows: list = []
-        for ids, texts in text_blocks(batches, "id", "text", 1 << 20):
+        for ids, texts in text_blocks(batches, "id", "text", 1 << 19):
             for key, text in zip(ids, texts):
                 data = words.text(text) + end
                 total, start = len(data) >> 2, 0
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     payload = (key, start, length, zlib.crc32(part), total) + ((part,) if with_ids else ())
                     rows += packer.add(length, payload) or ()
                     start += length
-            if len(rows) >= 2000:
+            if len(rows) >= (250 if with_ids else 2000):
                 yield batch(rows)
                 rows = []
         rows += packer.finish()
@@ -129,4 +129,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     schema = f"id {source.schema['id'].dataType.simpleString()}, " + ", ".join(
         f"{k} " + ("array<int>" if k == "ids" else "bigint") for k, _ in kinds)
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidied(run, keep_caches=True), schema).withColumnRenamed("id", id_col)

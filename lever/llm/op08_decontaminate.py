@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lever.llm.common import byte_values, col, normal_words, text_blocks
+from lever.llm.common import byte_values, col, normal_words, text_blocks, tidied
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -204,7 +204,7 @@ _FOUND = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items ar
 def _found(batch: pa.RecordBatch, text: str, automaton: ItemAutomaton) -> list[tuple]:
     """(words, spans, items, longest match) of each row, with what earlier blocks found, if the batch has it."""
     texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(text)], ["id", "text"])
-    found = [x for _, block in text_blocks([texts], "id", "text") for x in find_hits(automaton, block)]
+    found = [x for _, block in text_blocks([texts], "id", "text", 1 << 19) for x in find_hits(automaton, block)]
     if "spans" not in batch.schema.names:
         return found
     old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(),
@@ -233,7 +233,7 @@ def _scan(docs: DataFrame, block: list, text: str, window: int) -> DataFrame:
                    pa.array([f[3] for f in found], pa.int64())],
                 names=names + ["n_words", "spans", "items", "longest_match"])
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(tidied(run), fields)
 
 
 def _merged(spans: list) -> list:
@@ -304,7 +304,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", cha
                                               arrow[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow).filter(pa.array(keep, pa.bool_()))
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidied(run), schema)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:

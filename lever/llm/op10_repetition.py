@@ -126,7 +126,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             keep: list[bool] = []
             texts = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place)], ["id", "text"])
-            for _, block in text_blocks([texts], "id", "text"):
+            for _, block in text_blocks([texts], "id", "text", 1 << 19):
                 keep += kept_rows(measure(block, limits), limits).tolist()
             yield pa.RecordBatch.from_arrays(batch.columns, schema=arrow).filter(pa.array(keep))
 

@@ -24,7 +24,7 @@ _BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b f
 class WordIds(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
         super().__init__()
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)

@@ -22,6 +22,7 @@ from lever.plans import jobs as E
 from lever.plans import sqlgen as S
 from lever.session import tune_session
 from lever.sources import catalog as C
+from lever.sources.series import load_machine_tables, series_table_name
 from lever.sources.fixtures import (F1_KEYED_SCHEMA, F1_SCHEMA, F2_FEATURES, F2_SCHEMA, events_series,
                                     lineitem_series)
 
@@ -73,6 +74,17 @@ def q_load_series(spark, sf):
     return f2(spark, sf)
 
 
+@query("load_machine_tables", W(S.F1K) + "SELECT * FROM f1k")
+def q_load_machine_tables(spark, sf):
+    """A table for each machine, united again: views over the keyed series, named as the per-machine tables are."""
+    d = f1k(spark, sf)
+    pairs = [tuple(r) for r in C.site_machine_dim(d).collect()]
+    for site, machine in pairs:
+        d.where((F.col("site") == site) & (F.col("machine") == machine)).drop("site", "machine") \
+            .createOrReplaceTempView(series_table_name(site, machine))
+    return load_machine_tables(spark, pairs, schema=F1_KEYED_SCHEMA).select(*d.columns)
+
+
 @query("site_machine_dim", W(S.F1K) + "SELECT DISTINCT site, machine AS machines FROM f1k")
 def q_site_machine_dim(spark, sf):
     return C.site_machine_dim(f1k(spark, sf))

@@ -20,7 +20,7 @@ from lever.functions.sizing import join_per_key, materialize
 from lever.operators import forest
 from lever.operators.forest import Forest
 from lever.operators.gram import coefficients_long, fold_moments, solve_folds
-from lever.operators.ordered import contiguous_folds
+from lever.operators.ordered import contiguous_folds, with_row_index
 from lever.operators.prep import drop_null_rows
 
 # The ranking registry (name -> solver, penalty) in registry order,
@@ -63,6 +63,19 @@ def shuffled_folds(df: DataFrame, k: int = 5, hash_col: str | None = None, cols=
     return df.withColumn(name, F.pmod(h, F.lit(k)).cast("bigint"))
 
 
+def holdout_exact(df: DataFrame, keys, order, share: float = 0.8, name: str = "in_train", **kw) -> DataFrame:
+    """M1 with the exact share: per key all but the last ceil((1 - share) n) rows in ``order``, which starts with a
+    hash (a shuffle that does not depend on partitioning) and ends with tie-breakers."""
+    held = with_row_index(df, keys, order, "_hx_i", "_hx_n", **kw)
+    out = F.ceil(F.round(F.col("_hx_n") * F.lit(1.0 - share), 9))
+    return held.withColumn(name, F.col("_hx_i") < F.col("_hx_n") - out).drop("_hx_i", "_hx_n")
+
+
+def folds_exact(df: DataFrame, keys, order, k: int = 5, name: str = "fold", **kw) -> DataFrame:
+    """M2 with exact sizes: per key ``k`` folds of ``order`` (a hash, then tie-breakers) that differ by one row at most."""
+    return contiguous_folds(df, keys, order, k, name, **kw)
+
+
 # --------------------------------------------------------------- importance
 def _prepare(df, keys, order, variables, target):
     keys = list(keys)
@@ -157,17 +170,27 @@ def forest_importance(df: DataFrame, keys, order, variables, target: str, k: int
 # --------------------------------------------------------------- M3, M4, M9
 def cv_scores(df: DataFrame, keys, variables, target: str, models=None, k: int = 5,
               hash_col: str | None = None, hash_cols=None, share: float = 0.8,
-              forest_kw=None) -> DataFrame:
+              forest_kw=None, order=None) -> DataFrame:
     """M3: per key and model, mean over ``k`` shuffled folds (of the training
     share) of MAPE x 100 and of RMSE, on un-normalised data.
-    (keys, model, abs_mape_pct, abs_rmse)."""
+    (keys, model, abs_mape_pct, abs_rmse).
+
+    With ``order`` (columns that tell a key's rows apart) the training share and the folds have their exact sizes,
+    shuffled by the hash; without it each row's hash alone decides, and they have them about.
+    """
     keys = list(keys)
     models = dict(models or RANKING_MODELS)
     linear = {m: v for m, v in models.items() if v[0] != "forest"}
-    data = df.select(*[_q(c) for c in dict.fromkeys([*keys, *variables, target, *( [hash_col] if hash_col else []), *(hash_cols or [])])])
+    data = df.select(*[_q(c) for c in dict.fromkeys([*keys, *variables, target, *([hash_col] if hash_col else []), *(hash_cols or []), *(order or [])])])
     data = drop_null_rows(data, [*variables, target], keys)
-    data = holdout_split(data, hash_col, hash_cols, share).where("in_train").drop("in_train")
-    data = shuffled_folds(data, k, hash_col, hash_cols, name="fold")
+    if order:
+        for seed, cut in ((42, lambda d, by: holdout_exact(d, keys, by, share).where("in_train").drop("in_train")),
+                          (7, lambda d, by: folds_exact(d, keys, by, k))):
+            shuffle = F.xxhash64(F.lit(seed), *[_q(c) for c in ([hash_col] if hash_col else hash_cols)], *[_q(c) for c in order])
+            data = cut(data.withColumn("_shuffle", shuffle), ["_shuffle", *order]).drop("_shuffle")
+    else:
+        data = holdout_split(data, hash_col, hash_cols, share).where("in_train").drop("in_train")
+        data = shuffled_folds(data, k, hash_col, hash_cols, name="fold")
     out = None
     if linear:
         solutions = solve_folds(fold_moments(data, keys, "fold", variables, target), keys, "fold", variables, linear)

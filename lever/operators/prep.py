@@ -10,7 +10,7 @@ column that is NULL throughout a key as absent for that key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
@@ -52,25 +52,30 @@ def series_projection(df: DataFrame, schema: SeriesSchema, codes) -> DataFrame:
     return product_filter(df, codes, schema.product_col).drop(*drop)
 
 
+def _time(df: DataFrame, col: str):
+    """the time column, ISO text read as a timestamp (NULL where it is none)."""
+    return _q(col).try_cast("timestamp_ntz") if isinstance(df.schema[col].dataType, StringType) else _q(col)
+
+
 def _time_lit(df: DataFrame, col: str, value):
     dt = df.schema[col].dataType
-    lit = F.lit(value)
+    lit = value if isinstance(value, Column) else F.lit(value)
     if isinstance(dt, (TimestampNTZType, TimestampType, DateType)):
         return lit.cast(dt)
     if isinstance(dt, StringType):
-        return lit.cast("string")
+        return lit.cast("timestamp_ntz")
     return lit
 
 
 def start_date(df: DataFrame, start, time_col: str = "time_bucket_local") -> DataFrame:
     """``time >= start`` (a bare date means its midnight)."""
-    return df.where(_q(time_col) >= _time_lit(df, time_col, start))
+    return df.where(_time(df, time_col) >= _time_lit(df, time_col, start))
 
 
 def end_date(df: DataFrame, end, time_col: str = "time_bucket_local") -> DataFrame:
     """``time <= end``; a bare date means midnight, so later buckets of that
     day are excluded."""
-    return df.where(_q(time_col) <= _time_lit(df, time_col, end))
+    return df.where(_time(df, time_col) <= _time_lit(df, time_col, end))
 
 
 def trailing_months(df: DataFrame, n_months: int, as_of=None,
@@ -81,7 +86,7 @@ def trailing_months(df: DataFrame, n_months: int, as_of=None,
     """
     base = F.current_date() if as_of is None else F.lit(as_of).cast("date")
     since = F.add_months(base, -int(n_months))
-    return df.where(_q(time_col) >= since.cast(df.schema[time_col].dataType))
+    return df.where(_time(df, time_col) >= _time_lit(df, time_col, since))
 
 
 # --------------------------------------------------------------- column rules

@@ -1,6 +1,6 @@
 """End-to-end jobs (E1-E5): the analysis flow as lazy Spark plans over every
-machine at once.  Only column-pruning decisions need an action (one aggregate
-each); everything else stays one DataFrame plan.
+machine at once.  Filled rows, decisions and fits that several steps read are
+written once; everything else stays one DataFrame plan.
 """
 
 from __future__ import annotations
@@ -44,9 +44,9 @@ def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *,
         d = P.product_filter(d, codes, schema.product_col)
     dated = F.lit(True)
     if start is not None:
-        dated = dated & (F.col(schema.time_col) >= P._time_lit(d, schema.time_col, start))
+        dated = dated & (P._time(d, schema.time_col) >= P._time_lit(d, schema.time_col, start))
     if end is not None:
-        dated = dated & (F.col(schema.time_col) <= P._time_lit(d, schema.time_col, end))
+        dated = dated & (P._time(d, schema.time_col) <= P._time_lit(d, schema.time_col, end))
     d = materialize(d.select(*[_q(c) for c in dict.fromkeys(names)], F.coalesce(dated, F.lit(False)).alias("_in")))
 
     y = _q(target)
@@ -105,7 +105,7 @@ def rank_drivers(prepared: DataFrame, schema: SeriesSchema, target: str, variabl
     models = models or M.RANKING_MODELS
     data = materialize(prepared)  # read by the scoring and the importance passes
     scores = M.cv_scores(data, keys, variables, target, models, hash_cols=hash_cols or [*keys, *schema.order],
-                         forest_kw=forest_kw)
+                         forest_kw=forest_kw, order=schema.order)
     selected = M.select_model(scores, keys, list(models))
     imp = M.dispatch_importance(data, keys, schema.order, variables, target, selected, forest_kw=forest_kw, **kw)
     return M.top_features(imp, keys, top_n)

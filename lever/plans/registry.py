@@ -22,7 +22,7 @@ from lever.plans import jobs as E
 from lever.plans import sqlgen as S
 from lever.session import tune_session
 from lever.sources import catalog as C
-from lever.sources.series import load_machine_tables, series_table_name
+from lever.sources.series import load_machine_tables, load_series, series_table_name
 from lever.sources.fixtures import (F1_KEYED_SCHEMA, F1_SCHEMA, F2_FEATURES, F2_SCHEMA, events_series,
                                     lineitem_series)
 
@@ -199,6 +199,12 @@ def q_drop_all_zero(spark, sf):
     return P.all_zero_report(f2(spark, sf), F2K, F2_FEATURES)
 
 
+@query("without_all_zero_columns", W(F2C) + "SELECT * EXCLUDE (zero0) FROM f2")
+def q_without_all_zero(spark, sf):
+    """P9 as it drops: without keys, a column that is 0 on every row goes."""
+    return P.drop_all_zero(f2(spark, sf), (), F2_FEATURES)
+
+
 @query("target_guard", W(F2C) + """SELECT machine, min(net) AS target_min, max(net) AS target_max,
   coalesce(NOT (CAST(110000 AS DOUBLE) > max(net)), true) AS min_ok,
   coalesce(NOT (CAST(1300 AS DOUBLE) <= min(net)), true) AS max_ok FROM f2 GROUP BY machine""")
@@ -280,6 +286,19 @@ def q_sort_time(spark, sf):
     return with_row_index(d, F2K, F2O, "position")
 
 
+@query("sorted_series", W(F2C) + f"SELECT machine, {ORD}, net FROM f2")
+def q_sorted_series(spark, sf):
+    return P.sort_time(f2(spark, sf).select("machine", *F2O, "net"), F2_SCHEMA)
+
+
+@query("text_times", W(S.F1) + """SELECT time_bucket_local, click, view FROM f1
+  WHERE time_bucket_local >= TIMESTAMP '2024-01-05 00:30:00' AND time_bucket_local <= TIMESTAMP '2024-01-20'""")
+def q_text_times(spark, sf):
+    """a series whose times are ISO text, loaded, and filtered by dates before and after loading."""
+    text = f1(spark, sf).select(F.date_format("time_bucket_local", "yyyy-MM-dd'T'HH:mm:ss").alias("time_bucket_local"), "click", "view")
+    return P.end_date(load_series(P.start_date(text, "2024-01-05 00:30:00"), schema=F1_SCHEMA), "2024-01-20")
+
+
 def _ffill_sql():
     w = "PARTITION BY site, machine ORDER BY time_bucket_local ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     cols = ["prod_code", "time_bucket_utc", *S.EVENTS]
@@ -515,6 +534,21 @@ def q_shuffled_folds(spark, sf):
     return M.shuffled_folds(f2(spark, sf).select(*K, *F2O, "_h"), 5, hash_col="_h").drop("_h")
 
 
+_BY_HASH = f"row_number() OVER (PARTITION BY machine ORDER BY _h, {ORD})"
+
+
+@query("holdout_exact", W(F2C) + f"""SELECT machine, {ORD},
+  {_BY_HASH} <= n - CAST(ceil(n * 2 / 10.0) AS BIGINT) AS in_train FROM (SELECT *, count(*) OVER (PARTITION BY machine) AS n FROM f2)""")
+def q_holdout_exact(spark, sf):
+    return M.holdout_exact(f2(spark, sf).select(*K, *F2O, "_h"), K, ["_h", *F2O]).drop("_h")
+
+
+@query("folds_exact", W(F2C) + f"""SELECT machine, {ORD},
+  CAST(ntile(5) OVER (PARTITION BY machine ORDER BY _h, {ORD}) - 1 AS BIGINT) AS fold FROM f2""")
+def q_folds_exact(spark, sf):
+    return M.folds_exact(f2(spark, sf).select(*K, *F2O, "_h"), K, ["_h", *F2O]).drop("_h")
+
+
 EPS_SQL = "2.220446049250313e-16"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from lever.functions.columns import nan_to_null
 from lever.schema import SeriesSchema
@@ -21,7 +21,9 @@ def load_series(df_or_spark, source: str | None = None, *, schema: SeriesSchema
     """Read a series (table name or path) and normalise it once.
 
     Numeric feature columns become double and NaN becomes NULL, so counts,
-    fills and range filters treat NaN as missing the way pandas does.  Only the
+    fills and range filters treat NaN as missing the way pandas does.  A time column
+    of ISO text becomes a timestamp without zone (NULL where the text is none), so
+    order and filters follow time (F7).  Only the
     read is lazy; column pruning and filters later reach the parquet scan.
     """
     if isinstance(df_or_spark, DataFrame):
@@ -36,6 +38,8 @@ def load_series(df_or_spark, source: str | None = None, *, schema: SeriesSchema
         c = F.col(f"`{f.name}`")
         if f.name in feats and isinstance(f.dataType, NumericType):
             c = c.cast("double").alias(f.name)
+        elif f.name == schema.time_col and isinstance(f.dataType, StringType):
+            c = c.try_cast("timestamp_ntz").alias(f.name)
         cols.append(c)
     return nan_to_null(df.select(*cols), feats)
 

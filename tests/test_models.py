@@ -172,3 +172,22 @@ def test_moments_merge_exactly(spark):
         for r in found.collect():
             assert abs(r.weights[0] - 2) < (0.3 if r.k == "b" else 1e-5)
             assert r.weights[1] is None if r.k == "b" else abs(r.weights[1] - 1) < 1e-5
+
+
+def test_exact_shares_and_folds(spark):
+    """The training share and the folds have the sizes of the reference's split, whatever the hash and the blocks."""
+    df = spark.range(1003).selectExpr("id", "if(id < 7, 'a', 'b') AS k", "pmod(xxhash64(id), 5) AS h")
+    for blocks in (1, 6):
+        n = {r.k: (r.n, r.t) for r in M.holdout_exact(df, ["k"], ["h", "id"], num_blocks=blocks).groupBy("k")
+             .agg(F.count("*").alias("n"), F.count_if("in_train").alias("t")).collect()}
+        assert n == {"a": (7, 5), "b": (996, 796)}
+        sizes = M.folds_exact(df, ["k"], ["h", "id"], 5, num_blocks=blocks).groupBy("k", "fold").count().collect()
+        assert sorted(r["count"] for r in sizes if r.k == "b") == [199, 199, 199, 199, 200]
+        assert sorted(r["count"] for r in sizes if r.k == "a") == [1, 1, 1, 2, 2]
+
+
+def test_cv_scores_with_exact_folds(spark):
+    df, pdf = _frame(spark, seed=4)
+    rough = M.cv_scores(df, ["k"], ["x1", "x2"], "y", M.LINEAR_ONLY, hash_cols=["t"]).toPandas()
+    exact = M.cv_scores(df, ["k"], ["x1", "x2"], "y", M.LINEAR_ONLY, hash_cols=["t"], order=["t"]).toPandas()
+    assert len(exact) == 6 and np.allclose(np.sort(exact.abs_rmse), np.sort(rough.abs_rmse), rtol=0.5)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lever.operators import prep as P
 from lever.schema import SeriesSchema
 from lever.sources import catalog as C
 from lever.sources.series import load_machine_tables, load_series, series_table_name
@@ -63,3 +64,15 @@ def test_a_site_filter_prunes_partitions(spark, tables, tmp_path):
     assert dim.count() == 12
     from_map = C.site_machine_dim_from_map(spark, {"north": ["a", "b"], "south": ["c"]})
     assert sorted(map(tuple, from_map.collect())) == [("north", "a"), ("north", "b"), ("south", "c")]
+
+
+def test_text_times_follow_time(spark):
+    """ISO text in several spellings is ordered and filtered as time; what is no time is NULL."""
+    rows = [("2024-01-02T00:30:00", 1.0), ("2024-01-02 00:00:00", 2.0), ("2024-01-01", 3.0), ("soon", 4.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "time_bucket_local string, x double")
+    out = load_series(df, schema=SeriesSchema(product_col=None))
+    assert dict(out.dtypes)["time_bucket_local"] == "timestamp_ntz"
+    assert [r.x for r in P.sort_time(out.dropna(), SeriesSchema(product_col=None)).collect()] == [3.0, 2.0, 1.0]
+    for source in (df, out):
+        assert sorted(r.x for r in P.start_date(source, "2024-01-02").collect()) == [1.0, 2.0]
+        assert sorted(r.x for r in P.end_date(source, "2024-01-02").collect()) == [2.0, 3.0]

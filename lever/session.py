@@ -19,7 +19,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # let AQE size the partitions of persisted intermediates too
+    # let AQE size the partitions of frames that a user caches too
     "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
@@ -60,6 +60,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def tune_session(spark: SparkSession) -> None:
     """Settings the operators rely on for sensible partition sizes: adaptive
-    execution, and AQE coalescing inside persisted intermediates."""
+    execution, and AQE coalescing inside frames that a user caches."""
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.optimizer.canChangeCachedPlanOutputPartitioning", "true")

@@ -4,15 +4,20 @@ Given rules (``allow com/``, ``block example.com/en/``) fit a host and all its
 subdomains when the path starts with the rule's; the longest that fits decides.
 
 For all other URLs, rules are mined: Spark's FP-growth finds the combinations of
-URL tokens that are frequent among labelled URLs; a combination whose rows are
-bad often enough, and that no shorter rule covers as well, becomes a blocking
-rule.  Rules match by an inverted index: each rule stands under its rarest token,
-a URL looks up its own tokens and then checks the rule's other tokens.
+URL tokens that at least ``min_rows`` labelled bad URLs share, a number of rows
+whatever the size of the table.  A combination becomes a blocking rule when its
+confidence reaches ``min_confidence``, the Wilson lower bound of its confidence
+lies above the share of bad rows among all labelled ones times ``min_lift``, and
+no shorter rule is as sure.  Rules match by an inverted index: each rule stands
+under its rarest token, a URL looks up its own tokens and then checks the rule's
+other tokens.
 
 Null URLs and those without ``://`` have an empty host and path, fit no given
 rule, have no tokens and are allowed.  Without labelled rows nothing is mined.
 Repeated rows are judged each on its own; labels that differ for one id count as
-rows of their own; null labels are not bad.
+rows of their own; null labels are not bad.  Rules as sure as each other: the
+least rule id is named.  An empty table of pages gives no rows; URLs of any
+length are taken whole; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +39,17 @@ GIVEN = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 @dataclass(frozen=True)
 class Mining:
-    min_support: float = 0.005  # of the labelled rows, rule and bad label together
-    min_rows: int = 20  # bad rows that a rule rests on at least
+    min_rows: int = 5  # bad rows that a rule rests on at least
     min_confidence: float = 0.5
+    min_lift: float = 1.0  # lower bound of the confidence over the share of all bad rows
+    z: float = 2.58  # of the lower bound, in standard deviations
+
+
+def lower_bound(hits: Column, rows: Column, z: float) -> Column:
+    """Wilson's lower bound of a share of ``hits`` among ``rows``."""
+    p = hits / rows
+    spread = F.sqrt(p * (1 - p) / rows + z * z / (4 * rows * rows))
+    return (p + z * z / (2 * rows) - z * spread) / (1 + z * z / rows)
 
 
 def _after_scheme(url: Column) -> Column:
@@ -87,18 +100,19 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     empty = "rule bigint, tokens array<string>, anchor string, confidence double, support double"
     items = written(labelled.select(F.when(F.coalesce("bad", F.lit(False)), F.concat("tokens", F.array(F.lit(_BAD))))
                                     .otherwise(F.col("tokens")).alias("items")).filter("size(items) > 0"), "transactions")
-    total = items.count()
-    if not total:
+    total, bad = items.agg(F.count("*"), F.count_if(F.array_contains("items", _BAD))).first()
+    if bad < how.min_rows:
         return spark.createDataFrame([], empty)
-    support = min(1.0, max(how.min_support, how.min_rows / total))
+    support = (how.min_rows - 0.5) / total  # rounded up to min_rows by the miner
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(items)
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq")
     sets = written(sets, "itemsets")
     with_bad = sets.filter(F.array_contains("items", _BAD) & (F.size("items") > 1)) \
         .select(F.array_remove("items", _BAD).alias("items"), F.col("freq").alias("bad"))
-    rules = with_bad.join(sets, "items").select(
+    sure = lower_bound(F.col("bad"), F.col("freq"), how.z) > how.min_lift * bad / total
+    rules = with_bad.join(sets, "items").filter(sure & (F.col("bad") >= how.min_confidence * F.col("freq"))).select(
         F.col("items").alias("tokens"), (F.col("bad") / F.col("freq")).alias("confidence"),
-        (F.col("bad") / F.lit(total)).alias("support")).filter(F.col("confidence") >= how.min_confidence)
+        (F.col("bad") / F.lit(total)).alias("support"))
     # a rule says nothing new if leaving out one of its tokens gives a rule as sure
     rules = written(rules.withColumn("rule", F.monotonically_increasing_id()), "rules")
     shorter = rules.filter("size(tokens) > 1").select("rule", "tokens", "confidence", F.explode("tokens").alias("t")) \

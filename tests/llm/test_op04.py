@@ -1,7 +1,9 @@
+import math
 import re
 from itertools import combinations
 
 from lever.llm import op04_url_rules as op04
+from lever.llm.queries import QUERIES
 from tests.llm.helpers import rng
 
 PAGES, LABELS = "page_id bigint, url string, tokens string, row int", "doc_id bigint, quality int, toxic int"
@@ -44,7 +46,7 @@ def test_mined_rules_equal_brute_force(spark):
         pages.append((i, f"http://{host}.org/{seg}/{i}?{query}", "t", 1))
         if i < 800:
             labels.append((i, 1, int(bad)) if i % 2 else (i, int(not bad), None))
-    how = op04.Mining(min_support=0.01, min_rows=5, min_confidence=0.5)
+    how = op04.Mining(min_rows=9, min_confidence=0.5)
     out = op04.judge(spark.createDataFrame(pages + pages[:5], PAGES), spark.createDataFrame(labels, LABELS), how=how).collect()
     assert len(out) == 905
 
@@ -58,12 +60,18 @@ def test_mined_rules_equal_brute_force(spark):
     bad = {i for i, q, t in labels if t == 1 or q == 0}
     rows = [i for i, *_ in labels] + [i for i, *_ in labels if i < 5]  # five pages are there twice
     common = {t for t in set().union(*bag.values()) if sum(t in bag[i] for i in rows) >= 5}
+    base = sum(i in bad for i in rows) / len(rows)
+
+    def least(k, n, z=2.58):
+        p = k / n
+        return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
     rules = {}
     for size in range(1, 8):
         for c in combinations(sorted(common), size):
             inside = [i for i in rows if bag[i].issuperset(c)]
             hits = sum(i in bad for i in inside)
-            if hits >= 0.01 * len(rows) and hits >= 5 and hits >= 0.5 * len(inside):
+            if hits >= 9 and hits >= 0.5 * len(inside) and least(hits, len(inside)) > base:
                 rules[frozenset(c)] = hits / len(inside)
     assert rules
     for x in out:
@@ -71,3 +79,22 @@ def test_mined_rules_equal_brute_force(spark):
         assert x.verdict == ("block" if fit else "allow")
         if fit:
             assert abs(x.confidence - max(c for rule, c in rules.items() if rule <= bag[x.page_id])) < 1e-9
+
+
+def test_query_mines_rules_from_few_labels(spark, tmp_path):
+    """The registered query's own parameters: 60 labelled pages, of which six of one host are bad."""
+    pages = [(i, f"http://{'spam' if i % 10 == 3 else 'fine'}.org/{i}", "t", 1) for i in range(200)]
+    spark.createDataFrame(pages, PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i % 10 != 3), 0) for i in range(60)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    out = {x.page_id: x for x in QUERIES["op4_url_rules"](spark, str(tmp_path)).collect()}
+    assert {i for i, x in out.items() if x.verdict == "block"} == set(range(3, 200, 10))
+    assert {x.mined_tokens for x in out.values()} == {None, "host:spam"}
+
+
+def test_long_urls_and_no_pages(spark):
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(8)] + [(i, 1, 0) for i in range(8, 40)], LABELS)
+    long = "http://bad.org/" + "/".join(f"p{j}" for j in range(5000))
+    pages = [(i, f"http://{'bad' if i < 8 else 'ok'}.org/{i}", "t", 1) for i in range(40)] + [(99, long, "t", 1)]
+    out = {x.page_id: x for x in op04.judge(spark.createDataFrame(pages, PAGES), labels).collect()}
+    assert (out[99].verdict, out[20].verdict) == ("block", "allow") and len(out[99].path) == len(long) - 14
+    assert op04.judge(spark.createDataFrame([], PAGES), labels).count() == 0

@@ -68,6 +68,90 @@ def test_probabilities_add_up(spark):
     assert np.allclose((10 ** model.transitions).sum(axis=1), 1)
 
 
+def brute_scores(model, texts, train):
+    """Every token's probability from the classes and plain counts of neighbours in the training texts."""
+    cls = {bytes(r.word): r.cls for r in model.words.collect()} | {w: g for w, g, _ in model.top}
+    k = len(model.class_tokens) - 1
+    seqs = [[w.encode() for w in re.findall("[^\x20\x09-\x0D]+", (t or "").translate(LOW))] for t in texts]
+    learnt = [seqs[i] for i in train]
+    count = Counter(w for s in learnt for w in s)
+    steps, of, once = Counter(), Counter(), Counter()
+    for s in learnt:
+        for a, b in zip([None, *s], [*s, None]):
+            g, h = (k if x is None else cls[x] for x in (a, b))
+            steps[g, h] += 1
+            of[g] += 1
+            once[g] += b is not None and count[b] == 1
+    n, v = sum(steps.values()), len(count) + 1
+    size = Counter()
+    for (g, h), c in steps.items():
+        size[h] += c
+    p_class = [(size[h] + 0.1) / (n + 0.1 * (k + 1)) for h in range(k + 1)]
+    share = (sum(once.values()) + 0.5) / (n + 1)
+    pairs, out_of = Counter(), Counter()
+    for w in (w for w in count if count[w] == 1):
+        for a, b in zip(b" " + w, w + b" "):
+            pairs[a, b] += 1
+            out_of[a] += 1
+
+    def spelt(w):
+        return sum(math.log10((pairs[a, b] + 0.5) / (out_of[a] + 0.5 * (250 if a == 32 else 251))) for a, b in zip(b" " + w, w + b" "))
+
+    scores = []
+    for s in seqs:
+        total, g = 0.0, k
+        for w in [*s, None]:
+            unknown = (once[g] + 50 * share) / (of[g] + 50)
+            if w is not None and w not in count:
+                total, g = total + math.log10(unknown) + spelt(w), k + 1
+                continue
+            h = k if w is None else cls[w]
+            emit = 0.0 if w is None else math.log10(count[w] / size[h])
+            total += math.log10((steps[g, h] + 50 * p_class[h]) / (of[g] + 50) * (1 - unknown)) + emit
+            g = h
+        scores.append(total)
+    return scores
+
+
+def test_scores_equal_brute_force(spark):
+    texts = corpus(rng(5), 300) + ["", None, "zz yy A1 xx B2 ww", "A1 qq rr B2"] + corpus(rng(6), 2) * 2
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 10]
+    for broadcast in (60, 150, 100_000):  # words looked up by a join, in runs too
+        model, got = scored(spark, texts, op03.Brown(exchange_words=50, classes=5, broadcast_words=broadcast, flush=70))
+        want = brute_scores(model, texts, train)
+        assert all(abs(got[i].score - want[i]) < 1e-7 * max(1, abs(want[i])) for i in got)
+        assert len(got) == len(texts)
+
+
+def test_spelling_adds_up(spark):
+    model, _ = scored(spark, corpus(rng(4), 60), op03.Brown(exchange_words=20, classes=4))
+    p = 10 ** model.letters
+    inside = [b for b in range(256) if b not in (9, 10, 11, 12, 13)]
+    assert np.allclose(p[:, inside].sum(axis=1)[[97, 200]], 1)
+    assert abs(p[32, [b for b in inside if b != 32]].sum() - 1) < 1e-9
+
+
+def test_noise_scores_below_shuffled_words_below_text(spark):
+    r = rng(8)
+    nouns, verbs, ends = ([f"{x}{a}{b}" for a in "aeiou" for b in "lmnrst"] for x in ("kor", "vel", "dim"))
+    texts = [" ".join(f"the {r.choice(nouns)} {r.choice(verbs)} a {r.choice(ends)}" for _ in range(30)) for _ in range(200)]
+    mixed, noise = texts[0].split(), texts[0].split()
+    r.shuffle(mixed)
+    noise = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in noise]
+    model = op03.train(frame(spark, texts[5:]).select(F.col("doc_id").alias("id"), "text"), op03.Brown(classes=6))
+    got = {x.doc_id: x.score for x in op03.score(frame(spark, [texts[0], " ".join(mixed), " ".join(noise)]), model).collect()}
+    assert got[0] > got[1] > got[2]
+
+
+def test_repeated_rows_and_other_columns(spark):
+    texts = corpus(rng(9), 30)
+    docs = frame(spark, [*enumerate(texts), (3, texts[3]), (3, texts[3])]).selectExpr(
+        "*", "1 AS word", "'x' AS c", "2 AS `a.b`", "3 AS row", "4 AS id")
+    model = op03.train(docs.select(F.col("doc_id").alias("id"), "text"), op03.Brown(exchange_words=20, classes=3))
+    rows = op03.score(docs, model).collect()
+    assert len(rows) == 32 and len({x.score for x in rows if x.doc_id == 3}) == 1
+
+
 def test_exchange_finds_planted_classes():
     r = np.random.default_rng(1)
     group = np.arange(30) % 3

@@ -252,9 +252,12 @@ def sample_adequacy(df: DataFrame, keys=(), step: str = "") -> DataFrame:
     keys = list(keys)
     ncols = len([c for c in df.columns if c not in keys])
     g = _grouped(df, keys).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
-    return g.withColumns({"n_cols": F.lit(ncols).cast("bigint"), "step": F.lit(step)}).withColumn(
-        "status", F.when(F.col("n_rows") == 0, "no data")
-        .when(F.col("n_rows") < F.col("n_cols"), "not enough data").otherwise("ok"))
+    return g.withColumns({"n_cols": F.lit(ncols).cast("bigint"), "step": F.lit(step)}).withColumn("status", adequacy())
+
+
+def adequacy() -> Column:
+    """P15's status from ``n_rows`` and ``n_cols``."""
+    return F.when(F.col("n_rows") == 0, "no data").when(F.col("n_rows") < F.col("n_cols"), "not enough data").otherwise("ok")
 
 
 # --------------------------------------------------------------- A1, A3

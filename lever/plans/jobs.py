@@ -22,6 +22,11 @@ def _q(c):
     return F.col(f"`{c}`")
 
 
+#: E1's steps in order, as its report names them.
+STEPS = ("filled, product filter", "sparse columns", "dates", "constant columns", "min target", "max target", "complete rows",
+         "excluded variables")
+
+
 def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *, start=None, end=None,
                      min_target=None, max_target=None, exclude=(), sparse_threshold: float = 0.3,
                      **kw) -> DataFrame:
@@ -34,6 +39,21 @@ def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *,
     column pruned for a key is NULL there, and a key whose target is pruned has no
     rows; without keys pruned columns are dropped and a pruned target is an error.
     """
+    return _prepared(df, schema, codes, target, start, end, min_target, max_target, exclude, sparse_threshold, **kw)[0]
+
+
+def prepare_training_with_report(df: DataFrame, schema: SeriesSchema, codes, target: str, *, start=None, end=None,
+                                 min_target=None, max_target=None, exclude=(), sparse_threshold: float = 0.3,
+                                 **kw) -> tuple[DataFrame, DataFrame]:
+    """E1 with its status along the way (S5, P15): the prepared rows, and (keys, step_no, step, n_rows, n_cols, status).
+
+    ``n_cols`` counts the feature columns that are left for the key; status is that of P15.  Both read the filled rows
+    that were written once, the report only by the decisions' aggregate and one count: the source is not read again.
+    """
+    return _prepared(df, schema, codes, target, start, end, min_target, max_target, exclude, sparse_threshold, **kw)
+
+
+def _prepared(df, schema, codes, target, start, end, min_target, max_target, exclude, sparse_threshold, **kw):
     keys = list(schema.keys)
     feats = schema.features(df)
     if target not in feats:
@@ -60,11 +80,13 @@ def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *,
         aggs += [F.count(_q(c)).alias(f"_nn{i}"),
                  (F.max(F.when(F.col("_in"), _q(c))) > F.min(F.when(F.col("_in"), _q(c)))).alias(f"_var{i}")]
         aggs += [F.count(F.when(cond, _q(c))).alias(f"_c{i}_{a}{b}") for (a, b), cond in inside.items()]
+    aggs += [F.count_if(cond).alias(f"_r{a}{b}") for (a, b), cond in inside.items()]
     found = (d.groupBy(*[_q(k) for k in keys]) if keys else d.groupBy()).agg(*aggs)
-    keep = [F.coalesce((F.col(f"_nn{i}") > F.col("_n") * F.lit(float(sparse_threshold))) & F.col(f"_var{i}"), F.lit(False))
-            for i in range(len(feats))]
+    dense = [F.col(f"_nn{i}") > F.col("_n") * F.lit(float(sparse_threshold)) for i in range(len(feats))]
+    keep = [F.coalesce(d6 & F.col(f"_var{i}"), F.lit(False)) for i, d6 in enumerate(dense)]
     min_ok = F.lit(False) if min_target is None else F.coalesce(F.lit(float(min_target)) <= F.col("_tmax"), F.lit(True))
-    found = found.select(*[_q(k) for k in keys], "_n", "_tmin0", "_tmin1", min_ok.alias("_a"),
+    found = found.select(*[_q(k) for k in keys], "_n", "_tmin0", "_tmin1", min_ok.alias("_a"), "_r00", "_r01", "_r10", "_r11",
+                         sum(d6.cast("bigint") for d6 in dense).alias("_dense"),
                          *[k.alias(f"_keep{i}") for i, k in enumerate(keep)],
                          *[f"_c{i}_{a}{b}" for i in range(len(feats)) for a, b in inside])
     low = F.when(F.col("_a"), F.col("_tmin1")).otherwise(F.col("_tmin0"))
@@ -86,8 +108,30 @@ def prepare_training(df: DataFrame, schema: SeriesSchema, codes, target: str, *,
         cond = cond & (~F.col(f"_has{i}") | _q(c).isNotNull())
     rows = rows.where(cond)
     gone = {c for c in exclude if c != target}
-    return rows.select(*[_q(c) for c in dict.fromkeys([*keys, *schema.order])],
-                       *[F.when(F.col(f"_keep{feats.index(c)}"), _q(c)).alias(c) for c in kept if c not in gone])
+    out = rows.select(*[_q(c) for c in dict.fromkeys([*keys, *schema.order])],
+                      *[F.when(F.col(f"_keep{feats.index(c)}"), _q(c)).alias(c) for c in kept if c not in gone])
+    return out, _report(found, rows, keys, feats, target, gone)
+
+
+def _report(found: DataFrame, rows: DataFrame, keys, feats, target, gone) -> DataFrame:
+    """(keys, step_no, step, n_rows, n_cols, status) from the decisions and the rows that E1 keeps."""
+    complete = (rows.groupBy(*[_q(k) for k in keys]) if keys else rows.groupBy()).agg(F.count(F.lit(1)).alias("_complete"))
+    there = F.col(f"_keep{feats.index(target)}")  # a key whose target is pruned goes
+
+    def left(n):
+        return F.when(there, n).otherwise(0)
+
+    varied = sum(F.col(f"_keep{i}").cast("bigint") for i in range(len(feats)))
+    used = sum((F.col(f"_keep{i}").cast("bigint") for i, c in enumerate(feats) if c not in gone), F.lit(0).cast("bigint"))
+    low = F.when(F.col("_a"), F.col("_r10")).otherwise(F.col("_r00"))
+    both = F.when(F.col("_a") & F.col("_b"), F.col("_r11")).when(F.col("_b"), F.col("_r01")).otherwise(low)
+    last = F.coalesce("_complete", F.lit(0))
+    counts = [(F.col("_n"), F.lit(len(feats))), (F.col("_n"), F.col("_dense")), (F.col("_r00"), F.col("_dense")),
+              (F.col("_r00"), varied), (left(low), varied), (left(both), varied), (last, varied), (last, used)]
+    steps = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(step).alias("step"), n.cast("bigint").alias("n_rows"),
+                               c.cast("bigint").alias("n_cols")) for i, (step, (n, c)) in enumerate(zip(STEPS, counts))])
+    report = join_per_key(found, complete, keys, "left").select(*[_q(k) for k in keys], F.inline(steps))
+    return report.withColumn("status", P.adequacy())
 
 
 def _variables(df, schema, target, variables):

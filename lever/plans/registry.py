@@ -881,8 +881,8 @@ _E1K = dict(codes=["A", "R"], start="1993-06-01", end="1998-03-31", min_target=2
 _E1F = list(F2_FEATURES)
 
 
-def _e1_keyed_sql():
-    """Step by step, one rule after the other (the job decides all at once)."""
+def _e1_keyed_sql(result=None):
+    """Step by step, one rule after the other (the job decides all at once); ``result`` selects something else."""
     carried = [c for c in ["prod_code", *_E1F]]
     order = "machine, time_bucket_local, l_orderkey, l_partkey, l_linenumber"
     return W(F2C,
@@ -901,8 +901,26 @@ def _e1_keyed_sql():
              "g11 AS (SELECT machine, min(net) AS lo FROM a10 GROUP BY machine)",
              f"a11 AS (SELECT a10.* FROM a10 JOIN g11 USING (machine) WHERE lo >= 90000 OR net <= 90000)",
              f"p12 AS (SELECT machine, {', '.join(f'count({c}) > 0 AS h_{c}' for c in _E1F)} FROM a11 GROUP BY machine)") + \
-        f"""SELECT {order}, {", ".join(_E1F)} FROM a11 JOIN p12 USING (machine)
-  WHERE {" AND ".join(f"(NOT h_{c} OR {c} IS NOT NULL)" for c in _E1F)}"""
+        (result or f"SELECT {order}, {', '.join(_E1F)} FROM a11 JOIN p12 USING (machine) WHERE {_E1_COMPLETE}")
+
+
+_E1_COMPLETE = " AND ".join(f"(NOT h_{c} OR {c} IS NOT NULL)" for c in _E1F)
+
+
+def _e1_report_sql():
+    """Rows by counting each step's table, columns by its rules' flags."""
+    dense = " + ".join(f"CAST(k_{c} AS INT)" for c in _E1F)
+    varied = " + ".join(f"CAST(k_{c} AND v_{c} AS INT)" for c in _E1F)
+    gone = " + ".join(f"CAST(k_{c} AND v_{c} AS INT)" for c in _E1F if c not in _E1_EXCLUDE)
+    complete = f"(SELECT a11.* FROM a11 JOIN p12 USING (machine) WHERE {_E1_COMPLETE})"
+    # (rows of, columns) of each step
+    steps = [("pf", str(len(_E1F))), ("pf", dense), ("a6", dense), ("a6", varied), ("a10", varied), ("a11", varied),
+             (complete, varied), (complete, gone)]
+    parts = [f"""SELECT p6.machine, {i} AS step_no, '{E.STEPS[i - 1]}' AS step,
+  (SELECT count(*) FROM {rows} x WHERE x.machine = p6.machine) AS n_rows, CAST({cols} AS BIGINT) AS n_cols
+FROM p6 LEFT JOIN p8 USING (machine)""" for i, (rows, cols) in enumerate(steps, 1)]
+    return _e1_keyed_sql("SELECT *, CASE WHEN n_rows = 0 THEN 'no data' WHEN n_rows < n_cols THEN 'not enough data' "
+                         "ELSE 'ok' END AS status FROM (" + " UNION ALL ".join(parts) + ")")
 
 
 @query("prepare_training_keyed", _e1_keyed_sql())
@@ -910,6 +928,15 @@ def q_prepare_training_keyed(spark, sf):
     return E.prepare_training(f2(spark, sf), F2_SCHEMA, target="net", **_E1K)
 
 
+_E1_EXCLUDE = ["p_size"]
+
+
+@query("prepare_training_report", _e1_report_sql())
+def q_prepare_training_report(spark, sf):
+    """S5 and P15 after every step of E1, for every machine."""
+    return E.prepare_training_with_report(f2(spark, sf), F2_SCHEMA, target="net", exclude=_E1_EXCLUDE, **_E1K)[1]
+
+
 @query("rank_drivers")
 def q_rank_drivers(spark, sf):
     """All machines, all four models, every feature that the preparation leaves."""

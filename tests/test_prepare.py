@@ -38,6 +38,17 @@ def test_equals_the_rules_one_by_one(spark):
         got = E.prepare_training(df, SCHEMA, ["P"], "y", start=5, end=75, min_target=lo, max_target=hi)
         assert got.columns == ["k", "t", *FEATS]
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        out, report = E.prepare_training_with_report(df, SCHEMA, ["P"], "y", start=5, end=75, min_target=lo, max_target=hi,
+                                                     exclude=["c"])
+        seen = {(r.k, r.step): r for r in report.collect()}
+        assert len(seen) == 6 * len(E.STEPS) and out.columns == ["k", "t", "y", "a", "b"]
+        kept = {r.k: r.n for r in want.groupBy("k").agg(F.count("*").alias("n")).collect()}
+        for k in ["one", "two", "three", "four", "five", None]:
+            rows = [seen[k, step].n_rows for step in E.STEPS]
+            assert rows[:4] == [40, 40, 35, 35] and rows[6] == rows[7] == kept.get(k, 0) and rows[4] >= rows[5] >= rows[6]
+            cols = [seen[k, step].n_cols for step in E.STEPS]
+            assert cols[0] == 4 and cols[1] == 4 - (k == "one") - (k == "three") and cols[6] - cols[7] == (k != "three")
+            assert seen[k, "complete rows"].status == ("ok" if kept.get(k) else "no data")
         assert {r.k for r in got.select("k").distinct().collect()} >= {"one", "two", None}
 
 

@@ -212,13 +212,28 @@ def target_profile(series: DataFrame, keys, target: str, min_target=None, max_ta
                    bins: int = 100) -> DataFrame:
     """E5: histogram of the target before and after clipping to
     [min_target, max_target) -- (stage, keys, variable, bin, bin_lo, bin_hi, n).
-    The rolling view of the same target is ``profile.rolling_mean_48``."""
+    The rolling view of the same target is :func:`target_rolling`."""
     keys = list(keys)
     raw = H.histogram(series, [target], keys, bins).withColumn("stage", F.lit("raw"))
-    clipped = series
-    if min_target is not None:
-        clipped = clipped.where(F.col(target) >= F.lit(float(min_target)))
-    if max_target is not None:
-        clipped = clipped.where(F.col(target) < F.lit(float(max_target)))
+    clipped = _clipped(series, target, min_target, max_target)
     cl = H.histogram(clipped, [target], keys, bins).withColumn("stage", F.lit("clipped"))
     return raw.unionByName(cl)
+
+
+def _clipped(series, target, min_target, max_target):
+    if min_target is not None:
+        series = series.where(_q(target) >= F.lit(float(min_target)))
+    if max_target is not None:
+        series = series.where(_q(target) < F.lit(float(max_target)))
+    return series
+
+
+def target_rolling(series: DataFrame, keys, order, target: str, min_target=None, max_target=None, size: int = 48,
+                   **kw) -> DataFrame:
+    """E5's rolling view: the target and its mean over the last ``size`` rows before and after clipping to
+    [min_target, max_target) -- (stage, keys, order, target, <target>_moving_avg)."""
+    names = [_q(c) for c in dict.fromkeys([*keys, *order, target])]
+    stages = {"raw": series, "clipped": _clipped(series, target, min_target, max_target)}
+    raw, clipped = [H.rolling_mean_48(d.select(*names), keys, order, target, size, **kw).withColumn("stage", F.lit(stage))
+                    for stage, d in stages.items()]
+    return raw.unionByName(clipped)

@@ -998,3 +998,13 @@ def _nokey_hist(p, long):
 def q_target_profile(spark, sf):
     d = P.forward_fill(f1(spark, sf).select("time_bucket_local", "purchase"), F1_SCHEMA)
     return rnd(E.target_profile(d, [], "purchase", 5.0, 45.0), {"bin_lo": 9, "bin_hi": 9})
+
+
+@query("target_profile_rolling", W(F2C, """st AS (SELECT 'raw' AS stage, * FROM f2 UNION ALL
+  SELECT 'clipped', * FROM f2 WHERE net >= 2000 AND net < 90000)""") + f"""
+SELECT stage, machine, {ORD}, net, round(CASE WHEN count(net) OVER w = 48 THEN avg(net) OVER w END, 8) AS net_moving_avg
+FROM st WINDOW w AS (PARTITION BY stage, machine ORDER BY {ORD} ROWS BETWEEN 47 PRECEDING AND CURRENT ROW)""")
+def q_target_profile_rolling(spark, sf):
+    """E5's rolling view of every machine's target; eight digits, as sums of four decimals over 48 have no ties there."""
+    out = E.target_rolling(f2(spark, sf), K, F2_SCHEMA.order, "net", 2000.0, 90000.0)
+    return rnd(out, {"net_moving_avg": 8})

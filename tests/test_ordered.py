@@ -133,3 +133,33 @@ def test_blocks_follow_the_rows_not_the_session(spark):
     finally:
         ordered.BLOCK_ROWS = before
         spark.conf.set("spark.sql.shuffle.partitions", conf)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_keys_are_not_cut(spark, monkeypatch):
+    from lever.operators import ordered
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 500)
+    df = spark.range(10_000).selectExpr("id % 50 AS k", "id AS t", "if(id % 3 = 0, double(id), null) AS x")
+    for out in (ordered_scan(df, ["k"], ["t"], fill=["x"], cumsum={"c": "t"}, index="rn", count="n"),
+                rolling_mean(df, ["k"], ["t"], "x", 2), contiguous_folds(df, ["k"], ["t"])):
+        assert "Join" not in _plan(out) and "lambda" not in _plan(out)
+    cut = ordered_scan(df, ["k"], ["t"], fill=["x"], cumsum={"c": "t"}, index="rn", count="n", num_blocks=20)
+    whole = ordered_scan(df, ["k"], ["t"], fill=["x"], cumsum={"c": "t"}, index="rn", count="n")
+    assert cut.exceptAll(whole).isEmpty() and cut.dtypes == whole.dtypes
+
+
+def test_a_large_key_is_cut_where_its_rows_are(spark, monkeypatch):
+    """Cuts follow the keys too, so groups are about the keys and the blocks, and the search array is a constant."""
+    from lever.operators import ordered
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 500)
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, null, id % 200) AS k", "id AS t", "double(id) AS x")
+    out = ordered_scan(df, ["k"], ["t"], fill=["x"], index="rn", count="n")
+    assert "Join" in _plan(out) and "array_sort" not in _plan(out) and "from_json" not in _plan(out)
+    groups = df.withColumn(ordered.BLK, ordered._block(df, ["k", "t"], None)).groupBy("k", ordered.BLK).count().toPandas()
+    assert len(groups) <= 101 + 40 and groups["count"].max() < 1500
+    got = out.toPandas().sort_values("t")
+    for k, part in got.groupby("k", dropna=False):
+        assert part.rn.tolist() == list(range(len(part))) and set(part.n) == {len(part)}

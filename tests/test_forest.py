@@ -163,3 +163,25 @@ def test_poisson_draws():
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
     assert not np.array_equal(w, T.bootstrap(np.arange(200_000), 7, 4))
     assert T.bootstrap(np.arange(5), 1, 1).tolist() == T.bootstrap(np.arange(9), 1, 1)[:5].tolist()
+
+
+def test_small_keys_are_grown_and_used_in_one_task(spark, monkeypatch):
+    """Their trees are neither written nor moved, and give what written ones give."""
+    from pyspark.sql import functions as F
+    from lever.operators import forest as R
+    keys = 4 * spark.sparkContext.defaultParallelism + 1
+    rows = spark.range(40 * keys).select((F.col("id") % keys).alias("k"), F.col("id"), (F.col("id") * 7 % 11).cast("double").alias("a"),
+                                         (F.col("id") * 5 % 13).cast("double").alias("b"), (F.col("id") * 3 % 17).cast("double").alias("y"),
+                                         (F.col("id") % 2).alias("fold"))
+    how = R.Forest(trees=3, max_depth=3, task_trees=2)
+    names, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: names.append(name) or write(df, name))
+    blocks = R.forest_blocks(rows, ["k"], ["a", "b"], "y", ["id"], "fold", how)
+    found = [R.grown_importances(blocks, ["k"], 2, ["a", "b"], how).orderBy("k", "fold", "feature").toPandas(),
+             R.grown_errors(blocks, ["k"], 2, how).orderBy("k", "fold").toPandas()]
+    assert names == ["forest-bounds", "forest-blocks"] and len(found[1]) == 2 * keys
+    trees = R.grow_forests(blocks, ["k"], 2, how)
+    told = [R.fold_importances(trees, ["k"], ["a", "b"]).orderBy("k", "fold", "feature").toPandas(),
+            R.fold_errors(blocks, trees, ["k"], how).orderBy("k", "fold").toPandas()]
+    for a, b in zip(found, told):
+        assert (a.drop(columns=a.columns[-1]) == b.drop(columns=b.columns[-1])).all().all() and abs(a.iloc[:, -1] - b.iloc[:, -1]).max() < 1e-12

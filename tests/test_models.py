@@ -191,3 +191,34 @@ def test_cv_scores_with_exact_folds(spark):
     rough = M.cv_scores(df, ["k"], ["x1", "x2"], "y", M.LINEAR_ONLY, hash_cols=["t"]).toPandas()
     exact = M.cv_scores(df, ["k"], ["x1", "x2"], "y", M.LINEAR_ONLY, hash_cols=["t"], order=["t"]).toPandas()
     assert len(exact) == 6 and np.allclose(np.sort(exact.abs_rmse), np.sort(rough.abs_rmse), rtol=0.5)
+
+
+def test_moments_of_many_groups_equal_numpy(spark):
+    """Groups meet in order and stream: batches end inside groups, and a NULL key is a key."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": rng.integers(0, 40, 3000), "fold": rng.integers(0, 3, 3000), "x": rng.normal(1e6, 1, 3000), "y": rng.normal(size=3000)})
+    df = spark.createDataFrame(pdf).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "7")
+        plan = G.fold_moments(df, ["k"], "fold", ["x"], "y")
+        got = {(r["k"] or 0, r["fold"]): G.Moments.unpacked(bytes(r["_m"]), 2) for r in plan.collect()}
+    finally:
+        spark.conf.set(conf, before)
+    assert len(got) == len(pdf.groupby(["k", "fold"]))
+    for mark, part in pdf.groupby(["k", "fold"]):
+        z, m = part[["y", "x"]].to_numpy(), got[mark]
+        c = z - z.mean(0)
+        assert m.n == len(z) and np.allclose(m.mean, z.mean(0), rtol=1e-14) and np.allclose(m.cross, c.T @ c, atol=1e-6)
+        assert np.array_equal(m.low, z.min(0)) and np.array_equal(m.high, z.max(0))
+
+
+def test_a_task_holds_one_group_of_moments():
+    """Memory follows a batch, not the number of keys: each batch's groups are done in one go."""
+    z = np.arange(20_000.0).reshape(-1, 2)
+    start = np.arange(0, 10_000, 2)
+    parts = G.groups_of(z, start)
+    assert parts.shape == (5_000, 1 + 4 * 2 + 4) and np.allclose(parts[:, 9:], 2.0)
+    whole = G.merged(parts, np.zeros(1, np.int64), 2)[0]
+    assert np.allclose(whole, G.groups_of(z, np.zeros(1, np.int64))[0])

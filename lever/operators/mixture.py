@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lever.functions.em1d import bic, fit_gmm_1d_batch
+from lever.functions.runs import starts
 from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan
 from lever.operators.quantiles import unpivot
@@ -32,6 +33,8 @@ REG_COVAR = 1e-6
 LOCAL_VALUES = 1 << 18
 #: Cells (groups x bins) that one NumPy call works on.
 CELLS = 1 << 19
+#: Bins that a task gathers before it fits their groups.
+HELD_ROWS = 1 << 17
 
 
 def _q(c):
@@ -90,39 +93,61 @@ def compress(df: DataFrame, cols, keys=(), max_bins: int = 4096, local_values: i
 def _local_fits(bins: DataFrame, g, k_max: int, reg_covar: float, max_iter: int, tol: float) -> DataFrame:
     """(g, centre, scale, total, k, weights, means, variances, ll, converged): EM on the bins, for every k that a
     group has values for; means and variances in the group's units, ``ll`` that of its values in them."""
-    packed = bins.groupBy(*[_q(c) for c in g]).agg(
-        F.collect_list("n").alias("_ln"), F.collect_list("m").alias("_lm"), F.collect_list("v").alias("_lv"),
-        F.max("centre").alias("_centre"), F.max("scale").alias("_scale"))
-    own = packed.select(*[_q(c) for c in g], "_centre", "_scale").schema
+    rows = bins.select(*[_q(c) for c in g], "bin", "n", "m", "v", F.col("centre").alias("_centre"), F.col("scale").alias("_scale"))
+    rows = rows.repartition(*[_q(c) for c in g]).sortWithinPartitions(*[_q(c) for c in g], "bin").drop("bin")
+    own = rows.select(*[_q(c) for c in g], "_centre", "_scale").schema
     arrow = list(to_arrow_schema(own))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in own.fields] + [
         "_total double, _k int, _w array<double>, _mu array<double>, _var array<double>, _like double, converged boolean"])
 
-    def run(it):
-        for batch in it:
-            lists = {c: batch.column(c) for c in ("_ln", "_lm", "_lv")}
-            sizes = np.diff(lists["_ln"].offsets.to_numpy())
-            step = max(1, CELLS // max(int(sizes.max(initial=1)), 1))
-            for at in range(0, batch.num_rows, step):
-                yield from fitted(batch.slice(at, step), {c: x.slice(at, step) for c, x in lists.items()}, sizes[at:at + step])
-
-    def fitted(batch, lists, sizes):
+    def run(batches):
+        held, size = [], 0  # rows of groups not fitted yet: some, and those of one group at most beyond that
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                start = starts(table.select(g))
+                if len(start) > 1:
+                    yield from fitted(table, start)
+                    held = table.slice(start[-1]).combine_chunks().to_batches()
+                    size = table.num_rows - start[-1]
+        if size:
+            table = pa.Table.from_batches(held)
+            start = starts(table.select(g))
+            yield from fitted(table, np.append(start, size))
+
+    def fitted(table, start):
+        """Groups that begin at ``start``, which ends with an end, some of about CELLS cells at a time."""
+        sizes = np.diff(start)
+        at = 0
+        while at < len(sizes):
+            most = np.maximum.accumulate(sizes[at:at + CELLS])
+            end = at + max(1, int(np.searchsorted(most * np.arange(1, len(most) + 1), CELLS, "right")))
+            yield from fits_of(table.slice(start[at], start[end] - start[at]), sizes[at:end])
+            at = end
+
+    def fits_of(table, sizes):
         G, B = len(sizes), int(sizes.max())
         filled = np.arange(B)[None, :] < sizes[:, None]
         n, m, v = (np.zeros((G, B)) for _ in range(3))
-        for a, c in ((n, "_ln"), (m, "_lm"), (v, "_lv")):
-            a[filled] = lists[c].flatten().to_numpy(zero_copy_only=False)
-        scale = batch.column("_scale").to_numpy(zero_copy_only=False)
+        for a, c in ((n, "n"), (m, "m"), (v, "v")):
+            a[filled] = table.column(c).to_numpy()
+        first = table.select([f.name for f in arrow]).take(pa.array(np.cumsum(sizes) - sizes)).combine_chunks()
+        scale = first.column("_scale").to_numpy()
         for k in range(1, k_max + 1):
             wt, mu, var, ll, done = fit_gmm_1d_batch(n, m, v, k, reg_covar / scale ** 2, max_iter, tol)
             row = np.flatnonzero((k <= sizes) & ((sizes > 1) | (k == 1)))
+            if not len(row):
+                continue
+            own = first.take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name).take(pa.array(row)) for f in arrow]
+                [pa.concat_arrays(own.column(f.name).chunks) for f in arrow]
                 + [pa.array(n.sum(1)[row]), pa.array(np.full(len(row), k, np.int32)), *(pa.array(list(a[row]), pa.list_(pa.float64())) for a in (wt, mu, var)),
                    pa.array(ll[row]), pa.array(done[row])],
                 names=[*[f.name for f in arrow], "_total", "_k", "_w", "_mu", "_var", "_like", "converged"])
 
-    return materialize(packed.mapInArrow(run, schema), "mixtures")
+    return materialize(rows.mapInArrow(run, schema), "mixtures")
 
 
 def _settled_fits(values: DataFrame, fits: DataFrame, g, k_max: int, reg_covar: float, max_iter: int, tol: float) -> DataFrame:

@@ -104,3 +104,21 @@ def test_large_and_small_groups_together(spark):
         one, two = (d[d.k.isna() if k is None else d.k == k].sort_values("component") for d in (want, got))
         assert len(one) == len(two) and np.allclose(one["mean"], two["mean"], atol=0.1)
     assert want[want.k == "a"].n_components.iloc[0] == 2 and want[want.k == "c"].bic.isna().all()
+
+
+def test_groups_stream_through_the_fit(spark, monkeypatch):
+    """Groups are fitted a few at a time as their bins come; batches that end inside a group change nothing."""
+    from lever.operators import mixture as X
+    df = spark.range(3000).selectExpr("id % 30 AS k", "if(id % 2 = 0, 0.0, 50.0) + sin(id) AS x", "double(id % 7) AS z")
+    want = X.gmm_fit(df, ["x", "z"], ["k"]).orderBy("k", "variable", "component").toPandas()
+    monkeypatch.setattr(X, "HELD_ROWS", 50)
+    monkeypatch.setattr(X, "CELLS", 300)
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "9")
+        fit = X.gmm_fit(df, ["x", "z"], ["k"])
+        got = fit.orderBy("k", "variable", "component").toPandas()
+    finally:
+        spark.conf.set(conf, before)
+    assert len(got) == len(want) and (got.n_components == want.n_components).all() and abs(got["mean"] - want["mean"]).max() < 1e-9

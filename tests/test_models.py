@@ -222,3 +222,58 @@ def test_a_task_holds_one_group_of_moments():
     assert parts.shape == (5_000, 1 + 4 * 2 + 4) and np.allclose(parts[:, 9:], 2.0)
     whole = G.merged(parts, np.zeros(1, np.int64), 2)[0]
     assert np.allclose(whole, G.groups_of(z, np.zeros(1, np.int64))[0])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linear_refits_shuffle_the_rows_once(spark, monkeypatch):
+    """Small keys without missing columns: no join for the null rule, no second meeting of the rows for the moments,
+    and no list of a key's folds for the solver."""
+    df, _ = _frame(spark)
+    expect = M.linear_fold_coefficients(df, ["k"], ["t"], ["x1", "x2"], "y")
+    monkeypatch.setattr(G, "materialize", lambda frame, name: frame)
+    out = M.linear_fold_coefficients(df, ["k"], ["t"], ["x1", "x2"], "y")
+    plan = _plan(out)
+    assert not any(word in plan for word in ("Join", "Rebalance", "collect_list")) and plan.count("Repartition") == 2
+    rounded = [d.withColumn("coefficient", F.round("coefficient", 9)) for d in (out, expect)]
+    assert rounded[0].exceptAll(rounded[1]).isEmpty() and out.count() == expect.count() == 2 * 10 * 3 * 2
+
+
+def test_moments_need_no_order(spark):
+    rows = spark.createDataFrame([(k, i % 3, float(i * i % 7), float(i)) for i in range(60) for k in ("a", None)],
+                                 "k string, fold int, x double, y double")
+    found = []
+    for in_order in (False, True):
+        cells = G.fold_moments(rows.repartition(3), ["k"], "fold", ["x"], "y", in_order=in_order).collect()
+        assert len(cells) == 6
+        found.append({(r.k, r.fold): np.frombuffer(bytes(r._m)) for r in cells})
+    assert all(np.allclose(found[0][at], found[1][at]) for at in found[0])
+
+
+@pytest.mark.parametrize("normalize", [True, False])
+def test_refits_of_many_keys_solved_some_at_a_time(spark, monkeypatch, normalize):
+    """Keys that several batches and stacks cut, a missing key, a constant target and a missing column."""
+    rng = np.random.default_rng(4)
+    data = [(None if k == 7 else k, i % 5, float(rng.normal()), None if k == 3 else float(rng.normal()), 2.0 if k == 5 else float(rng.normal()))
+            for k in range(40) for i in range(25)]
+    df = spark.createDataFrame(data, "k int, fold int, a double, b double, y double")
+    moments = G.fold_moments(df, ["k"], "fold", ["a", "b"], "y")
+    whole = G.solve_folds(moments, ["k"], "fold", ["a", "b"], M.LINEAR_ONLY, normalize).toPandas()
+    monkeypatch.setattr(G, "HELD", 8 * 9 * 12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = G.solve_folds(moments, ["k"], "fold", ["a", "b"], M.LINEAR_ONLY, normalize).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == len(cut) == (39 if normalize else 40) * 5 * 3
+    by = ["k", "fold", "model"]
+    whole, cut = (d.sort_values(by, ignore_index=True) for d in (whole, cut))
+    assert np.allclose(np.stack(whole.weights).astype(float), np.stack(cut.weights).astype(float), equal_nan=True)
+    a, b, y = (np.array([r[i] for r in data if r[0] == 11]) for i in (2, 3, 4))
+    if not normalize:
+        train = np.arange(25) % 5 != 2
+        got = whole[(whole.k == 11) & (whole.fold == 2) & (whole.model == "LinearRegression")].weights.iloc[0]
+        assert np.allclose(got, _direct("ols", np.column_stack([a, b])[train], y[train], 0))
+        assert np.isnan(np.stack(whole[whole.k == 3].weights).astype(float)[:, 1]).all()

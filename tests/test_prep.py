@@ -85,3 +85,17 @@ def test_product_counts_drop_null_codes(spark):
     df = spark.createDataFrame([("A", 1), ("A", 2), (None, 3), ("B", None)], "prod_code string, time_bucket_local int")
     out = [(r.prod_code, r.n_points) for r in P.product_counts(df).collect()]
     assert out == [("A", 2), ("B", 0)]
+
+
+def test_null_rule_by_key_joins_only_where_a_key_lacks_a_column(spark):
+    """A column that a key lacks is ignored for it; the rows meet keys only if some key lacks one."""
+    from lever.operators.prep import drop_null_rows_sized
+    data = [(None, 1.0, 1.0), (None, None, 2.0), ("a", 1.0, None), ("a", 2.0, 3.0), ("b", None, 4.0), ("b", None, None)]
+    df = spark.createDataFrame(data, "k string, x double, y double")
+    full = df.where("k IS NULL OR k = 'a'")
+    out, most = drop_null_rows_sized(full, ["x", "y"], ["k"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and most == 2
+    assert sorted((r.k or "", r.x, r.y) for r in out.collect()) == [("", 1.0, 1.0), ("a", 2.0, 3.0)]
+    out, _ = drop_null_rows_sized(df, ["x", "y"], ["k"])
+    assert sorted((r.k or "", r.x or -1, r.y) for r in out.collect()) == [("", 1.0, 1.0), ("a", 2.0, 3.0), ("b", -1, 4.0)]
+    assert out.columns == df.columns and drop_null_rows_sized(df.where("false"), ["x"], ["k"])[1] == 0

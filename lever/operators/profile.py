@@ -36,37 +36,31 @@ def bin_index(x, lo, hi, bins: int):
             .otherwise(i0)).cast("bigint")
 
 
-def histogram_long(long: DataFrame, group, x: str = "value", bins: int = 100) -> DataFrame:
-    """Per ``group``: every bin ``(group..., bin, bin_lo, bin_hi, n, n_total)``,
-    empty bins included with ``n = 0``.  NULL ``x`` is ignored."""
-    group = list(group)
-    data = long.where(_q(x).isNotNull()).select(*[_q(g) for g in group], _q(x))
-    rng = data.groupBy(*[_q(g) for g in group]).agg(
-        F.min(_q(x)).alias("_mn"), F.max(_q(x)).alias("_mx"), F.count(F.lit(1)).alias("n_total"))
-    rng = rng.select(*[_q(g) for g in group], "n_total",
+def histogram(df: DataFrame, cols, keys=(), bins: int = 100) -> DataFrame:
+    """H1: 100-bin histogram of each column per key: (keys, variable, bin, bin_lo, bin_hi, n), empty bins included
+    with ``n = 0``.  NULLs are ignored.  A key's ranges travel as one row, so rows meet them before they are unpivoted."""
+    keys, cols = list(keys), list(cols)
+    group = [*keys, "variable"]
+    rng = unpivot(df, keys, cols, "variable", "_x").where("_x IS NOT NULL").groupBy(*[_q(g) for g in group]).agg(
+        F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    rng = rng.select(*[_q(g) for g in group],
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("_lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("_hi"))
-    j = join_per_key(data.select(*[_q(g) for g in group], _q(x)), rng.drop("n_total"), group)
-    counts = j.groupBy(*[_q(g) for g in group],
-                       bin_index(_q(x), F.col("_lo"), F.col("_hi"), bins).alias("bin")) \
+    held = rng.groupBy(*[_q(k) for k in keys]).agg(F.array(*[
+        F.max(F.when(F.col("variable") == c, F.struct("_lo", "_hi"))) for c in cols]).alias("_r"))
+    met = join_per_key(df.select(*[_q(c) for c in dict.fromkeys([*keys, *cols])]), held, keys)
+    long = met.select(*[_q(k) for k in keys], F.inline(F.array(*[
+        F.struct(F.lit(c).alias("variable"), _q(c).cast("double").alias("_x"), F.get("_r", F.lit(j)).alias("_at"))
+        for j, c in enumerate(cols)]))).where("_x IS NOT NULL")
+    counts = long.groupBy(*[_q(g) for g in group], bin_index(F.col("_x"), F.col("_at._lo"), F.col("_at._hi"), bins).alias("bin")) \
         .agg(F.count(F.lit(1)).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    grid = rng.select(*[_q(g) for g in group], "n_total", "_lo", "_hi",
-                      F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    grid = grid.select(*[_q(g) for g in group], F.col("bin").cast("bigint").alias("bin"), "n_total",
+    grid = rng.select(*[_q(g) for g in group], "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = grid.select(*[_q(g) for g in group], F.col("bin").cast("bigint").alias("bin"),
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin"), bins).alias("bin_lo"),
                        _edge(F.col("_lo"), F.col("_hi"), width, F.col("bin") + 1, bins).alias("bin_hi"))
     out = join_on(grid, counts, [*group, "bin"], "left")
-    return out.select(*[_q(g) for g in group], "bin", "bin_lo", "bin_hi",
-                      F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n"),
-                      F.col("n_total").cast("bigint").alias("n_total"))
-
-
-def histogram(df: DataFrame, cols, keys=(), bins: int = 100) -> DataFrame:
-    """H1: 100-bin histogram of each column per key: (keys, variable, bin, bin_lo, bin_hi, n)."""
-    keys = list(keys)
-    long = unpivot(df, keys, cols, "variable", "value")
-    return histogram_long(long, [*keys, "variable"], "value", bins).drop("n_total")
+    return out.select(*[_q(g) for g in group], "bin", "bin_lo", "bin_hi", F.coalesce(F.col("_n"), F.lit(0)).cast("bigint").alias("n"))
 
 
 def histogram_with_splits(df: DataFrame, cols, splits: DataFrame, keys=(), bins: int = 100) -> DataFrame:

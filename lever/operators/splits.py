@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lever.functions.columns import join_on
 from lever.functions.sizing import join_per_key, materialize
 from lever.operators.ordered import ordered_scan
-from lever.operators.quantiles import quantiles_wide
+from lever.operators.quantiles import FEW, quantiles_wide
 
 REL_EPS = 1e-12
 
@@ -143,10 +143,19 @@ def label_number(x):
                     F.lpad((r % 100).cast("string"), 2, "0"))
 
 
-def _with_segment(long: DataFrame, splits: DataFrame, keys) -> DataFrame:
-    """``long`` (keys, variable, x, ...) with its variable's splits and the segment of x."""
-    j = join_per_key(long, split_arrays(splits, keys), [*keys, "variable"])
-    return j.withColumn("segment", F.size(F.filter("splits", lambda s: s <= F.col("x"))).cast("bigint"))
+def _with_segment(df: DataFrame, keys, variables, target: str, splits: DataFrame) -> DataFrame:
+    """(keys, variable, x, y, splits, segment): as :func:`xy_long`, with the variable's splits and the segment of x; no
+    rows for a variable without splits.  A key's splits travel as one row, so rows meet them before they are unpivoted."""
+    keys = list(keys)
+    held = split_arrays(splits, keys).groupBy(*[_q(k) for k in keys]).agg(F.array(*[
+        F.max(F.when(F.col("variable") == v, F.col("splits"))) for v in variables]).alias("_splits"))
+    names = dict.fromkeys([*keys, *variables, target])
+    met = join_per_key(df.select(*[_q(c) for c in names]).where(_q(target).isNotNull()), held, keys)
+    long = met.select(*[_q(k) for k in keys], _q(target).cast("double").alias("y"), F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variable"), _q(v).cast("double").alias("x"), F.get("_splits", F.lit(j)).alias("splits"))
+        for j, v in enumerate(variables)])))
+    long = long.where("x IS NOT NULL AND y IS NOT NULL AND splits IS NOT NULL")
+    return long.withColumn("segment", F.size(F.filter("splits", lambda s: s <= F.col("x"))).cast("bigint"))
 
 
 def _bounds():
@@ -190,7 +199,7 @@ def segment_rows(df: DataFrame, keys, variables, target: str, splits: DataFrame,
     """
     keys = list(keys)
     g = [*keys, "variable"]
-    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
+    rows = _with_segment(df, keys, variables, target, splits)
     counts = rows.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("n"))
     info = _segments(counts, keys, splits, outlier_share)
     # each variable's few segments travel as one array, so rows meet them in one per-key join
@@ -223,7 +232,7 @@ def segment_summary(df: DataFrame, keys, variables, target: str, splits: DataFra
         low = ((units - rest) / cnt).cast("decimal(38,0)")
         q = F.when(cnt > 0, low + F.when(2 * rest >= cnt, 1).otherwise(0))
         mean = q.cast("double") / F.lit(10.0 ** exact_scale)
-    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys)
+    rows = _with_segment(df, keys, variables, target, splits)
     agg = rows.groupBy(*[_q(c) for c in g], "segment").agg(F.count(F.lit(1)).alias("n"), mean.alias("mean_target"))
     return _segments(agg, keys, splits, outlier_share).select(
         *[_q(c) for c in g], "segment", "seg_lo", "seg_hi", "label", "n", "share", "mean_target")
@@ -234,20 +243,53 @@ def segment_boxstats(df: DataFrame, keys, variables, target: str, splits: DataFr
     """Box-plot numbers per segment: q1, median, q3 (linear interpolation),
     whiskers = most extreme values within ``whis`` * IQR of the box, outlier count.
 
-    Quartiles by selection (no ordering), then one aggregate for the rest."""
+    The values of a segment of up to ``FEW`` rows are put in order in one aggregate, which gives them all; larger
+    ones take quartiles by selection (no ordering), then one aggregate for the rest."""
     keys = list(keys)
     gs = [*keys, "variable", "segment"]
-    rows = _with_segment(xy_long(df, keys, variables, target), splits, keys).select(*[_q(c) for c in gs], "y")
+    rows = _with_segment(df, keys, variables, target, splits).select(*[_q(c) for c in gs], "y")
+    found = df.groupBy(*[_q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW)
+    if found.isEmpty():  # no key is large, so no segment is
+        agg = _ordered_boxes(rows, gs, whis)
+    else:
+        sizes = materialize(rows.groupBy(*[_q(c) for c in gs]).agg((F.count(F.lit(1)) > FEW).alias("_large")), "sizes")
+        held = join_per_key(rows, sizes, gs)
+        agg = _ordered_boxes(held.where("NOT _large").drop("_large"), gs, whis) \
+            .unionByName(_selected_boxes(held.where("_large").drop("_large"), gs, whis))
+    return _segments(agg, keys, splits, 0.1).where("n > 0").select(
+        *[_q(c) for c in gs], "label", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
+
+
+def _ordered_boxes(rows: DataFrame, gs, whis: float) -> DataFrame:
+    """Box numbers of groups of few ``y``, from their values in order."""
+    held = rows.groupBy(*[_q(c) for c in gs]).agg(F.sort_array(F.collect_list("y")).alias("_y")).withColumn("_n", F.size("_y"))
+
+    def quantile(p):  # as Spark's percentile puts it
+        at = (F.col("_n") - 1) * F.lit(p)
+        low, high = F.get("_y", F.floor(at).cast("int")), F.get("_y", F.ceil(at).cast("int"))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    held = held.withColumns({"q1": quantile(0.25), "median": quantile(0.5), "q3": quantile(0.75)})
+    reach = whis * (F.col("q3") - F.col("q1"))
+    held = held.withColumns({"_lim_lo": F.col("q1") - reach, "_lim_hi": F.col("q3") + reach})
+    held = held.withColumns({"_low": F.size(F.filter("_y", lambda y: y < F.col("_lim_lo"))),
+                             "_high": F.size(F.filter("_y", lambda y: y > F.col("_lim_hi")))})
+    return held.select(*[_q(c) for c in gs], F.col("_n").cast("bigint").alias("n"), "q1", "median", "q3",
+                       F.get("_y", F.col("_low")).alias("whisker_lo"),
+                       F.get("_y", F.col("_n") - 1 - F.col("_high")).alias("whisker_hi"),
+                       (F.col("_low") + F.col("_high")).cast("bigint").alias("n_outliers"))
+
+
+def _selected_boxes(rows: DataFrame, gs, whis: float) -> DataFrame:
+    """Box numbers of groups of any size."""
     box = quantiles_wide(rows, gs, ["y"], [0.25, 0.5, 0.75]).toDF(*gs, "q1", "median", "q3")
     reach = whis * (F.col("q3") - F.col("q1"))
     j = join_per_key(rows, box.withColumns({"_lim_lo": F.col("q1") - reach, "_lim_hi": F.col("q3") + reach}), gs)
     low, high = F.col("y") < F.col("_lim_lo"), F.col("y") > F.col("_lim_hi")
-    agg = j.groupBy(*[_q(c) for c in gs]).agg(
+    return j.groupBy(*[_q(c) for c in gs]).agg(
         F.count(F.lit(1)).alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),
         F.min(F.when(~low, F.col("y"))).alias("whisker_lo"), F.max(F.when(~high, F.col("y"))).alias("whisker_hi"),
         F.count(F.when(low | high, 1)).alias("n_outliers"))
-    return _segments(agg, keys, splits, 0.1).where("n > 0").select(
-        *[_q(c) for c in gs], "label", "n", "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
 def depth_from_count(counts: DataFrame, keys, count_col: str, one_means_depth1: bool = True) -> DataFrame:

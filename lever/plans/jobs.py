@@ -155,12 +155,20 @@ def rank_drivers(prepared: DataFrame, schema: SeriesSchema, target: str, variabl
     return M.top_features(imp, keys, top_n)
 
 
+def _met(prepared: DataFrame, keys, target: str, variables) -> DataFrame:
+    """The columns of a drill-down written once, the rows of a key beside each other (a large key in several tasks):
+    every step reads few columns, and its aggregates by key are nearly done before they shuffle."""
+    rows = prepared.select(*[_q(c) for c in dict.fromkeys([*keys, *variables, target])])
+    return materialize(rows.hint("rebalance", *[_q(k) for k in keys]) if keys else rows, "rows")
+
+
 def drill_down_outputs(prepared: DataFrame, keys, target: str, variables, choose: str = "mixture", exact_scale=None,
                        **kw) -> dict[str, DataFrame]:
     """E3 (``choose="mixture"``) and E4 (``"peaks"``), every output: per variable the component or peak count
     decides the tree's depth; then ``splits`` (of the tree), ``mixture_splits`` (E3 only), ``histogram`` (100 bins,
-    marked where a split falls), ``boxes`` and ``summary`` per segment."""
+    marked where a split falls), ``boxes`` and ``summary`` per segment.  The columns they read are written once."""
     keys = list(keys)
+    prepared = _met(prepared, keys, target, variables)
     if choose == "mixture":
         fit = G.gmm_fit(prepared, variables, keys)
         counts = fit.groupBy(*[_q(k) for k in keys], "variable").agg(F.max("n_components").alias("n_found"))
@@ -187,6 +195,7 @@ def drill_down_peaks(prepared: DataFrame, keys, target: str, variables, exact_sc
                      **kw) -> DataFrame:
     """E4's segment summary: like E3 with the depth chosen by histogram peaks (one peak -> 1)."""
     keys = list(keys)
+    prepared = _met(prepared, keys, target, variables)
     peaks = H.histogram_peaks(prepared, variables, keys)
     counts = peaks.groupBy(*[_q(k) for k in keys], "variable").agg(F.count(F.lit(1)).alias("n_peaks"))
     splits = B.tree_splits(prepared, keys, variables, target, B.depth_from_count(counts, keys, "n_peaks"), **kw)

@@ -106,3 +106,50 @@ def test_boxstats_match_numpy(spark):
         assert np.allclose([r["q1"], r["median"], r["q3"]], [q1, med, q3])
         assert r.whisker_lo == v[v >= lo].min() and r.whisker_hi == v[v <= hi].max()
         assert r.n_outliers == ((v < lo) | (v > hi)).sum()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boxes_of_few_and_of_many_values(spark, monkeypatch):
+    """Small segments need one aggregate, without joining their rows to it; those above ``FEW`` rows go by selection."""
+    rng = np.random.default_rng(8)
+    data = [(k, float(v), float(w), None if i % 50 == 0 else float(np.round(y, 1)))
+            for k, n in ((None, 40), ("a", 300), ("b", 7), ("c", 1))
+            for i, (v, w, y) in enumerate(zip(rng.integers(0, 9, n), rng.uniform(0, 1, n), rng.standard_t(2, n)))]
+    df = spark.createDataFrame(data, "k string, v double, w double, y double")
+    splits = spark.createDataFrame([(None, "v", 4.5), ("a", "v", 2.5), ("a", "v", 6.5), ("a", "w", 0.5), ("b", "w", 0.25)],
+                                   "k string, variable string, threshold double")
+    few = B.segment_boxstats(df, ["k"], ["v", "w"], "y", splits)
+    assert "percentile" not in _plan(few)
+    few = sorted(few.collect(), key=str)
+    monkeypatch.setattr(B, "FEW", 60)
+    some = sorted(B.segment_boxstats(df, ["k"], ["v", "w"], "y", splits).collect(), key=str)
+    assert few == some and {(r.k, r.variable) for r in few} == {(None, "v"), ("a", "v"), ("a", "w"), ("b", "w")}
+    assert min(r.n for r in few) <= 60 < max(r.n for r in few)
+    for r in few:
+        y = [d[3] for d in data if d[0] == r.k and d[3] is not None and (
+            r.variable == "w" or r.k is None) and (d[1] >= 4.5 if r.variable == "v" else d[2] >= (0.5 if r.k == "a" else 0.25)) == (r.segment == 1)]
+        if r.k != "a" or r.variable == "w":
+            assert r.n == len(y) and np.allclose([r.q1, r.median, r.q3], np.percentile(y, [25, 50, 75]))
+
+
+def test_rows_meet_splits_and_ranges_before_they_are_unpivoted(spark):
+    from lever.operators import profile as H
+    df = spark.createDataFrame([(k, float(i), float(i % 5), float(i % 3)) for k in (None, "a") for i in range(30)],
+                               "k string, v double, w double, y double")
+    splits = spark.createDataFrame([(k, v, 2.5) for k in (None, "a") for v in "vw"], "k string, variable string, threshold double")
+    for plan in (_plan(B._with_segment(df, ["k"], ["v", "w"], "y", splits)), _plan(H.histogram(df, ["v", "w"], ["k"], 10))):
+        last = plan.rindex("Join")  # of the rows
+        assert "Generate" in plan[:last] and plan.count("Join") <= 2
+    assert B.segment_summary(df, ["k"], ["v", "w"], "y", splits).toPandas().n.sum() == 120
+
+
+def test_drill_down_reads_the_prepared_rows_once(spark):
+    from lever.plans import jobs as E
+    df = spark.range(400).selectExpr("if(id % 2 = 0, null, id % 4) AS k", "double(id % 20) AS x", "if(id % 20 < 10, 1.0D, 5.0D) AS y", "id AS t")
+    out = E.drill_down_outputs(df, ["k"], "y", ["x"], "peaks", exact_scale=6)
+    assert set(out) == {"splits", "histogram", "boxes", "summary"}
+    assert not any("Range (" in _plan(d) for d in out.values())
+    assert out["boxes"].toPandas().n.sum() == 400 and out["histogram"].toPandas().n.sum() == 400

@@ -185,3 +185,39 @@ def test_small_keys_are_grown_and_used_in_one_task(spark, monkeypatch):
             R.fold_errors(blocks, trees, ["k"], how).orderBy("k", "fold").toPandas()]
     for a, b in zip(found, told):
         assert (a.drop(columns=a.columns[-1]) == b.drop(columns=b.columns[-1])).all().all() and abs(a.iloc[:, -1] - b.iloc[:, -1]).max() < 1e-12
+
+
+def wide(n, keys, seed=5):
+    """Rows of ``keys`` keys, one of them null, with ties, few and many values, a heavy tail and a key of one row."""
+    r = np.random.default_rng(seed)
+    a, b, c = r.normal(size=n), r.integers(0, 4, n).astype(float), np.exp(3 * r.normal(size=n))
+    k = [None if x == 0 else f"k{x}" for x in r.integers(0, keys, n)]
+    y = np.round(a + b * (c > 1) + 0.3 * r.normal(size=n), 1)
+    return [*zip(k, range(n), a.tolist(), b.tolist(), c.tolist(), y.tolist()), ("alone", n, 1.0, 2.0, 3.0, 4.0)]
+
+
+@pytest.mark.parametrize("n,keys,options", [
+    (2500, 3, {"trees": 7, "max_depth": 9, "bins": 256, "task_trees": 3}), (4000, 60, {"trees": 4, "max_depth": 5}),
+    (900, 2, {"trees": 2, "max_depth": 40, "bins": 8, "bootstrap": False}), (30000, 1, {"trees": 2, "max_depth": 8, "seed": -3})])
+def test_the_java_function_grows_the_same_trees(spark, n, keys, options):
+    how = R.Forest(**options)
+    blocks = M._fold_blocks(spark.createDataFrame(wide(n, keys), SCHEMA), ["k"], ["t"], VARS, "y", 3, how)
+    trees = R.grow_forests(blocks, ["k"], 3, how)
+    by = ["k", "fold", "feature"]
+    pairs = [(R.grown_importances(blocks, ["k"], 3, VARS, how), R.fold_importances(trees, ["k"], VARS), by),
+             (R.grown_errors(blocks, ["k"], 3, how), R.fold_errors(blocks, trees, ["k"], how), by[:2])]
+    for got, want, by in pairs:
+        got, want = (x.toPandas().sort_values(by).reset_index(drop=True) for x in (got, want))
+        assert len(got) == len(want) > 0 and got.dtypes.equals(want.dtypes)
+        assert got[by].fillna("").equals(want[by].fillna(""))
+        for c in got.columns.difference(by):
+            assert np.allclose(got[c], want[c], rtol=1e-12, atol=1e-14)
+
+
+def test_keys_of_one_part_leave_the_trees_to_the_jvm(spark, frame):
+    """No Python worker takes part once the rows are packed, and no tree is written."""
+    how = R.Forest(trees=3, max_depth=3)
+    blocks = M._fold_blocks(frame, ["k"], ["t"], VARS, "y", 4, how)
+    for found in (R.grown_importances(blocks, ["k"], 4, VARS, how), R.grown_errors(blocks, ["k"], 4, how)):
+        plan = found._jdf.queryExecution().toString()
+        assert "lever_forest" in plan and "InArrow" not in plan and "Python" not in plan

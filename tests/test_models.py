@@ -277,3 +277,27 @@ def test_refits_of_many_keys_solved_some_at_a_time(spark, monkeypatch, normalize
         got = whole[(whole.k == 11) & (whole.fold == 2) & (whole.model == "LinearRegression")].weights.iloc[0]
         assert np.allclose(got, _direct("ols", np.column_stack([a, b])[train], y[train], 0))
         assert np.isnan(np.stack(whole[whole.k == 3].weights).astype(float)[:, 1]).all()
+
+
+def test_select_model_query_ranks_the_forest_too(spark, tmp_path):
+    """One machine is linear in the price, the other a product that only a forest fits; folds and share are exact."""
+    from lever.plans import registry
+    rng = np.random.default_rng(12)
+    n = 400
+    rows = []
+    for machine in (1, 2):
+        for i in range(n):
+            price, discount = (float(rng.uniform(1000, 2000)), 0.0) if machine == 1 else (float(rng.choice([1e4, 1e5])), float(rng.choice([0, 0.99])))
+            rows.append((machine * n + i, i % 5, machine, i % 7, float(rng.integers(1, 50)), price, discount, 0.0, "N",
+                         pd.Timestamp("1996-01-01") + pd.Timedelta(days=i)))
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
+    spark.createDataFrame(pd.DataFrame(rows, columns=names)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    part = pd.DataFrame({"p_partkey": range(5), "p_size": [1, 2, 3, 4, 5], "p_retailprice": [9.0, 8.0, 7.0, 6.0, 5.0]})
+    spark.createDataFrame(part).write.parquet(f"{tmp_path}/part.parquet")
+    found = registry.QUERIES["select_model"](spark, str(tmp_path)).toPandas().set_index("machine")
+    assert found.model.to_dict() == {1: "LinearRegression", 2: "RandomForestRegressor"}
+    d = registry.f2(spark, str(tmp_path))
+    scores = M.cv_scores(d, ["machine"], registry._P6, "net", hash_cols=["machine", *registry.F2O], order=registry.F2O).toPandas()
+    assert len(scores) == 8 and set(scores.model) == set(M.RANKING_MODELS)
+    best = scores.groupby("machine").abs_mape_pct.min()
+    assert np.allclose(found.abs_mape_pct.sort_index(), best.sort_index(), atol=1e-6)
